@@ -57,8 +57,20 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
 
+def op6_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casewise.llm.vectors import near_vectors
+
+    return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casewise.llm.minhash import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_histogram_sharding, op4_line_dedup, op5_mixing)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_histogram_sharding, op4_line_dedup, op5_mixing, op6_vector_near_dedup, op9_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
