@@ -46,6 +46,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def hash_limit(share: float) -> int:
+    """About this share of all 64-bit hashes is at most the limit."""
+    return min(2**63 - 1, int(share * 2**64) - 2**63)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest id that a node reaches; only nodes that have an edge.
 

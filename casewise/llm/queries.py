@@ -28,6 +28,12 @@ def op2_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casewise.llm.toxicity import toxicity
+
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casewise.llm.linededup import dedup_lines
 
@@ -63,6 +69,19 @@ def op6_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casewise.llm.fingerprints import next_fingerprints
+
+    found = next_fingerprints(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.base64("fingerprint").alias("fingerprint"), F.base64("edited_fingerprint").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casewise.llm.quality import quality
+
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casewise.llm.minhash import near_duplicates
 
@@ -70,7 +89,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_histogram_sharding, op4_line_dedup, op5_mixing, op6_vector_near_dedup, op9_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_histogram_sharding, op3_toxicity, op4_line_dedup, op5_mixing, op6_vector_near_dedup, op7_fingerprints, op8_quality, op9_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

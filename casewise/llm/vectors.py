@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewise.llm.common import connected_components, cut
+from casewise.llm.common import connected_components, cut, hash_limit
 
 COSINE = 0.93
 #: Vectors a cell should have, vectors in a block, and pivots at most over all labels (so what is sent out is bounded).
@@ -56,8 +56,8 @@ def pivots_of(classes: DataFrame, cell: int, most: int) -> dict[object, np.ndarr
     draw = F.xxhash64(F.lit("pivot"), "id")
     counts = {r[0]: r[1] for r in sizes}
     k_of = dict(wanted)
-    limit = {k: int(-(2**63) + 2**64 * min(1.0, (2 * k_of[k] + 20) / counts[k])) for k in k_of}
-    near = spark.createDataFrame([(k, min(v, 2**63 - 1)) for k, v in limit.items()], f"label {classes.schema['label'].dataType.simpleString()}, _limit long")
+    limit = {k: hash_limit(min(1.0, (2 * k_of[k] + 20) / counts[k])) for k in k_of}
+    near = spark.createDataFrame([(k, v) for k, v in limit.items()], f"label {classes.schema['label'].dataType.simpleString()}, _limit long")
     few = ranked.join(F.broadcast(near), "label").where(draw <= F.col("_limit")).select("label", "embedding", draw.alias("_draw")).collect()
     out: dict[object, np.ndarray] = {}
     for label in k_of:
