@@ -16,6 +16,7 @@ from array import array
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,15 +27,28 @@ from casewise.llm.common import cut, partitions
 
 CAPACITY = 2048
 END = 0
-#: Words and their parts whose ids a worker keeps; beyond that it starts afresh.
-WORDS_KEPT, PARTS_KEPT = 400_000, 800_000
+#: Words and their parts whose ids a worker keeps; beyond that those that were not met of late are forgotten.
+WORDS_KEPT, PARTS_KEPT = 450_000, 900_000
+
+
+class _Mapped(dict):
+    """The characters that stand for a character's bytes in a byte-level vocabulary."""
+
+    def __init__(self):
+        from tokenizers import pre_tokenizers
+
+        self.split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __missing__(self, code: int) -> str:
+        self[code] = found = self.split.pre_tokenize_str(chr(code))[0][0]
+        return found
 
 
 class WordEncoder:
     """Ids of texts, word by word, with a bounded memory of words.
 
-    Only for tokenizers that drop white space, so that ids of a text are those of its words one after the other;
-    others encode the whole text.
+    Only for byte-level tokenizers that drop white space and keep runs of letters whole, so that a text's ids are
+    those of its words one after the other; others encode the whole text.
     """
 
     def __init__(self, path: str):
@@ -46,60 +60,65 @@ class WordEncoder:
             kind = json.load(f)
         splits = (kind.get("pre_tokenizer") or {}).get("pretokenizers") or []
         first = splits[0] if splits else {}
-        self.by_word = first.get("behavior") == "Removed" and r"[^\s" in first.get("pattern", {}).get("Regex", "") and kind["post_processor"] is None
+        pattern = first.get("pattern", {}).get("Regex", "")
+        self.by_word = first.get("behavior") == "Removed" and r"[^\s" in pattern and r"[\p{L}]+" in pattern and splits[-1]["type"] == "ByteLevel" and kind["post_processor"] is None
+        self.mapped = _Mapped()
         self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def part(self, mapped: str) -> bytes:
-        if (ids := self.parts.get(mapped)) is None:
-            if len(self.parts) >= PARTS_KEPT:
-                self.parts.clear()
-            ids = self.parts[mapped] = array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+        if len(self.parts) >= PARTS_KEPT:
+            self.parts.clear()
+        ids = self.parts[mapped] = array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
         return ids
 
+    def normal(self, words: list[str]) -> list[str]:
+        found = self.tokenizer.normalizer.normalize_str(" ".join(words)).split(" ")
+        return found if len(found) == len(words) else [self.tokenizer.normalizer.normalize_str(w) for w in words]
+
     def learn(self, words: list[str]) -> None:
-        """Keep the ids of words; one call normalises and splits all of those that need it."""
-        kept, part, odd = self.words, self.part, []
+        kept, known, part = self.words, self.parts.get, self.part
+        odd = []
         for w in words:
-            if w.isascii() and w.isalpha():
-                kept[w] = part(w.lower())
-            elif w.isascii() and w[:-1].isalpha() and w[-1] in ".,":
-                kept[w] = part(w[:-1].lower()) + part(w[-1])
+            if w.isascii():
+                if w.isalpha():
+                    w_ = w.lower()
+                    kept[w] = known(w_) or part(w_)
+                    continue
+                if w[-1] in ".," and w[:-1].isalpha():
+                    w_, end = w[:-1].lower(), w[-1]
+                    kept[w] = (known(w_) or part(w_)) + (known(end) or part(end))
+                    continue
+            odd.append(w)
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        for w, normal in zip(odd, self.normal(odd) if odd else (), strict=True):
+            if normal.isalpha():
+                pieces = [normal.translate(self.mapped)]
+            elif normal[-1:] in ".," and normal[:-1].isalpha():
+                pieces = [normal[:-1].translate(self.mapped), normal[-1]]
             else:
-                odd.append(w)
-        if not odd:
-            return
-        normal = self.tokenizer.normalizer.normalize_str(" ".join(odd))
-        ends = [i for i, x in enumerate(normal) if x == " "] + [len(normal)]
-        if len(ends) != len(odd):  # a word holds other white space; then one at a time
-            for w in odd:
-                self.learn_odd(w)
-            return
-        found: list[list[bytes]] = [[] for _ in odd]
-        at = 0
-        for p, (start, _) in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal):
-            while start > ends[at]:
-                at += 1
-            found[at].append(part(p))
-        kept.update((w, b"".join(f)) for w, f in zip(odd, found, strict=True))
-
-    def learn_odd(self, word: str) -> None:
-        normal = self.tokenizer.normalizer.normalize_str(word)
-        self.words[word] = b"".join(self.part(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal))
+                pieces = [p for p, _ in split(normal)]
+            kept[w] = b"".join([known(p) or part(p) for p in pieces])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.by_word:
             return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        kept = self.words
-        new = list(dict.fromkeys(w for words in split for w in words if w not in kept))
-        if len(kept) + len(new) > WORDS_KEPT:
-            kept.clear()
-            new = list(dict.fromkeys(w for words in split for w in words))
-        kept[""] = b""
-        self.learn([w for w in new if w])
-        return [b"".join([kept[w] for w in words]) for words in split]
+        new = set(chain.from_iterable(split)).difference(self.words)
+        if len(self.words) + len(new) > WORDS_KEPT:
+            self.before, self.words = self.words, {}
+            new = set(chain.from_iterable(split))
+        before = self.before
+        again = [w for w in new if w in before]
+        self.words.update([(w, before[w]) for w in again])
+        new.difference_update(again)
+        new.discard("")
+        self.words[""] = b""
+        self.learn(list(new))
+        get = self.words.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
