@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewise.llm.common import read
+from casewise.llm.common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,8 +88,15 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casewise.llm.secretscan import scan
+
+    found = scan(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", F.char_length("candidate").alias("length"), F.crc32(F.col("candidate").cast("binary")).alias("candidate_crc32"), held_out(F.col("doc_id")).alias("held_out"), F.col("label").cast("int").alias("rule_label"), F.round("score", 6).alias("score"), "secret")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_histogram_sharding, op3_toxicity, op4_line_dedup, op5_mixing, op6_vector_near_dedup, op7_fingerprints, op8_quality, op9_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_histogram_sharding, op3_toxicity, op4_line_dedup, op5_mixing, op6_vector_near_dedup, op7_fingerprints, op8_quality, op9_minhash_near_dedup, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
