@@ -1,0 +1,388 @@
+"""Each operator against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
+
+import itertools
+import random
+import re
+from array import array
+from collections import Counter, defaultdict
+from fractions import Fraction
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from casewise.llm import fingerprints, linededup, minhash, mixing, packing, quality, secretscan, sharding, toxicity, vectors
+from casewise.llm.common import connected_components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, key string"
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+LONG_LINE = "A line that many documents share, and that is long enough."
+
+
+def table(spark, texts):
+    rows = [(k, t, "en", None if k % 7 == 6 else f"s{k % 3}", len(t or ""), 1, 2, "x") for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def sample_texts(n=60, seed=1):
+    r = random.Random(seed)
+    words = [f"w{k}" for k in range(80)] + ["Straße", "l'eau", "naïve"]
+    out = [None, "", " \t ", "one", "One two", "x y z w v", "\n\n", LONG_LINE]
+    base = [r.choice(words) for _ in range(120)]
+    for k in range(n):
+        text = list(base) if k % 3 == 0 else [r.choice(words) for _ in range(r.randint(3, 150))]
+        for _ in range(k % 5):
+            text[r.randrange(len(text))] = r.choice(words)
+        lines = [" ".join(text[i : i + 25]) for i in range(0, len(text), 25)]
+        if k % 2:
+            lines.insert(r.randrange(len(lines) + 1), f" {LONG_LINE.upper() if k % 4 == 1 else LONG_LINE}\t")
+        out.append("\n".join(lines))
+    return [*out, out[10], out[10], "long " * 30_000]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return sample_texts()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    return table(spark, texts).cache()
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_packing_places_every_token_once(docs, texts, spark):
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(TOKENIZER)
+    coder.encode_special_tokens = True
+    rows = packing.pack_documents(docs, TOKENIZER, capacity=256).collect()
+    pieces = defaultdict(dict)
+    for r in rows:
+        pieces[r.doc_id][r.piece] = r
+        assert r.start == r.piece * 256 and len(r.ids) == 4 * r.length <= 1024
+    for k, t in enumerate(texts):
+        want = array("I", [*coder.encode(t or "", add_special_tokens=False).ids, 0]).tobytes()
+        assert b"".join(pieces[k][p].ids for p in sorted(pieces[k])) == want
+    places = defaultdict(list)
+    for r in rows:
+        places[r.sequence_id].append((r.offset, r.length))
+    for parts in places.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 256
+    counts = Counter(r.length for r in rows)
+    assert len(places) <= packing.lower_bound(counts, 256) + 1
+    assert packing.pack_documents(empty(spark), TOKENIZER).count() == 0
+
+
+def fewest(items, capacity):
+    """The least number of bins, by trying all."""
+    best = [len(items)]
+
+    def go(k, bins):
+        if len(bins) >= best[0]:
+            return
+        if k == len(items):
+            best[0] = len(bins)
+            return
+        for b in range(len(bins)):
+            if bins[b] + items[k] <= capacity and bins[b] not in bins[:b]:
+                go(k + 1, [*bins[:b], bins[b] + items[k], *bins[b + 1 :]])
+        go(k + 1, [*bins, items[k]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_bin_completion_is_near_the_optimum():
+    r = random.Random(4)
+    over = 0
+    for _ in range(120):
+        capacity = r.choice([10, 20, 50])
+        items = sorted((r.randint(1, capacity) for _ in range(r.randint(0, 10))), reverse=True)
+        plan = packing.pack_histogram(Counter(items), capacity)
+        assert Counter(k for p, t in plan for k in p for _ in range(t)) == Counter(items)
+        assert all(sum(p) <= capacity for p, _ in plan)
+        over += sum(t for _, t in plan) - fewest(items, capacity)
+    assert over <= 1
+    assert sum(t for _, t in packing.pack_histogram(Counter([6, 5, 5, 4, 4, 3, 3]), 10)) == 3
+
+
+def test_sharding_balances_bytes_and_numbers_slots(docs, texts, spark):
+    rows = sharding.shard_documents(docs, 4).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    for r in rows:
+        assert r.size == len((texts[r.doc_id] or "").encode()) + 1
+    shards = defaultdict(list)
+    for r in rows:
+        shards[r.shard].append(r)
+    for group in shards.values():
+        assert sorted(r.slot for r in group) == list(range(len(group)))
+    small = table(spark, [f"text {k % 50}" for k in range(2000)] + ["hot"] * 1000)
+    sizes = Counter()
+    for r in sharding.shard_documents(small, 16).collect():
+        sizes[r.shard] += r.size
+    assert len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= 0.02 * sum(sizes.values()) / 16 + 20
+    assert sharding.shard_documents(empty(spark), 16).count() == 0
+
+
+def test_line_dedup(docs, texts, spark):
+    def key(line):
+        return re.sub(r"[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
+
+    holders = defaultdict(set)
+    for k, t in enumerate(texts):
+        for line in (t or "").split("\n"):
+            if len(key(line)) >= 40:
+                holders[key(line)].add(k)
+    shared = {x: max(d) for x, d in holders.items() if len(d) >= 5}
+    assert shared
+    rows = {r.doc_id: r for r in linededup.dedup_lines(docs).collect()}
+    assert len(rows) == len(texts)
+    for k, t in enumerate(texts):
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if shared.get(key(x), k) == k]
+        assert (rows[k]._cw_lines, rows[k]._cw_dropped, rows[k].text or "") == (len(lines), len(lines) - len(kept), "\n".join(kept))
+        assert (rows[k].text is None) == (t is None) and rows[k].size == 1
+    assert linededup.dedup_lines(empty(spark)).count() == 0
+    twice = docs.unionByName(docs)
+    assert {(r.doc_id, r.text) for r in linededup.dedup_lines(twice).select("doc_id", "text").collect()} == {(r.doc_id, r.text) for r in rows.values()}
+
+
+def test_mixing_meets_targets(docs, texts, spark):
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+    source = [None if k % 7 == 6 else f"s{k % 3}" for k in range(len(texts))]
+    total = Counter()
+    for s, n in zip(source, size, strict=True):
+        total[s] += n
+    names = sorted((s for s in total if s), key=str) + [None]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    target, budget, open_ = {}, Fraction(3 * sum(size), 2), set(names)
+    while open_:
+        level = (budget - sum(target.values())) / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 2 * total[s]}
+        target |= {s: Fraction(2 * total[s]) for s in full} if full else {s: level * weight[s] for s in open_}
+        open_ = open_ - full if full else set()
+    rows = mixing.mix(docs).collect()
+    taken = Counter()
+    for r in rows:
+        s = source[r.doc_id]
+        assert (r.size, r.source_size) == (size[r.doc_id], total[s]) and 0 <= r.taken <= 2 * r.size
+        assert abs(r.target - float(target[s])) < 1e-6
+        taken[s] += r.taken
+    for s in names:
+        assert abs(taken[s] - float(target[s])) <= 1
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(docs).collect()))
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    words = Counter()
+    for r in mixed.collect():
+        assert texts[r.doc_id].lstrip().startswith(r.text.strip()[:1])
+        words[r.doc_id] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    assert words == Counter({r.doc_id: r.taken for r in rows if r.taken})
+    assert mixing.mix(empty(spark)).count() == 0
+
+
+def brute_components(rows):
+    sets = {}
+    for k, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[k] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    root = {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 75 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {k: (len(sets[k]), find(k)) for k in sets}
+
+
+def test_near_duplicates(docs, texts, spark):
+    want = brute_components(enumerate(texts))
+    rows = minhash.near_duplicates(docs).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
+    assert minhash.drop_near_duplicates(docs).count() == sum(r.kept for r in rows)
+    assert minhash.near_duplicates(empty(spark)).count() == 0
+
+
+def test_near_duplicates_in_crowded_buckets(spark):
+    r = random.Random(8)
+    base = [f"b{k}" for k in range(200)]
+    rows = []
+    for k in range(90):  # two groups that share a passage, and a chain
+        text = list(base[:110]) + ([f"g{j}" for j in range(90)] if k % 2 else [f"h{j}" for j in range(90)])
+        text[r.randrange(110, 200)] = f"own{k}"
+        rows.append(" ".join(text))
+    chain = [f"c{k}" for k in range(100)]
+    for k in range(12):
+        rows.append(" ".join(chain))
+        for j in range(3):
+            chain[(7 * k + 31 * j) % 100] = f"n{k}-{j}"
+    want = brute_components(enumerate(rows))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(table(spark, rows)).collect()}
+    assert got == want
+
+
+def test_connected_components(spark):
+    r = random.Random(2)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(501, 700)] + [(r.randrange(1000, 1100), r.randrange(1000, 1100)) for _ in range(60)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    want = {x: find(x) for e in edges for x in e if e[0] != e[1]}
+    got = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {k: v for k, v in got.items() if k in want} == want
+
+
+@pytest.mark.parametrize(("cell", "block"), [(1500, 1500), (20, 7)])
+def test_near_vectors(spark, cell, block):
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(12, 16))
+    rows = [(k, [float(x) for x in np.float32(centres[k % 12] + 0.12 * r.normal(size=16))], k % 3) for k in range(240)]
+    rows += [(240 + k, rows[5][1], rows[5][2]) for k in range(20)] + [(260, [2 * x for x in rows[5][1]], rows[5][2])]
+    odd = [(300, None, 1), (301, [0.0] * 16, 1), (302, [float("nan")] + [1.0] * 15, 1), (303, rows[0][1], None), (304, [], 1), (305, [float("inf")] * 16, 1), (306, [None] + [1.0] * 15, 1), (307, [1.0, 2.0], 1), (308, [2.0, 4.0], 1), (309, [1e-30] * 16, 2)]
+    frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int")
+    got = {x.vec_id: x for x in vectors.near_vectors(frame, cell=cell, block=block).collect()}
+    usable = [(i, np.array(e, np.float32).astype(float), g) for i, e, g in rows] + [(307, np.array([1.0, 2.0]), 1), (308, np.array([2.0, 4.0]), 1)]
+    links = defaultdict(set)
+    for (i, a, g), (j, b, h) in itertools.combinations(usable, 2):
+        if g == h and len(a) == len(b) and a @ b / (np.linalg.norm(a) * np.linalg.norm(b)) >= 0.93:
+            links[i].add(j)
+            links[j].add(i)
+    assert len(got) == len(rows) + len(odd) and sum(map(len, links.values())) > 300
+    for i, _, _ in rows + odd:
+        seen, todo = {i}, [i]
+        while todo:
+            new = links[todo.pop()] - seen
+            seen |= new
+            todo += new
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (len(links[i]), min(seen), i == min(seen))
+    assert vectors.near_vectors(spark.createDataFrame([], frame.schema)).count() == 0
+
+
+def test_fingerprints(docs, texts, spark):
+    rows = sorted(fingerprints.next_fingerprints(docs).collect(), key=lambda r: -r.doc_id)
+    assert [r.doc_id for r in rows] == list(range(len(texts)))[::-1]
+    for k, r in enumerate(rows):
+        text, other = texts[r.doc_id] or "", texts[rows[(k + 1) % len(rows)].doc_id] or ""
+        n = len(text) // 3
+        assert r.edited == (text[: len(text) - n] + other[:n] if n else text)
+        assert r.fingerprint == fingerprints.fingerprint(text) and 0 <= r.near_next <= 1
+        assert r.edited_fingerprint == fingerprints.fingerprint(r.edited) and (r.near_edited == 1) == (r.fingerprint == r.edited_fingerprint)
+    mark = fingerprints.fingerprint
+    assert mark("a\nb\nc") == mark("c\na\nb") != mark("a\nb\nb\nc")
+    assert fingerprints.combine(mark("a\nb"), mark("c")) == mark("b\nc\na")
+    assert fingerprints.combine(mark("a\nb\nc"), mark("b"), -1) == mark("c\na")
+    assert fingerprints.next_fingerprints(empty(spark)).count() == 0
+    one = fingerprints.next_fingerprints(table(spark, ["abcdef"])).first()
+    assert one.edited == "abcdab" and one.near_next == 1
+
+
+def labelled(spark, seed=5, n=400):
+    r = random.Random(seed)
+    plain = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu") for b in ("ren", "sta", "vik", "zor", "pel")]
+    rows, labels = [], []
+    for k in range(n):
+        toxic, poor = k % 4 == 0, k % 5 == 1
+        words = [r.choice(plain) for _ in range(40)]
+        if toxic:
+            words[r.randrange(40)] = r.choice(["vile", "rotten"])
+        if r.random() < (0.9 if toxic else 0.15):  # a group that toxic rows name more often
+            words[r.randrange(40)] = "muslim"
+        if poor:
+            words = [w + "###" for w in words]
+        rows.append((k, " ".join(words) + ".", "en", "s", 1))
+        labels.append((k, int(not poor), int(toxic)))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_learns_words_and_not_groups(spark):
+    docs, labels = labelled(spark)
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    held = [r for r in toxicity.toxicity(docs, labels).collect() if r.held_out]
+    assert len(held) > 40 and sum(r.predicted == truth[r.doc_id] for r in held) / len(held) > 0.95
+    fair, plain = toxicity.fit(docs, labels), toxicity.fit(docs, labels, counterfactual=0.0)
+
+    def change(model):
+        return abs(model.score("the muslim karen losta minuvik") - model.score("the christian karen losta minuvik"))
+
+    assert change(fair) < 0.3 * change(plain) and change(fair) < 0.05
+    odd = toxicity.toxicity(spark.createDataFrame([(1, None), (2, ""), (3, "vile " * 20_000), (3, "vile")], "doc_id long, text string"), labels, docs).collect()
+    assert len(odd) == 4 and all(0 <= r.score <= 1 for r in odd)
+    none = toxicity.toxicity(docs, labels.where("toxic = 0")).agg({"score": "max"}).first()[0]
+    assert none < 0.01
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+    assert toxicity.drop_toxic(docs, labels, docs).columns == docs.columns
+
+
+def test_quality(spark):
+    docs, labels = labelled(spark, n=600)
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    rows = quality.quality(docs, labels).collect()
+    held = [r for r in rows if r.held_out]
+    assert sum(r.predicted == truth[r.doc_id] for r in held) / len(held) > 0.95 and all(0 <= r.score <= 1 for r in rows)
+    odd = docs.unionByName(spark.createDataFrame([(9001, None, "", "", 0), (9002, "", "", "", 0), (9002, "", "", "", 0)], docs.schema))
+    assert quality.quality(odd, labels).count() == 603
+    assert quality.quality(docs.limit(0), labels).count() == 0
+    assert quality.quality(docs, labels.limit(0)).agg({"score": "max"}).first()[0] == 0
+
+
+def test_secret_scan(spark):
+    r = random.Random(6)
+    rows = []
+    for k in range(200):
+        hexes = "".join(r.choice("0123456789abcdef") for _ in range(40))
+        kind = k % 4
+        text = {0: f'set token = "{hexes}" now', 1: "some verylongordinarywordhere in a line", 2: "card 4539578763621486 there", 3: f"key AKIA{''.join(r.choice('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') for _ in range(16))} x"}[kind]
+        rows.append((k, text))
+    extra = [(900, None), (901, ""), (902, f"sees {'ab12' * 10} and again {'ab12' * 10}"), (903, 'password="example1234567890"')]
+    found = secretscan.scan(spark.createDataFrame(rows + extra, "doc_id long, text string")).collect()
+    by_doc = defaultdict(list)
+    for f in found:
+        by_doc[f.doc_id].append(f)
+    texts = dict(rows)
+    for k, text in rows:
+        (f,) = by_doc[k]
+        assert text[f.start :].startswith(f.candidate) and f.secret == (k % 4 in (0, 3))
+    assert len(by_doc[902]) == 1 and not by_doc[900] and not by_doc[901] and not by_doc[903][0].secret
+    assert texts and secretscan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    docs, labels = labelled(spark)
+    docs = docs.unionByName(table(spark, sample_texts(20)).selectExpr("doc_id + 5000 as doc_id", "text", "lang", "source", "n_chars"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    ids = {r.doc_id for r in docs.collect()}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        if k < 4:
+            assert out.columns == corpus_pipeline.COLUMNS, name
+        assert {r.doc_id for r in out.select("doc_id").collect()} <= ids
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    assert docs.count() > 0
