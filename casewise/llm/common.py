@@ -24,10 +24,13 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs a read."""
+def cut(df: DataFrame, rows: int | None = None, each: int = 20_000) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs a read.
+
+    rows: about how many it has, if known; then small tables are not spread over more tasks than `each` calls for.
+    """
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    return (df if rows is None else df.coalesce(min(partitions(df), rows // each + 1))).checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -54,22 +57,24 @@ def hash_limit(share: float) -> int:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest id that a node reaches; only nodes that have an edge.
 
-    Alternates two rewritings of the edges until they stand still. In the first each node ties its larger neighbours
-    to the smallest id around it, in the second its smaller ones. Rounds grow with the logarithm of the component's
-    size. Every join meets a checkpointed table on both sides, so that a hub's edges can be split over tasks.
+    Alternates two rewritings of the edges until each component is a star. In the first each node ties its larger
+    neighbours to the smallest id around it, in the second its smaller ones. Rounds grow with the logarithm of the
+    component's size. Every join meets a checkpointed table on both sides, so that a hub's edges can be split over
+    tasks.
     """
     first, second = F.col(a), F.col(b)
     tied = cut(edges.where(first != second).select(F.greatest(first, second).alias("v"), F.least(first, second).alias("u")).distinct())
-    stamp = None
+    rows = tied.count()
     while True:
-        both = tied.unionByName(tied.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = cut(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m")))
-        up = cut(both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct())
-        least = cut(up.groupBy("v").agg(F.min("u").alias("m")))
-        down = up.join(least, "v").where("u != m").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        tied = cut(down.unionByName(least.withColumnRenamed("m", "u")).distinct())
-        seen = tied.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "u"))).first()
-        if seen == stamp:
+        sides = tied.select(F.col("v").alias("node"), F.lit(1).alias("side")).unionByName(tied.select(F.col("u").alias("node"), F.lit(2).alias("side")))
+        # in a star a leaf has one edge, upwards, and the centre has none upwards
+        kinds = sides.groupBy("node").agg(F.bit_or("side").alias("sides"), F.sum(F.when(F.col("side") == 1, 1)).alias("up"))
+        if not kinds.where("sides = 3 or up > 1").count():
             break
-        stamp = seen
-    return tied.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(tied.select(F.col("u").alias("node"), F.col("u").alias("component"))).distinct()
+        near = tied.unionByName(tied.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        least = cut(near.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m")), rows)
+        up = cut(near.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct(), rows)
+        least = cut(up.groupBy("v").agg(F.min("u").alias("m")), rows)
+        down = up.join(least, "v").where("u != m").select(F.col("u").alias("v"), F.col("m").alias("u"))
+        tied = cut(down.unionByName(least.withColumnRenamed("m", "u")).distinct(), rows)
+    return tied.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(tied.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())

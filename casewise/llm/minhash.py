@@ -7,9 +7,11 @@ full sets say so.
 
 Documents with equal sets form a class first, and go on as one. In each bucket all are compared with the smallest id
 (its hub), which finds groups of copies in a number of pairs that grows with the group and not with its square. What
-the hubs leave open, members of a bucket that are not yet in one component, is compared until nothing is open.
+the hubs leave open, members of a bucket that are not yet in one component, is compared until nothing is open. Two
+bits of each value form a sketch; pairs whose sketches differ in more values than any pair at 0.75 should (5.3
+standard deviations) are no links, so that documents that only share a passage are not fetched to be compared.
 
-With 44 bands of 5 values a pair at similarity 0.75 is missed with probability 7e-6, less above.
+With 44 bands of 5 values a pair at similarity 0.75 is missed with probability 7e-6 (by its sketch: 1e-7), less above.
 
 Null and empty texts have an empty set and no links. Fewer than five words form one shingle. Repeated doc_ids are one
 node. Very long texts are taken whole. An empty table gives no rows.
@@ -31,9 +33,11 @@ WORDS, BANDS, ROWS = 5, 44, 5
 #: A link has PART * intersection >= MIN_PART * union.
 PART, MIN_PART = 100, 75
 #: Hub rounds before all that is still open is compared.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 1
 #: Buckets of up to so many members are compared member by member.
 SMALL = 16
+#: Longs of a sketch, and the values of 220 in which sketches of a link may differ: 41 are expected at 0.75.
+SKETCH, DIFFER = 7, 72
 WORDS_KEPT = 1_000_000
 
 _WORDS: dict[bytes, int] = {}
@@ -71,8 +75,8 @@ def shingle_set(text: str | None, width: int = WORDS) -> np.ndarray:
     return np.unique(total)
 
 
-def bands_of(shingles: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band."""
+def bands_of(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One 64-bit key for each band; the sketch."""
     low = (shingles >> np.uint64(16)).astype(np.uint32)
     least = np.full(len(_MULTIPLY), 2**32 - 1, np.uint32)
     most = np.zeros(len(_MULTIPLY), np.uint32)
@@ -80,33 +84,38 @@ def bands_of(shingles: np.ndarray) -> np.ndarray:
         values = _MULTIPLY[:, None] * low[None, at : at + 2048]
         np.minimum(least, values.min(1), out=least)
         np.maximum(most, values.max(1), out=most)
-    values = np.stack([least, most], 1).ravel()[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
+    flat = np.stack([least, most], 1).ravel()[: BANDS * ROWS]
+    bits = np.zeros(64 * SKETCH, np.uint8)
+    bits[0 : 2 * len(flat) : 2], bits[1 : 2 * len(flat) : 2] = flat & 1, (flat >> 1) & 1
+    values = flat.reshape(BANDS, ROWS).astype(np.uint64)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(ROWS):
         key = mixed(key * _MIX[k] + values[:, k])
-    return key.view(np.int64)
+    return key.view(np.int64), np.packbits(bits).view(np.int64)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_hash (16 bytes; null for an empty set), bands."""
+    """doc_id, n_shingles, set_hash (16 bytes; null for an empty set), bands, sketch."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                sizes, hashes, bands = [], [], []
+                sizes, hashes, bands, sketches = [], [], [], []
                 for text in part.column(1).to_pylist():
                     shingles = shingle_set(text)
                     sizes.append(len(shingles))
                     hashes.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
-                    bands.append(bands_of(shingles) if len(shingles) else [])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_hash", "bands"])
+                    keys, sketch = bands_of(shingles) if len(shingles) else ([], [])
+                    bands.append(keys)
+                    sketches.append(sketch)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_hash", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, set_hash binary, bands array<long>, sketch array<long>")
 
 
-def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. texts: id, text."""
+def linked(pairs: DataFrame, texts: DataFrame, rows: int) -> DataFrame:
+    """The pairs (a, b), `rows` of them, whose full sets are similar enough. texts: id, text."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int | None, np.ndarray] = (None, np.array([]))
@@ -124,7 +133,7 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("_left"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("_right"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "_left", "_right")
-    return both.mapInArrow(confirm, "a long, b long")
+    return cut(both.mapInArrow(confirm, "a long, b long"), rows, 1000)
 
 
 def alike_in_size(a: str, b: str):
@@ -132,49 +141,74 @@ def alike_in_size(a: str, b: str):
     return F.least(a, b) * PART >= F.greatest(a, b) * MIN_PART
 
 
-def class_components(members: DataFrame, texts: DataFrame) -> DataFrame:
+def alike_in_sketch(a: str, b: str):
+    """The two bits of each value are compared in 32 values at a time."""
+    total = F.lit(0)
+    for k in range(SKETCH):
+        off = F.col(a)[k].bitwiseXOR(F.col(b)[k])
+        total = total + F.bit_count(off.bitwiseOR(F.shiftrightunsigned(off, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return total <= DIFFER
+
+
+def close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches leave it open that they are a link. sketches: id, sketch."""
+    one = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("_left"))
+    two = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("_right"))
+    return pairs.join(two, "b").join(one, "a").where(alike_in_sketch("_left", "_right")).select("a", "b")
+
+
+def class_components(members: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, component) of all members that similar sets join. members: key (of a bucket), id, n (its set's size)."""
-    hubs = cut(members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub")))
+    rows = members.count()
+    hubs = cut(members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub")), rows)
     pairs = members.join(hubs, "key").where((F.col("id") != F.col("hub.id")) & alike_in_size("n", "hub.n"))
-    tested = cut(pairs.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct())
-    links = cut(linked(tested, texts))
-    groups = cut(connected_components(links))
+    tested = cut(pairs.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct(), rows)
+    likely = cut(close(tested, sketches), rows)
+    links = linked(likely, texts, likely.count())
+    groups = cut(connected_components(links), rows)
+    still = members
     for turn in range(HUB_ROUNDS + 1):
-        named = cut(members.join(groups, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")))
-        split = cut(named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size"))
-        still = cut(named.join(split, "key"))
+        # what can still be open lies in buckets that were open before
+        named = cut(still.select("key", "id", "n").join(groups, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), rows)
+        split = cut(named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size"), rows)
+        still = cut(named.join(split, "key"), rows)
+        rows = still.count()
+        drawn = cut(still.join(sketches, "id"), rows)
         small = F.col("size") <= SMALL if turn < HUB_ROUNDS else F.lit(True)
         # all pairs that are open in small buckets, and at last in all
-        few = cut(still.where(small))
-        other = few.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-        cross = few.join(other, "key").where((F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & alike_in_size("n", "n2"))
-        # in a large one the next hub is the first in another order; it meets all that it isn't joined to
-        large = still.where(~small)
-        hubs = cut(large.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id"), "id", "n", "component")).alias("hub")))
-        wide = large.join(hubs, "key").where((F.col("component") != F.col("hub.component")) & alike_in_size("n", "hub.n"))
-        pairs = cross.select(F.col("id").alias("a"), F.col("id2").alias("b")).unionByName(wide.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")))
-        fresh = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-        if not fresh.isEmpty():
-            more = cut(linked(fresh, texts))
+        few = drawn.where(small)
+        other = few.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("sketch").alias("sketch2"))
+        cross = few.join(other, "key").where((F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & alike_in_size("n", "n2") & alike_in_sketch("sketch", "sketch2"))
+        pairs = cross.select(F.col("id").alias("a"), F.col("id2").alias("b"))
+        large = drawn.where(~small)
+        wide_rows = large.count() if turn < HUB_ROUNDS else 0
+        if wide_rows:
+            # in a large one the next hub is the first in another order; it meets all that it isn't joined to
+            hubs = cut(large.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id"), "id", "n", "component", "sketch")).alias("hub")), wide_rows)
+            wide = large.join(hubs.select("key", "hub.*").toDF("key", "turn", "id2", "n2", "component2", "sketch2"), "key").where((F.col("component") != F.col("component2")) & alike_in_size("n", "n2") & alike_in_sketch("sketch", "sketch2"))
+            pairs = pairs.unionByName(wide.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")))
+        fresh = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"), rows)
+        if n := fresh.count():
+            more = linked(fresh, texts, n)
             tested = tested.unionByName(fresh)
-            if not more.isEmpty():
+            if more.count():
                 links = links.unionByName(more)
-                groups = cut(connected_components(links))
-        elif hubs.isEmpty():
-            break
+                groups = cut(connected_components(links), rows)
+        if not wide_rows:
+            break  # all that was open has been compared
     return groups
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     signed = cut(signatures(docs))
-    classes = cut(signed.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    classes = cut(signed.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     in_buckets = classes.select("id", "n", F.explode("bands").alias("key"))
     crowded = cut(in_buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"))
     members = cut(in_buckets.join(crowded, "key").select("key", "id", "n"))
     wanted = cut(members.select("id").distinct())
     texts = stored(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi").dropDuplicates(["id"]))
-    groups = class_components(members, texts)
+    groups = class_components(members, classes.select("id", "sketch"), texts)
     named = cut(classes.join(groups, F.col("id") == F.col("node"), "left").select("set_hash", F.coalesce("component", "id").alias("component")))
     out = signed.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
     component = F.coalesce("component", "doc_id")
