@@ -164,8 +164,7 @@ def class_components(members: DataFrame, sketches: DataFrame, texts: DataFrame)
     pairs = members.join(hubs, "key").where((F.col("id") != F.col("hub.id")) & alike_in_size("n", "hub.n"))
     tested = cut(pairs.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct(), rows)
     likely = cut(close(tested, sketches), rows)
-    links = linked(likely, texts, likely.count())
-    groups = cut(connected_components(links), rows)
+    groups = cut(connected_components(linked(likely, texts, likely.count())), rows)
     still = members
     for turn in range(HUB_ROUNDS + 1):
         # what can still be open lies in buckets that were open before
@@ -192,8 +191,9 @@ def class_components(members: DataFrame, sketches: DataFrame, texts: DataFrame)
             more = linked(fresh, texts, n)
             tested = tested.unionByName(fresh)
             if more.count():
-                links = links.unionByName(more)
-                groups = cut(connected_components(links), rows)
+                # what is joined so far is as good as all its links
+                stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+                groups = cut(connected_components(stars.unionByName(more)), rows)
         if not wide_rows:
             break  # all that was open has been compared
     return groups

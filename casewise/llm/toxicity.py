@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,18 +87,20 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-total))
 
 
-def learn(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], width: int, counterfactual: float = COUNTERFACTUAL, lasso: float = LASSO, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and intercept by Adam on all rows. rows, pairs: numbers of features; pairs: those that go and come."""
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    which = np.fromiter((x for r in rows for x in r), np.int64, len(at))
+def learn(at: np.ndarray, which: np.ndarray, labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], width: int, counterfactual: float = COUNTERFACTUAL, lasso: float = LASSO, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Weights and intercept by Adam on all rows.
+
+    at, which: the row and the number of each feature of each row; pairs: numbers of features that go and come.
+    """
+    count = len(labels)
     moves = [(k, x, s) for k, (gone, come) in enumerate(pairs) for s, xs in ((-1.0, gone), (1.0, come)) for x in xs]
     pair_at, pair_which, pair_sign = (np.array(x) for x in zip(*moves, strict=True)) if moves else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
     weights, rate = np.zeros(width + 1), labels.mean()
     weights[-1] = np.log(rate / (1 - rate))
     first, second = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, steps + 1):
-        margin = np.bincount(at, weights[which], len(rows)) + weights[-1]
-        off = (1 / (1 + np.exp(-margin)) - labels) / len(rows)
+        margin = np.bincount(at, weights[which], count) + weights[-1]
+        off = (1 / (1 + np.exp(-margin)) - labels) / count
         slope = np.bincount(which, off[at], width + 1)
         slope[-1] = off.sum()
         if moves:
@@ -106,7 +109,7 @@ def learn(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int]
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         pace = 0.1 * min(1.0, 2 * (1 - step / (steps + 1))) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         weights -= pace * first / (1 - 0.9**step)
-        weights[:-1] = np.sign(weights[:-1]) * np.maximum(0, np.abs(weights[:-1]) - pace[:-1] * lasso / len(rows) ** 0.5)
+        weights[:-1] = np.sign(weights[:-1]) * np.maximum(0, np.abs(weights[:-1]) - pace[:-1] * lasso / count**0.5)
     return weights[:-1], float(weights[-1])
 
 
@@ -158,8 +161,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", identity: dict
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32())), pa.array(moved, kind)], ["label", "found", "moved"])
 
     training = rows.mapInArrow(keep, "label int, found array<int>, moved array<struct<gone: array<int>, come: array<int>>>").toArrow()  # `sample` rows at most
-    pairs = [(m["gone"], m["come"]) for r in training.column("moved").to_pylist() for m in r]
-    weights, bias = learn(training.column("found").to_pylist(), np.array(training.column("label").to_pylist(), float), pairs, len(names), counterfactual)
+    pairs = [(m["gone"], m["come"]) for r in training.column("moved").filter(pc.greater(pc.list_value_length(training.column("moved")), 0)).to_pylist() for m in r]
+    found = training.column("found").combine_chunks()
+    at = np.repeat(np.arange(len(found)), pc.list_value_length(found).to_numpy(zero_copy_only=False))
+    weights, bias = learn(at, found.flatten().to_numpy(), training.column("label").to_numpy().astype(float), pairs, len(names), counterfactual)
     return ToxicityModel({x: float(w) for x, w in zip(names, weights, strict=True) if w}, bias)
 
 
