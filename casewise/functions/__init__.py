@@ -35,9 +35,9 @@ def pearson(x: Column, y: Column) -> Column:
     return F.when((F.count(F.when(both, 1)) > 1) & spread, F.corr(x, y))
 
 
-def mid_rank(by: list[str], order: Column) -> Column:
-    """Average rank of ties, ascending, within `by`."""
+def mid_rank(by: list[str], value: str, descending: bool = False) -> Column:
+    """Average rank of ties within `by`."""
     from pyspark.sql.window import Window
 
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(order)) + (F.count("*").over(Window.partitionBy(*by, order)) - 1) / 2
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    return F.rank().over(Window.partitionBy(*by).orderBy(order)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2

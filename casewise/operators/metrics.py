@@ -50,7 +50,7 @@ def score_levels(df: DataFrame, label: str, score: str, by: list[str] | None = N
     if by:
         above = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
         total = Window.partitionBy(*by)
-        return levels.withColumns({"tp": F.sum("p").over(above), "fp": F.sum("n").over(above), "P": F.sum("p").over(total), "N": F.sum("n").over(total)})
+        return levels.withColumns({"tp": F.sum("p").over(above), "fp": F.sum("n").over(above), "positives": F.sum("p").over(total), "negatives": F.sum("n").over(total)})
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     borders = levels.agg(F.percentile_approx(score, [k / ranges for k in range(1, ranges)], 1000)).first()[0] or []
     part = F.lit(0)
@@ -60,23 +60,23 @@ def score_levels(df: DataFrame, label: str, score: str, by: list[str] | None = N
     sums = placed.groupBy("_part").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
     higher = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     everything = Window.partitionBy()
-    shift = sums.select("_part", F.coalesce(F.sum("_p").over(higher), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_fp"), F.sum("_p").over(everything).alias("P"), F.sum("_n").over(everything).alias("N"))
+    shift = sums.select("_part", F.coalesce(F.sum("_p").over(higher), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_fp"), F.sum("_p").over(everything).alias("positives"), F.sum("_n").over(everything).alias("negatives"))
     inside = Window.partitionBy("_part").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    return placed.withColumns({"_a": F.sum("p").over(inside), "_b": F.sum("n").over(inside)}).join(F.broadcast(shift), "_part").select(score, "p", "n", (F.col("_a") + F.col("_tp")).alias("tp"), (F.col("_b") + F.col("_fp")).alias("fp"), "P", "N")
+    return placed.withColumns({"_a": F.sum("p").over(inside), "_b": F.sum("n").over(inside)}).join(F.broadcast(shift), "_part").select(score, "p", "n", (F.col("_a") + F.col("_tp")).alias("tp"), (F.col("_b") + F.col("_fp")).alias("fp"), "positives", "negatives")
 
 
 def ranking(levels: DataFrame, by: list[str] | None = None) -> DataFrame:
     """auroc and average precision from score levels; null with one class."""
-    good = (F.max("P") > 0) & (F.max("N") > 0)
-    area = F.sum(F.col("p") * (F.col("N") - F.col("fp") + F.col("n") / 2))  # negatives below, ties by half
+    good = (F.max("positives") > 0) & (F.max("negatives") > 0)
+    area = F.sum(F.col("p") * (F.col("negatives") - F.col("fp") + F.col("n") / 2))  # negatives below, ties by half
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
-    return levels.groupBy(*(by or [])).agg(F.when(good, area / (F.max("P") * F.max("N"))).alias("auroc"), F.when(good, F.sum(F.col("p") * precision) / F.max("P")).alias("ap"))
+    return levels.groupBy(*(by or [])).agg(F.when(good, area / (F.max("positives") * F.max("negatives"))).alias("auroc"), F.when(good, F.sum(F.col("p") * precision) / F.max("positives")).alias("ap"))
 
 
 def best_threshold(levels: DataFrame, score: str) -> DataFrame:
     """The level with the largest F1, the lowest of equals; null with one class."""
-    f1 = 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("P"))
-    best = levels.where("P > 0 and N > 0").withColumn("f1", f1).agg(F.max(F.struct("f1", (-F.col(score)).alias("t"))).alias("best"))
+    f1 = 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("positives"))
+    best = levels.where("positives > 0 and negatives > 0").withColumn("f1", f1).agg(F.max(F.struct("f1", (-F.col(score)).alias("t"))).alias("best"))
     return best.select((-F.col("best.t")).alias("threshold"), F.col("best.f1").alias("f1"))
 
 

@@ -110,7 +110,7 @@ def window_faults(df: DataFrame, length: int, interval: int, horizon: int, low:
     rules = {
         "steps": (F.size("x") == length) & (F.size("mask") == length),
         "finite": F.forall("x", lambda r: F.forall(r, lambda v: v.isNull() | (~F.isnan(v) & (F.abs(v) < float("inf"))))),
-        "mask": F.forall(F.arrays_zip("x", "mask"), lambda p: F.forall(F.arrays_zip(p["x"], p["mask"]), lambda q: q["0"].isNotNull() == q["1"])),
+        "mask": F.forall(F.arrays_zip("x", "mask"), lambda p: F.forall(F.arrays_zip(p["x"], p["mask"]), lambda q: q["x"].isNotNull() == q["mask"])),
         "offset": F.col("target_ts") - F.col("final_ts") == horizon,
         "span": F.col("final_ts") - F.col("first_ts") == (length - 1) * interval,
         "labels": (F.col("y_high") == (F.col("y") > high).cast("int")) & (F.col("y_low") == (F.col("y") < low).cast("int")),

@@ -163,7 +163,7 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     from functools import reduce
 
     key = df.select(*columns)
-    ranks = reduce(lambda d, c: d.withColumn(f"_r_{c}", mid_rank([], F.col(c).asc())), columns, key)
+    ranks = reduce(lambda d, c: d.withColumn(f"_r_{c}", mid_rank([], c)), columns, key)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     one = ranks.agg(*(x for k, (a, b) in enumerate(pairs) for x in (pearson(F.col(a), F.col(b)).alias(f"p{k}"), pearson(F.col(f"_r_{a}"), F.col(f"_r_{b}")).alias(f"s{k}"))))
     rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{k}").alias("pearson"), F.col(f"s{k}").alias("spearman")) for k, (a, b) in enumerate(pairs)))

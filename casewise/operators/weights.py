@@ -45,7 +45,7 @@ def pairwise_vectors(df: DataFrame, by: list[str], run: str, item: str, value: s
 
 def contribution_stability(df: DataFrame, by: list[str], seed: str, item: str, delta: str) -> DataFrame:
     """Per item over seeds: mean, sample std, seeds with a positive delta, range of average-tie ranks."""
-    ranked = df.withColumn("_rank", mid_rank([*by, seed], F.col(delta).desc()))
+    ranked = df.withColumn("_rank", mid_rank([*by, seed], delta, True))
     return ranked.groupBy(*by, item).agg(F.avg(delta).alias("mean"), F.stddev_samp(delta).alias("std"), F.count(F.when(F.col(delta) > 0, 1)).alias("positive"), F.min("_rank").alias("rank_min"), F.max("_rank").alias("rank_max"))
 
 

@@ -69,7 +69,7 @@ def flatten_lags(df: DataFrame, features: int, lags: int, feature_major: bool =
     """df with `flat`: all steps of the first feature, then of the next (or all features of the oldest step first), static last."""
     x = F.col("x")
     order = [(l, f) for f in range(features) for l in range(lags)] if feature_major else [(l, f) for l in range(lags) for f in range(features)]
-    return df.withColumn("flat", F.concat(F.array(*(x[l][f] for l, f in order)), F.col("s")))
+    return df.withColumn("flat", F.concat(F.array(*(F.get(F.get(x, F.lit(l)), F.lit(f)) for l, f in order)), F.col("s")))
 
 
 def select_features(df: DataFrame, names: list[str], include: list[str] | None = None, exclude: list[str] | None = None) -> tuple[DataFrame, list[str]]:
