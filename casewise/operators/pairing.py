@@ -26,6 +26,16 @@ def alignment(one: DataFrame, other: DataFrame, keys: list[str], values: list[st
     return counts.join(F.broadcast(copies(one, "copies_left"))).join(F.broadcast(copies(other, "copies_right")))  # one row each
 
 
+def metadata_alignment(predictions: DataFrame, metadata: DataFrame, key: str, agree: list[str]) -> DataFrame:
+    """One row: keys that occur more than once, keys of either table that the other lacks, and rows that disagree in a column."""
+    copies = predictions.groupBy(key).count().agg(F.count(F.when(F.col("count") > 1, 1)).alias("repeated"))
+    a = predictions.select(F.col(key).alias("_k"), *(F.col(c).alias(f"_a_{c}") for c in agree))
+    both = a.join(metadata.select(key, *agree), F.col("_k") == F.col(key), "full_outer")
+    paired = F.col("_k").isNotNull() & F.col(key).isNotNull()
+    counts = both.agg(F.count(F.when(F.col("_k").isNull(), 1)).alias("uncovered"), F.count(F.when(F.col(key).isNull(), 1)).alias("unknown"), *(F.count(F.when(paired & ~F.col(f"_a_{c}").eqNullSafe(F.col(c)), 1)).alias(f"differ_{c}") for c in agree))
+    return counts.join(F.broadcast(copies))  # one row
+
+
 def paired_difference(df: DataFrame, keys: list[str], side: str, left, right, value: str) -> DataFrame:
     """keys, left, right, difference (left - right), relative % and which wins (the smaller)."""
     v = lambda s: F.max(F.when(F.col(side) == s, F.col(value)))

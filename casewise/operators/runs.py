@@ -106,3 +106,17 @@ def subset_bias(df: DataFrame, by: list[str], seed: str, observed: str, predicte
     per = df.where(F.col(observed) > above).groupBy(*by, seed).agg(F.avg(observed).alias("observed"), F.avg(predicted).alias("predicted"))
     b = F.col("predicted") - F.col("observed")
     return per.groupBy(*by).agg(F.count("*").alias("seeds"), F.avg("observed").alias("observed"), F.avg("predicted").alias("predicted"), F.avg(b).alias("bias"), F.bool_and(b < 0).alias("always_under"))
+
+
+def collect_runs(planned: DataFrame, status: DataFrame, results: DataFrame, run: list[str], state: str = "status") -> DataFrame:
+    """Planned runs with their results and an outcome: done, failed, incomplete (no results) or pending (no status).
+
+    status and results have one row for each run at most; run columns come from file paths or from the rows.
+    """
+    from casewise.operators.contracts import require_unique
+
+    for df in (planned, status, results):
+        require_unique(df, run)
+    marked = planned.join(status, run, "left").join(results.withColumn("_r", F.lit(1)), run, "left")
+    outcome = F.when(F.col(state).isNull(), "pending").when(F.col(state) == "failed", "failed").when(F.col("_r").isNull(), "incomplete").otherwise("done")
+    return marked.withColumn("outcome", outcome).drop("_r")

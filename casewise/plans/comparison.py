@@ -103,6 +103,15 @@ def a14_learning_curve(spark, d):
     return r9(runt(spark, d).groupBy("model", "seed").agg(F.avg("case_mae").alias("mean"), F.stddev_samp("case_mae").alias("std")))
 
 
+@query("SELECT c AS condition, m AS model, CASE WHEN n IS NULL THEN 'pending' WHEN n % 3 = 0 THEN 'failed' WHEN m = 'P' THEN 'incomplete' ELSE 'done' END AS outcome, CASE WHEN m <> 'P' THEN round(e, 9) END AS error FROM (VALUES ('1-URGENT'), ('2-HIGH'), ('6-NONE')) a(c), (VALUES ('F'), ('P')) b(m) LEFT JOIN (SELECT condition, model, CAST(sum(cases) AS BIGINT) AS n, avg(case_mae) AS e FROM runt GROUP BY 1, 2) r ON r.condition = c AND r.model = m")
+def a15_run_collection(spark, d):
+    planned = spark.createDataFrame([(c, m) for c in ("1-URGENT", "2-HIGH", "6-NONE") for m in ("F", "P")], "condition string, model string")
+    r = runt(spark, d).groupBy("condition", "model").agg(F.sum("cases").alias("n"), F.avg("case_mae").alias("error"))
+    status = r.select("condition", "model", F.when(F.col("n") % 3 == 0, "failed").otherwise("finished").alias("status"))
+    found = runs.collect_runs(planned, status, r.where("model != 'P'").select("condition", "model", "error"), ["condition", "model"])
+    return r9(found.select("condition", "model", "outcome", "error"))
+
+
 @query("SELECT condition, round(avg(difference), 9) AS mean, round(stddev_samp(difference), 9) AS std, count(*) FILTER (WHERE difference < 0) AS improved, arg_min(seed, difference) AS best_seed, arg_max(seed, difference) AS worst_seed FROM pairf GROUP BY 1")
 def a16_across_seeds(spark, d):
     return r9(runs.across_seeds(pairf(spark, d).withColumn("direction", F.lit(-1)), ["condition"], "seed", "difference", "direction"))

@@ -279,10 +279,10 @@ def _align(p, other):
     return out.withColumns({"missing_left": F.col("missing_left") + both, "missing_right": F.col("missing_right") + both})
 
 
-@query("SELECT count(*) AS unmatched FROM labels l ANTI JOIN (SELECT * FROM documents WHERE lang = 'en') d ON d.doc_id = l.doc_id")
+@query("SELECT (SELECT count(*) FROM documents d ANTI JOIN labels l USING (doc_id)) AS uncovered, 0::BIGINT AS unknown, (SELECT count(*) FROM labels l JOIN documents d USING (doc_id) WHERE l.quality <> CAST(d.lang = 'en' AS INT)) AS differ_quality, 0::BIGINT AS repeated")
 def j4_prediction_metadata(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en'").select("doc_id")
-    return table(spark, d, "labels").join(docs, "doc_id", "left_anti").agg(F.count("*").alias("unmatched"))
+    docs = table(spark, d, "documents").select("doc_id", (F.col("lang") == "en").cast("int").alias("quality"))
+    return pairing.metadata_alignment(table(spark, d, "labels"), docs, "doc_id", ["quality"])
 
 
 CTE["pairf"] = "pairf AS (SELECT a.condition, a.seed, a.case_mae AS \"left\", b.case_mae AS \"right\", a.case_mae - b.case_mae AS difference FROM runt a JOIN runt b ON a.condition = b.condition AND a.seed = b.seed AND a.model = 'F' AND b.model = 'O')"
