@@ -7,7 +7,7 @@ from its start, so that what follows an edit in other paragraphs keeps its piece
 these estimates how much of two multisets is the same, within about 0.06. Sums can be updated: `combine` adds or
 takes away the paragraphs of another fingerprint without the text.
 
-A null text counts as empty: one empty paragraph. Equal texts have equal fingerprints. Very long texts are taken
+A null text counts as empty: one empty paragraph. Rows without a doc_id have no place in the order and are left out. Equal texts have equal fingerprints. Very long texts are taken
 whole; signs would wrap only beyond 32,767 more of one than the other. Repeated rows each have their fingerprint. An
 empty table gives no rows.
 """

@@ -69,6 +69,17 @@ def op6_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+OP6_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS i, b.vec_id AS j FROM usable a JOIN usable b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS i, vec_id AS j FROM embeddings UNION SELECT r.i, l.j FROM reach r JOIN link l ON l.i = r.j)
+SELECT vec_id, (SELECT count(*) FROM link WHERE link.i = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM (SELECT i AS vec_id, min(j) AS component_id FROM reach GROUP BY 1)
+"""
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casewise.llm.fingerprints import next_fingerprints
 
@@ -88,6 +99,21 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+OP9_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM words WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY 1),
+link AS (
+  SELECT i, j FROM (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS both_ FROM shingle a JOIN shingle b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2)
+  JOIN size x ON x.doc_id = i JOIN size y ON y.doc_id = j WHERE 100 * both_ >= 75 * (x.n + y.n - both_)),
+reach AS (SELECT doc_id AS i, doc_id AS j FROM documents UNION SELECT r.i, l.j FROM reach r JOIN link l ON l.i = r.j)
+SELECT c.doc_id, coalesce(n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept
+FROM (SELECT i AS doc_id, min(j) AS component_id FROM reach GROUP BY 1) c LEFT JOIN size USING (doc_id)
+"""
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casewise.llm.secretscan import scan
 
@@ -100,4 +126,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op6_vector_near_dedup": OP6_SQL, "op9_minhash_near_dedup": OP9_SQL}
