@@ -74,7 +74,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def sig(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    return e.groupBy(F.col("user_id").alias("caseid"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long").alias("time_sec")).agg(F.max("value").alias("bis"), F.max(F.get_json_object("props", "$.k").cast("double")).alias("aux"), F.max("event_type").alias("kind"))
+    return e.groupBy(F.col("user_id").alias("caseid"), F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("time_sec")).agg(F.max("value").alias("bis"), F.max(F.get_json_object("props", "$.k").cast("double")).alias("aux"), F.max("event_type").alias("kind"))
 
 
 def holes(spark: SparkSession, d: str) -> DataFrame:
