@@ -38,7 +38,7 @@ HUB_ROUNDS = 1
 SMALL = 16
 #: Longs of a sketch, and the values of 220 in which sketches of a link may differ: 52 are expected at 0.75.
 SKETCH, DIFFER = 14, 81
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 600_000
 
 _WORDS: dict[bytes, int] = {}
 _MULTIPLY = np.random.default_rng(5).integers(1, 2**32, (BANDS * ROWS + 1) // 2, dtype=np.uint32) | np.uint32(1)

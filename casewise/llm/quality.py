@@ -28,7 +28,7 @@ from casewise.llm.common import cut, hash_limit, held_out
 KEYS, WIDTH, NONZERO, AROUND = 2**14, 32, 4, 2
 #: Labelled rows that a fit takes at most, part of them for the temperature, hidden units, passes, and rows in a step.
 SAMPLE, CALIBRATION, HIDDEN, PASSES, STEP = 20_000, 0.2, 32, 40, 256
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 600_000
 
 _KEYS: dict[bytes, int] = {}
 

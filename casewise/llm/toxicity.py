@@ -29,7 +29,8 @@ from casewise.llm.common import cut, hash_limit, held_out
 SAMPLE, FEATURES, LEAST = 20_000, 4096, 3
 #: Weights of the counterfactual penalty and of the penalty on absolute weights (over the root of the rows); steps of the fit.
 COUNTERFACTUAL, LASSO, STEPS = 10.0, 0.03, 400
-WORDS_KEPT = 1_000_000
+#: Words that a worker keeps: with their features while it learns, with their weights while it scores.
+LEARNT_KEPT, WORDS_KEPT = 200_000, 500_000
 #: Names of groups that are swapped for each other.
 IDENTITY = {
     "religion": ["muslim", "christian", "jewish", "hindu", "buddhist", "catholic", "atheist", "musulman", "chrétien", "juif", "christ", "jude", "musulmán", "cristiano", "judío"],
@@ -57,7 +58,7 @@ _FEATURES: dict[bytes, tuple[int, ...]] = {}
 
 def features(text: str) -> set[int]:
     words = set(text.encode("utf-8", "surrogatepass").lower().split())
-    if len(_FEATURES) > WORDS_KEPT:
+    if len(_FEATURES) > LEARNT_KEPT:
         _FEATURES.clear()
     for w in words:
         if w not in _FEATURES:
