@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casewise import plans
-from casewise.functions import region
 from casewise.operators import bootstrap as bs
 from casewise.operators import cohort, episodes, metrics, pairing, runs, select, splits, weights
-from casewise.plans.evaluation import ct, pairf, parts, refp, splitted
+from casewise.plans.evaluation import pairf, parts, refp, splitted
 from casewise.plans.queries import AHEAD, CTE, DAY, DRAW, LENGTH, QUERIES, SQL, R, cells, grid, pred, query, rounded, runt, sig, table, wins, wts
 
 __all__ = ["QUERIES", "SQL"]

@@ -3,13 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from casewise import plans
-from casewise.functions import draw, region
-from casewise.operators import bootstrap as bs
-from casewise.operators import clean, cohort, contracts, episodes, metrics, pairing, prep, runs, select, splits, weights
-from casewise.plans.queries import AHEAD, CTE, DAY, DRAW, LENGTH, QUERIES, SQL, R, cells, demographics, grid, holes, marked, pred, query, rounded, runt, sig, table, wins, wts
+from casewise.operators import clean, contracts, metrics, pairing, prep, splits
+from casewise.plans.queries import AHEAD, CTE, DAY, DRAW, LENGTH, QUERIES, SQL, R, grid, holes, pred, query, rounded, runt, sig, table, wins, wts
 
 __all__ = ["QUERIES", "SQL"]
 
