@@ -162,50 +162,77 @@ def fillings(room: int, sizes: list[int], counts: Counter, nodes: int, want: int
     """(waste, lengths): up to `want` undominated fillings of `room`, least waste first.
 
     Depth first from the largest length that fits, so the first one is the best-fit one. A filling to which a length
-    could still be added is dominated and never kept; a branch that cannot waste less than the worst kept is cut.
+    with pieces left could still be added is dominated and never kept. Where `nodes` end before the first filling, it
+    is completed by best fit.
     """
     found: list[tuple[int, tuple[int, ...]]] = []
-    least = sizes[0] if sizes else room + 1
+    used: Counter = Counter()
     left = nodes
 
+    def full(room: int) -> bool:
+        for s in sizes:
+            if s > room:
+                return True
+            if counts[s] > used[s]:
+                return False
+        return True
+
     def go(room: int, top: int, chosen: tuple[int, ...]) -> bool:
         nonlocal left
-        at = bisect_right(sizes, min(top, room)) - 1
-        if at < 0 or room < least:
-            if not any(counts[s] > chosen.count(s) for s in sizes[: bisect_right(sizes, room)]):
-                found.append((room, chosen))
-                found.sort(key=lambda x: (x[0], len(x[1])))
-                del found[want:]
+        if full(room):
+            found.append((room, chosen))
+            found.sort(key=lambda x: (x[0], len(x[1])))
+            del found[want:]
             return len(found) == want and found[-1][0] == 0
+        at = bisect_right(sizes, min(top, room)) - 1
         while at >= 0 and left > 0:
             s = sizes[at]
             at -= 1
-            if counts[s] <= chosen.count(s):
+            if counts[s] <= used[s]:
                 continue
             left -= 1
-            if go(room - s, s, (*chosen, s)):
-                return True
-            if len(found) == want and found[-1][0] == 0:
+            used[s] += 1
+            done = go(room - s, s, (*chosen, s))
+            used[s] -= 1
+            if done:
                 return True
         return left <= 0
 
     go(room, room, ())
-    return found or [(room, ())]
+    if not found:
+        chosen: tuple[int, ...] = ()
+        for s in reversed(sizes):
+            more = min(room // s, counts[s])
+            chosen += (s,) * more
+            room -= more * s
+        found.append((room, chosen))
+    return found
 
 
 def complete(counts: dict[int, int], capacity: int, most: int, nodes: int, budget: int) -> list[tuple[tuple[int, ...], int]] | None:
     """Patterns with the number of their uses that need fewer than `most` sequences, or None if the search ends without.
 
-    Depth first: the longest piece left, its fillings by waste, each used as often as the counts allow. A branch is
-    cut once its waste exceeds what `most - 1` sequences leave over. `budget` bounds the patterns that are tried.
+    Depth first: the longest piece left, its fillings by waste, each used as often as the counts allow, then half as
+    often, down to once. A branch is cut once its waste exceeds what `most - 1` sequences leave over. `budget` bounds
+    the patterns that are tried; the search starts with few fillings of a piece and goes on with more.
     """
-    total = sum(k * n for k, n in counts.items())
-    spare = (most - 1) * capacity - total
+    for want, share in ((3, 2), (12, 2), (48, 1)):
+        plan, tried = _complete(counts, capacity, most, nodes, budget // share, want)
+        if plan is not None:
+            return plan
+        budget -= tried
+    return None
+
+
+def _complete(counts: dict[int, int], capacity: int, most: int, nodes: int, budget: int, want: int) -> tuple[list[tuple[tuple[int, ...], int]] | None, int]:
+    """The plan or None, and how many patterns were tried."""
+    rest = sum(k * n for k, n in counts.items())
+    spare = (most - 1) * capacity - rest
     state = Counter({k: n for k, n in counts.items() if n})
     sizes = sorted(state)
     plan: list[tuple[tuple[int, ...], int]] = []
-    stack: list[tuple[int, list[tuple[int, tuple[int, ...]]]]] = []
-    want = 3
+    stack: list[tuple[int, list[tuple[int, tuple[int, ...], int]]]] = []
+    waste = tried = 0
 
     def use(pattern: tuple[int, ...], times: int) -> None:
         for k, m in Counter(pattern).items():
@@ -215,39 +242,42 @@ def complete(counts: dict[int, int], capacity: int, most: int, nodes: int, budge
             elif not was:
                 sizes.insert(bisect_right(sizes, k), k)
 
-    waste = 0
-    while sizes:
+    def choices() -> Iterator[tuple[int, tuple[int, ...], int]]:
+        if rest <= capacity:
+            yield capacity - rest, tuple(k for k in reversed(sizes) for _ in range(state[k])), 1
+            return
         longest = sizes[-1]
         state[longest] -= 1
-        options = fillings(capacity - longest, [s for s in sizes if s <= capacity - longest], state, nodes, want)
+        found = fillings(capacity - longest, sizes[: bisect_right(sizes, capacity - longest)], state, nodes, want)
         state[longest] += 1
-        last = sum(k * n for k, n in state.items() if n) <= capacity
-        stack.append((waste, [(w, (longest, *f)) for w, f in options][::-1]))
-        while stack:
-            waste, options = stack[-1]
-            if options:
-                w, pattern = options.pop()
-                times = min(state[k] // m for k, m in Counter(pattern).items())
-                if waste + (0 if last else w * times) <= spare:
-                    break
-                times = 0 if not w else min(times, int((spare - waste) // w))
-                if times:
-                    break
-            else:
-                stack.pop()
-                if not stack:
-                    return None
-                use(*(lambda p: (p[0], -p[1]))(plan.pop()))
-                last = False
-        budget -= 1
-        if budget < 0:
-            return None
+        for w, filling in found:
+            pattern = (longest, *filling)
+            times = min(state[k] // m for k, m in Counter(pattern).items())
+            times = min(times, (spare - waste) // w) if w else times
+            if times:
+                yield w, pattern, times
+
+    while sizes:
+        stack.append((waste, list(choices())[::-1]))
+        while not stack[-1][1]:
+            stack.pop()
+            if not stack:
+                return None, tried
+            pattern, times = plan.pop()
+            use(pattern, -times)
+            rest += sum(pattern) * times
+        if tried >= budget:
+            return None, tried
+        tried += 1
+        waste, options = stack[-1]
+        w, pattern, times = options.pop()
+        if times > 1:
+            options.insert(0, (w, pattern, times // 2))
         use(pattern, times)
         plan.append((pattern, times))
+        rest -= sum(pattern) * times
         waste += w * times
-        if not last and waste > spare:
-            return None
-    return plan
+    return (plan, tried) if sum(t for _, t in plan) < most else (None, tried)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

@@ -114,6 +114,19 @@ def test_bin_completion_is_near_the_optimum():
     assert sum(t for _, t in packing.pack_histogram(Counter([6, 5, 5, 4, 4, 3, 3]), 10)) == 3
 
 
+def test_fillings_are_kept_where_the_next_length_is_used_up():
+    assert packing.fillings(7, [3], Counter({5: 0, 3: 1}), 400, 3) == [(4, (3,))]
+
+
+@pytest.mark.parametrize(("capacity", "items", "want"), [(50, [27, 17, 15, 14, 13, 9, 1], 2), (30, [20, 20, 15, 15, 14, 8, 7, 7, 5, 5, 1], 4), (30, [18, 18, 13, 12, 12, 12, 10, 8, 7, 6, 1], 4)])
+def test_bin_completion_beats_best_fit_with_slack(capacity, items, want):
+    counts = Counter(items)
+    assert sum(items) < want * capacity and sum(t for _, t in packing.best_fit(counts, capacity)) == want + 1
+    plan = packing.pack_histogram(counts, capacity)
+    assert sum(t for _, t in plan) == want == fewest(sorted(items, reverse=True), capacity)
+    assert Counter(k for p, t in plan for k in p for _ in range(t)) == counts and all(sum(p) <= capacity for p, _ in plan)
+
+
 def test_sharding_balances_bytes_and_numbers_slots(docs, texts, spark):
     rows = sharding.shard_documents(docs, 4).collect()
     assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
