@@ -115,9 +115,9 @@ FROM (SELECT i AS doc_id, min(j) AS component_id FROM reach GROUP BY 1) c LEFT J
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from casewise.llm.secretscan import scan
+    from casewise.llm.secretscan import scan_places
 
-    found = scan(read(spark, sf_dir, "documents"))
+    found = scan_places(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", F.char_length("candidate").alias("length"), F.crc32(F.col("candidate").cast("binary")).alias("candidate_crc32"), held_out(F.col("doc_id")).alias("held_out"), F.col("label").cast("int").alias("rule_label"), F.round("score", 6).alias("score"), "secret")
 
 

@@ -7,9 +7,10 @@ beside it. The forest learns them from labelled findings; where none are given,
 beyond doubt: well-known key formats and values assigned to a secret's name on one side, plain words, plain numbers
 and stated placeholders on the other. What the rules leave open is decided by the forest.
 
-A finding is a document's candidate; repeats in the document count as one, at the first place. Null and empty texts
-have none. Texts are scanned whole. Rows with the same doc_id and text give the same finding once. An empty table, or
-one without labelled findings of both kinds, gives findings with a null score and the rules' own answer.
+A finding is a place of a candidate in a document; each place has its own offset, neighbours and score. `scan` gives
+one place, the likeliest, for each candidate of a document. Null and empty texts have none. Texts are scanned whole.
+Rows with the same doc_id and text give the same finding once. An empty table, or one without labelled findings of
+both kinds, gives findings with a null score and the rules' own answer.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from casewise.llm.common import cut, hash_limit, held_out
 CANDIDATE = r"(?<![\p{L}\p{N}+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}(?!\p{L})"
 #: Characters before and after a candidate that count as beside it; words of the dictionary; trees and their depth; labelled findings that a fit takes at most.
 BESIDE, DICTIONARY, TREES, DEPTH, SAMPLE = 40, 400, 20, 6, 20_000
+#: Candidates whose lengths are summed at a time.
+BLOCK = 256
 #: Words beside a candidate.
 SECRET_WORDS = "password|passwd|pwd|token|secret|api.?key|access.?key|auth|bearer|credential|private"
 HASH_WORDS = "sha1|sha256|md5|commit|checksum|digest|uuid|revision|etag"
@@ -41,15 +44,40 @@ def dictionary(docs: DataFrame, words: int = DICTIONARY) -> list[str]:
     return [r[0] for r in found.groupBy("word").count().orderBy(F.desc("count"), "word").limit(words).collect()]
 
 
+def running(lengths: Column) -> Column:
+    """0 and the sums of the first 1, 2, ... of `lengths`."""
+    return F.aggregate(lengths, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
+
 def findings(docs: DataFrame) -> DataFrame:
-    """doc_id, candidate, start (from 0), before and after."""
-    text = F.col("text")
-    each = docs.where(text.isNotNull()).select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(CANDIDATE), 0))).alias("candidate"))
-    start = F.instr(text, F.col("candidate")) - 1
-    placed = each.withColumn("start", start)
-    before = F.substring(text, F.greatest(F.lit(1), F.col("start") + 1 - BESIDE), F.least(F.lit(BESIDE), F.col("start")))
-    after = F.substring(text, F.col("start") + 1 + F.char_length("candidate"), F.lit(BESIDE))
-    return placed.select("doc_id", "candidate", "start", F.lower(before).alias("before"), F.lower(after).alias("after")).dropDuplicates(["doc_id", "candidate"])
+    """doc_id, candidate, start (from 0), before and after: every place of a candidate.
+
+    The text is split by the pattern, so that offsets are running lengths of gaps and candidates. These are summed
+    in blocks, since each step of a running sum copies what it has.
+    """
+    pattern = F.lit(CANDIDATE)
+    parts = docs.where(F.col("text").rlike(CANDIDATE)).select("doc_id", F.regexp_extract_all("text", pattern, 0).alias("c"), F.split("text", CANDIDATE, -1).alias("g"))
+    steps = F.zip_with("c", F.slice("g", 2, F.size("c")), lambda c, g: F.char_length(c) + F.char_length(g))
+    parts = parts.withColumn("steps", steps)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("c") - 1) / BLOCK).cast("int")), lambda k: F.slice("steps", k * BLOCK + 1, BLOCK))
+    parts = parts.withColumn("blocks", blocks)
+    before_block = F.slice(running(F.transform("blocks", lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))), 1, F.size("blocks"))
+    offsets = F.flatten(F.zip_with("blocks", before_block, lambda b, at: F.transform(F.slice(running(b), 1, F.size(b)), lambda x: x + at)))
+    parts = parts.withColumn("offsets", offsets)
+
+    def text(k: Column, after: bool = False) -> Column:
+        """The k-th candidate with the gap before or after it; empty outside the document."""
+        gap, own = F.coalesce(F.get("g", k + int(after)), F.lit("")), F.coalesce(F.get("c", k), F.lit(""))
+        return F.concat(own, gap) if after else F.concat(gap, own)
+
+    def place(candidate: Column, k: Column) -> Column:
+        # a candidate has at least 16 characters, so that three of them are more than BESIDE
+        before = F.right(F.concat(text(k - 3), text(k - 2), text(k - 1), F.get("g", k)), F.lit(BESIDE))
+        after = F.left(F.concat(F.get("g", k + 1), text(k + 1, True), text(k + 2, True), text(k + 3, True)), F.lit(BESIDE))
+        start = F.char_length(F.get("g", F.lit(0))) + F.get("offsets", k)
+        return F.struct(candidate.alias("candidate"), start.alias("start"), F.lower(before).alias("before"), F.lower(after).alias("after"))
+
+    return parts.select("doc_id", F.inline(F.transform("c", place))).distinct()
 
 
 def featured(found: DataFrame, words: list[str]) -> DataFrame:
@@ -104,7 +132,14 @@ def train(labelled: DataFrame, most: int = SAMPLE, seed: int = 7) -> RandomFores
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, words: list[str] | None = None) -> DataFrame:
-    """doc_id, candidate, start, before, after, the features, label (the rules' answer or null), score, secret."""
+    """scan_places() with the likeliest place, the first of equals, for each candidate of a document."""
+    found = scan_places(docs, labelled, words)
+    rank = F.struct(F.col("secret"), F.coalesce("score", F.lit(-1.0)), -F.col("start"), F.col("before"), F.col("after"))
+    return found.groupBy("doc_id", "candidate").agg(F.max_by(F.struct(*found.columns), rank).alias("_best")).select("_best.*")
+
+
+def scan_places(docs: DataFrame, labelled: DataFrame | None = None, words: list[str] | None = None) -> DataFrame:
+    """doc_id, candidate, start, before, after, the features, label (the rules' answer or null), score, secret: a row for every place."""
     docs = docs.select("doc_id", "text")
     rows = cut(rule_labels(featured(findings(docs), dictionary(docs) if words is None else words)))
     model = train(rows.where(~held_out(F.col("doc_id"))) if labelled is None else labelled)

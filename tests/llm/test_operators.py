@@ -382,6 +382,20 @@ def test_secret_scan(spark):
     assert texts and secretscan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_secret_scan_keeps_every_place(spark):
+    r = random.Random(7)
+    key = "".join(r.choice("0123456789abcdef") for _ in range(40))
+    tail = "".join(r.choice("ABCDEFGHabcdefgh01234567") for _ in range(16)) + "=="
+    rows = [(1, f"é sees {key} there\nthen token = \"{key}\" end"), (2, f"long {key}xyz0 first, then {key}."), (3, f"{tail * 7} x"), (4, " ".join([key] * 700)), (5, "nothing"), (6, None)]
+    frame = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")
+    pattern = re.compile(r"(?<![^\W_]|[+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}(?![^\W\d_])")
+    want = sorted((k, m.start(), m[0], t[max(0, m.start() - 40) : m.start()].lower(), t[m.end() : m.end() + 40].lower()) for k, t in rows for m in pattern.finditer(t or ""))
+    got = secretscan.findings(frame).select("doc_id", "start", "candidate", "before", "after").collect()
+    assert sorted(map(tuple, got)) == want and Counter(x[0] for x in want) == {1: 2, 2: 2, 3: 7, 4: 700}
+    placed = {(f.doc_id, f.start): f.label for f in secretscan.scan_places(frame).collect()}
+    assert len(placed) == len(want) and [placed[1, x[1]] for x in want if x[0] == 1] == [None, 1.0]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
