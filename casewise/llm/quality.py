@@ -1,7 +1,6 @@
 """Operator 8, quality: random-indexing word vectors, pooled per document, under a two-layer network.
 
-Each word has a key (itself if it is short, else its last characters), each key a fixed sparse random vector, its
-index vector. A key's word vector is the sum of the index vectors around its words, over all documents. A document is
+Each word has a key, a hash of the whole word, and each key a fixed sparse random vector, its index vector. A key's word vector is the sum of the index vectors around its words, over all documents. A document is
 the mean of its words' unit vectors, the mean of their squares and the mean of the products of neighbours. The network
 (one hidden layer, numpy, Adam) is fitted to a bounded sample of labelled rows; a part of that sample, not used for
 the weights, sets the temperature that calibrates its probabilities.
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from casewise.llm.common import cut, hash_limit, held_out
 
 #: Keys (a power of two; key 0 stands between documents), numbers in a vector, non-zero ones in an index vector, words on each side.
-KEYS, WIDTH, NONZERO, AROUND = 2**14, 32, 4, 2
+KEYS, WIDTH, NONZERO, AROUND = 2**16, 32, 4, 2
 #: Labelled rows that a fit takes at most, part of them for the temperature, hidden units, passes, and rows in a step.
 SAMPLE, CALIBRATION, HIDDEN, PASSES, STEP = 20_000, 0.2, 32, 40, 256
 WORDS_KEPT = 600_000
@@ -49,7 +48,7 @@ def keys_of(text: str) -> list[int]:
     kept = _KEYS
     for w in words:
         if w not in kept:
-            kept[w] = 1 + xxhash.xxh3_64_intdigest(w if len(w) <= 4 else b"~" + w[-3:]) % (KEYS - 1)
+            kept[w] = 1 + xxhash.xxh3_64_intdigest(w) % (KEYS - 1)
     return [kept[w] for w in words]
 
 

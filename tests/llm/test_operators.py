@@ -361,6 +361,17 @@ def test_quality(spark):
     assert quality.quality(docs, labels.limit(0)).agg({"score": "max"}).first()[0] == 0
 
 
+def test_quality_learns_words_that_share_an_ending(spark):
+    r = random.Random(12)
+    filler, fine, poor = ([f"{a}{b}ation" for a in x for b in ("ran", "sto", "vik", "zul")] for x in (("ka", "lo", "mi"), ("ne", "pu"), ("ru", "sy")))
+    rows = [(k, " ".join(r.choice(filler if r.random() < 0.6 else (poor if k % 2 else fine)) for _ in range(40))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 2 == 0)) for k, _ in rows], "doc_id long, quality int")
+    held = [x for x in quality.quality(docs, labels).collect() if x.held_out]
+    assert len(set(quality.keys_of("kation lotion mination"))) == 3
+    assert len(held) > 40 and sum(x.predicted == (x.doc_id % 2 == 0) for x in held) / len(held) > 0.95
+
+
 def test_secret_scan(spark):
     r = random.Random(6)
     rows = []
