@@ -98,11 +98,35 @@ def standardized_difference(df: DataFrame, value: str, group: str, one: str, oth
     return s.select((F.col("a") - F.col("b")).alias("difference"), F.when(F.col("s") > 0, (F.col("a") - F.col("b")) / F.col("s")).otherwise(0.0).alias("smd"))
 
 
-def acceptance(balance: DataFrame, coverage: DataFrame, split: str = "split", cases: int = 10, events: int = 2, top2: float = 0.5) -> DataFrame:
-    """One row for each split with its checks."""
+def target_differences(df: DataFrame, y: str = "y", split: str = "split", train: str = "train", low: float = 40, high: float = 60) -> DataFrame:
+    """For each split but `train`: its differences to it of the shares of high and low targets, and the standardised one of their means."""
+    v = F.col(y)
+    each = df.where(v.isNotNull()).groupBy(split).agg(F.avg((v > high).cast("double")).alias("high"), F.avg((v < low).cast("double")).alias("low"), F.avg(v).alias("mean"), F.var_pop(v).alias("var"))
+    own = each.where(F.col(split) == train).select(*(F.col(c).alias(f"_{c}") for c in ("high", "low", "mean", "var")))
+    s = F.sqrt((F.col("_var") + F.col("var")) / 2)
+    smd = F.when(s > 0, (F.col("_mean") - F.col("mean")) / s).otherwise(0.0)
+    return each.where(F.col(split) != train).crossJoin(F.broadcast(own)).select(split, (F.col("_high") - F.col("high")).alias("high_difference"), (F.col("_low") - F.col("low")).alias("low_difference"), smd.alias("smd"))
+
+
+def acceptance(balance: DataFrame, coverage: DataFrame, split: str = "split", cases: int = 10, events: int = 2, top2: float = 0.5, differences: DataFrame | None = None, drift: DataFrame | None = None, prevalence: float = 0.1, smd: float = 0.5) -> DataFrame:
+    """One row for each split with its checks.
+
+    differences: target_differences(), which the training split, having none, passes. drift: drift_audit(); a feature
+    much missing in any split fails all. Without them `accepted` does not cover their rules.
+    """
     both = balance.join(coverage.drop("cases"), split)
     checks = {"enough_cases": F.col("cases") >= cases, "enough_events": F.least("high_cases", "low_cases") >= events, "not_dominated": F.col("top2") < top2}
-    return both.select(split, *(v.alias(k) for k, v in checks.items()), (checks["enough_cases"] & checks["enough_events"] & checks["not_dominated"]).alias("accepted"))
+    if differences is not None:
+        both = both.join(differences, split, "left")
+        near = (F.abs("high_difference") <= prevalence) & (F.abs("low_difference") <= prevalence) & (F.abs("smd") <= smd)
+        checks["targets_alike"] = F.coalesce(near, F.lit(True))
+    if drift is not None:
+        both = both.crossJoin(F.broadcast(drift.agg(F.coalesce(F.max("much_missing"), F.lit(False)).alias("_missing"))))
+        checks["features_available"] = ~F.col("_missing")
+    accepted = F.lit(True)
+    for c in checks.values():
+        accepted = accepted & c
+    return both.select(split, *(v.alias(k) for k, v in checks.items()), accepted.alias("accepted"))
 
 
 def window_faults(df: DataFrame, length: int, interval: int, horizon: int, low: float = 40, high: float = 60) -> DataFrame:

@@ -287,3 +287,18 @@ def test_window_dataset_scales_inputs_and_not_targets(spark):
     w, s = plans.window_dataset(grid, ["bis"], "bis", 6, 10, 30)
     assert w.select("split").distinct().count() == 3 and w.agg(F.min("y")).first()[0] > 45
     assert abs(w.where("split = 'train'").select(F.avg(F.element_at("x", 1)[0])).first()[0]) < 0.5 and s.count() == 1
+
+
+def test_acceptance_refuses_shifted_targets_and_missing_features(spark):
+    from casewise.operators import prep
+
+    rows = [(s, c, t, float(y), None if s == "val" and t < 3 else 1.0) for s in ("train", "val", "test") for c in range(12) for t, y in enumerate([30, 50, 50, 50, 70, 70, 70, 70] if s == "test" else [30, 30, 50, 50, 50, 50, 70, 70])]
+    df = spark.createDataFrame(rows, "split string, case_id long, target_ts long, y double, f double")
+    cases = prep.case_targets(df)
+    balance, coverage, differences = prep.split_balance(cases), prep.event_coverage(cases), prep.target_differences(df)
+    assert {r["split"]: (r.high_difference, r.low_difference) for r in differences.collect()} == {"val": (0, 0), "test": (-0.25, 0.125)}
+    got = {r["split"]: r for r in prep.acceptance(balance, coverage, differences=differences).collect()}
+    assert {k: r.accepted for k, r in got.items()} == {"train": True, "val": True, "test": False} and got["test"].not_dominated
+    ranges = spark.createDataFrame([("f", 1.0, 1.0)], "feature string, train_min double, train_max double")
+    drift = prep.drift_audit(df, ["f"], prep.fit_scaling(df.where("split = 'train'"), ["f"]), ranges, case="case_id")
+    assert not any(r.accepted or r.features_available for r in prep.acceptance(balance, coverage, drift=drift).collect())
