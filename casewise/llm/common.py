@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,10 +18,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder spark.checkpoint.dir names; only where the session has none (tests, local runs) a temporary one."""
+    """The folder spark.checkpoint.dir names; only where a local session has none (tests) a temporary one."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -40,6 +46,39 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """name, with underscores before it until no column of the frames is called so (names are taken without case)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """left with the columns of right (but `rows`) that have the same keys, null where there are none.
+
+    right holds each key once and in `rows` how many rows of left have it. Keys of more than a thousandth of all rows,
+    of which there are fewer than 1000, are met by broadcast; rows with these or with a null key are dealt evenly and
+    meet nothing in the join of the others, so that no key is a task of its own. right is read more than once.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    hot_rows = F.col(rows) > max(1000, total // 1000)
+    more = [c for c in right.columns if c not in (*keys, rows)]
+    hot = right.where(hot_rows).select(*keys, F.struct(*more).alias("_hot"))
+    rest = right.where(~hot_rows).select(*(F.col(k).alias(f"_{n}") for n, k in enumerate(keys)), F.lit(0).cast("long").alias("_rest"), F.struct(*more).alias("_found"))
+    met = left.join(F.broadcast(hot), keys, "left")
+    done = F.col("_hot").isNotNull()
+    for k in keys:
+        done = done | F.col(k).isNull()
+    met = met.withColumn("_salt", F.when(done, F.shiftleft(F.xxhash64(*left.columns), 1).bitwiseOR(F.lit(1))).otherwise(F.lit(0)))
+    same = F.col("_salt") == F.col("_rest")
+    for n, k in enumerate(keys):
+        met = met.withColumn(f"_key{n}", F.when(~done, F.col(k)))
+        same = same & (F.col(f"_key{n}") == F.col(f"_{n}"))
+    both = met.join(rest, same, "left")
+    return both.select(*(F.col(c) for c in left.columns), *(F.coalesce(F.col("_hot")[c], F.col("_found")[c]).alias(c) for c in more))
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
