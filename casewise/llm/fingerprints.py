@@ -7,9 +7,10 @@ from its start, so that what follows an edit in other paragraphs keeps its piece
 these estimates how much of two multisets is the same, within about 0.06. Sums can be updated: `combine` adds or
 takes away the paragraphs of another fingerprint without the text.
 
-A null text counts as empty: one empty paragraph. Rows without a doc_id have no place in the order and are left out. Equal texts have equal fingerprints. Very long texts are taken
-whole; signs would wrap only beyond 32,767 more of one than the other. Repeated rows each have their fingerprint. An
-empty table gives no rows.
+A null text counts as empty: one empty paragraph. Rows without a doc_id come after all others; rows with the same
+doc_id follow each other in the order of their texts, so that the next document is defined for each. Equal texts have
+equal fingerprints. Very long texts are taken whole; signs would wrap only beyond 32,767 more of one than the other.
+Other columns are left behind. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -77,12 +78,14 @@ def edited(text: str, following: str) -> str:
 def next_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited (the text), fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The next document is that with the next smaller doc_id, after the last the first. Texts move once: they are dealt
-    by ranges of doc_id, and each range also gets the head of the next one, which a count over doc_id alone finds.
+    The next document is that with the next smaller doc_id (null is the smallest, equal ones go by text), after the last
+    the first. Texts move once: they are dealt by ranges of doc_id, and each range also gets the head of the next one,
+    which a count over doc_id alone finds.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    ids = docs.select(place.alias("place"))
     ranges = max(16, 4 * partitions(docs))
-    found = ids.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] or []
+    found = ids.agg(F.percentile_approx("place", [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] or []
     borders = sorted(set(found))  # fewer than `ranges`
 
     def part(x, low: int = 0, high: int = len(borders)):
@@ -92,15 +95,16 @@ def next_fingerprints(docs: DataFrame) -> DataFrame:
         mid = (low + high) // 2
         return F.when(x < F.lit(borders[mid]), part(x, low, mid)).otherwise(part(x, mid + 1, high))
 
-    heads = {r[0]: r[1] for r in ids.groupBy(part(F.col("doc_id")).alias("part")).agg(F.max("doc_id")).collect() if r[1] is not None}
+    heads = {r[0]: r[1] for r in ids.groupBy(part(F.col("place")).alias("part")).agg(F.max("place")).collect() if r[1] is not None}
     order = sorted(heads, reverse=True)
     follows = [(heads[b], a) for a, b in zip(order, [*order[1:], *order[:1]], strict=True)]  # the head of b follows range a
     spark = docs.sparkSession
-    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    extra = body.join(F.broadcast(spark.createDataFrame(follows, "doc_id long, part int")), "doc_id").dropDuplicates(["doc_id", "part"])
-    dealt = body.withColumn("part", part(F.col("doc_id"))).withColumn("own", F.lit(True)).unionByName(extra.withColumn("own", F.lit(False)))
+    body = docs.select(place.alias("place"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    met = body.join(F.broadcast(spark.createDataFrame(follows, "place long, part int")), "place")  # below `ranges` rows
+    extra = met.groupBy("place", "part").agg(F.min("text").alias("text")).withColumn("doc_id", F.lit(None).cast("long"))
+    dealt = body.withColumn("part", part(F.col("place"))).withColumn("own", F.lit(True)).unionByName(extra.withColumn("own", F.lit(False)))
     tasks = partitions(docs)
-    ordered = dealt.repartition(tasks, "part").sortWithinPartitions(F.col("part"), F.col("own").desc(), F.col("doc_id").desc(), F.col("text"))
+    ordered = dealt.repartition(tasks, "part").sortWithinPartitions(F.col("part"), F.col("own").desc(), F.col("place").desc(), F.col("text")).select("doc_id", "text", "part", "own")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: tuple | None = None  # part, doc_id, text, fingerprint

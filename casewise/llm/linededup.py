@@ -6,7 +6,9 @@ code points are hashed (128 bits), distinct documents are counted for each hash,
 by document, and the other lines are put together again in their order.
 
 A null or empty text is one empty line, and a null text stays null. Rows with the same doc_id count as one document
-and lose the same lines. An empty table gives no rows. Documents with a null id lose nothing and keep no key alive.
+and lose the same lines; the largest doc_id decides, so that there are no ties. An empty table gives no rows. Documents
+with a null id lose nothing and keep no key alive. Very long texts are taken whole. Other columns of docs stay,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casewise.llm.common import cut
+from casewise.llm.common import cut, hot_join, unused
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -51,16 +53,18 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
 def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id and the keys it loses, one row for each document that loses any."""
     keys = line_keys(docs, min_chars).groupBy("doc_id", "key").agg(F.lit(1).alias("one"))
-    shared = cut(keys.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("key", "keeper"))
-    hits = line_keys(docs, min_chars).join(shared, "key").where("doc_id != keeper")
-    return hits.groupBy("doc_id").agg(F.collect_set("key").alias("_cw_drop"))
+    shared = cut(keys.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("key", "keeper", "n"))
+    # a line that most documents have is met by broadcast
+    hits = hot_join(line_keys(docs, min_chars), shared, ["key"], "n").where("doc_id != keeper")
+    return hits.groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """All columns of docs with the text that stays, and n_lines and n_dropped under the names _cw_lines, _cw_dropped."""
-    drops = cut(dropped_keys(docs, min_chars, min_docs))
-    joined = docs.join(drops.withColumnRenamed("doc_id", "_cw_id"), F.col("doc_id") == F.col("_cw_id"), "left").drop("_cw_id")
-    fields = [*docs.schema.fields, T.StructField("_cw_lines", T.LongType()), T.StructField("_cw_dropped", T.LongType())]
+    """All columns of docs with the text that stays, then n_lines and n_dropped, whose names get underscores where docs has them."""
+    lines_name, dropped_name, key, drop_name = (unused(name, docs) for name in ("n_lines", "n_dropped", "_id", "_drop"))
+    drops = cut(dropped_keys(docs, min_chars, min_docs)).toDF(key, drop_name)
+    joined = docs.join(drops, F.col("doc_id") == F.col(key), "left").select(*docs.columns, drop_name)
+    fields = [*docs.schema.fields, T.StructField(lines_name, T.LongType()), T.StructField(dropped_name, T.LongType())]
     at = docs.columns.index("text")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,6 +81,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
                 texts.append(text)
             columns = list(batch.columns[:-1])
             columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*batch.schema.names[:-1], "_cw_lines", "_cw_dropped"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*batch.schema.names[:-1], lines_name, dropped_name])
 
     return joined.mapInArrow(rebuild, T.StructType(fields))

@@ -7,7 +7,8 @@ cap / weight. Documents are then repeated as a whole, and a seeded choice of doc
 target is met to the word; the last one chosen gives its first words only.
 
 Words are runs of other than [\\x20\\x09-\\x0D]. Null and empty texts have no words and are never taken. Rows with a
-null source form one source, the last. Repeated rows are documents of their own. An empty table gives no rows.
+null source form one source, the last. Rows without a doc_id and repeated rows are documents of their own; which of
+equal rows is chosen does not show. A source without words has target 0. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casewise.llm.common import cut
+from casewise.llm.common import cut, unused
 
 WEIGHTS, SHARE, EPOCHS, SEED = (5, 2, 1), 1.5, 2, 17
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,13 +68,14 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
     Columns of docs stay as they are; where a text is cut, n_chars (if docs has it) follows.
     """
-    taken = mix(docs, keep={"_cw_row": F.struct(*docs.columns)}, **how).where("taken > 0")
+    name = unused("_words", docs)
+    taken = mix(docs, keep={"_row": F.struct(*docs.columns)}, **how).where("taken > 0")
     whole, part = F.floor(F.col("taken") / F.col("size")).cast("int"), F.col("taken") % F.col("size")
     none = F.array_repeat(F.lit(0).cast("long"), F.lit(0))
     repeats = F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(part > 0, F.array(part)).otherwise(none))
-    copies = taken.select("_cw_row", F.explode(repeats).alias("_cw_words")).select("_cw_row.*", "_cw_words")
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), F.lit(1), F.col("_cw_words").cast("int")), "")
-    cut_text = copies.withColumn("text", F.when(F.col("_cw_words") > 0, first).otherwise(F.col("text")))
+    copies = taken.select("_row", F.explode(repeats).alias(name)).select("_row.*", name)
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), F.lit(1), F.col(name).cast("int")), "")
+    cut_text = copies.withColumn("text", F.when(F.col(name) > 0, first).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        cut_text = cut_text.withColumn("n_chars", F.when(F.col("_cw_words") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        cut_text = cut_text.withColumn("n_chars", F.when(F.col(name) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return cut_text.select(docs.columns)

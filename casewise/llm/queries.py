@@ -38,7 +38,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casewise.llm.linededup import dedup_lines
 
     kept = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return kept.select("doc_id", F.col("_cw_lines").alias("n_lines"), F.col("_cw_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 OP4_SQL = r"""

@@ -1,17 +1,20 @@
 """Operator 2, sharding by histogram sort, in DataFrame operations only.
 
 A row's key is a long: its high 40 bits hash the text, so equal texts lie side by side, its low 23 bits hash the
-document, so that a text with very many copies can still be cut. Rounds of exact byte counts between probes refine
+document. The rows of one text stay in one shard unless they are more than GROUP of a shard's bytes; a text with more
+copies than that can still be cut. Rounds of exact byte counts between probes refine
 a histogram of the key where a splitter is not yet within the tolerance, or where an interval holds too many rows.
 Then every row goes once to its interval, gets its place there, and with it shard and slot.
 
-A null text has no bytes, so its size is 1; its digest is that of the empty text. Repeated rows are rows of their own.
+A null text has no bytes, so its size is 1; its digest is that of the empty text. Rows without a doc_id and repeated
+rows are rows of their own; equal rows take slots side by side in any order.
 An empty table gives no rows. Columns to carry along are named by the caller; all others are left behind.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +27,8 @@ KEY_BITS, TEXT_BITS = 63, 40
 FIRST_BITS, MORE_BITS = 12, 6
 #: A splitter may be off by this part of a shard's bytes; an interval may hold this part of all rows.
 TOLERANCE, INTERVAL_ROWS = 0.0005, 1 / 1024
+#: Rows of one text that hold at most this part of a shard's bytes are not parted.
+GROUP = 0.02
 
 
 def key_of(text: Column, doc_id: Column) -> Column:
@@ -55,12 +60,13 @@ def histogram(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE, inter
             if leaf[1] == bits and n > 1:
                 at = bisect_left(targets, below)
                 inside = [t for t in targets[at : at + shards] if below < t < below + size]
-                if n > max(64, rows * interval_rows) or any(min(t - below, below + size - t) > slack for t in inside):
+                whole = bits <= KEY_BITS - TEXT_BITS and size <= GROUP * total / shards
+                if n > max(64, rows * interval_rows) or not whole and any(min(t - below, below + size - t) > slack for t in inside):
                     crowded.add(leaf[0])
             below += size
         if not crowded:
             break
-        next_bits = max(0, bits - MORE_BITS)
+        next_bits = max(KEY_BITS - TEXT_BITS if bits > KEY_BITS - TEXT_BITS else 0, bits - MORE_BITS)
         probes = keyed.sparkSession.createDataFrame([(low >> bits,) for low in crowded], "_prefix long")
         part = keyed.withColumn("_prefix", F.shiftright("_key", bits)).join(F.broadcast(probes), "_prefix", "left_semi")
         for low in crowded:
@@ -71,11 +77,20 @@ def histogram(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE, inter
 
 
 def cut_points(leaves: list[tuple[int, int, int, int]], shards: int) -> list[int]:
-    """The shard of each interval: each splitter lies at the interval border nearest to its target."""
+    """The shard of each interval: each splitter lies at the interval border nearest to its target.
+
+    Intervals of one text go together, unless they are too large.
+    """
     total, below, out = sum(x[2] for x in leaves), 0, []
-    for _, _, size, _ in leaves:
-        out.append(min(shards - 1, int((below + size / 2) * shards / total)))
-        below += size
+    for _, group in groupby(leaves, lambda leaf: leaf[0] >> (KEY_BITS - TEXT_BITS)):
+        sizes = [size for _, _, size, _ in group]
+        if sum(sizes) <= GROUP * total / shards:
+            out += [min(shards - 1, int((below + sum(sizes) / 2) * shards / total))] * len(sizes)
+            below += sum(sizes)
+        else:
+            for size in sizes:
+                out.append(min(shards - 1, int((below + size / 2) * shards / total)))
+                below += size
     return out
 
 

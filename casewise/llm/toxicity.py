@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewise.llm.common import cut, hash_limit, held_out
+from casewise.llm.common import cut, hash_limit, held_out, unused
 
 #: Labelled rows that a fit takes at most, features it keeps at most, and rows in which a feature must be.
 SAMPLE, FEATURES, LEAST = 20_000, 4096, 3
@@ -204,4 +204,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, training: DataFrame | None = No
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, training: DataFrame) -> DataFrame:
     """The rows of docs that the model does not call toxic, with all their columns."""
-    return score(docs, fit(training, labels), "_cw_toxic").where("_cw_toxic < 0.5").select(docs.columns)
+    name = unused("_toxic", docs)
+    return score(docs, fit(training, labels), name).where(F.col(name) < 0.5).select(docs.columns)

@@ -11,7 +11,8 @@ Equal vectors of a label form a class first and count as many. Blocks return lin
 links, a spanning forest of them, from which components follow.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and those with a null label, link with
-nothing. Rows with the same vec_id are taken as one node but counted each. An empty table gives no rows.
+nothing, nor do those without a vec_id; they are kept. Labels of any type are compared as text. Rows with the same
+vec_id are vectors of their own. Ties need no rule: a link is decided by the cosine alone. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from casewise.llm.common import connected_components, cut, hash_limit
+from casewise.llm.common import connected_components, cut, hash_limit, hot_join
 
 COSINE = 0.93
 #: Vectors a cell should have, vectors in a block, and pivots at most over all labels (so what is sent out is bounded).
@@ -34,53 +36,54 @@ CELL, BLOCK, PIVOTS = 1500, 1500, 4096
 SLACK = 1e-6
 
 
+def same_label(label: Column, kind: T.DataType) -> Column:
+    """The label as text, equal where labels are equal."""
+    return (label + F.lit(0.0)).cast("string") if isinstance(kind, (T.FloatType, T.DoubleType)) else label.cast("string")
+
+
 def classes_of(vectors: DataFrame) -> DataFrame:
-    """id (the smallest vec_id), label, embedding and n for each distinct usable vector of a label."""
-    usable = F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    doubles = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))
-    return vectors.where(usable).select("vec_id", "label", doubles.alias("embedding")).groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
+    """id (a number of its own), low (the smallest vec_id), label, embedding and n for each distinct usable vector of a label."""
+    usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
+    found = vectors.where(usable).groupBy("label", "embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
+    return found.withColumn("id", F.monotonically_increasing_id())
 
 
 def pivots_of(classes: DataFrame, cell: int, most: int) -> dict[object, np.ndarray]:
-    """Unit pivots by (label, dimension): for each about one vector in `cell`, `most` over all."""
-    sizes = classes.groupBy("label").count().collect()  # one row for each label
-    total = sum(r[1] for r in sizes)
+    """Unit pivots by (label, dimension): for each about one vector in `cell`, `most` over all.
+
+    Only labels with room for two or more pivots have any; the vectors of others are one cell.
+    """
+    sizes = classes.groupBy("label").count()
+    total = sizes.agg(F.sum("count")).first()[0] or 0
     share = min(1.0, most / max(1, math.ceil(total / cell)))
-    wanted = [(r[0], max(1, int(r[1] / cell * share))) for r in sizes]
-    if not wanted:
+    sized = sizes.select("label", F.floor(F.col("count") / cell * share).cast("int").alias("k"), "count").where("k > 1").collect()  # at most `most` / 2 rows
+    if not sized:
         return {}
-    spark = classes.sparkSession
-    table = spark.createDataFrame(wanted, f"label {classes.schema['label'].dataType.simpleString()}, _k int")
-    ranked = classes.join(table, "label")
-    # the k smallest of a hash: taken per label by top-k aggregation
-    draw = F.xxhash64(F.lit("pivot"), "id")
-    counts = {r[0]: r[1] for r in sizes}
-    k_of = dict(wanted)
-    limit = {k: hash_limit(min(1.0, (2 * k_of[k] + 20) / counts[k])) for k in k_of}
-    near = spark.createDataFrame([(k, v) for k, v in limit.items()], f"label {classes.schema['label'].dataType.simpleString()}, _limit long")
-    few = ranked.join(F.broadcast(near), "label").where(draw <= F.col("_limit")).select("label", "embedding", draw.alias("_draw")).collect()
-    out: dict[object, np.ndarray] = {}
-    for label in k_of:
-        mine = sorted((r[2], r[1]) for r in few if r[0] == label)
-        by_width: dict[int, list] = {}
-        for _, e in mine:
-            by_width.setdefault(len(e), []).append(e)
-        for width, group in by_width.items():
-            rows = np.array(group[: k_of[label]], float)
-            rows /= np.abs(rows).max(1, keepdims=True)  # so that squares stay in range
-            out[label, width] = rows / np.linalg.norm(rows, axis=1, keepdims=True)
-    return out
+    k_of = {r[0]: r[1] for r in sized}
+    # the k smallest of a hash
+    draw = F.xxhash64(F.lit("pivot"), "embedding")
+    limits = [(label, hash_limit(min(1.0, (2 * k + 20) / n))) for label, k, n in sized]
+    near = classes.sparkSession.createDataFrame(limits, "label string, _limit long")
+    few = classes.join(F.broadcast(near), "label").where(draw <= F.col("_limit")).select("label", "embedding", draw.alias("_draw")).collect()
+    drawn: dict[tuple[str, int], list] = {}
+    for label, e, _ in sorted(few, key=lambda r: (r[0], r[2], r[1])):
+        drawn.setdefault((label, len(e)), []).append(e)
+    return {(label, width): unit(np.array(group[: k_of[label]], float)) for (label, width), group in drawn.items()}
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled first, so that squares stay in range."""
     rows = rows / np.abs(rows).max(1, keepdims=True)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 def spread(classes: DataFrame, pivots: dict, radius: float, copies: bool, radii: dict | None = None) -> DataFrame:
     """label, width, cell, home (false for a copy), distance to the pivot, id, n, embedding."""
+    context = classes.sparkSession.sparkContext
+    sent = context.broadcast((pivots, radii))  # `most` pivots over all, and a number for each
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, radii = sent.value
         for batch in batches:
             frame = batch.to_pandas()
             frame["width"] = frame.embedding.str.len()
@@ -105,9 +108,8 @@ def spread(classes: DataFrame, pivots: dict, radius: float, copies: bool, radii:
                     out = group.iloc[row].assign(cell=cell, home=cell == home[row], far=far[row, cell])
                 yield pa.RecordBatch.from_pandas(out[["label", "width", "cell", "home", "far", "id", "n", "embedding"]], preserve_index=False, schema=shape)
 
-    kind = classes.schema["label"].dataType.simpleString()
-    shape = pa.schema([("label", {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]), ("width", pa.int32()), ("cell", pa.int32()), ("home", pa.bool_()), ("far", pa.float64()), ("id", pa.int64()), ("n", pa.int64()), ("embedding", pa.list_(pa.float64()))])
-    return classes.mapInArrow(place, f"label {kind}, width int, cell int, home boolean, far double, id long, n long, embedding array<double>")
+    shape = pa.schema([("label", pa.string()), ("width", pa.int32()), ("cell", pa.int32()), ("home", pa.bool_()), ("far", pa.float64()), ("id", pa.int64()), ("n", pa.int64()), ("embedding", pa.list_(pa.float64()))])
+    return classes.mapInArrow(place, "label string, width int, cell int, home boolean, far double, id long, n long, embedding array<double>")
 
 
 def forest(linked: np.ndarray) -> np.ndarray:
@@ -145,7 +147,8 @@ def join_block(frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, block: int = BLOCK, most_pivots: int = PIVOTS) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
+    doubles = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), doubles.alias("embedding"), same_label(F.col("label"), vectors.schema["label"].dataType).alias("label"))
     classes = cut(classes_of(rows))
     pivots = pivots_of(classes, cell, most_pivots)
     radius = math.sqrt(max(0.0, 2 - 2 * cosine))
@@ -171,8 +174,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, b
     counts = found.where("not edge").groupBy("id").agg(F.sum("other").alias("links"))
     groups = connected_components(found.where("edge").select(F.col("id").alias("a"), F.col("other").alias("b")))
     named = classes.join(counts, "id", "left").join(groups, F.col("id") == F.col("node"), "left")
-    named = cut(named.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")))
-    doubles = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))
-    out = rows.select("vec_id", "label", doubles.alias("embedding")).join(named, ["label", "embedding"], "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    named = cut(named.select("label", "embedding", "n", "low", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")))
+    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = cut(named.join(lowest, "component").select("label", "embedding", "n", "n_links", "component_id"))
+    out = hot_join(rows.select("vec_id", "label", "embedding"), named, ["label", "embedding"], "n")
+    out = out.withColumn("_in", F.col("vec_id").isNotNull() & F.col("component_id").isNotNull())
+    component = F.when(F.col("_in"), F.col("component_id")).otherwise(F.col("vec_id"))
+    return out.select("vec_id", F.when(F.col("_in"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -161,7 +161,7 @@ def test_line_dedup(docs, texts, spark):
     for k, t in enumerate(texts):
         lines = (t or "").split("\n")
         kept = [x for x in lines if shared.get(key(x), k) == k]
-        assert (rows[k]._cw_lines, rows[k]._cw_dropped, rows[k].text or "") == (len(lines), len(lines) - len(kept), "\n".join(kept))
+        assert (rows[k].n_lines, rows[k].n_dropped, rows[k].text or "") == (len(lines), len(lines) - len(kept), "\n".join(kept))
         assert (rows[k].text is None) == (t is None) and rows[k].size == 1
     assert linededup.dedup_lines(empty(spark)).count() == 0
     twice = docs.unionByName(docs)
