@@ -26,7 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that other documents keep; n_chars follows. All documents stay."""
     kept = linededup.dedup_lines(docs)
-    return kept.withColumn("n_chars", F.when(F.col("_cw_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
+    dropped = F.col(kept.columns[-1])
+    return kept.withColumn("n_chars", F.when(dropped > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
