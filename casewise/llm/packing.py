@@ -1,17 +1,25 @@
 """Operator 1, best-fit packing: whole documents into as few sequences of a fixed token count as it can.
 
 A document's tokens are cut only where they exceed the capacity. What is left to decide depends on piece lengths
-alone, so the plan is made from their histogram: at most `capacity` counts, however large the corpus. Bin completion
-takes the longest piece left, looks for the filling of the rest that wastes least, and uses this pattern as often as
-the counts allow. Spark numbers the pieces of each length and places number r of a length where the plan says.
-
-Null or empty texts have the end mark alone. Repeated rows are documents of their own. An empty table gives no rows.
+alone, so the plan is made from their histogram: at most `capacity` counts, however large the corpus. The best-fit
+packing is the first incumbent. While it is above the lower bound, bin completion looks for a better one: it branches
+on the undominated fillings around the longest piece left, least waste first, and cuts a branch whose waste is more
+than a better packing can have. Spark numbers the pieces of each length and places number r of a length where the plan
+says.
+
+The search is exact if it ends within STEPS; finding a least number of sequences is NP-hard, so that beyond them the
+incumbent stays. It is tried on the sequences with most waste first, which is where a packing can lose one.
+
+Null or empty texts have the end mark alone. Repeated rows and rows without a doc_id are documents of their own; which
+of pieces of one length goes where is decided by doc_id, piece and content, and does not show between equal ones. Very
+long texts become many pieces. Other columns are left behind, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 from array import array
 from bisect import bisect_right
 from collections import Counter
@@ -29,6 +37,10 @@ CAPACITY = 2048
 END = 0
 #: Words and their parts whose ids a worker keeps; beyond that those that were not met of late are forgotten.
 WORDS_KEPT, PARTS_KEPT = 400_000, 800_000
+#: Batches of a worker whose first texts are encoded both ways.
+COMPARED = 2
+#: Steps of a search, and distinct lengths up to which failed states are remembered.
+STEPS, REMEMBERED = 400_000, 64
 
 
 class _Mapped(dict):
@@ -55,13 +67,16 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        # a text that spells such a token is encoded as a whole
+        self.special = re.compile("|".join(re.escape(t.content) for t in added)) if added else None
         with open(path) as f:
             kind = json.load(f)
         splits = (kind.get("pre_tokenizer") or {}).get("pretokenizers") or []
         first = splits[0] if splits else {}
         pattern = first.get("pattern", {}).get("Regex", "")
-        self.by_word = first.get("behavior") == "Removed" and r"[^\s" in pattern and r"[\p{L}]+" in pattern and splits[-1]["type"] == "ByteLevel" and kind["post_processor"] is None
+        self.by_word = first.get("behavior") == "Removed" and r"[^\s" in pattern and r"[\p{L}]+" in pattern and splits[-1]["type"] == "ByteLevel" and kind["post_processor"] is None and not any(t.normalized for t in added)
+        self.compared = 0
         self.mapped = _Mapped()
         self.words: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -103,8 +118,22 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if not self.by_word:
-            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        if self.by_word and self.compared < COMPARED:
+            # a worker's first texts are encoded both ways
+            self.compared += 1
+            self.by_word = self.encode_by_word(texts[:8]) == self.encode_whole(texts[:8])
+        return self.encode_by_word(texts) if self.by_word else self.encode_whole(texts)
+
+    def encode_whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def encode_by_word(self, texts: list[str]) -> list[bytes]:
+        if self.special:
+            found = [k for k, t in enumerate(texts) if self.special.search(t)]
+            if found:
+                plain = iter(self.encode_by_word([t for t in texts if not self.special.search(t)]))
+                whole = dict(zip(found, self.encode_whole([texts[k] for k in found]), strict=True))
+                return [whole[k] if k in whole else next(plain) for k in range(len(texts))]
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         new = set(chain.from_iterable(split)).difference(self.words)
         if len(self.words) + len(new) > WORDS_KEPT:
@@ -155,131 +184,198 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
         rest = sum(k * n for k, n in counts.items() if small <= k <= capacity / 2)
         room = sum(n * (capacity - k) for k, n in half.items())
         best = max(best, alone + sum(half.values()) + max(0, math.ceil((rest - room) / capacity)))
+    # of pieces over capacity / (k + 1) a sequence holds k at most; others count by their length (Fekete and Schepers' dual feasible functions)
+    for k in range(1, 21):
+        total = sum(n * (s * k if (k + 1) * s % capacity == 0 else (k + 1) * s // capacity * capacity) for s, n in counts.items())
+        best = max(best, -(-total // (k * capacity)))
     return best
 
 
-def fillings(room: int, sizes: list[int], counts: Counter, nodes: int, want: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(waste, lengths): up to `want` undominated fillings of `room`, least waste first.
+class Spent(Exception):
+    """A search has used up its steps."""
 
-    Depth first from the largest length that fits, so the first one is the best-fit one. A filling to which a length
-    with pieces left could still be added is dominated and never kept. Where `nodes` end before the first filling, it
-    is completed by best fit.
-    """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    used: Counter = Counter()
-    left = nodes
 
-    def full(room: int) -> bool:
+class Search:
+    """Bin completion: a packing of counts[length] pieces with fewer than `most` sequences, if there is one."""
+
+    def __init__(self, counts: dict[int, int], capacity: int, most: int, steps: int = STEPS):
+        self.capacity, self.steps = capacity, steps
+        self.left = Counter({k: n for k, n in counts.items() if n})
+        self.sizes = sorted(self.left)
+        self.rest = sum(k * n for k, n in self.left.items())
+        self.spare = (most - 1) * capacity - self.rest
+        self.waste = 0
+        self.plan: list[tuple[tuple[int, ...], int]] = []
+        self.failed: dict[tuple, int] = {}
+        self.reach = self.reachable(self.sizes, self.left)
+
+    def step(self) -> None:
+        self.steps -= 1
+        if self.steps < 0:
+            raise Spent
+
+    def reachable(self, sizes: list[int], left: dict[int, int]) -> list[int]:
+        """For each length, bits of the sums that pieces up to this length can have."""
+        out, sums, mask = [], 1, (1 << self.capacity + 1) - 1
         for s in sizes:
-            if s > room:
-                return True
-            if counts[s] > used[s]:
-                return False
-        return True
-
-    def go(room: int, top: int, chosen: tuple[int, ...]) -> bool:
-        nonlocal left
-        if full(room):
-            found.append((room, chosen))
-            found.sort(key=lambda x: (x[0], len(x[1])))
-            del found[want:]
-            return len(found) == want and found[-1][0] == 0
-        at = bisect_right(sizes, min(top, room)) - 1
-        while at >= 0 and left > 0:
+            n, part = min(left[s], self.capacity // s), 1
+            while n > 0:
+                part = min(part, n)
+                sums |= sums << part * s & mask
+                n -= part
+                part *= 2
+            out.append(sums)
+        return out
+
+    def exact(self, need: int, top: int, sizes: list[int], left: dict[int, int], reach: list[int]) -> Iterator[tuple[int, ...]]:
+        """Multisets of lengths up to number `top` that sum to `need`, largest first."""
+        if not need:
+            yield ()
+            return
+        for at in range(min(top, bisect_right(sizes, need) - 1), -1, -1):
+            if not reach[at] >> need & 1:
+                return
             s = sizes[at]
-            at -= 1
-            if counts[s] <= used[s]:
+            for m in range(min(left[s], need // s), 0, -1):
+                self.step()
+                over = need - m * s
+                if not over or at and reach[at - 1] >> over & 1:
+                    for rest in self.exact(over, at - 1, sizes, left, reach):
+                        yield (s,) * m + rest
+
+    def dominated(self, filling: tuple[int, ...], waste: int, left: dict[int, int]) -> bool:
+        """True if a piece that is left over fits in place of some of the filling's, which it outweighs or equals.
+
+        With that piece in, the pieces that it replaces fit wherever it stood, so another filling is at least as good.
+        """
+
+        def sums(pieces) -> int:
+            bits = 1
+            for p in pieces:
+                bits |= bits << p
+            return bits
+
+        every, own = sums(filling), Counter(filling)
+        window = (1 << waste + 1) - 1
+        for x in self.sizes:
+            if left[x] <= own[x]:
                 continue
-            left -= 1
-            used[s] += 1
-            done = go(room - s, s, (*chosen, s))
-            used[s] -= 1
-            if done:
+            bits = sums(p for p in filling if p != x) if x in own else every
+            low = max(0, x - waste)
+            if bits >> low & (window if x >= waste else (1 << x + 1) - 1):
                 return True
-        return left <= 0
+        return False
 
-    go(room, room, ())
-    if not found:
-        chosen: tuple[int, ...] = ()
-        for s in reversed(sizes):
-            more = min(room // s, counts[s])
-            chosen += (s,) * more
-            room -= more * s
-        found.append((room, chosen))
-    return found
+    def branches(self) -> Iterator[tuple[int, tuple[int, ...], int]]:
+        """(waste, pattern, uses) for the longest piece left: all undominated fillings, least waste first."""
+        if self.rest <= self.capacity:
+            if self.capacity - self.rest <= self.spare - self.waste:
+                yield self.capacity - self.rest, tuple(k for k in reversed(self.sizes) for _ in range(self.left[k])), 1
+            return
+        sizes, left = list(self.sizes), dict(self.left)
+        longest, room = sizes[-1], self.capacity - sizes[-1]
+        left[longest] -= 1
+        reach = self.reachable(sizes, left) if len(sizes) <= REMEMBERED else None
+        if reach is None:
+            # those of all pieces hold for fewer as well
+            reach = [self.reach[bisect_right(self.all_sizes, s) - 1] for s in sizes]
+        for waste in range(min(room, self.spare - self.waste) + 1):
+            for filling in self.exact(room - waste, len(sizes) - 1, sizes, left, reach):
+                self.step()
+                if self.dominated(filling, waste, left):
+                    continue
+                pattern = (longest, *filling)
+                most = min(self.left[k] // m for k, m in Counter(pattern).items())
+                if waste:
+                    most = min(most, (self.spare - self.waste) // waste)
+                first = [most >> k for k in range(most.bit_length())]
+                for times in chain(first, (t for t in range(most, 0, -1) if t not in first)):
+                    yield waste, pattern, times
+
+    def use(self, pattern: tuple[int, ...], times: int) -> None:
+        for k, m in Counter(pattern).items():
+            was = self.left[k]
+            self.left[k] = now = was - m * times
+            if not now:
+                del self.sizes[bisect_right(self.sizes, k) - 1]
+            elif not was:
+                self.sizes.insert(bisect_right(self.sizes, k), k)
+        self.rest -= sum(pattern) * times
+
+    def state(self) -> tuple | None:
+        return tuple((k, self.left[k]) for k in self.sizes) if len(self.sizes) <= REMEMBERED else None
+
+    def run(self) -> list[tuple[tuple[int, ...], int]] | None:
+        """The plan; None if there is none, or if the steps end before the search does."""
+        if self.spare < 0:
+            return None
+        self.all_sizes = list(self.sizes)
+        stack = [self.branches()]
+        try:
+            while self.sizes:
+                taken = next(stack[-1], None)
+                if taken is None:
+                    state = self.state()
+                    if state is not None:
+                        self.failed[state] = min(self.waste, self.failed.get(state, self.waste))
+                    stack.pop()
+                    if not stack:
+                        return None
+                    pattern, times = self.plan.pop()
+                    self.use(pattern, -times)
+                    self.waste -= (self.capacity - sum(pattern)) * times
+                    continue
+                self.step()
+                waste, pattern, times = taken
+                self.use(pattern, times)
+                self.waste += waste * times
+                state = self.state()
+                if state is not None and self.failed.get(state, self.waste + 1) <= self.waste:
+                    self.use(pattern, -times)
+                    self.waste -= waste * times
+                    continue
+                self.plan.append((pattern, times))
+                stack.append(self.branches())
+        except Spent:
+            return None
+        return self.plan
 
 
-def complete(counts: dict[int, int], capacity: int, most: int, nodes: int, budget: int) -> list[tuple[tuple[int, ...], int]] | None:
-    """Patterns with the number of their uses that need fewer than `most` sequences, or None if the search ends without.
+def repaired(plan: list[tuple[tuple[int, ...], int]], capacity: int, steps: int, budget: list[int]) -> list[tuple[tuple[int, ...], int]] | None:
+    """A plan with fewer sequences, found by packing the sequences with most waste anew; None if that finds none.
 
-    Depth first: the longest piece left, its fillings by waste, each used as often as the counts allow, then half as
-    often, down to once. A branch is cut once its waste exceeds what `most - 1` sequences leave over. `budget` bounds
-    the patterns that are tried; the search starts with few fillings of a piece and goes on with more.
+    What the searches take is taken off budget[0].
     """
-    for want, share in ((3, 2), (12, 2), (48, 1)):
-        plan, tried = _complete(counts, capacity, most, nodes, budget // share, want)
-        if plan is not None:
-            return plan
-        budget -= tried
+    order = sorted(plan, key=lambda p: sum(p[0]))
+    for most in (8, 16, 32, 64):
+        # one of each pattern, then another of each
+        taken = [0] * len(order)
+        free = 0
+        while free < most:
+            more = [k for k, (_, times) in enumerate(order) if taken[k] < times][: most - free]
+            if not more:
+                break
+            for k in more:
+                taken[k] += 1
+            free += len(more)
+        pieces = Counter()
+        for n, (pattern, _) in zip(taken, order, strict=True):
+            for k in pattern if n else ():
+                pieces[k] += n
+        search = Search(pieces, capacity, free, min(steps, budget[0]) // 4)
+        before = search.steps
+        better = search.run()
+        budget[0] -= before - max(0, search.steps)
+        if better is not None:
+            # wherever the same patterns are left again
+            again = min(times // n for n, (_, times) in zip(taken, order, strict=True) if n)
+            kept = [(pattern, times - n * again) for n, (pattern, times) in zip(taken, order, strict=True) if times > n * again]
+            return kept + [(pattern, times * again) for pattern, times in better]
+        if free < most:
+            return None
     return None
 
 
-def _complete(counts: dict[int, int], capacity: int, most: int, nodes: int, budget: int, want: int) -> tuple[list[tuple[tuple[int, ...], int]] | None, int]:
-    """The plan or None, and how many patterns were tried."""
-    rest = sum(k * n for k, n in counts.items())
-    spare = (most - 1) * capacity - rest
-    state = Counter({k: n for k, n in counts.items() if n})
-    sizes = sorted(state)
-    plan: list[tuple[tuple[int, ...], int]] = []
-    stack: list[tuple[int, list[tuple[int, tuple[int, ...], int]]]] = []
-    waste = tried = 0
-
-    def use(pattern: tuple[int, ...], times: int) -> None:
-        for k, m in Counter(pattern).items():
-            was, state[k] = state[k], state[k] - m * times
-            if not state[k]:
-                del sizes[bisect_right(sizes, k) - 1]
-            elif not was:
-                sizes.insert(bisect_right(sizes, k), k)
-
-    def choices() -> Iterator[tuple[int, tuple[int, ...], int]]:
-        if rest <= capacity:
-            yield capacity - rest, tuple(k for k in reversed(sizes) for _ in range(state[k])), 1
-            return
-        longest = sizes[-1]
-        state[longest] -= 1
-        found = fillings(capacity - longest, sizes[: bisect_right(sizes, capacity - longest)], state, nodes, want)
-        state[longest] += 1
-        for w, filling in found:
-            pattern = (longest, *filling)
-            times = min(state[k] // m for k, m in Counter(pattern).items())
-            times = min(times, (spare - waste) // w) if w else times
-            if times:
-                yield w, pattern, times
-
-    while sizes:
-        stack.append((waste, list(choices())[::-1]))
-        while not stack[-1][1]:
-            stack.pop()
-            if not stack:
-                return None, tried
-            pattern, times = plan.pop()
-            use(pattern, -times)
-            rest += sum(pattern) * times
-        if tried >= budget:
-            return None, tried
-        tried += 1
-        waste, options = stack[-1]
-        w, pattern, times = options.pop()
-        if times > 1:
-            options.insert(0, (w, pattern, times // 2))
-        use(pattern, times)
-        plan.append((pattern, times))
-        rest -= sum(pattern) * times
-        waste += w * times
-    return (plan, tried) if sum(t for _, t in plan) < most else (None, tried)
-
-
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Best fit, longest pieces first, on whole classes of equal sequences at a time."""
     open_at: dict[int, list[tuple[tuple[int, ...], int]]] = {}
@@ -310,17 +406,14 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return [x for group in open_at.values() for x in group]
 
 
-def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 400, budget: int = 20_000) -> list[tuple[tuple[int, ...], int]]:
-    """How to pack counts[length] pieces of each length: patterns of lengths, each with how many sequences take it.
-
-    The best-fit solution is the first incumbent. While it is above the lower bound, bin completion looks for one
-    with fewer sequences, within `budget` patterns and `nodes` lengths tried for a filling.
-    """
+def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> list[tuple[tuple[int, ...], int]]:
+    """How to pack counts[length] pieces of each length: patterns of lengths, each with how many sequences take it."""
     best = best_fit(counts, capacity)
     floor = lower_bound(counts, capacity)
+    budget = [2 * steps]  # for all that is found by repair
     while (used := sum(t for _, t in best)) > floor:
-        better = complete(counts, capacity, used, nodes, budget)
-        if better is None or sum(t for _, t in better) >= used:
+        better = repaired(best, capacity, steps, budget) or Search(counts, capacity, used, steps).run()
+        if better is None:
             break
         best = better
     return best
