@@ -1,18 +1,24 @@
 """Operator 3, toxicity: a counterfactually regularised linear classifier.
 
 Features of a document are its distinct words and their beginnings of 4, 5 and 6 characters, hashed to 60 bits. Of
-those in a bounded sample of labelled rows, the ones that tell the classes apart best are kept. A logistic model is
-fitted to them with two penalties: one on absolute weights, which leaves few of them, and one on counterfactuals: in each labelled sentence
-that names a group, the term is swapped for the others of its kind, and the squared change of the sentence's score is
-penalised, so that a group's name alone moves no score.
+those in a bounded sample of labelled rows, the ones that tell the classes apart best are kept, beside those of the
+names of groups. A logistic model is fitted to them with two penalties: one on absolute weights, which leaves few of
+them, and one on counterfactuals, so that a group's name alone moves no score. Counterfactuals are made of the labelled
+sentences. Where one names a group, the name is swapped for the others of its kind in its language; where it names
+none, a name that a hash of the sentence picks is put into it, as a neutral mention. The squared change of score is
+penalised. Two sentences with the same change count as one of twice the weight, and changes concern features of names
+only, so that what is fitted on grows with the list of names and not with the texts.
 
 Labels, lang, source and doc_id give no feature. A null or empty text has none and gets the score of the intercept.
-Texts are taken whole. Repeated rows are scored each. With labels of one class or none the score is the share of toxic
-rows among them (0 if there are none). An empty table gives no rows.
+Texts are taken whole. Repeated rows are scored each, rows without a doc_id as well; those are held out. Equal texts
+have equal scores; a score of exactly 0.5 is toxic. Where rows of a doc_id have both labels it counts as toxic. With
+labels of one class or none the score is near 1 or 0 for that class (0 if there are none). Other columns stay,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,15 +37,27 @@ SAMPLE, FEATURES, LEAST = 20_000, 4096, 3
 COUNTERFACTUAL, LASSO, STEPS = 10.0, 0.03, 400
 #: Words that a worker keeps: with their features while it learns, with their weights while it scores.
 LEARNT_KEPT, WORDS_KEPT = 200_000, 500_000
-#: Names of groups that are swapped for each other.
+#: Names of groups, by language and kind; those in one list are swapped for each other.
 IDENTITY = {
-    "religion": ["muslim", "christian", "jewish", "hindu", "buddhist", "catholic", "atheist", "musulman", "chrétien", "juif", "christ", "jude", "musulmán", "cristiano", "judío"],
-    "gender": ["women", "men", "woman", "man", "girls", "boys", "frauen", "männer", "femmes", "hommes", "mujeres", "hombres"],
-    "origin": ["african", "asian", "european", "mexican", "american", "chinese", "arab", "turkish", "polish", "german", "french", "immigrants", "refugees"],
-    "colour": ["black", "white", "brown"],
-    "orientation": ["gay", "lesbian", "straight", "bisexual", "queer", "transgender", "homosexual", "heterosexual"],
-    "age": ["old", "young", "elderly", "teenage"],
-    "ability": ["blind", "deaf", "disabled", "autistic", "sighted"],
+    "en religion": ["muslim", "christian", "jewish", "hindu", "buddhist", "catholic", "atheist"],
+    "en gender": ["women", "men", "girls", "boys"],
+    "en origin": ["african", "asian", "european", "mexican", "american", "chinese", "arab", "turkish", "polish", "german", "french"],
+    "en colour": ["black", "white", "brown"],
+    "en orientation": ["gay", "lesbian", "straight", "bisexual", "queer", "transgender", "heterosexual"],
+    "en age": ["old", "young", "elderly", "teenage"],
+    "en ability": ["blind", "deaf", "disabled", "autistic", "sighted"],
+    "de religion": ["muslim", "christ", "jude", "hindu", "buddhist", "katholik", "atheist"],
+    "de gender": ["frauen", "männer", "mädchen", "jungen"],
+    "de origin": ["afrikaner", "asiate", "europäer", "türke", "pole", "deutscher", "araber", "flüchtlinge"],
+    "de orientation": ["schwul", "lesbisch", "hetero", "bisexuell", "queer"],
+    "fr religion": ["musulman", "chrétien", "juif", "hindou", "bouddhiste", "catholique", "athée"],
+    "fr gender": ["femmes", "hommes", "filles", "garçons"],
+    "fr origin": ["africain", "asiatique", "européen", "arabe", "turc", "polonais", "français", "réfugiés"],
+    "fr orientation": ["gay", "lesbienne", "hétéro", "bisexuel", "homosexuel"],
+    "es religion": ["musulmán", "cristiano", "judío", "hindú", "budista", "católico", "ateo"],
+    "es gender": ["mujeres", "hombres", "chicas", "chicos"],
+    "es origin": ["africano", "asiático", "europeo", "mexicano", "árabe", "chino", "refugiados"],
+    "es orientation": ["gay", "lesbiana", "hetero", "bisexual", "homosexual"],
 }
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -66,15 +84,35 @@ def features(text: str) -> set[int]:
     return set().union(*map(_FEATURES.__getitem__, words))
 
 
-def swaps(text: str, terms: dict[bytes, list[bytes]]) -> list[tuple[list[int], list[int]]]:
-    """For each sentence that names a group and each term that may stand there: features that go, features that come."""
-    found = []
+def terms_of(identity: dict[str, list[str]]) -> dict[bytes, list[bytes]]:
+    """Each name with those that may stand in its place."""
+    terms: dict[bytes, set[bytes]] = {}
+    for group in identity.values():
+        for a in group:
+            terms.setdefault(a.encode(), set()).update(b.encode() for b in group if b != a)
+    return {a: sorted(others) for a, others in terms.items()}
+
+
+def counterfactuals(text: str, terms: dict[bytes, list[bytes]]) -> Counter:
+    """(features that go, features that come) by how often, over the text's sentences."""
+    found: Counter = Counter()
+    names = sorted(terms)
     for sentence in text.replace("!", ".").replace("?", ".").replace("\n", ".").split("."):
         words = [w.strip(PUNCTUATION) for w in sentence.encode("utf-8", "surrogatepass").lower().split()]
-        for at, word in enumerate(words):
-            for other in terms.get(word, ()):
-                before, after = features(sentence), set().union(*(word_features(x) for x in [*words[:at], other, *words[at + 1 :]]))
-                found.append((sorted(before - after), sorted(after - before)))
+        if not words or not names:
+            continue
+        named = [(at, word) for at, word in enumerate(words) if word in terms]
+        for at, word in named:
+            rest = set().union(*(word_features(x) for k, x in enumerate(words) if k != at))
+            own = set(word_features(word)) - rest
+            for other in terms[word]:
+                new = set(word_features(other)) - rest
+                found[tuple(sorted(own - new)), tuple(sorted(new - own))] += 1
+        if not named:
+            name = names[xxhash.xxh3_64_intdigest(b" ".join(words)) % len(names)]
+            # only words that begin like the name can share a feature with it
+            there = set().union(*(word_features(x) for x in words if x[:4] == name[:4]))
+            found[(), tuple(sorted(set(word_features(name)) - there))] += 1
     return found
 
 
@@ -88,13 +126,15 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-total))
 
 
-def learn(at: np.ndarray, which: np.ndarray, labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], width: int, counterfactual: float = COUNTERFACTUAL, lasso: float = LASSO, steps: int = STEPS) -> tuple[np.ndarray, float]:
+def learn(at: np.ndarray, which: np.ndarray, labels: np.ndarray, pairs: list[tuple[list[int], list[int], float]], width: int, counterfactual: float = COUNTERFACTUAL, lasso: float = LASSO, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights and intercept by Adam on all rows.
 
-    at, which: the row and the number of each feature of each row; pairs: numbers of features that go and come.
+    at, which: the row and the number of each feature of each row; pairs: numbers of features that go and come, and a weight.
     """
     count = len(labels)
-    moves = [(k, x, s) for k, (gone, come) in enumerate(pairs) for s, xs in ((-1.0, gone), (1.0, come)) for x in xs]
+    share = np.array([n for _, _, n in pairs], float)
+    share /= share.sum() or 1.0
+    moves = [(k, x, s) for k, (gone, come, _) in enumerate(pairs) for s, xs in ((-1.0, gone), (1.0, come)) for x in xs]
     pair_at, pair_which, pair_sign = (np.array(x) for x in zip(*moves, strict=True)) if moves else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
     weights, rate = np.zeros(width + 1), labels.mean()
     weights[-1] = np.log(rate / (1 - rate))
@@ -105,8 +145,8 @@ def learn(at: np.ndarray, which: np.ndarray, labels: np.ndarray, pairs: list[tup
         slope = np.bincount(which, off[at], width + 1)
         slope[-1] = off.sum()
         if moves:
-            change = np.bincount(pair_at, pair_sign * weights[pair_which], len(pairs))
-            slope += 2 * counterfactual / len(pairs) * np.bincount(pair_which, pair_sign * change[pair_at], width + 1)
+            change = share * np.bincount(pair_at, pair_sign * weights[pair_which], len(pairs))
+            slope += 2 * counterfactual * np.bincount(pair_which, pair_sign * change[pair_at], width + 1)
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         pace = 0.1 * min(1.0, 2 * (1 - step / (steps + 1))) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         weights -= pace * first / (1 - 0.9**step)
@@ -123,9 +163,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", identity: dict[str, list[str]] | None = None, sample: int = SAMPLE, most: int = FEATURES, counterfactual: float = COUNTERFACTUAL) -> ToxicityModel:
-    identity = IDENTITY if identity is None else identity
-    terms = {a.encode(): [b.encode() for b in group if b != a] for group in identity.values() for a in group}
+    terms = terms_of(IDENTITY if identity is None else identity)
     always = {x for t in terms for x in word_features(t)}
+    kind = pa.list_(pa.struct([("gone", pa.list_(pa.int64())), ("come", pa.list_(pa.int64())), ("n", pa.int64())]))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,12 +174,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", identity: dict
                 found, moved = [], []
                 for text in part.column(0).to_pylist():
                     found.append(sorted(features(text or "")))
-                    moved.append([{"gone": g, "come": c} for g, c in swaps(text or "", terms)])
-                kind = pa.list_(pa.struct([("gone", pa.list_(pa.int64())), ("come", pa.list_(pa.int64()))]))
+                    moved.append([{"gone": g, "come": c, "n": n} for (g, c), n in counterfactuals(text or "", terms).items()])
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(found, pa.list_(pa.int64())), pa.array(moved, kind)], ["label", "found", "moved"])
 
     chosen = labelled_sample(docs, labels, label, sample).select("text", "label")
-    rows = cut(chosen.mapInArrow(extract, "label int, found array<bigint>, moved array<struct<gone: array<bigint>, come: array<bigint>>>"))
+    rows = cut(chosen.mapInArrow(extract, "label int, found array<bigint>, moved array<struct<gone: array<bigint>, come: array<bigint>, n: bigint>>"))
     n = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
@@ -157,12 +196,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", identity: dict
         known = wanted.value
         for batch in batches:
             lists = [[known[x] for x in r if x in known] for r in batch.column(1).to_pylist()]
-            moved = [[{"gone": [known[x] for x in m["gone"] if x in known], "come": [known[x] for x in m["come"] if x in known]} for m in r] for r in batch.column(2).to_pylist()]
-            kind = pa.list_(pa.struct([("gone", pa.list_(pa.int32())), ("come", pa.list_(pa.int32()))]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32())), pa.array(moved, kind)], ["label", "found", "moved"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], ["label", "found"])
 
-    training = rows.mapInArrow(keep, "label int, found array<int>, moved array<struct<gone: array<int>, come: array<int>>>").toArrow()  # `sample` rows at most
-    pairs = [(m["gone"], m["come"]) for r in training.column("moved").filter(pc.greater(pc.list_value_length(training.column("moved")), 0)).to_pylist() for m in r]
+    training = rows.select("label", "found").mapInArrow(keep, "label int, found array<int>").toArrow()  # `sample` rows at most
+    # changes are sets of features of names, so that there are at most as many as the list of names allows
+    changes = rows.select(F.inline("moved")).groupBy("gone", "come").agg(F.sum("n")).orderBy("gone", "come").collect()
+    pairs = [([number[x] for x in gone], [number[x] for x in come], n) for gone, come, n in changes]
     found = training.column("found").combine_chunks()
     at = np.repeat(np.arange(len(found)), pc.list_value_length(found).to_numpy(zero_copy_only=False))
     weights, bias = learn(at, found.flatten().to_numpy(), training.column("label").to_numpy().astype(float), pairs, len(names), counterfactual)

@@ -10,6 +10,7 @@ from fractions import Fraction
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from casewise.llm import fingerprints, linededup, minhash, mixing, packing, quality, secretscan, sharding, toxicity, vectors
 from casewise.llm.common import connected_components
@@ -372,6 +373,7 @@ def test_toxicity_learns_words_and_not_groups(spark):
         return abs(model.score("the muslim karen losta minuvik") - model.score("the christian karen losta minuvik"))
 
     assert change(fair) < 0.3 * change(plain) and change(fair) < 0.05
+    assert toxicity.drop_toxic(docs.withColumn("_toxic", F.lit(1)), labels, docs).columns == [*docs.columns, "_toxic"]
     odd = toxicity.toxicity(spark.createDataFrame([(1, None), (2, ""), (3, "vile " * 20_000), (3, "vile")], "doc_id long, text string"), labels, docs).collect()
     assert len(odd) == 4 and all(0 <= r.score <= 1 for r in odd)
     none = toxicity.toxicity(docs, labels.where("toxic = 0")).agg({"score": "max"}).first()[0]
@@ -380,6 +382,44 @@ def test_toxicity_learns_words_and_not_groups(spark):
     assert toxicity.drop_toxic(docs, labels, docs).columns == docs.columns
 
 
+def test_toxicity_of_neutral_mentions(spark):
+    """Labelled texts in which a group is mostly named in toxic ones: neutral mentions must not pay for it."""
+    r = random.Random(21)
+    filler = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "pu", "ra") for b in ("ren", "sta", "vik", "zul", "min", "tor")]
+    insults = [f"{a}{b}" for a in ("gra", "bli", "spo") for b in ("ck", "mp", "zz", "rf")]
+    rows = []
+    for k in range(2400):
+        words = [r.choice(filler) for _ in range(20)]
+        toxic = k % 3 == 0
+        if toxic and r.random() < 0.7:  # the other insults are rare, so that the name helps to find them
+            words[r.randrange(20)] = r.choice(insults)
+        if r.random() < (0.6 if toxic else 0.02):
+            words[r.randrange(20)] = "muslim"
+        rows.append((k, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, toxic int")
+    neutral = [" ".join([*(r.choice(filler) for _ in range(10)), name, *(r.choice(filler) for _ in range(10))]) for name in ("muslim", "christian") for _ in range(200)]
+    insulting = [" ".join([*(r.choice(filler) for _ in range(10)), r.choice(insults)]) for _ in range(200)]
+    plain, fair = toxicity.fit(docs, labels, counterfactual=0.0), toxicity.fit(docs, labels)
+
+    def share(model, texts):
+        return sum(model.score(t) >= 0.5 for t in texts) / len(texts)
+
+    assert share(plain, neutral[:200]) > 0.5 and share(fair, neutral) < 0.05
+    assert share(fair, insulting) > 0.95
+
+
+def test_counterfactuals_come_from_every_labelled_sentence():
+    terms = toxicity.terms_of({"a": ["cat", "doges"], "b": ["cat", "bird"]})
+    assert terms == {b"cat": [b"bird", b"doges"], b"doges": [b"cat"], b"bird": [b"cat"]}
+    f = toxicity.word_features
+    swapped = toxicity.counterfactuals("The cat sat. The doges ran! doge", terms)
+    assert swapped[tuple(sorted(f(b"cat"))), tuple(sorted(f(b"bird")))] == 1 and swapped[tuple(sorted(f(b"doges"))), f(b"cat")] == 1
+    inserted = [c for g, c in swapped if not g]
+    assert len(inserted) == 1 and sum(swapped.values()) == 4
+    assert not toxicity.counterfactuals("", terms) and not toxicity.counterfactuals("x y", {})
+
+
 def test_quality(spark):
     docs, labels = labelled(spark, n=600)
     truth = {r.doc_id: r.quality for r in labels.collect()}
