@@ -10,7 +10,7 @@ The forest learns from labelled findings. Where none are given, `rule_labels` la
 not see: assigned to a secret's name or in a well-known format of keys, and so is every other place of that string, on
 one side; in the middle of a sentence on the other. So a value that is assigned to `token` but reads like words is
 found to be none, which the rule alone would report, and a key in a sentence is found. Stated placeholders are no
-secrets whatever the forest says.
+secrets whatever the forest says; these are words of the candidate itself.
 
 A finding is a place of a candidate in a document; each place has its own offset, neighbours and score. `scan` gives
 one place, the likeliest (the first of equals), for each candidate of a document. Null and empty texts have none.
@@ -141,7 +141,7 @@ def featured(found: DataFrame, words: dict[str, int]) -> DataFrame:
         "hash_word": has(around, HASH_WORDS),
         "code_word": has(around, CODE_WORDS),
         "number_word": has(around, NUMBER_WORDS),
-        "placeholder": has(F.concat_ws(" ", "before", F.lower(text)), rf"(?<!\p{{L}})({PLACEHOLDERS})(?!\p{{L}})"),
+        "placeholder": has(F.lower(text), rf"(?<!\p{{L}})({PLACEHOLDERS})(?!\p{{L}})"),
     }
     return found.select("*", *(c.alias(k) for k, c in made.items()))
 
