@@ -5,13 +5,19 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space `[\x20\x09-\x0D]`, which is also what bytes.split() and bytes.strip() take.
 SPACES = " \t\n\x0b\x0c\r"
 
+#: Edges that a task makes a star of at a time.
+CHUNK = 500_000
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -93,27 +99,64 @@ def hash_limit(share: float) -> int:
     return min(2**63 - 1, int(share * 2**64) - 2**63)
 
 
+def local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (v, u) of a task, CHUNK at a time, as stars: each node of a chunk with the smallest it reaches there."""
+    waiting: list[pa.RecordBatch] = []
+
+    def star() -> pa.RecordBatch:
+        v, u = (np.concatenate([b.column(k).to_numpy() for b in waiting]) for k in (0, 1))
+        nodes, at = np.unique(np.concatenate([v, u]), return_inverse=True)
+        one, other = at[: len(v)], at[len(v) :]
+        name = np.arange(len(nodes))
+        while True:
+            new = name.copy()
+            least = np.minimum(name[one], name[other])
+            np.minimum.at(new, name[one], least)
+            np.minimum.at(new, name[other], least)
+            new = new[new]
+            if (new == name).all():
+                break
+            name = new
+        out = name != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[out]), pa.array(nodes[name[out]])], ["v", "u"])
+
+    rows = 0
+    for batch in batches:
+        waiting.append(batch)
+        rows += batch.num_rows
+        if rows >= CHUNK:
+            yield star()
+            waiting, rows = [], 0
+    if rows:
+        yield star()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest id that a node reaches; only nodes that have an edge.
+    """(node, component) of longs: the smallest id that a node reaches; only nodes that have an edge.
 
-    Alternates two rewritings of the edges until each component is a star. In the first each node ties its larger
-    neighbours to the smallest id around it, in the second its smaller ones. Rounds grow with the logarithm of the
-    component's size. Every join meets a checkpointed table on both sides, so that a hub's edges can be split over
-    tasks.
+    Each task makes stars of its own edges. Then two rewritings of the edges alternate until each component is a star.
+    In the first each node ties its larger neighbours to the smallest id around it, in the second its smaller ones.
+    Rounds grow with the logarithm of the component's size. Every join meets a checkpointed table on both sides, so
+    that a hub's edges can be split over tasks.
     """
-    first, second = F.col(a), F.col(b)
-    tied = cut(edges.where(first != second).select(F.greatest(first, second).alias("v"), F.least(first, second).alias("u")).distinct())
+    first, second = F.col(a).cast("long"), F.col(b).cast("long")
+    tied = cut(edges.where(first != second).select(F.greatest(first, second).alias("v"), F.least(first, second).alias("u")))
     rows = tied.count()
+
+    def stars(df: DataFrame) -> DataFrame:
+        return cut(df.coalesce(min(partitions(df), rows // 20_000 + 1)).mapInArrow(local_stars, "v long, u long"))
+
+    tied = stars(tied)
     while True:
-        sides = tied.select(F.col("v").alias("node"), F.lit(1).alias("side")).unionByName(tied.select(F.col("u").alias("node"), F.lit(2).alias("side")))
+        sides = tied.select(F.col("v").alias("node"), "u", F.lit(1).alias("side")).unionByName(tied.select(F.col("u").alias("node"), F.lit(None).cast("long").alias("u"), F.lit(2).alias("side")))
         # in a star a leaf has one edge, upwards, and the centre has none upwards
-        kinds = sides.groupBy("node").agg(F.bit_or("side").alias("sides"), F.sum(F.when(F.col("side") == 1, 1)).alias("up"))
-        if not kinds.where("sides = 3 or up > 1").count():
+        kinds = sides.groupBy("node").agg(F.bit_or("side").alias("sides"), F.min("u").alias("low"), F.max("u").alias("high"))
+        if kinds.where("sides = 3 or low < high").isEmpty():
             break
         near = tied.unionByName(tied.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = cut(near.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m")), rows)
         up = cut(near.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct(), rows)
         least = cut(up.groupBy("v").agg(F.min("u").alias("m")), rows)
         down = up.join(least, "v").where("u != m").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        tied = cut(down.unionByName(least.withColumnRenamed("m", "u")).distinct(), rows)
-    return tied.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(tied.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+        tied = stars(down.unionByName(least.withColumnRenamed("m", "u")))
+    return tied.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(tied.select(F.col("u").alias("node"), F.col("u").alias("component"))).distinct()

@@ -181,7 +181,7 @@ def class_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, component) of all members that similar sets join. members: key (of a bucket), id, n and s, what others have too."""
     rows = members.count()
     hubs = cut(members.groupBy("key").agg(F.min(F.struct((F.lit(1) - F.col("s") / F.col("n")).alias("alone"), "id", "n", "s")).alias("hub")).select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.s").alias("hub_s")), rows)
-    met = members.join(hubs, "key")
+    met = cut(members.join(hubs, "key"), rows)
     pairs = cut(met.where((F.col("id") != F.col("hub")) & enough(F.least("s", "hub_s"), F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), rows)
     tested = compared(pairs, texts, pairs.count())
     groups = cut(connected_components(tested.where("link").select("a", "b")), rows)

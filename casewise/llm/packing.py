@@ -17,6 +17,7 @@ long texts become many pieces. Other columns are left behind, whatever their nam
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import re
@@ -206,7 +207,7 @@ class Search:
         self.spare = (most - 1) * capacity - self.rest
         self.waste = 0
         self.plan: list[tuple[tuple[int, ...], int]] = []
-        self.failed: dict[tuple, int] = {}
+        self.failed: dict[bytes, int] = {}
         self.reach = self.reachable(self.sizes, self.left)
 
     def step(self) -> None:
@@ -302,8 +303,11 @@ class Search:
                 self.sizes.insert(bisect_right(self.sizes, k), k)
         self.rest -= sum(pattern) * times
 
-    def state(self) -> tuple | None:
-        return tuple((k, self.left[k]) for k in self.sizes) if len(self.sizes) <= REMEMBERED else None
+    def state(self) -> bytes | None:
+        """A digest of what is left, so that failed states take little memory."""
+        if len(self.sizes) > REMEMBERED:
+            return None
+        return hashlib.blake2b(array("Q", (x for k in self.sizes for x in (k, self.left[k]))).tobytes(), digest_size=16).digest()
 
     def run(self) -> list[tuple[tuple[int, ...], int]] | None:
         """The plan; None if there is none, or if the steps end before the search does."""
