@@ -47,16 +47,27 @@ def score_levels(df: DataFrame, label: str, score: str, by: list[str] | None = N
     """
     by = by or []
     levels = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
+    return summed_levels(levels, score, by)
+
+
+def summed_levels(levels: DataFrame, score: str, by: list[str] | None = None) -> DataFrame:
+    """score_levels() of levels with p and n."""
     if by:
         above = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
         total = Window.partitionBy(*by)
         return levels.withColumns({"tp": F.sum("p").over(above), "fp": F.sum("n").over(above), "positives": F.sum("p").over(total), "negatives": F.sum("n").over(total)})
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = int(levels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     borders = levels.agg(F.percentile_approx(score, [k / ranges for k in range(1, ranges)], 1000)).first()[0] or []
-    part = F.lit(0)
-    for b in sorted(set(borders)):
-        part = part + F.when(F.col(score) >= b, 1).otherwise(0)
-    placed = levels.withColumn("_part", part)
+    borders = sorted(set(borders))
+
+    def part(low: int = 0, high: int = len(borders)):
+        """How many borders are at most the score, by halving."""
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col(score) < F.lit(borders[mid]), part(low, mid)).otherwise(part(mid + 1, high))
+
+    placed = levels.withColumn("_part", part())
     sums = placed.groupBy("_part").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
     higher = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     everything = Window.partitionBy()
@@ -81,11 +92,21 @@ def best_threshold(levels: DataFrame, score: str) -> DataFrame:
 
 
 def pooled(df: DataFrame, observed: str = "observed", predicted: str = "predicted", low: float = 40, high: float = 60) -> DataFrame:
-    """One row: regression, regions, ranking and thresholds for high and low targets."""
-    marked = errors(df, observed, predicted, low, high).withColumn("_down", -F.col(predicted))
+    """One row: regression, regions, ranking and thresholds for high and low targets.
+
+    Both rankings come from one table of score levels, which is kept while they are added up.
+    """
+    marked = errors(df, observed, predicted, low, high)
     one = marked.agg(*regression_columns(observed, predicted), *region_columns(observed, predicted, low, high), *threshold_columns(F.col("is_high"), F.col(predicted) > high, "high_"), *threshold_columns(F.col("is_low"), F.col(predicted) < low, "low_"))
-    up = ranking(score_levels(marked, "is_high", predicted)).toDF("high_auroc", "high_ap")
-    down = ranking(score_levels(marked, "is_low", "_down")).toDF("low_auroc", "low_ap")
+    known = marked.where(F.col("is_high").isNotNull() & F.col(predicted).isNotNull())
+    sides = [F.sum(F.col(c).cast("long")).alias(c) for c in ("is_high", "is_low")]
+    levels = known.groupBy(predicted).agg(*sides, F.count("*").alias("_all")).persist()
+
+    def side(label: str, sign: int) -> DataFrame:
+        return summed_levels(levels.select((sign * F.col(predicted)).alias("_score"), F.col(label).alias("p"), (F.col("_all") - F.col(label)).alias("n")), "_score")
+
+    up = ranking(side("is_high", 1)).toDF("high_auroc", "high_ap")
+    down = ranking(side("is_low", -1)).toDF("low_auroc", "low_ap")
     return one.join(F.broadcast(up)).join(F.broadcast(down))  # one row each
 
 

@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def alignment(one: DataFrame, other: DataFrame, keys: list[str], values: list[str], tolerance: float = 0.0) -> DataFrame:
-    """One row: keys missing in either table, copies in either, and rows whose values differ (as 32-bit floats, null-safe)."""
-    a = one.select(*keys, *(F.col(v).alias(f"_a_{v}") for v in values), F.lit(1).alias("_a"))
-    b = other.select(*(F.col(k).alias(f"_k_{k}") for k in keys), *(F.col(v).alias(f"_b_{v}") for v in values), F.lit(1).alias("_b"))
+def alignment(one: DataFrame, other: DataFrame, keys: list[str], values: list[str], tolerance: float = 0.0, order: str | None = None) -> DataFrame:
+    """One row: keys missing in either table, copies in either, and rows whose values differ (as 32-bit floats, null-safe).
+
+    order: a column of both that gives the rows' places; then also rows that stand elsewhere in the other table, and
+    the first place of the one table at which anything is amiss.
+    """
+    place = [order] if order else []
+    a = one.select(*keys, *(F.col(v).alias(f"_a_{v}") for v in [*values, *place]), F.lit(1).alias("_a"))
+    b = other.select(*(F.col(k).alias(f"_k_{k}") for k in keys), *(F.col(v).alias(f"_b_{v}") for v in [*values, *place]), F.lit(1).alias("_b"))
     on = None
     for k in keys:
         on = F.col(k).eqNullSafe(F.col(f"_k_{k}")) if on is None else on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
@@ -21,11 +26,26 @@ def alignment(one: DataFrame, other: DataFrame, keys: list[str], values: list[st
         x, y = F.col(f"_a_{v}").cast("float"), F.col(f"_b_{v}").cast("float")
         return F.when(x.isNull() | y.isNull(), ~x.eqNullSafe(y)).otherwise(F.abs(x - y) > tolerance)
 
-    counts = both.agg(F.count(F.when(F.col("_a").isNull(), 1)).alias("missing_left"), F.count(F.when(F.col("_b").isNull(), 1)).alias("missing_right"), *(F.count(F.when(paired & differs(v), 1)).alias(f"differ_{v}") for v in values))
+    extra = []
+    if order:
+        moved = F.col(f"_a_{order}") != F.col(f"_b_{order}")
+        amiss = F.col("_b").isNull() | moved
+        for v in values:
+            amiss = amiss | differs(v)
+        extra = [F.count(F.when(paired & moved, 1)).alias("moved"), F.min(F.when(amiss, F.col(f"_a_{order}"))).alias("first_mismatch")]
+    counts = both.agg(F.count(F.when(F.col("_a").isNull(), 1)).alias("missing_left"), F.count(F.when(F.col("_b").isNull(), 1)).alias("missing_right"), *(F.count(F.when(paired & differs(v), 1)).alias(f"differ_{v}") for v in values), *extra)
     copies = lambda df, name: df.groupBy(*keys).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias(name))
     return counts.join(F.broadcast(copies(one, "copies_left"))).join(F.broadcast(copies(other, "copies_right")))  # one row each
 
 
+def mismatches(one: DataFrame, other: DataFrame, keys: list[str], value: str, most: int = 10, tolerance: float = 0.0) -> DataFrame:
+    """keys, left and right: the first rows, by key, whose values differ; `most` of them at most, to be shown."""
+    b = other.select(*keys, F.col(value).cast("float").alias("right"))
+    both = one.select(*keys, F.col(value).cast("float").alias("left")).join(b, keys)
+    differs = F.coalesce(F.abs(F.col("left") - F.col("right")) > tolerance, ~F.col("left").eqNullSafe(F.col("right")))
+    return both.where(differs).orderBy(*keys).limit(most)
+
+
 def metadata_alignment(predictions: DataFrame, metadata: DataFrame, key: str, agree: list[str]) -> DataFrame:
     """One row: keys that occur more than once, keys of either table that the other lacks, and rows that disagree in a column."""
     copies = predictions.groupBy(key).count().agg(F.count(F.when(F.col("count") > 1, 1)).alias("repeated"))

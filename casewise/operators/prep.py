@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,16 +12,23 @@ from pyspark.sql.window import Window
 def fit_scaling(train: DataFrame, features: list[str], categorical: list[str] | None = None) -> DataFrame:
     """feature, categorical, fill, mean, scale, seen. Means and deviations are those after filling.
 
-    Two passes: fills (median, or the lowest most frequent value), then population moments of the filled columns.
+    One pass: fills (median, or the lowest most frequent value) and population moments of what is seen; the moments of
+    the filled columns follow, since all that is filled in is one value.
     """
     categorical = categorical or []
-    fill = train.agg(*((F.mode(c, True) if c in categorical else F.median(c)).cast("double").alias(c) for c in features), *(F.count(c).alias(f"_n_{c}") for c in features)).first().asDict()
+    of = lambda c: F.col(c).cast("double")
+    fill = train.agg(F.count("*").alias("_rows"), *(x for c in features for x in ((F.mode(c, True) if c in categorical else F.median(c)).cast("double").alias(c), F.count(of(c)).alias(f"_n_{c}"), F.avg(of(c)).alias(f"_m_{c}"), F.var_pop(of(c)).alias(f"_v_{c}")))).first().asDict()
     missing = [c for c in features if not fill[f"_n_{c}"]]
     if missing:
         raise ValueError(f"nothing seen of {missing}")
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(fill[c])) for c in features}
-    moments = train.agg(*(F.avg(filled[c]).alias(f"m_{c}") for c in features), *(F.stddev_pop(filled[c]).alias(f"s_{c}") for c in features)).first().asDict()
-    rows = [(c, c in categorical, fill[c], moments[f"m_{c}"], moments[f"s_{c}"] or 1.0, fill[f"_n_{c}"]) for c in features]
+    rows = []
+    for c in features:
+        seen, total, own = fill[f"_n_{c}"], fill["_rows"], fill[f"_m_{c}"]
+        mean = own + (fill[c] - own) * (total - seen) / total
+        variance = (seen * (fill[f"_v_{c}"] + (own - mean) ** 2) + (total - seen) * (fill[c] - mean) ** 2) / total
+        # what rounding leaves of a constant column's variance is none
+        scale = math.sqrt(variance) if variance > 1e-24 * max(1.0, mean * mean) else 1.0
+        rows.append((c, c in categorical, fill[c], mean, scale, seen))
     return train.sparkSession.createDataFrame(rows, "feature string, categorical boolean, fill double, mean double, scale double, seen long")
 
 
@@ -140,3 +149,11 @@ def window_faults(df: DataFrame, length: int, interval: int, horizon: int, low:
         "labels": (F.col("y_high") == (F.col("y") > high).cast("int")) & (F.col("y_low") == (F.col("y") < low).cast("int")),
     }
     return df.agg(F.count("*").alias("windows"), *(F.count(F.when(~F.coalesce(r, F.lit(False)), 1)).alias(k) for k, r in rules.items()))
+
+
+def target_faults(df: DataFrame, grid: DataFrame, value: str, y: str = "y", case: str = "caseid", time: str = "timestamp", tolerance: float = 1e-6) -> DataFrame:
+    """One row: windows, those whose target time the resampled table lacks, and those whose target is not its value there."""
+    truth = grid.select(F.col(case).alias("_case"), F.col(time).alias("_time"), F.col(value).alias("_value"))
+    both = df.join(truth, (F.col("case_id") == F.col("_case")) & (F.col("target_ts") == F.col("_time")), "left")
+    wrong = F.col("_case").isNotNull() & ~F.coalesce(F.abs(F.col(y) - F.col("_value")) <= tolerance, F.col(y).isNull() & F.col("_value").isNull())
+    return both.agg(F.count("*").alias("windows"), F.count(F.when(F.col("_case").isNull(), 1)).alias("absent"), F.count(F.when(wrong, 1)).alias("wrong"))

@@ -256,7 +256,7 @@ def f11_consensus(spark, d):
     return select.consensus({"high": f.select("feature", (F.col("frequency") >= 0.6).alias("stable")), "short": f.select("feature", F.col("feature").isin("click", "view").alias("stable"))}, f)
 
 
-@query("SELECT subset, features, len(string_split(features, ',')) AS size FROM (SELECT subset, features, place, row_number() OVER (PARTITION BY features ORDER BY place) AS k FROM (SELECT s.place, s.subset, string_agg(DISTINCT feature, ',' ORDER BY feature) AS features FROM (VALUES (0, 'a'), (1, 'b'), (2, 'both'), (3, 'either'), (4, 'clusters')) s(place, subset) JOIN freq ON CASE subset WHEN 'a' THEN frequency >= 0.6 WHEN 'b' THEN feature <= 'purchase' WHEN 'both' THEN frequency >= 0.6 AND feature <= 'purchase' WHEN 'either' THEN frequency >= 0.6 OR feature <= 'purchase' ELSE feature IN (SELECT arg_max(feature, frequency) FROM freq GROUP BY length(feature) % 2) END OR feature = 'view' GROUP BY 1, 2)) WHERE k = 1")
+@query("SELECT subset, features, len(string_split(features, ',')) AS size FROM (SELECT subset, features, place, row_number() OVER (PARTITION BY features ORDER BY place) AS k FROM (SELECT s.place, s.subset, string_agg(DISTINCT feature, ',' ORDER BY feature) AS features FROM (VALUES (0, 'a'), (1, 'b'), (2, 'both'), (3, 'either'), (4, 'clusters')) s(place, subset) JOIN freq ON CASE subset WHEN 'a' THEN frequency >= 0.6 WHEN 'b' THEN feature <= 'purchase' WHEN 'both' THEN frequency >= 0.6 AND feature <= 'purchase' WHEN 'either' THEN frequency >= 0.6 OR feature <= 'purchase' ELSE feature IN (SELECT feature FROM (SELECT feature, row_number() OVER (PARTITION BY length(feature) % 2 ORDER BY frequency DESC, feature) AS nth FROM freq) WHERE nth = 1) END OR feature = 'view' GROUP BY 1, 2)) WHERE k = 1")
 def f12_candidate_sets(spark, d):
     f = freq(spark, d)
     clusters = f.select("feature", (F.length("feature") % 2).alias("cluster"))

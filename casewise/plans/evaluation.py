@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
+from casewise import sources as src
 from casewise.operators import clean, contracts, metrics, pairing, prep, splits
 from casewise.plans.queries import AHEAD, CTE, DAY, DRAW, LENGTH, QUERIES, SQL, R, grid, holes, pred, query, rounded, runt, sig, table, wins, wts
 
@@ -147,15 +151,82 @@ def n8_standardized_difference(spark, d):
     return rounded(prep.standardized_difference(w, "y", "split", "train", "test"))
 
 
-@query("SELECT split, b.cases >= 10 AS enough_cases, least(high_cases, low_cases) >= 2 AS enough_events, top2 < 0.5 AS not_dominated, b.cases >= 10 AND least(high_cases, low_cases) >= 2 AND top2 < 0.5 AS accepted FROM bal b JOIN cov c USING (split)")
+CTE["diffs"] = "diffs AS (SELECT o.split, abs(t.high - o.high) <= 0.1 AND abs(t.low - o.low) <= 0.1 AND abs(coalesce((t.m - o.m) / nullif(sqrt((t.v + o.v) / 2), 0), 0)) <= 0.5 AS alike FROM (SELECT split, avg(CASE WHEN y > 60 THEN 1.0 ELSE 0.0 END) AS high, avg(CASE WHEN y < 40 THEN 1.0 ELSE 0.0 END) AS low, avg(y) AS m, var_pop(y) AS v FROM win JOIN splitted ON caseid = case_id GROUP BY 1) o, (SELECT avg(CASE WHEN y > 60 THEN 1.0 ELSE 0.0 END) AS high, avg(CASE WHEN y < 40 THEN 1.0 ELSE 0.0 END) AS low, avg(y) AS m, var_pop(y) AS v FROM win JOIN splitted ON caseid = case_id WHERE split = 'train') t)"
+CTE["gaps"] = "gaps AS (SELECT max(least(share, 1)) <= 0.3 AS available FROM (SELECT split, avg(CASE WHEN bis IS NULL THEN 1.0 ELSE 0.0 END) AS share FROM parts GROUP BY 1 UNION ALL SELECT split, avg(CASE WHEN aux IS NULL THEN 1.0 ELSE 0.0 END) FROM parts GROUP BY 1))"
+
+
+@query("SELECT split, enough_cases, enough_events, not_dominated, targets_alike, available AS features_available, enough_cases AND enough_events AND not_dominated AND targets_alike AND available AS accepted FROM (SELECT split, b.cases >= 10 AS enough_cases, least(high_cases, low_cases) >= 2 AS enough_events, top2 < 0.5 AS not_dominated, alike AS targets_alike FROM bal b JOIN cov c USING (split) JOIN diffs USING (split)), gaps")
 def n9_acceptance(spark, d):
     c = ct(spark, d)
-    return prep.acceptance(prep.split_balance(c), prep.event_coverage(c))
+    p = parts(spark, d)
+    fit = fitted(spark, d)
+    ranges = spark.createDataFrame([("bis", 0.0, 100.0), ("aux", 0.0, 100.0)], "feature string, train_min double, train_max double")
+    named = wins(spark, d).join(splitted(spark, d).withColumnRenamed("caseid", "case_id"), "case_id")
+    return prep.acceptance(prep.split_balance(c), prep.event_coverage(c), differences=prep.target_differences(named), drift=prep.drift_audit(p, ["bis", "aux"], fit, ranges))
+
+
+def broken(w):
+    """Windows in which each rule is broken for some cases."""
+    case = F.col("case_id")
+    nan = F.array(F.lit(float("nan")).cast("double"), F.element_at("x", -1)[1].cast("double"))
+    x = F.when(case % 4 == 0, F.concat(F.slice("x", 1, LENGTH - 1), F.array(nan))).otherwise(F.col("x"))
+    w = w.withColumn("x", x)
+    return w.withColumns({"x": F.when(case % 3 == 0, F.slice("x", 2, LENGTH - 1)).otherwise(F.col("x")), "target_ts": F.col("target_ts") + F.when(case % 5 == 0, 1).otherwise(0), "first_ts": F.col("first_ts") - F.when(case % 7 == 0, 1).otherwise(0), "y_high": F.when(case % 11 == 0, 1 - F.col("y_high")).otherwise(F.col("y_high"))})
 
 
-@query("SELECT count(*) AS windows, 0::BIGINT AS steps, 0::BIGINT AS finite, 0::BIGINT AS mask, 0::BIGINT AS offset, 0::BIGINT AS span, 0::BIGINT AS labels FROM win".replace(" AS offset", ' AS "offset"'))
+@query('SELECT count(*) AS windows, count(*) FILTER (WHERE case_id % 3 = 0) AS steps, count(*) FILTER (WHERE case_id % 4 = 0) AS finite, count(*) FILTER (WHERE case_id % 3 = 0) AS mask, count(*) FILTER (WHERE case_id % 5 = 0) AS "offset", count(*) FILTER (WHERE case_id % 7 = 0) AS span, count(*) FILTER (WHERE case_id % 11 = 0) AS labels FROM win')
 def n10_window_integrity(spark, d):
-    return prep.window_faults(wins(spark, d), LENGTH, DAY, AHEAD)
+    return prep.window_faults(broken(wins(spark, d)), LENGTH, DAY, AHEAD)
+
+
+@query("SELECT count(*) AS windows, count(*) FILTER (WHERE case_id % 5 = 0) AS absent, count(*) FILTER (WHERE case_id % 6 = 0 AND case_id % 5 <> 0) AS wrong FROM win")
+def n10_target_values(spark, d):
+    moved = broken(wins(spark, d)).withColumn("y", F.col("y") + F.when(F.col("case_id") % 6 == 0, 1.0).otherwise(0.0))
+    return prep.target_faults(moved, grid(spark, d), "bis")
+
+
+# sinks and what reads them again
+
+def folder(spark):
+    """A new folder that driver and executors share; a temporary one only in local sessions without spark.checkpoint.dir."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/sink-{uuid.uuid4().hex}"
+
+
+@query("SELECT case_id, final_ts, CAST(s AS INT) AS step, g.bis AS bis, g.aux AS aux, y FROM win JOIN splitted ON caseid = case_id, range(6) r(s) JOIN grid g ON g.caseid = case_id AND g.timestamp = first_ts + s * 86400 WHERE split = 'test'")
+def s6_window_sink(spark, d):
+    path = folder(spark)
+    src.write_windows(wins(spark, d).join(splitted(spark, d).withColumnRenamed("caseid", "case_id"), "case_id"), path)
+    return src.read_windows(spark, path, "test").select("case_id", "final_ts", "y", F.posexplode("x").alias("step", "r")).select("case_id", "final_ts", "step", F.col("r")[0].alias("bis"), F.col("r")[1].alias("aux"), "y")
+
+
+@query("SELECT caseid, split FROM splitted WHERE caseid % 3 <> 0")
+def s7_split_sink(spark, d):
+    path = folder(spark)
+    src.write_split(splitted(spark, d), path)
+    return src.read_split(spark, path, grid(spark, d).where("caseid % 3 != 0"), needed=("train",))
+
+
+@query(f"SELECT feature, categorical, {R('fill', 'mean', 'scale')}, seen, 6 AS steps, (SELECT count(*) FROM splitted) AS cases FROM fitted")
+def s9_report_sink(spark, d):
+    path = folder(spark)
+    manifest = splitted(spark, d).groupBy("split").agg(F.count("*").alias("cases"))
+    src.write_dataset_report(path, {"steps": LENGTH, "interval": DAY}, fitted(spark, d), manifest)
+    metadata, statistics, counts = src.read_dataset_report(spark, path)
+    total = counts.agg(F.sum("cases").alias("cases"))
+    return rounded(statistics.crossJoin(F.broadcast(total)).withColumn("steps", F.lit(metadata["steps"])).select("feature", "categorical", "fill", "mean", "scale", "seen", "steps", "cases"))
+
+
+@query("SELECT model, seed, count(*) AS n, round(avg(abs(predicted - observed)), 6) AS mae FROM (SELECT 'last' AS model, CAST(case_id % 2 AS VARCHAR) AS seed, observed, predicted FROM pred UNION ALL SELECT 'shifted', CAST(case_id % 2 AS VARCHAR), observed, predicted + 1 FROM pred) GROUP BY 1, 2")
+def s10_run_tables(spark, d):
+    path = folder(spark)
+    p = pred(spark, d)
+    both = p.withColumn("model", F.lit("last")).unionByName(p.withColumn("predicted", F.col("predicted") + 1).withColumn("model", F.lit("shifted")))
+    both.withColumn("seed", F.col("case_id") % 2).write.partitionBy("model", "seed").parquet(path)
+    runs_ = src.run_tables(spark, f"{path}/*/*", r"model=(?P<model>[a-z]+)/seed=(?P<seed>[0-9]+)", ["case_id", "target_ts", "observed", "predicted"], ["case_id", "target_ts"])
+    return rounded(runs_.groupBy("model", "seed").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("predicted") - F.col("observed"))).alias("mae")))
 
 
 # metrics
@@ -262,17 +333,30 @@ def j2_key_unique_join(spark, d):
     return contracts.key_unique_join(table(spark, d, "labels"), table(spark, d, "documents").select("doc_id", "lang"), ["doc_id"]).select("doc_id", "quality", "lang")
 
 
-@query("SELECT (SELECT count(*) FROM pred WHERE case_id % 7 = 1) AS missing_left, (SELECT count(*) FROM pred WHERE case_id % 5 = 1) AS missing_right, 0::BIGINT AS differ_observed, (SELECT count(*) FROM pred WHERE case_id % 5 <> 1 AND case_id % 7 <> 1 AND case_id % 3 = 0) AS differ_predicted, 0::BIGINT AS copies_left, 0::BIGINT AS copies_right")
+COPIES = "CASE WHEN case_id % 11 = 0 THEN 2 ELSE 1 END"
+
+
+@query(f"""SELECT (SELECT sum({COPIES}) FROM pred WHERE case_id % 7 = 1 AND case_id % 5 <> 1)::BIGINT AS missing_left, (SELECT count(*) FROM pred WHERE case_id % 5 = 1 AND case_id % 7 <> 1) AS missing_right,
+  sum(CASE WHEN case_id % 13 = 0 THEN {COPIES} ELSE 0 END)::BIGINT AS differ_observed, sum(CASE WHEN case_id % 3 = 0 THEN {COPIES} ELSE 0 END)::BIGINT AS differ_predicted, sum(CASE WHEN case_id % 17 = 0 THEN {COPIES} ELSE 0 END)::BIGINT AS moved,
+  (SELECT min(final_ts) FROM pred WHERE case_id % 7 <> 1 AND (case_id % 5 = 1 OR case_id % 13 = 0 OR case_id % 3 = 0 OR case_id % 17 = 0)) AS first_mismatch,
+  0::BIGINT AS copies_left, (SELECT count(*) FROM pred WHERE case_id % 5 <> 1 AND case_id % 11 = 0) AS copies_right FROM pred WHERE case_id % 5 <> 1 AND case_id % 7 <> 1""")
 def j3_alignment(spark, d):
     p = pred(spark, d)
-    other = p.where("case_id % 5 != 1").withColumn("predicted", F.col("predicted") + F.when(F.col("case_id") % 3 == 0, 5.0).otherwise(0.0))
-    return _align(p, other)
+    return pairing.alignment(p.where("case_id % 7 != 1"), faulty(p), ["case_id", "target_ts"], ["observed", "predicted"], order="final_ts")
+
+
+def faulty(p):
+    """Forecasts in which cases are missing, twice, moved in time, or changed in either value."""
+    case = F.col("case_id")
+    other = p.where("case_id % 5 != 1").withColumns({"predicted": F.col("predicted") + F.when(case % 3 == 0, 5.0).otherwise(0.0), "observed": F.col("observed") + F.when(case % 13 == 0, 1.0).otherwise(0.0), "final_ts": F.col("final_ts") + F.when(case % 17 == 0, 1).otherwise(0)})
+    return other.unionByName(other.where("case_id % 11 = 0"))
 
 
-def _align(p, other):
-    out = pairing.alignment(p.where("case_id % 7 != 1"), other, ["case_id", "target_ts"], ["observed", "predicted"])
-    both = p.where("case_id % 7 = 1 and case_id % 5 = 1").count()  # rows that neither side has
-    return out.withColumns({"missing_left": F.col("missing_left") + both, "missing_right": F.col("missing_right") + both})
+@query("SELECT case_id, target_ts, round(CAST(predicted AS FLOAT)::DOUBLE, 6) AS \"left\", round(CAST(predicted + 5 AS FLOAT)::DOUBLE, 6) AS \"right\" FROM pred WHERE case_id % 5 <> 1 AND case_id % 3 = 0 AND case_id % 11 <> 0 ORDER BY case_id, target_ts LIMIT 10")
+def j3_mismatches(spark, d):
+    p = pred(spark, d).where("case_id % 11 != 0")
+    found = pairing.mismatches(p, faulty(p), ["case_id", "target_ts"], "predicted")
+    return rounded(found.withColumns({c: F.col(c).cast("double") for c in ("left", "right")}))
 
 
 @query("SELECT (SELECT count(*) FROM documents d ANTI JOIN labels l USING (doc_id)) AS uncovered, 0::BIGINT AS unknown, (SELECT count(*) FROM labels l JOIN documents d USING (doc_id) WHERE l.quality <> CAST(d.lang = 'en' AS INT)) AS differ_quality, 0::BIGINT AS repeated")

@@ -64,7 +64,7 @@ CTE = {
     "cells": "cells AS (SELECT o_orderpriority AS condition, o_orderstatus AS model, year(o_orderdate) AS seed, o_custkey % 40 AS caseid, avg(o_totalprice / 1000) AS mae, count(*) AS windows FROM orders GROUP BY 1, 2, 3, 4)",
     "runt": "runt AS (SELECT condition, model, seed, avg(mae) AS case_mae, count(*) AS cases, sum(windows) AS windows FROM cells GROUP BY 1, 2, 3)",
     "wts": """wts AS (SELECT label AS run, vec_id AS sample, vec_id % 20 AS caseid, i AS feature, abs(embedding[i]) / s AS weight, true AS observed FROM (
-        SELECT label, vec_id, embedding, unnest(range(1, 17)) AS i, list_sum(list_transform(embedding[1:16], lambda x: abs(CAST(x AS DOUBLE)))) AS s FROM embeddings))""",
+        SELECT label, vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i, list_sum(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) AS s FROM embeddings))""",
 }
 
 
@@ -108,7 +108,7 @@ def runt(spark: SparkSession, d: str) -> DataFrame:
 
 
 def wts(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select(F.col("label").alias("run"), F.col("vec_id").alias("sample"), (F.col("vec_id") % 20).alias("caseid"), F.transform(F.slice("embedding", 1, 16), lambda x: F.abs(x.cast("double"))).alias("w"))
+    e = table(spark, d, "embeddings").select(F.col("label").alias("run"), F.col("vec_id").alias("sample"), (F.col("vec_id") % 20).alias("caseid"), F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("w"))
     total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
     return e.select("run", "sample", "caseid", total.alias("s"), F.posexplode("w").alias("i", "w")).select("run", "sample", "caseid", (F.col("i") + 1).cast("long").alias("feature"), (F.col("w") / F.col("s")).alias("weight"), F.lit(True).alias("observed"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,12 +104,45 @@ def run_tables(spark: SparkSession, glob: str, pattern: str, required: list[str]
     bad: Column = F.lit(False)
     for c in ("observed", "predicted"):
         if c in out.columns:
-            bad = bad | F.col(c).isNull() | F.isnan(c)
+            bad = bad | F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
     if out.where(bad).limit(1).count():
         raise ContractError("values that are missing or not finite")
     return require_unique(out, [*names, *key])
 
 
+def write_split(split: DataFrame, path: str, case: str = "caseid") -> None:
+    """A folder of case ids for each split."""
+    split.select(case, "split").write.partitionBy("split").parquet(path)
+
+
+def read_split(spark: SparkSession, path: str, cases: DataFrame | None = None, needed: tuple[str, ...] = ("train", "val", "test"), case: str = "caseid") -> DataFrame:
+    """(case, split): no case twice, no split empty. cases: only these are kept, and each of them must have a split."""
+    out = require_unique(spark.read.parquet(path).select(F.col(case).cast("long").alias(case), "split"), [case])
+    if cases is not None:
+        wanted = cases.select(F.col(case).cast("long").alias(case)).distinct()
+        if uncovered := wanted.join(out, case, "left_anti").count():
+            raise ContractError(f"{uncovered} cases are in no split")
+        out = out.join(wanted, case, "left_semi")
+    found = {r[0] for r in out.select("split").distinct().collect()}  # a few names
+    if missing := sorted(set(needed) - found):
+        raise ContractError(f"no cases in {missing}")
+    return out
+
+
+def write_dataset_report(path: str, metadata: dict, statistics: DataFrame, manifest: DataFrame) -> None:
+    """Small tables beside a data set: metadata.json, statistics.json and manifest.json under path."""
+    spark = statistics.sparkSession
+    spark.createDataFrame([(json.dumps(metadata, sort_keys=True),)], "metadata string").write.json(f"{path}/metadata.json")
+    write_report(statistics, f"{path}/statistics.json")
+    write_report(manifest, f"{path}/manifest.json")
+
+
+def read_dataset_report(spark: SparkSession, path: str) -> tuple[dict, DataFrame, DataFrame]:
+    """metadata, statistics and manifest."""
+    metadata = json.loads(spark.read.schema("metadata string").json(f"{path}/metadata.json").first()[0])
+    return metadata, spark.read.json(f"{path}/statistics.json"), spark.read.json(f"{path}/manifest.json")
+
+
 def split_lists(spark: SparkSession, paths: dict[str, str], case: str = "caseid") -> DataFrame:
     """(case, split) from one list for each split."""
     out = None
