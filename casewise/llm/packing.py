@@ -20,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-import re
 from array import array
 from bisect import bisect_right
 from collections import Counter
@@ -70,7 +69,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder().values()
         # a text that spells such a token is encoded as a whole
-        self.special = re.compile("|".join(re.escape(t.content) for t in added)) if added else None
+        self.special = [t.content for t in added]
         with open(path) as f:
             kind = json.load(f)
         splits = (kind.get("pre_tokenizer") or {}).get("pretokenizers") or []
@@ -122,19 +121,19 @@ class WordEncoder:
         if self.by_word and self.compared < COMPARED:
             # a worker's first texts are encoded both ways
             self.compared += 1
-            self.by_word = self.encode_by_word(texts[:8]) == self.encode_whole(texts[:8])
+            sample = [t[:2000] for t in texts[:8]]
+            self.by_word = self.encode_by_word(sample) == self.encode_whole(sample)
         return self.encode_by_word(texts) if self.by_word else self.encode_whole(texts)
 
     def encode_whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode_by_word(self, texts: list[str]) -> list[bytes]:
-        if self.special:
-            found = [k for k, t in enumerate(texts) if self.special.search(t)]
-            if found:
-                plain = iter(self.encode_by_word([t for t in texts if not self.special.search(t)]))
-                whole = dict(zip(found, self.encode_whole([texts[k] for k in found]), strict=True))
-                return [whole[k] if k in whole else next(plain) for k in range(len(texts))]
+        found = [k for k, t in enumerate(texts) if any(x in t for x in self.special)]
+        if found:
+            whole = dict(zip(found, self.encode_whole([texts[k] for k in found]), strict=True))
+            plain = iter(self.encode_by_word([t for k, t in enumerate(texts) if k not in whole]))
+            return [whole[k] if k in whole else next(plain) for k in range(len(texts))]
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         new = set(chain.from_iterable(split)).difference(self.words)
         if len(self.words) + len(new) > WORDS_KEPT:
