@@ -89,7 +89,7 @@ def spread(classes: DataFrame, pivots: dict, radius: float, copies: bool, radii:
             frame["width"] = frame.embedding.str.len()
             for (label, width), group in frame.groupby(["label", "width"]):
                 centres = pivots.get((label, width))
-                if centres is None:  # a rare width that no pivot has: one cell
+                if centres is None:  # few vectors, or a rare width that no pivot has: one cell
                     out = group.assign(cell=0, home=True, far=0.0)
                 else:
                     rows = unit(np.stack(group.embedding.to_numpy()))
@@ -153,7 +153,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, b
     pivots = pivots_of(classes, cell, most_pivots)
     radius = math.sqrt(max(0.0, 2 - 2 * cosine))
     at_home = spread(classes.select("label", "id", "n", "embedding"), pivots, radius, False)
-    cells = at_home.groupBy("label", "width", "cell").agg(F.max("far")).collect()  # at most one row for each pivot
+    many = F.col("label").isin(sorted({label for label, _ in pivots})) if pivots else F.lit(False)
+    cells = at_home.where(many).groupBy("label", "width", "cell").agg(F.max("far")).collect()  # at most one row for each pivot
     radii = {(r[0], r[1], r[2]): r[3] for r in cells}
     placed = cut(spread(classes.select("label", "id", "n", "embedding"), pivots, radius, True, radii))
     where = ["label", "width", "cell"]

@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import functions as F
 
 from casewise.llm import fingerprints, linededup, minhash, mixing, packing, quality, secretscan, sharding, toxicity, vectors
-from casewise.llm.common import connected_components, held_out
+from casewise.llm.common import connected_components, held_out, hot_join
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, key string"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -282,6 +282,76 @@ def test_near_duplicates_in_crowded_buckets(spark):
     assert got == want
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(5, a, 1), (3, a, 1), (5, b, 1), (9, b, 1), (None, a, 1), (None, "", 1), (7, c, 1), (7, c, 1), (8, None, 1), (2, " \t", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone int")
+    got = sorted(((r.doc_id or 0), r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect() if r.doc_id is not None)
+    # both texts of document 5 are its own, so that what is like either is one group
+    assert got == [(2, 0, 2, True), (3, 36, 3, True), (5, 36, 3, False), (5, 36, 3, False), (7, 36, 7, True), (7, 36, 7, True), (8, 0, 8, True), (9, 36, 3, False)]
+    loose = [(r.component_id, r.kept) for r in minhash.near_duplicates(docs).where("doc_id is null").collect()]
+    assert loose == [(None, True)] * 2
+    kept = minhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 2, 3, 7, 7, 8]
+
+
+def test_hot_join_keeps_every_row(spark):
+    left = spark.createDataFrame([(k, 1 if k % 3 else None if k % 2 else k) for k in range(9000)], "id long, key long")
+    counts = left.where("key is not null").groupBy("key").count()
+    right = counts.withColumnRenamed("count", "rows").withColumn("double", F.col("key") * 2)
+    got = {r.id: r.double for r in hot_join(left, right.where("key % 5 != 0 or key = 0"), ["key"], "rows").collect()}
+    assert len(got) == 9000
+    for r in left.collect():
+        assert got[r.id] == (None if r.key is None or r.key % 5 == 0 and r.key else r.key * 2)
+
+
+def test_clashing_names_and_null_ids(spark):
+    line = "a line that is long enough to be counted by all of them"
+    names = "doc_id long, text string, source string, lang string, n_chars long, _id int, _drop int, n_lines int, n_dropped int, _words int, _row int, _s int, _toxic int, _gone int, gone int"
+    rows = [(None if k == 6 else k, f"{line}\nown text {k}", None if k % 2 else "s", "en", 5, *range(10)) for k in range(8)]
+    docs = spark.createDataFrame(rows, names)
+    kept = linededup.dedup_lines(docs)
+    assert kept.columns[: len(docs.columns)] == docs.columns and len(set(kept.columns)) == len(docs.columns) + 2
+    lost = {r.doc_id for r in kept.collect() if r[-1]}
+    assert lost == {0, 1, 2, 3, 4, 5} and kept.count() == 8
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() >= 8
+    assert minhash.drop_near_duplicates(docs).columns == docs.columns
+    assert sharding.shard_documents(docs, 2).count() == 8 and mixing.mix(docs).count() == 8
+    nothing = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, "x y", "b")], "doc_id long, text string, source string")
+    assert {r.doc_id: r.taken for r in mixing.mix(nothing).collect()} == {1: 0, 2: 0, 3: 3}
+
+
+def test_near_vectors_of_any_label_and_repeated_ids(spark):
+    one, two, three = [1.0, 0.0, 0.1], [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, one, 0.5), (2, two, 0.5), (2, three, 0.5), (3, two, float("nan")), (4, one, float("nan")), (None, one, 0.5), (5, [0.0, 0.0, 0.0], 0.5), (6, None, 0.5), (7, one, None), (8, two, 0.5)]
+    got = [tuple(r) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label double")).collect()]
+    assert sorted(x for x in got if x[0]) == [(1, 2, 1, True), (2, 0, 2, True), (2, 2, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True), (8, 2, 1, False)]
+    assert [x for x in got if not x[0]] == [(None, 0, None, True)]
+
+
+def test_equal_texts_share_a_shard(spark):
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcdef ") for _ in range(r.randint(20, 400))) for _ in range(900)]
+    rows = [(k, texts[k % 900]) for k in range(2700)] + [(None, "none"), (None, "none"), (5000, None)]
+    shards = defaultdict(set)
+    sizes = Counter()
+    for x in sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect():
+        shards[x.text].add(x.shard)
+        sizes[x.shard] += x.size
+    assert all(len(s) == 1 for s in shards.values()) and len(sizes) == 8
+    assert max(sizes.values()) - min(sizes.values()) <= 0.05 * sum(sizes.values()) / 8
+
+
+def test_fingerprints_of_null_and_repeated_ids(spark):
+    rows = [(3, "three three three"), (5, "five b"), (5, "five a"), (None, "null z text"), (None, None), (1, "one")]
+    frame = spark.createDataFrame([*rows, *((k, f"text {k} of many") for k in range(10, 60))], "doc_id long, text string")
+    order = sorted(((k if k is not None else -1, t or "") for k, t in [*rows, *((k, f"text {k} of many") for k in range(10, 60))]), key=lambda x: (-x[0], x[1]))
+    want = sorted((k, fingerprints.edited(t, order[(n + 1) % len(order)][1])) for n, (k, t) in enumerate(order))
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.edited) for r in fingerprints.next_fingerprints(frame).collect())
+    assert got == want
+
+
 def test_connected_components(spark):
     r = random.Random(2)
     edges = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(501, 700)] + [(r.randrange(1000, 1100), r.randrange(1000, 1100)) for _ in range(60)]
