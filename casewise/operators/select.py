@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casewise.functions import mid_rank, pearson
 
 
 def case_moments(df: DataFrame, features: str, target: str, weight: str | None = None, case: str = "case_id") -> DataFrame:
@@ -158,16 +157,70 @@ def importance_summary(scores: DataFrame) -> DataFrame:
     return scores.groupBy("feature").agg(F.avg(g).alias("mean"), F.stddev_samp(g).alias("std"), F.median(g).alias("median"), F.avg((g > 0).cast("double")).alias("positive")).withColumn("stable", F.col("positive") >= 0.7)
 
 
-def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, pearson, spearman of every pair of columns (a list of features)."""
-    from functools import reduce
+def mid_ranks(long: DataFrame, feature: str, value: str) -> DataFrame:
+    """The rows with `_rank`, the average rank of ties within a feature, and `_middle`, the mean of the feature's ranks.
 
-    key = df.select(*columns)
-    ranks = reduce(lambda d, c: d.withColumn(f"_r_{c}", mid_rank([], c)), columns, key)
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = ranks.agg(*(x for k, (a, b) in enumerate(pairs) for x in (pearson(F.col(a), F.col(b)).alias(f"p{k}"), pearson(F.col(f"_r_{a}"), F.col(f"_r_{b}")).alias(f"s{k}"))))
-    rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{k}").alias("pearson"), F.col(f"s{k}").alias("spearman")) for k, (a, b) in enumerate(pairs)))
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+    Each feature's values are dealt by ranges between its quantiles; ranks inside a range are shifted by what the
+    ranges below hold, so no task sorts a whole feature. Rows without a value are left out.
+    """
+    rows = long.where(F.col(value).isNotNull() & ~F.isnan(value))
+    ranges = max(2, int(long.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    quantiles = rows.groupBy(feature).agg(F.array_distinct(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 10_000)).alias("_borders"))
+    levels = rows.groupBy(feature, value).agg(F.count("*").alias("_n")).join(F.broadcast(quantiles), feature)  # one row for each feature
+    placed = levels.withColumn("_part", F.size(F.filter("_borders", lambda x: x <= F.col(value)))).drop("_borders")
+    below = Window.partitionBy(feature).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy(feature, "_part").agg(F.sum("_n").alias("_m")).select(feature, "_part", F.coalesce(F.sum("_m").over(below), F.lit(0)).alias("_before"), F.sum("_m").over(Window.partitionBy(feature)).alias("_all"))
+    inside = Window.partitionBy(feature, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.withColumn("_upto", F.sum("_n").over(inside)).join(parts, [feature, "_part"])
+    rank = F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2
+    return rows.join(ranked.select(feature, value, rank.alias("_rank"), ((F.col("_all") + 1) / 2).alias("_middle")), [feature, value])
+
+
+def correlations(df: DataFrame, columns: list[str], key: list[str]) -> DataFrame:
+    """a, b, pearson, spearman of every pair of columns (a list of features) over the rows that hold both.
+
+    `key` tells rows apart and is unique. Null and NaN are missing; a rank counts all rows that hold its column.
+    Null where fewer than two rows hold both, or one of them does not vary. Each task adds up the moments of all
+    pairs; only these sums are shuffled.
+    """
+    size = len(columns)
+    pairs = [(i, j) for i in range(size) for j in range(i + 1, size)]
+    values = df.select(*key, *(F.col(c).cast("double").alias(f"_{k}") for k, c in enumerate(columns)))
+    long = values.select(*key, F.posexplode(F.array(*(f"_{k}" for k in range(size)))).alias("_at", "_value"))
+    # about an element of the column, so that one that does not vary gives exact zeros
+    middle = long.where(F.col("_value").isNotNull() & ~F.isnan("_value")).groupBy("_at").agg(F.percentile_approx("_value", 0.5).alias("_centre"))
+    ranked = mid_ranks(long, "_at", "_value").join(F.broadcast(middle), "_at")  # one row for each feature
+    centred = ranked.select(*key, "_at", (F.col("_value") - F.col("_centre")).alias("_v"), (F.col("_rank") - F.col("_middle")).alias("_r"))
+    of = lambda c: F.array(*(F.max(F.when(F.col("_at") == k, F.col(c))) for k in range(size)))
+    rows = centred.groupBy(*key).agg(of("_v").alias("v"), of("_r").alias("r")).select("v", "r")
+    names = [f"{kind}{m}" for kind in "vr" for m in ("x", "y", "xx", "yy", "xy")]
+
+    def add_up(batches):
+        total = None
+        for frame in batches:
+            if len(frame):
+                found = [np.stack(frame[kind].to_numpy()).astype(float) for kind in "vr"]
+                held = (~np.isnan(found[0])).astype(float)
+                parts = [held.T @ held]
+                for z in found:
+                    z = np.nan_to_num(z)
+                    s, q = z.T @ held, (z * z).T @ held
+                    parts += [s, s.T, q, q.T, z.T @ z]
+                total = parts if total is None else [a + b for a, b in zip(total, parts, strict=True)]
+        if total is not None and pairs:
+            i, j = np.array(pairs).T
+            yield pd.DataFrame({"i": i, "j": j} | {n: m[i, j] for n, m in zip(["n", *names], total, strict=True)})
+
+    sums = rows.mapInPandas(add_up, "i int, j int, n double, " + ", ".join(f"{n} double" for n in names)).groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ["n", *names]))
+
+    def ratio(kind: str) -> Column:
+        x, y, xx, yy, xy = (F.col(f"{kind}{m}") for m in ("x", "y", "xx", "yy", "xy"))
+        n = F.col("n")
+        a, b = xx - x * x / n, yy - y * y / n
+        return F.when((n > 1) & (a > 0) & (b > 0), (xy - x * y / n) / F.sqrt(a * b))
+
+    name = lambda at: F.element_at(F.array(*(F.lit(c) for c in columns)), F.col(at) + 1)
+    return sums.select(name("i").alias("a"), name("j").alias("b"), ratio("v").alias("pearson"), ratio("r").alias("spearman"))
 
 
 def correlation_clusters(pairs: DataFrame, features: list[str], least: float = 0.8) -> DataFrame:
@@ -182,7 +235,7 @@ def correlation_clusters(pairs: DataFrame, features: list[str], least: float = 0
             x = root[x]
         return x
 
-    for r in pairs.where(F.greatest(F.abs("pearson"), F.abs(F.coalesce("spearman", F.lit(0.0)))) >= least).collect():
+    for r in pairs.where(F.greatest(F.abs("pearson"), F.abs("spearman")) >= least).collect():
         x, y = sorted((find(r.a), find(r.b)), key=features.index)
         root[y] = x
     heads = list(dict.fromkeys(find(f) for f in features))

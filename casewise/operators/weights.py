@@ -43,10 +43,38 @@ def pairwise_vectors(df: DataFrame, by: list[str], run: str, item: str, value: s
     return both.groupBy(*by, "a", "b").agg(pearson(F.col("ra").cast("double"), F.col("rb").cast("double")).alias("spearman"), pearson(va, vb).alias("pearson"), (F.sum(va * vb) / F.sqrt(F.sum(va * va) * F.sum(vb * vb))).alias("cosine"), (hits / either).alias("jaccard"), hits.alias("overlap"))
 
 
-def contribution_stability(df: DataFrame, by: list[str], seed: str, item: str, delta: str) -> DataFrame:
-    """Per item over seeds: mean, sample std, seeds with a positive delta, range of average-tie ranks."""
+def contribution_stability(df: DataFrame, by: list[str], seed: str, item: str, delta: str, least: int = 4, noise: float = 1e-6) -> DataFrame:
+    """Per item over seeds: mean, sample std, seeds with a positive delta, range of average-tie ranks.
+
+    `agreement` is the mean Spearman of all pairs of seeds of a group. An item is stable if its delta is positive in
+    `least` seeds and its mean is above `noise`.
+    """
     ranked = df.withColumn("_rank", mid_rank([*by, seed], delta, True))
-    return ranked.groupBy(*by, item).agg(F.avg(delta).alias("mean"), F.stddev_samp(delta).alias("std"), F.count(F.when(F.col(delta) > 0, 1)).alias("positive"), F.min("_rank").alias("rank_min"), F.max("_rank").alias("rank_max"))
+    items = ranked.groupBy(*by, item).agg(F.avg(delta).alias("mean"), F.stddev_samp(delta).alias("std"), F.count(F.when(F.col(delta) > 0, 1)).alias("positive"), F.min("_rank").alias("rank_min"), F.max("_rank").alias("rank_max"))
+    mine, theirs = ranked.select(*by, item, F.col(seed).alias("_a"), F.col("_rank").alias("_ra")), ranked.select(*by, item, F.col(seed).alias("_b"), F.col("_rank").alias("_rb"))
+    pairs = mine.join(theirs, [*by, item]).where("_a < _b").groupBy(*by, "_a", "_b").agg(pearson(F.col("_ra"), F.col("_rb")).alias("_s"))
+    agreement = pairs.groupBy(*by).agg(F.avg("_s").alias("agreement"))
+    joined = items.join(agreement, by, "left") if by else items.join(F.broadcast(agreement))  # one row
+    return joined.withColumn("stable", (F.col("positive") >= least) & (F.col("mean") > noise))
+
+
+def contribution_agreement(df: DataFrame, by: list[str], seed: str, item: str, weight: str, delta: str, tops: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """For each seed: Spearman (average ties) of weights and contributions, overlap and Jaccard of their top items.
+
+    Equal values are taken by item. Mean, sample std and count of positive correlations over the seeds of a group
+    stand beside each.
+    """
+    df = df.where(F.col(weight).isNotNull() & F.col(delta).isNotNull())
+    place = lambda c: F.row_number().over(Window.partitionBy(*by, seed).orderBy(F.desc(c), item))
+    ranked = df.withColumns({"_w": mid_rank([*by, seed], weight), "_d": mid_rank([*by, seed], delta), "_pw": place(weight), "_pd": place(delta)})
+    parts = [pearson(F.col("_w"), F.col("_d")).alias("spearman")]
+    for k in tops:
+        both = F.count(F.when((F.col("_pw") <= k) & (F.col("_pd") <= k), 1))
+        either = F.count(F.when((F.col("_pw") <= k) | (F.col("_pd") <= k), 1))
+        parts += [both.alias(f"overlap_{k}"), (both / either).alias(f"jaccard_{k}")]
+    group = Window.partitionBy(*by)  # one row for each seed
+    s = F.col("spearman")
+    return ranked.groupBy(*by, seed).agg(*parts).withColumns({"mean": F.avg(s).over(group), "std": F.stddev_samp(s).over(group), "positive": F.count(F.when(s > 0, 1)).over(group)})
 
 
 def normalization_audit(df: DataFrame, keys: list[str], weight: str = "weight", observed: str = "observed", tolerance: float = 1e-5) -> DataFrame:

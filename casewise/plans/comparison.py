@@ -8,7 +8,7 @@ from casewise import plans
 from casewise.operators import bootstrap as bs
 from casewise.operators import cohort, episodes, metrics, pairing, runs, select, splits, weights
 from casewise.plans.evaluation import pairf, parts, refp, splitted
-from casewise.plans.queries import AHEAD, CTE, DAY, DRAW, LENGTH, QUERIES, SQL, R, cells, grid, pred, query, rounded, runt, sig, table, wins, wts
+from casewise.plans.queries import AHEAD, CTE, DAY, DRAW, LENGTH, QUERIES, SQL, R, cells, grid, holes, pred, query, rounded, runt, sig, table, wins, wts
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -232,22 +232,38 @@ def f8_permutation_importance(spark, d):
     return rounded(select.importance_summary(out))
 
 
-CTE["emb"] = "emb AS (SELECT " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS e{k}" for k in range(4)) + " FROM embeddings)"
-RANKED = "(SELECT *, " + ", ".join(f"rank() OVER (ORDER BY e{k}) + (count(*) OVER (PARTITION BY e{k}) - 1) / 2 AS r{k}" for k in range(4)) + " FROM emb)"
+CTE["emb"] = "emb AS (SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS v FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings))"
+CTE["embr"] = "embr AS (SELECT *, rank() OVER (PARTITION BY i ORDER BY v) + (count(*) OVER (PARTITION BY i, v) - 1) / 2 AS r FROM emb)"
+CTE["embc"] = "embc AS (SELECT a.i, b.i AS j, corr(a.v, b.v) AS pearson, corr(a.r, b.r) AS spearman FROM embr a JOIN embr b USING (vec_id) WHERE a.i < b.i GROUP BY 1, 2)"
+WIDE = 64
 
 
-def emb(spark, d):
-    return table(spark, d, "embeddings").select(*(F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(4)))
+def components(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(WIDE)))
 
 
-@query(" UNION ALL ".join(f"SELECT 'e{a}' AS a, 'e{b}' AS b, round(corr(e{a}, e{b}), 6) AS pearson, round(corr(r{a}, r{b}), 6) AS spearman FROM {RANKED}" for a in range(4) for b in range(a + 1, 4)))
+@query("SELECT 'e' || i AS a, 'e' || j AS b, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman FROM embc")
 def f9_correlations(spark, d):
-    return rounded(select.correlations(emb(spark, d), [f"e{k}" for k in range(4)]))
+    return rounded(select.correlations(components(spark, d), [f"e{k}" for k in range(WIDE)], ["vec_id"]))
 
 
-@query(None)
+CTE["casem"] = "casem AS (SELECT caseid, avg(bis) AS bis, avg(aux) AS aux, avg(time_sec) AS time_sec FROM holes GROUP BY 1)"
+CTE["caser"] = "caser AS (SELECT *, " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS r_{c}" for c in ("bis", "aux", "time_sec")) + " FROM casem)"
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS pearson, round(corr(r_{a}, r_{b}), 6) AS spearman FROM caser" for a, b in (("bis", "aux"), ("bis", "time_sec"), ("aux", "time_sec"))))
+def f9_correlations_of_case_means(spark, d):
+    means = holes(spark, d).groupBy("caseid").agg(*(F.avg(c).alias(c) for c in ("bis", "aux", "time_sec")))
+    return rounded(select.correlations(means, ["bis", "aux", "time_sec"], ["caseid"]))
+
+
+@query("""SELECT 'e' || i AS feature, CAST(dense_rank() OVER (ORDER BY head) - 1 AS INT) AS cluster FROM (SELECT i, min(j) AS head FROM (
+    WITH RECURSIVE edge AS (SELECT i, j FROM embc WHERE greatest(abs(pearson), abs(spearman)) >= 0.12), link AS (SELECT i, j FROM edge UNION ALL SELECT j, i FROM edge),
+    reach(i, j) AS (SELECT DISTINCT i, i FROM emb UNION SELECT r.i, k.j FROM reach r JOIN link k ON r.j = k.i) SELECT * FROM reach) GROUP BY 1)""")
 def f10_correlation_clusters(spark, d):
-    return select.correlation_clusters(select.correlations(emb(spark, d), [f"e{k}" for k in range(4)]), [f"e{k}" for k in range(4)], 0.02)
+    """At 0.12, since the components are nearly independent; the operator's own threshold is 0.8."""
+    names = [f"e{k}" for k in range(WIDE)]
+    return select.correlation_clusters(select.correlations(components(spark, d), names, ["vec_id"]), names, 0.12)
 
 
 @query("SELECT feature, CAST(frequency >= 0.6 AS INT) AS high, CAST(feature IN ('click', 'view') AS INT) AS short, CAST(frequency >= 0.6 AS INT) + CAST(feature IN ('click', 'view') AS INT) AS agreement FROM freq")
@@ -298,9 +314,23 @@ def rf(spark, d):
     return wts(spark, d).groupBy("run", "feature").agg(F.avg("weight").alias("v"))
 
 
-@query("SELECT feature, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, count(*) FILTER (WHERE v > 0) AS positive, min(r) AS rank_min, max(r) AS rank_max FROM (SELECT *, rank() OVER (PARTITION BY run ORDER BY v DESC) + (count(*) OVER (PARTITION BY run, v) - 1) / 2 AS r FROM rf) GROUP BY 1")
+CTE["rfr"] = "rfr AS (SELECT *, rank() OVER (PARTITION BY run ORDER BY v DESC) + (count(*) OVER (PARTITION BY run, v) - 1) / 2 AS r FROM (SELECT run, feature, v - 1 / 64 AS v FROM rf))"
+
+
+@query("SELECT feature, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS std, count(*) FILTER (WHERE v > 0) AS positive, min(r) AS rank_min, max(r) AS rank_max, (SELECT round(avg(s), 9) FROM (SELECT corr(a.r, b.r) AS s FROM rfr a JOIN rfr b USING (feature) WHERE a.run < b.run GROUP BY a.run, b.run)) AS agreement, count(*) FILTER (WHERE v > 0) >= 4 AND avg(v) > 1e-6 AS stable FROM rfr GROUP BY 1")
 def x4_contribution_stability(spark, d):
-    return rounded(weights.contribution_stability(rf(spark, d), [], "run", "feature", "v"))
+    """The delta of a feature is its weight above an equal share."""
+    return r9(weights.contribution_stability(rf(spark, d).withColumn("v", F.col("v") - 1 / 64), [], "run", "feature", "v"))
+
+
+CTE["wc"] = "wc AS (SELECT run, feature, avg(weight) AS v, max(weight) - avg(weight) AS delta FROM wts GROUP BY 1, 2)"
+CTE["wcr"] = "wcr AS (SELECT *, " + ", ".join(f"rank() OVER (PARTITION BY run ORDER BY {c}) + (count(*) OVER (PARTITION BY run, {c}) - 1) / 2 AS m_{c}, row_number() OVER (PARTITION BY run ORDER BY {c} DESC, feature) AS p_{c}" for c in ("v", "delta")) + " FROM wc)"
+
+
+@query("SELECT *, round(avg(spearman) OVER (), 6) AS mean, round(stddev_samp(spearman) OVER (), 6) AS std, count(*) FILTER (WHERE spearman > 0) OVER () AS positive FROM (SELECT run, round(corr(m_v, m_delta), 6) AS spearman, " + ", ".join(f"count(*) FILTER (WHERE p_v <= {k} AND p_delta <= {k}) AS overlap_{k}, round(count(*) FILTER (WHERE p_v <= {k} AND p_delta <= {k}) / count(*) FILTER (WHERE p_v <= {k} OR p_delta <= {k}), 6) AS jaccard_{k}" for k in (5, 10)) + " FROM wcr GROUP BY 1)")
+def x5_contribution_agreement(spark, d):
+    w = wts(spark, d).groupBy("run", "feature").agg(F.avg("weight").alias("v"), (F.max("weight") - F.avg("weight")).alias("delta"))
+    return rounded(weights.contribution_agreement(w, [], "run", "feature", "v", "delta"))
 
 
 CTE["ord"] = "ord AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY v DESC, feature) AS r FROM rf)"
@@ -312,9 +342,9 @@ def x5_x11_pairwise_agreement(spark, d):
     return rounded(weights.pairwise_vectors(rf(spark, d), [], "run", "feature", "v"))
 
 
-@query("SELECT count(*) AS vectors, round(min(m), 9) AS least, count(*) FILTER (WHERE abs(s - 1) > 0.00001) AS not_one, 0::BIGINT AS weight_on_unobserved FROM (SELECT run, sample, sum(weight) AS s, min(weight) AS m FROM wts GROUP BY 1, 2)")
+@query("SELECT count(*) AS vectors, round(min(m), 9) AS least, count(*) FILTER (WHERE abs(s - 1) > 0.00001) AS not_one, CAST(sum(u) AS BIGINT) AS weight_on_unobserved FROM (SELECT run, sample, sum(weight) AS s, min(weight) AS m, count(*) FILTER (WHERE weight <> 0 AND (feature + sample) % 9 = 0) AS u FROM wts GROUP BY 1, 2)")
 def x6_normalization_audit(spark, d):
-    return r9(weights.normalization_audit(wts(spark, d), ["run", "sample"]))
+    return r9(weights.normalization_audit(wts(spark, d).withColumn("observed", (F.col("feature") + F.col("sample")) % 9 != 0), ["run", "sample"]))
 
 
 @query("SELECT run, sample, count(*) AS observed, round(sum(CASE WHEN weight > 0 THEN -weight * ln(weight) ELSE 0 END) / ln(count(*)), 6) AS entropy FROM wts GROUP BY 1, 2")

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -302,3 +303,34 @@ def test_acceptance_refuses_shifted_targets_and_missing_features(spark):
     ranges = spark.createDataFrame([("f", 1.0, 1.0)], "feature string, train_min double, train_max double")
     drift = prep.drift_audit(df, ["f"], prep.fit_scaling(df.where("split = 'train'"), ["f"]), ranges, case="case_id")
     assert not any(r.accepted or r.features_available for r in prep.acceptance(balance, coverage, drift=drift).collect())
+
+
+def test_correlations_with_gaps_and_ties(spark):
+    """Null and NaN are missing, ties share their average rank, a column that does not vary gives null."""
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame({"id": range(300), "a": rng.integers(0, 9, 300) / 10 + 1e6, "b": rng.normal(size=300), "flat": 0.1, "gone": np.nan})
+    frame["c"] = frame.b.where(rng.random(300) < 0.7) ** 3
+    frame["d"] = np.where(rng.random(300) < 0.4, 7.0, frame.b)
+    found = {(r.a, r.b): (r.pearson, r.spearman) for r in select.correlations(spark.createDataFrame(frame).repartition(5), ["a", "b", "c", "d", "flat", "gone"], ["id"]).collect()}
+    assert len(found) == 15
+    for (x, y), (pearson, spearman) in found.items():
+        both = frame[[x, y]].dropna()
+        if "flat" in (x, y) or "gone" in (x, y):
+            assert pearson is None and spearman is None
+        else:
+            ranks = frame.rank().loc[both.index]
+            assert pearson == pytest.approx(both[x].corr(both[y]), abs=1e-9)
+            assert spearman == pytest.approx(ranks[x].corr(ranks[y]), abs=1e-9)
+
+
+def test_contribution_agreement_and_stability(spark):
+    rows = [(s, i, w, d) for s in range(5) for i, (w, d) in enumerate([(0.4, 3.0), (0.3, 2.0 - s), (0.2, 1.0), (0.1, 1.0)])]
+    df = spark.createDataFrame(rows, "seed int, item int, weight double, delta double")
+    got = {r.seed: r for r in weights.contribution_agreement(df, [], "seed", "item", "weight", "delta", (1, 2)).collect()}
+    want = {s: pd.Series([0.4, 0.3, 0.2, 0.1]).rank().corr(pd.Series([3.0, 2.0 - s, 1.0, 1.0]).rank()) for s in range(5)}
+    for s, r in got.items():
+        assert r.spearman == pytest.approx(want[s]) and r.overlap_1 == 1 and r.jaccard_1 == 1
+        assert r.overlap_2 == (2 if s < 2 else 1 if 2.0 - s < 1 else 2) and r.positive == sum(v > 0 for v in want.values())
+        assert r["mean"] == pytest.approx(np.mean(list(want.values()))) and r["std"] == pytest.approx(np.std(list(want.values()), ddof=1))
+    held = {r.item: r for r in weights.contribution_stability(df, [], "seed", "item", "delta").collect()}
+    assert [held[i].stable for i in range(4)] == [True, False, True, True] and held[1].positive == 2
