@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -118,3 +118,13 @@ def rank_in_group(df: DataFrame, by: list[str], value: str, ascending: bool = Fa
     """df with `rank`, ties sharing their average."""
     order = F.col(value).asc() if ascending else F.col(value).desc()
     return df.withColumn("rank", F.rank().over(Window.partitionBy(*by).orderBy(order)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2)
+
+
+def ordered_rank(df: DataFrame, by: list[str], keys: list[Column]) -> DataFrame:
+    """df with `rank`, its place in the group by several sort keys; the last of them tells rows apart."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*keys)))
+
+
+def rank_summary(ranked: DataFrame, by: list[str], rank: str = "rank") -> DataFrame:
+    """How often each was first, and its mean rank."""
+    return ranked.groupBy(*by).agg(F.count(F.when(F.col(rank) == 1, 1)).alias("wins"), F.avg(rank).alias("mean_rank"))

@@ -19,10 +19,12 @@ def run_means(cases: DataFrame, run: list[str]) -> DataFrame:
     return cases.groupBy(*run).agg(F.avg("mae").alias("case_mae"), F.count("*").alias("cases"))
 
 
-def over_seeds(runs: DataFrame, by: list[str], metric: str, t: float = T4) -> DataFrame:
+def over_seeds(runs: DataFrame, by: list[str], metric: str, t: float = T4, epoch: str | None = None) -> DataFrame:
+    """Summary of a metric over seeds with its t interval; with `epoch`, also the mean of the best epochs."""
     v = F.col(metric)
+    epochs = [F.avg(epoch).alias("mean_best_epoch")] if epoch else []
     se = F.stddev_samp(v) / F.sqrt(F.count(v))
-    return runs.groupBy(*by).agg(F.count(v).alias("seeds"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), se.alias("se"), (F.avg(v) - t * se).alias("low"), (F.avg(v) + t * se).alias("high"))
+    return runs.groupBy(*by).agg(F.count(v).alias("seeds"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), se.alias("se"), (F.avg(v) - t * se).alias("low"), (F.avg(v) + t * se).alias("high"), *epochs)
 
 
 def metric_summaries(runs: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
@@ -108,6 +110,13 @@ def subset_bias(df: DataFrame, by: list[str], seed: str, observed: str, predicte
     return per.groupBy(*by).agg(F.count("*").alias("seeds"), F.avg("observed").alias("observed"), F.avg("predicted").alias("predicted"), F.avg(b).alias("bias"), F.bool_and(b < 0).alias("always_under"))
 
 
+def better_on_subset(df: DataFrame, by: list[str], seed: str, observed: str, predicted: str, baseline: str, above: float = 60) -> DataFrame:
+    """Mean absolute error on targets above a value against a baseline forecast: mean difference over seeds, and seeds where it is lower."""
+    error = lambda c: F.avg(F.abs(F.col(c) - F.col(observed)))
+    per = df.where(F.col(observed) > above).groupBy(*by, seed).agg((error(predicted) - error(baseline)).alias("_d"))
+    return per.groupBy(*by).agg(F.count("*").alias("seeds"), F.avg("_d").alias("difference"), F.count(F.when(F.col("_d") < 0, 1)).alias("better"))
+
+
 def collect_runs(planned: DataFrame, status: DataFrame, results: DataFrame, run: list[str], state: str = "status") -> DataFrame:
     """Planned runs with their results and an outcome: done, failed, incomplete (no results) or pending (no status).
 

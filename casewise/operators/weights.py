@@ -115,6 +115,16 @@ def region_shift(by_region: DataFrame, overall: DataFrame, item: str, region: st
     return by_region.select(region, item, F.col("mean").alias("region_mean")).join(overall.select(item, F.col("mean").alias("overall_mean")), item).withColumn("shift", F.col("region_mean") - F.col("overall_mean"))
 
 
+def largest(df: DataFrame, by: list[str], value: str, item: str, most: int = 5) -> DataFrame:
+    """The rows with the largest values of each group, numbered by `place`; equal values by item."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(value), item))).where(F.col("place") <= most)
+
+
+def joint_shift(shifts: DataFrame, by: list[str], item: str, items: list) -> DataFrame:
+    """The shift of several items together."""
+    return shifts.where(F.col(item).isin(items)).groupBy(*by).agg(F.sum("shift").alias("shift"))
+
+
 def shift_over_seeds(shifts: DataFrame, by: list[str]) -> DataFrame:
     s = F.col("shift")
     return shifts.groupBy(*by).agg(F.avg(s).alias("mean"), F.count(F.when(s > 0, 1)).alias("positive"), F.count("*").alias("seeds"), (F.bool_and(s > 0) | F.bool_and(s < 0)).alias("same_direction"))
@@ -128,8 +138,20 @@ def weight_stability(df: DataFrame, by: list[str], run: str, item: str, value: s
     return out.withColumns({"cv": cv, "moves": F.col("rank_range") > 5, "varies": F.coalesce(cv > 0.5, F.lit(False)), "small": F.col("mean") < 0.01})
 
 
-def stability_class(spearman: Column, jaccard: Column) -> Column:
-    return F.when((spearman >= 0.7) & (jaccard >= 0.6), "stable").when(spearman >= 0.4, "partly stable").otherwise("unstable")
+def stability_class(item_pairs: DataFrame, group_pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row: mean likeness over pairs of runs of items and of groups, the largest range of a group's ranks, the class.
+
+    The pairs are those of pairwise_vectors(), the groups those of weight_stability(). Items are stable from a mean
+    Spearman of 0.7 and a mean Jaccard of the top of 0.6; groups from a Spearman of 0.7 and a cosine of 0.9, with no
+    rank moving by more than 2.
+    """
+    items = item_pairs.agg(F.avg("spearman").alias("item_spearman"), F.avg("jaccard").alias("item_jaccard"))
+    both = group_pairs.agg(F.avg("spearman").alias("group_spearman"), F.avg("cosine").alias("group_cosine"))
+    moved = groups.agg(F.max("rank_range").alias("group_range"))
+    one = items.join(F.broadcast(both)).join(F.broadcast(moved))  # one row each
+    alone = (F.col("item_spearman") >= 0.7) & (F.col("item_jaccard") >= 0.6)
+    together = (F.col("group_spearman") >= 0.7) & (F.col("group_cosine") >= 0.9) & (F.col("group_range") <= 2)
+    return one.withColumn("class", F.when(alone, "items").when(together, "groups").otherwise("unstable"))
 
 
 def run_shift(df: DataFrame, item: str, run: str, one, other, value: str) -> DataFrame:

@@ -22,9 +22,15 @@ def a1_case_errors(spark, d):
     return r9(cells(spark, d))
 
 
-@query(f"SELECT condition, model, count(*) AS seeds, {R('avg(case_mae) AS mean', 'stddev_samp(case_mae) AS std', 'median(case_mae) AS median', 'min(case_mae) AS min', 'max(case_mae) AS max', 'stddev_samp(case_mae) / sqrt(count(*)) AS se', 'avg(case_mae) - 2.776445105 * stddev_samp(case_mae) / sqrt(count(*)) AS low', 'avg(case_mae) + 2.776445105 * stddev_samp(case_mae) / sqrt(count(*)) AS high', digits=9)} FROM runt GROUP BY 1, 2")
+def runw(spark, d):
+    """Runs with the number of their windows beside their error and cases."""
+    return cells(spark, d).groupBy("condition", "model", "seed").agg(F.avg("mae").alias("case_mae"), F.count("*").alias("cases"), F.sum("windows").alias("windows"))
+
+
+@query(f"SELECT condition, model, count(*) AS seeds, {R('avg(case_mae) AS mean', 'stddev_samp(case_mae) AS std', 'median(case_mae) AS median', 'min(case_mae) AS min', 'max(case_mae) AS max', 'stddev_samp(case_mae) / sqrt(count(*)) AS se', 'avg(case_mae) - 2.776445105 * stddev_samp(case_mae) / sqrt(count(*)) AS low', 'avg(case_mae) + 2.776445105 * stddev_samp(case_mae) / sqrt(count(*)) AS high', 'avg(windows) AS mean_best_epoch', digits=9)} FROM runt GROUP BY 1, 2")
 def a2_over_seeds(spark, d):
-    return r9(runs.over_seeds(runt(spark, d), ["condition", "model"], "case_mae"))
+    """The number of windows stands for the best epoch."""
+    return r9(runs.over_seeds(runw(spark, d), ["condition", "model"], "case_mae", epoch="windows"))
 
 
 @query(f"SELECT model, metric, {R('avg(v) AS mean', 'coalesce(stddev_samp(v), 0) AS std', 'min(v) AS min', 'max(v) AS max', digits=9)} FROM (SELECT model, 'case_mae' AS metric, case_mae AS v FROM runt UNION ALL SELECT model, 'cases', cases FROM runt) GROUP BY 1, 2")
@@ -80,6 +86,12 @@ def a10_rank_in_group(spark, d):
     return pairing.rank_in_group(runt(spark, d), ["seed"], "cases").select("condition", "model", "seed", "rank")
 
 
+@query("SELECT condition, model, count(*) FILTER (WHERE r = 1) AS wins, round(avg(r), 9) AS mean_rank FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY cases DESC, windows, condition, model) AS r FROM runt) GROUP BY 1, 2")
+def a10_wins_and_mean_rank(spark, d):
+    ranked = pairing.ordered_rank(runw(spark, d), ["seed"], [F.desc("cases"), F.asc("windows"), F.asc("condition"), F.asc("model")])
+    return r9(pairing.rank_summary(ranked, ["condition", "model"]))
+
+
 @query("SELECT condition, model, round(e, 9) AS early, round(l, 9) AS late, round(l - e, 9) AS change, CASE WHEN e - l > 0.05 * e THEN 'improving' WHEN e - l < -0.05 * e THEN 'worsening' ELSE 'plateau' END AS trend FROM (SELECT condition, model, max(case_mae) FILTER (WHERE seed = 1995) AS e, max(case_mae) FILTER (WHERE seed = 1998) AS l FROM runt GROUP BY 1, 2) WHERE e IS NOT NULL AND l IS NOT NULL")
 def a11_checkpoint_trend(spark, d):
     return r9(runs.checkpoint_trend(runt(spark, d), ["condition", "model"], "seed", 1995, 1998, "case_mae"))
@@ -118,8 +130,13 @@ def a16_across_seeds(spark, d):
 
 @query("SELECT model, count(*) AS seeds, round(avg(o), 9) AS observed, round(avg(p), 9) AS predicted, round(avg(p - o), 9) AS bias, bool_and(p < o) AS always_under FROM (SELECT model, seed, avg(case_mae) AS o, avg(windows) AS p FROM runt WHERE case_mae > 60 GROUP BY 1, 2) GROUP BY 1")
 def a17_subset_bias(spark, d):
-    r = cells(spark, d).groupBy("condition", "model", "seed").agg(F.avg("mae").alias("case_mae"), F.sum("windows").alias("windows"))
-    return r9(runs.subset_bias(r, ["model"], "seed", "case_mae", "windows"))
+    return r9(runs.subset_bias(runw(spark, d), ["model"], "seed", "case_mae", "windows"))
+
+
+@query("SELECT model, count(*) AS seeds, round(avg(d), 9) AS difference, count(*) FILTER (WHERE d < 0) AS better FROM (SELECT model, seed, avg(abs(windows - case_mae)) - avg(abs(cases - case_mae)) AS d FROM runt WHERE case_mae > 60 GROUP BY 1, 2) GROUP BY 1")
+def a17_better_on_subset(spark, d):
+    """Windows stand for the forecast and cases for the baseline."""
+    return r9(runs.better_on_subset(runw(spark, d), ["model"], "seed", "case_mae", "windows", "cases"))
 
 
 # resampling
@@ -387,6 +404,11 @@ def x10_region_split(spark, d):
     return rounded(shifted(spark, d))
 
 
+@query("SELECT run, feature, round(shift, 6) AS shift, place FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY shift DESC, feature) AS place FROM shifted) WHERE place <= 5")
+def x10_largest_shifts(spark, d):
+    return rounded(weights.largest(shifted(spark, d), ["run"], "shift", "feature").select("run", "feature", "shift", "place"))
+
+
 @query("SELECT (SELECT count(*) FROM (SELECT DISTINCT sample FROM wts) w ANTI JOIN documents d ON d.doc_id = w.sample) AS unmatched, 0::BIGINT AS not_finite")
 def x12_weights_aligned(spark, d):
     w = wts(spark, d)
@@ -405,6 +427,26 @@ def x14_shift_over_seeds(spark, d):
     return rounded(weights.shift_over_seeds(shifted(spark, d), ["feature"]))
 
 
+@query("SELECT round(avg(s), 6) AS mean, count(*) FILTER (WHERE s > 0) AS positive, count(*) AS seeds, bool_and(s > 0) OR bool_and(s < 0) AS same_direction FROM (SELECT run, sum(shift) AS s FROM shifted WHERE feature IN (3, 40) GROUP BY 1)")
+def x14_joint_shift_over_seeds(spark, d):
+    return rounded(weights.shift_over_seeds(weights.joint_shift(shifted(spark, d), ["run"], "feature", [3, 40]), []))
+
+
+CTE["gw"] = "gw AS (SELECT run, feature % 8 AS grp, sum(v) AS v FROM rf GROUP BY 1, 2)"
+CTE["gord"] = "gord AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY v DESC, grp) AS r FROM gw)"
+
+
+@query("""SELECT *, CASE WHEN item_spearman >= 0.7 AND item_jaccard >= 0.6 THEN 'items' WHEN group_spearman >= 0.7 AND group_cosine >= 0.9 AND group_range <= 2 THEN 'groups' ELSE 'unstable' END AS class FROM
+    (SELECT round(avg(s), 6) AS item_spearman, round(avg(k), 6) AS item_jaccard FROM (SELECT corr(a.r, b.r) AS s, count(*) FILTER (WHERE a.r <= 5 AND b.r <= 5) / count(*) FILTER (WHERE a.r <= 5 OR b.r <= 5) AS k FROM ord a JOIN ord b USING (feature) WHERE a.run < b.run GROUP BY a.run, b.run)),
+    (SELECT round(avg(s), 6) AS group_spearman, round(avg(c), 6) AS group_cosine FROM (SELECT corr(a.r, b.r) AS s, sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)) AS c FROM gord a JOIN gord b USING (grp) WHERE a.run < b.run GROUP BY a.run, b.run)),
+    (SELECT max(m) AS group_range FROM (SELECT max(r) - min(r) AS m FROM gord GROUP BY grp))""")
+def x13_stability_class(spark, d):
+    items = rf(spark, d)
+    groups = items.groupBy("run", (F.col("feature") % 8).alias("grp")).agg(F.sum("v").alias("v"))
+    pairs = [weights.pairwise_vectors(df, [], "run", item, "v") for df, item in ((items, "feature"), (groups, "grp"))]
+    return rounded(weights.stability_class(*pairs, weights.weight_stability(groups, [], "run", "grp", "v")))
+
+
 @query("SELECT feature, round(avg(weight) FILTER (WHERE run = 0), 6) AS first, round(avg(weight) FILTER (WHERE run = 1), 6) AS second, round(avg(weight) FILTER (WHERE run = 1) - avg(weight) FILTER (WHERE run = 0), 6) AS shift FROM wts GROUP BY 1")
 def x15_run_shift(spark, d):
     return rounded(weights.run_shift(wts(spark, d), "feature", "run", 0, 1, "weight"))
