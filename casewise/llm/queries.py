@@ -1,13 +1,14 @@
-"""Queries op1 to op10 over the whole tables, and SQL for those that SQL can express."""
+"""Queries op1 to op13 over the whole tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewise.llm.common import held_out, read
+from casewise.llm.common import checkpoint_folder, held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -121,8 +122,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", F.char_length("candidate").alias("length"), F.crc32(F.col("candidate").cast("binary")).alias("candidate_crc32"), held_out(F.col("doc_id")).alias("held_out"), F.col("label").cast("int").alias("rule_label"), F.round("score", 6).alias("score"), "secret")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from casewise.llm.tokenfiles import read_digests, token_index, write_token_files
+
+    folder = f"{checkpoint_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    docs = read(spark, sf_dir, "documents")
+    files = write_token_files(docs, folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_digests(token_index(files, docs.schema["doc_id"].dataType.simpleString()))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_histogram_sharding, op3_toxicity, op4_line_dedup, op5_mixing, op6_vector_near_dedup, op7_fingerprints, op8_quality, op9_minhash_near_dedup, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_histogram_sharding, op3_toxicity, op4_line_dedup, op5_mixing, op6_vector_near_dedup, op7_fingerprints, op8_quality, op9_minhash_near_dedup, op10_secret_scan, op11_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
