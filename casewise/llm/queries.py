@@ -133,8 +133,19 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(token_index(files, docs.schema["doc_id"].dataType.simpleString()))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from casewise.llm.repair import damage, repair_report
+
+    turns = read(spark, sf_dir, "conversations")
+    report = repair_report(damage(turns)).withColumnRenamed("conv_id", "_conv")
+    # a conversation whose rows were all dropped has nothing to repair
+    found = turns.select("conv_id").distinct().join(report, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_histogram_sharding, op3_toxicity, op4_line_dedup, op5_mixing, op6_vector_near_dedup, op7_fingerprints, op8_quality, op9_minhash_near_dedup, op10_secret_scan, op11_token_files)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_histogram_sharding, op3_toxicity, op4_line_dedup, op5_mixing, op6_vector_near_dedup, op7_fingerprints, op8_quality, op9_minhash_near_dedup, op10_secret_scan, op11_token_files, op12_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
