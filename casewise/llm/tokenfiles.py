@@ -55,7 +55,7 @@ SKIPPABLE, SEEK_TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Fixed value: the descriptor's bit that says that entries have checksums.
 WITH_CHECKSUMS = 0x80
 #: Units that a worker remembers, and the longest of them in characters; texts that it encodes at a time.
-UNITS_KEPT, UNIT_CHARS, TEXTS = 300_000, 48, 200
+UNITS_KEPT, UNIT_CHARS, TEXTS = 450_000, 48, 200
 #: Fixed value: up to this character letters are the same in all versions of Unicode of the last ten years.
 LETTERS = "\u052f"
 #: Fixed value: the characters that the tokenizer's own pattern calls white space.
@@ -85,25 +85,32 @@ class UnitEncoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def part(self, letters: str) -> bytes:
-        """Ids of one pre-token in the model's own characters."""
-        found = self.parts.get(letters)
-        if found is None:
-            if len(self.parts) >= UNITS_KEPT:
-                self.parts.clear()
-            found = self.parts[letters] = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
-        return found
-
     def learn(self, units: list[str], into: dict[str, bytes], once: dict[str, bytes]) -> None:
+        parts, tokenize, mapped = self.parts, self.tokenizer.model.tokenize, self.mapped
+        if len(parts) + len(units) > UNITS_KEPT:
+            parts.clear()
+        for end in ".,":
+            parts[end] = array("I", [t.id for t in tokenize(end)]).tobytes()
+        space = " ".translate(mapped)
         odd = []
         for u in units:
-            end = u[-1] if u[-1] in ".," else ""
-            word = u[u[0] == " " : len(u) - len(end)]
-            if len(u) <= UNIT_CHARS and word.isalpha() and max(word) <= LETTERS:
-                letters = u[: len(u) - len(end)].translate(self.mapped)
-                into[u] = self.part(letters) + self.part(end) if end else self.part(letters)
-            else:
+            end = u[-1]
+            letters = u[:-1] if end in ".," else u
+            word = letters[1:] if letters[:1] == " " else letters
+            if len(u) > UNIT_CHARS or not word.isalpha():
                 odd.append(u)
+                continue
+            if not word.isascii():
+                if max(word) > LETTERS:
+                    odd.append(u)
+                    continue
+                word = word.translate(mapped)
+            # a pre-token in the model's own characters
+            token = space + word if letters[0] == " " else word
+            ids = parts.get(token)
+            if ids is None:
+                ids = parts[token] = array("I", [t.id for t in tokenize(token)]).tobytes()
+            into[u] = ids if letters is u else ids + parts[end]
         for u, ids in zip(odd, self.whole(odd), strict=True):
             (into if len(u) <= UNIT_CHARS else once)[u] = ids
 
