@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from casewise.functions import draw
+from casewise.operators.order import numbered
 
 
 def interval(replicates: DataFrame, by: list[str], value: str = "value") -> DataFrame:
@@ -16,8 +17,8 @@ def interval(replicates: DataFrame, by: list[str], value: str = "value") -> Data
 
 def case_bootstrap(cases: DataFrame, value: str, key: str, replicates: int, seed: int = 42) -> DataFrame:
     """(replicate, value): means of n cases drawn with replacement. cases: one row for each case."""
-    placed = cases.select(key, F.col(value).alias("_v")).withColumn("_i", F.row_number().over(Window.orderBy(key)) - 1).select("_i", "_v")
-    n = placed.count()
+    placed = numbered(cases.select(key, F.col(value).alias("_v")), [key], "_i").select("_i", "_v")
+    n = cases.count()
     draws = cases.sparkSession.range(replicates * n).select(F.floor(F.col("id") / n).alias("replicate"), (F.col("id") % n).alias("_d"))
     picked = draws.withColumn("_i", draw(seed, F.col("replicate"), F.col("_d")) % n)
     return picked.join(placed, "_i").groupBy("replicate").agg(F.avg("_v").alias("value"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from casewise.operators.order import quantiles
+
 
 def first_available(df: DataFrame, targets: dict[str, list[str]]) -> DataFrame:
     """Each target from the first of its tracks that has a value; tracks that df lacks are passed over."""
@@ -52,9 +54,23 @@ def strict_sex(df: DataFrame, column: str) -> DataFrame:
 
 
 def value_report(df: DataFrame, value: str, label: Column) -> DataFrame:
-    """count, mean, std, min, quartiles, max of a value and the share of a label."""
+    """count, mean, std, min, exact quartiles, max of a value and the share of a label."""
     v = F.col(value)
-    return df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("low"), *(F.percentile(v, q).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)), F.max(v).alias("high"), F.avg(label.cast("double")).alias("label_share"))
+    parts = zip((25, 50, 75), quantiles(df, [value], [0.25, 0.5, 0.75])[value], strict=True)
+    return df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("low"), *(F.lit(x).cast("double").alias(f"q{q}") for q, x in parts), F.max(v).alias("high"), F.avg(label.cast("double")).alias("label_share"))
+
+
+def label_distribution(df: DataFrame, labels: dict[str, Column]) -> DataFrame:
+    """label, value (text, null where it is missing), rows and share of the label's rows that are not missing."""
+    marks = F.explode(F.array(*(F.struct(F.lit(k).alias("label"), v.cast("string").alias("value")) for k, v in labels.items())))
+    counts = df.select(marks.alias("x")).groupBy("x.label", "x.value").agg(F.count("*").alias("rows"))
+    seen = F.when(F.col("value").isNotNull(), F.col("rows"))
+    return counts.withColumn("share", seen / F.sum(seen).over(Window.partitionBy("label")))
+
+
+def missing_summary(df: DataFrame, most: int = 30) -> DataFrame:
+    """feature and missing: the share of nulls of each column, the largest `most` of them, largest first."""
+    return missing_rates(df, df.columns).orderBy(F.desc("missing"), "feature").limit(most)
 
 
 def missing_rates(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:

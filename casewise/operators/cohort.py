@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewise.operators.contracts import ContractError
+from casewise.operators.order import quantiles
 
 
 def dedupe_demographics(df: DataFrame, case: str = "caseid") -> DataFrame:
@@ -38,7 +39,7 @@ def impute_from_train(df: DataFrame, train, numbers: list[str], categories: list
             raise ContractError(f"missing values: {bad}")
         return df.withColumn("imputed", F.array().cast("array<string>"))
     rows = df.where(train)
-    fill = rows.agg(*(F.median(c).alias(c) for c in numbers)).first().asDict()
+    fill = {c: x[0] for c, x in quantiles(rows, numbers, [0.5]).items()} if numbers else {}
     for c in categories:
         top = rows.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(2).collect()
         if not top or len(top) > 1 and top[0]["count"] == top[1]["count"]:

@@ -49,7 +49,7 @@ def remifentanil_parameters(df: DataFrame) -> DataFrame:
         "v2": 9.82 - 0.0811 * age + 0.108 * l_,
         "v3": F.lit(5.42),
         "cl1": 2.6 - 0.0162 * age + 0.0191 * l_,
-        "cl2": 2.05 - 0.0301 * age,
+        "cl2": 2.05 - 0.030 * age,
         "cl3": 0.076 - 0.00113 * age,
         "ke0": 0.595 - 0.007 * age,
     })

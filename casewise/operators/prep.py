@@ -8,22 +8,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from casewise.operators.order import modes, quantiles
 
-def fit_scaling(train: DataFrame, features: list[str], categorical: list[str] | None = None) -> DataFrame:
+
+def fit_scaling(train: DataFrame, features: list[str], categorical: list[str] | None = None, static: list[str] | None = None, case: str = "caseid", time: str = "time_sec") -> DataFrame:
     """feature, categorical, fill, mean, scale, seen. Means and deviations are those after filling.
 
-    One pass: fills (median, or the lowest most frequent value) and population moments of what is seen; the moments of
-    the filled columns follow, since all that is filled in is one value.
+    Fills are exact medians, or the lowest most frequent value; the moments of the filled columns follow from those of
+    what is seen, since all that is filled in is one value. static: features that count once for each case, by its
+    first row.
     """
-    categorical = categorical or []
-    of = lambda c: F.col(c).cast("double")
-    fill = train.agg(F.count("*").alias("_rows"), *(x for c in features for x in ((F.mode(c, True) if c in categorical else F.median(c)).cast("double").alias(c), F.count(of(c)).alias(f"_n_{c}"), F.avg(of(c)).alias(f"_m_{c}"), F.var_pop(of(c)).alias(f"_v_{c}")))).first().asDict()
+    categorical, static = categorical or [], static or []
+    fill: dict[str, float | None] = {}
+    for some, rows in (([c for c in features if c not in static], train), (static, train.groupBy(case).agg(*(F.min_by(c, time).alias(c) for c in static)) if static else None)):
+        if not some:
+            continue
+        of = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in some}
+        fill |= rows.agg(*(x for c, v in of.items() for x in (F.count("*").alias(f"_rows_{c}"), F.count(v).alias(f"_n_{c}"), F.avg(v).alias(f"_m_{c}"), F.var_pop(v).alias(f"_v_{c}")))).first().asDict()
+        numbers = [c for c in some if c not in categorical]
+        fill |= {c: x[0] for c, x in quantiles(rows, numbers, [0.5]).items()} if numbers else {}
+        fill |= modes(rows, [c for c in some if c in categorical]) if len(numbers) < len(some) else {}
     missing = [c for c in features if not fill[f"_n_{c}"]]
     if missing:
         raise ValueError(f"nothing seen of {missing}")
     rows = []
     for c in features:
-        seen, total, own = fill[f"_n_{c}"], fill["_rows"], fill[f"_m_{c}"]
+        seen, total, own = fill[f"_n_{c}"], fill[f"_rows_{c}"], fill[f"_m_{c}"]
         mean = own + (fill[c] - own) * (total - seen) / total
         variance = (seen * (fill[f"_v_{c}"] + (own - mean) ** 2) + (total - seen) * (fill[c] - mean) ** 2) / total
         # what rounding leaves of a constant column's variance is none

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from casewise.functions import draw
+from casewise.operators.order import numbered
 
 
 def case_moments(df: DataFrame, features: str, target: str, weight: str | None = None, case: str = "case_id") -> DataFrame:
@@ -131,12 +133,9 @@ def threshold_sets(summary: DataFrame, order: DataFrame, anchor: str, thresholds
 
 def block_permutation(cases: DataFrame, seed: int, case: str = "case_id") -> DataFrame:
     """case and the case whose block it gets: the next one in a seeded order."""
-    from casewise.functions import draw
-
-    order = Window.orderBy(draw(seed, F.col(case)), case)  # one row for each case
-    placed = cases.select(case).distinct().withColumn("_i", F.row_number().over(order))
-    first = F.first(case).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return placed.withColumn("donor", F.coalesce(F.lead(case).over(order), first)).select(case, "donor")
+    placed = numbered(cases.select(case).distinct().withColumn("_draw", draw(seed, F.col(case))), ["_draw", case], "_i").select(case, "_i")
+    n = cases.select(case).distinct().count()
+    return placed.join(placed.select(F.col(case).alias("donor"), F.pmod(F.col("_i") - 1, F.lit(n)).alias("_i")), "_i").select(case, "donor")
 
 
 def permute_blocks(df: DataFrame, columns: list[str], donors: DataFrame, case: str = "case_id", time: str = "final_ts") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from casewise.functions import draw
 from casewise.operators.contracts import ContractError
+from casewise.operators.order import numbered
 
 
 def split_counts(n: int, shares: tuple[float, ...] = (0.70, 0.15, 0.15)) -> list[int]:
@@ -24,9 +25,9 @@ def split_counts(n: int, shares: tuple[float, ...] = (0.70, 0.15, 0.15)) -> list
 
 
 def ordered_cases(df: DataFrame, seed: int, case: str = "caseid") -> DataFrame:
-    """Distinct cases with their place `nth` (from 1) in a seeded order. One row for each case meets in one task."""
-    cases = df.select(case).where(F.col(case).isNotNull()).distinct()
-    return cases.withColumn("nth", F.row_number().over(Window.orderBy(draw(seed, F.col(case)), case)))
+    """Distinct cases with their place `nth` (from 1) in a seeded order."""
+    cases = df.select(case).where(F.col(case).isNotNull()).distinct().withColumn("_draw", draw(seed, F.col(case)))
+    return numbered(cases, ["_draw", case], "nth").select(case, (F.col("nth") + 1).alias("nth"))
 
 
 def case_split(df: DataFrame, seed: int = 42, names: tuple[str, ...] = ("train", "val", "test"), shares: tuple[float, ...] = (0.70, 0.15, 0.15), case: str = "caseid") -> DataFrame:
@@ -54,35 +55,37 @@ def require_split(splits: DataFrame, wanted: DataFrame, case: str = "caseid") ->
 
 
 def folds(df: DataFrame, n: int, seed: int = 42, case: str = "caseid") -> DataFrame:
-    """(case, fold): n near-equal groups of cases in seeded order."""
-    cases = df.select(case).distinct()
-    return cases.select(case, (F.ntile(n).over(Window.orderBy(draw(seed, F.col(case)), case)) - 1).alias("fold"))
+    """(case, fold): n near-equal groups of cases in seeded order, the first ones with one more where they differ."""
+    cases = df.select(case).distinct().withColumn("_draw", draw(seed, F.col(case)))
+    size, more = divmod(cases.count(), n)
+    at, long = F.col("_i"), more * (size + 1)
+    fold = F.when(at < long, F.floor(at / (size + 1))).otherwise(more + F.floor((at - long) / max(size, 1)))
+    return numbered(cases, ["_draw", case], "_i").select(case, fold.cast("int").alias("fold"))
 
 
 def balanced_folds(df: DataFrame, n: int, case: str = "caseid") -> DataFrame:
     """(case, rows, fold): cases from the largest down, dealt back and forth, so that folds have similar row counts."""
-    sizes = df.groupBy(case).agg(F.count("*").alias("rows"))
-    at = F.row_number().over(Window.orderBy(F.desc("rows"), case)) - 1
-    turn, place = F.floor(at / n), at % n
+    sizes = numbered(df.groupBy(case).agg(F.count("*").alias("rows")).withColumn("_less", -F.col("rows")), [case], "_i", levels=["_less"])
+    turn, place = F.floor(F.col("_i") / n), F.col("_i") % n
     return sizes.select(case, "rows", F.when(turn % 2 == 0, place).otherwise(n - 1 - place).cast("int").alias("fold"))
 
 
 def subsample(df: DataFrame, fraction: float, runs: int, seed: int = 42, case: str = "caseid") -> DataFrame:
     """(run, case, chosen): round(n * fraction) cases of each run, at least 1 and at most n - 1."""
     cases = df.select(case).distinct()
-    spread = cases.crossJoin(F.broadcast(cases.sparkSession.range(runs).withColumnRenamed("id", "run")))  # `runs` rows
-    order = Window.partitionBy("run")
-    n = F.count("*").over(order)
-    wanted = F.greatest(F.lit(1), F.least(n - 1, F.round(n * fraction).cast("long")))
-    at = F.row_number().over(order.orderBy(draw(seed, F.col("run"), F.col(case)), case))
-    return spread.select("run", case, (at <= wanted).alias("chosen"))
+    spread = cases.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(runs - 1).cast("long"))))
+    n = cases.count()
+    # halves are rounded up, as SQL does
+    wanted = max(1, min(n - 1, int(n * fraction + 0.5)))
+    placed = numbered(spread.withColumn("_draw", draw(seed, F.col("run"), F.col(case))), ["_draw", case], "_i", by=["run"])
+    return placed.select("run", case, (F.col("_i") < wanted).alias("chosen"))
 
 
 def multiplicities(df: DataFrame, replicates: int, seed: int = 42, case: str = "caseid") -> DataFrame:
     """(replicate, case, copies): n draws with replacement from n cases for each replicate."""
     cases = df.select(case).distinct()
-    placed = cases.withColumn("_i", F.row_number().over(Window.orderBy(case)) - 1)
-    n = placed.count()
+    placed = numbered(cases, [case], "_i")
+    n = cases.count()
     draws = cases.sparkSession.range(replicates * n).select(F.floor(F.col("id") / n).alias("replicate"), (F.col("id") % n).alias("_d"))
     drawn = draws.withColumn("_i", draw(seed, F.col("replicate"), F.col("_d")) % n).groupBy("replicate", "_i").agg(F.count("*").alias("copies"))
     return drawn.join(placed, "_i").select("replicate", case, "copies")
@@ -98,8 +101,8 @@ def case_weights(df: DataFrame, copies: str | None = None, case: str = "case_id"
 def balanced_draws(df: DataFrame, draws: int, key: str, seed: int = 42, case: str = "case_id") -> DataFrame:
     """(draw, case, key): a case uniformly, then one of its rows uniformly."""
     cases = df.groupBy(case).agg(F.count("*").alias("_n"))
-    placed = cases.withColumn("_c", F.row_number().over(Window.orderBy(case)) - 1)
-    count = placed.count()
+    placed = numbered(cases, [case], "_c")
+    count = cases.count()
     wanted = df.sparkSession.range(draws).select(F.col("id").alias("draw"), (draw(seed, "case", F.col("id")) % count).alias("_c"))
     picked = wanted.join(placed, "_c").withColumn("_r", draw(seed, "row", F.col("draw")) % F.col("_n"))
     rows = df.select(case, key, (F.row_number().over(Window.partitionBy(case).orderBy(key)) - 1).alias("_r"))

@@ -144,7 +144,7 @@ def a17_better_on_subset(spark, d):
 CTE["cm"] = "cm AS (SELECT case_id, avg(abs(predicted - observed)) AS v, row_number() OVER (ORDER BY case_id) - 1 AS i, count(*) OVER () AS n FROM pred GROUP BY 1)"
 
 
-@query(f"SELECT {R('avg(v) AS mean', 'quantile_cont(v, 0.025) AS low', 'quantile_cont(v, 0.975) AS high')}, count(*) AS replicates FROM (SELECT replicate, avg(v) AS v FROM (SELECT id // n AS replicate, {DRAW.format("'42:' || (id // n) || ':' || (id % n)")} % n AS i FROM (SELECT count(*) AS n FROM cm), range(200000) r(id) WHERE id < 200 * n) JOIN cm USING (i) GROUP BY 1)")
+@query(f"SELECT {R('avg(v) AS mean', 'quantile_cont(v, 0.025) AS low', 'quantile_cont(v, 0.975) AS high')}, count(*) AS replicates FROM (SELECT replicate, avg(v) AS v FROM (SELECT replicate, {DRAW.format("'42:' || replicate || ':' || k")} % n AS i FROM range(200) r(replicate), (SELECT unnest(range(n)) AS k, n FROM (SELECT count(*) AS n FROM cm))) JOIN cm USING (i) GROUP BY 1)")
 def b1_case_bootstrap(spark, d):
     cases = metrics.regression(pred(spark, d), ["case_id"])
     return rounded(bs.interval(bs.case_bootstrap(cases, "mae", "case_id", 200), []))

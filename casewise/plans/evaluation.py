@@ -45,7 +45,7 @@ def l4_case_subsample(spark, d):
     return splits.subsample(grid(spark, d), 0.5, 3)
 
 
-@query(f"SELECT replicate, c.caseid, count(*) AS copies FROM (SELECT id // n AS replicate, {DRAW.format("'42:' || (id // n) || ':' || (id % n)")} % n AS i FROM (SELECT count(DISTINCT caseid) AS n FROM grid), range(5000) r(id) WHERE id < 20 * n) JOIN (SELECT caseid, row_number() OVER (ORDER BY caseid) - 1 AS i FROM (SELECT DISTINCT caseid FROM grid)) c USING (i) GROUP BY 1, 2")
+@query(f"SELECT replicate, c.caseid, count(*) AS copies FROM (SELECT replicate, {DRAW.format("'42:' || replicate || ':' || k")} % n AS i FROM range(20) r(replicate), (SELECT unnest(range(n)) AS k, n FROM (SELECT count(DISTINCT caseid) AS n FROM grid))) JOIN (SELECT caseid, row_number() OVER (ORDER BY caseid) - 1 AS i FROM (SELECT DISTINCT caseid FROM grid)) c USING (i) GROUP BY 1, 2")
 def l5_bootstrap_multiplicities(spark, d):
     return splits.multiplicities(grid(spark, d), 20)
 
@@ -407,10 +407,24 @@ def j8_inventory(spark, d):
     return pairing.inventory(runt(spark, d), [one, two])
 
 
-@query("SELECT r.run, f.feature, 'missing' AS status FROM (SELECT DISTINCT run FROM wts) r, (SELECT CAST(unnest(range(1, 18)) AS BIGINT) AS feature) f WHERE f.feature = 17")
+CTE["planted"] = "planted AS (SELECT DISTINCT run, feature FROM wts UNION ALL SELECT DISTINCT run, feature FROM wts WHERE feature % 10 = 3)"
+CTE["wanted_grid"] = "wanted_grid AS (SELECT run, feature FROM (SELECT DISTINCT run FROM wts), (SELECT unnest(range(2, max(feature) + 2)) AS feature FROM wts))"
+
+
+@query("SELECT *, 'missing' AS status FROM (SELECT run, feature FROM wanted_grid EXCEPT SELECT run, feature FROM planted) UNION ALL SELECT *, 'unexpected' FROM (SELECT run, feature FROM planted EXCEPT SELECT run, feature FROM wanted_grid) UNION ALL SELECT run, feature, 'duplicate' FROM planted GROUP BY 1, 2 HAVING count(*) > 1")
 def j9_grid_completeness(spark, d):
+    """Wanted are features from 2 to one beyond the widest; every tenth is planted twice."""
     w = wts(spark, d).select("run", "feature").distinct()
-    return pairing.inventory(w, [w.select("run").distinct(), spark.range(1, 18).withColumnRenamed("id", "feature")])
+    widest = w.agg(F.max("feature")).first()[0] or 0
+    return pairing.inventory(w.unionByName(w.where("feature % 10 = 3")), [w.select("run").distinct(), spark.range(2, widest + 2).withColumnRenamed("id", "feature")])
+
+
+@query("SELECT run, max(feature) AS width, count(DISTINCT feature) AS features, count(*) = count(DISTINCT (sample, feature)) AS constant FROM wts GROUP BY 1")
+def j9_constant_columns(spark, d):
+    """Features of a run: how many, and that none occurs twice in a sample."""
+    w = wts(spark, d)
+    once = w.groupBy("run", "sample", "feature").agg(F.count("*").alias("n"))
+    return once.groupBy("run").agg(F.max("feature").alias("width"), F.count_distinct("feature").alias("features"), (F.max("n") == 1).alias("constant"))
 
 
 @query("SELECT 'seed' AS setting, count(DISTINCT seed) AS distinct_values, count(DISTINCT seed) = 1 AS agrees FROM runt UNION ALL SELECT 'model', count(DISTINCT model), count(DISTINCT model) = 1 FROM runt")

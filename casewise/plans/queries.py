@@ -198,6 +198,17 @@ def p8_value_report(spark, d):
     return rounded(clean.value_report(holes(spark, d), "bis", F.col("bis") > 60))
 
 
+@query("SELECT label, value, count(*) AS rows, round(CASE WHEN value IS NOT NULL THEN count(*) / sum(CASE WHEN value IS NOT NULL THEN count(*) END) OVER (PARTITION BY label) END, 6) AS share FROM (SELECT 'inadequate' AS label, CAST(bis > 60 AS VARCHAR) AS value FROM holes UNION ALL SELECT 'zone', CASE WHEN bis <= 40 THEN 'deep' WHEN bis <= 60 THEN 'adequate' WHEN bis IS NOT NULL THEN 'light' END FROM holes) GROUP BY 1, 2")
+def p8_label_distribution(spark, d):
+    return rounded(clean.label_distribution(holes(spark, d), {"inadequate": F.col("bis") > 60, "zone": zone(F.col("bis"))}))
+
+
+@query("SELECT 'bis' AS feature, round(avg(CASE WHEN bis IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing FROM holes UNION ALL SELECT 'aux', round(avg(CASE WHEN aux IS NULL THEN 1.0 ELSE 0.0 END), 6) FROM holes")
+def p8_missing_summary(spark, d):
+    """The two of the four columns with most nulls."""
+    return rounded(clean.missing_summary(holes(spark, d).select("bis", "aux", "caseid", "time_sec"), 2))
+
+
 @query("SELECT caseid, 'bis' AS feature, round(avg(CASE WHEN bis IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing FROM holes GROUP BY 1 UNION ALL SELECT caseid, 'aux', round(avg(CASE WHEN aux IS NULL THEN 1.0 ELSE 0.0 END), 6) FROM holes GROUP BY 1")
 def p9_exploration_missing(spark, d):
     return rounded(clean.missing_rates(holes(spark, d), ["bis", "aux"], ["caseid"]))
@@ -273,9 +284,11 @@ def t8_concentrations(spark, d):
     return rounded(pk.concentrations(s, "rate", pk.propofol_parameters(demographics(spark, d)), ["volume"], hold=600))
 
 
-@query(f"SELECT caseid, {R('lean_mass', '18.9 - 0.391 * (age - 53) AS v2', '1.89 + 0.0456 * (weight - 77) - 0.0681 * (lean_mass - 59) + 0.0264 * (height - 177) AS cl1', '1.29 - 0.024 * (age - 53) AS cl2')} FROM lean")
+@query(f"SELECT caseid, 'propofol' AS drug, {R('lean_mass', '4.27 AS v1', '18.9 - 0.391 * (age - 53) AS v2', '238.0 AS v3', '1.89 + 0.0456 * (weight - 77) - 0.0681 * (lean_mass - 59) + 0.0264 * (height - 177) AS cl1', '1.29 - 0.024 * (age - 53) AS cl2', '0.836 AS cl3', '0.456 AS ke0')} FROM lean UNION ALL SELECT caseid, 'remifentanil', {R('lean_mass', '5.1 - 0.0201 * (age - 40) + 0.072 * (lean_mass - 55) AS v1', '9.82 - 0.0811 * (age - 40) + 0.108 * (lean_mass - 55) AS v2', '5.42 AS v3', '2.6 - 0.0162 * (age - 40) + 0.0191 * (lean_mass - 55) AS cl1', '2.05 - 0.030 * (age - 40) AS cl2', '0.076 - 0.00113 * (age - 40) AS cl3', '0.595 - 0.007 * (age - 40) AS ke0')} FROM lean")
 def t9_model_parameters(spark, d):
-    return rounded(pk.propofol_parameters(demographics(spark, d)).select("caseid", "lean_mass", "v2", "cl1", "cl2"))
+    people = demographics(spark, d)
+    of = lambda df, drug: df.select("caseid", F.lit(drug).alias("drug"), "lean_mass", "v1", "v2", "v3", "cl1", "cl2", "cl3", "ke0")
+    return rounded(of(pk.propofol_parameters(people), "propofol").unionByName(of(pk.remifentanil_parameters(people), "remifentanil")))
 
 
 @query("SELECT caseid, time_sec, round(greatest(0, least(100, 98 * pow(1 + bis / 100 / 4.47 + aux / 10 / 19.3, -1.43))), 6) AS predicted FROM sig")
