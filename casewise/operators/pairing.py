@@ -102,6 +102,12 @@ def inventory(present: DataFrame, dimensions: list[DataFrame]) -> DataFrame:
     return missing.unionByName(extra).unionByName(seen.where("_n > 1").select(*keys, F.lit("duplicate").alias("status")))
 
 
+def constant_columns(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """by, column, distinct values (a null counts as one) and whether the group holds one only."""
+    wide = df.groupBy(*by).agg(*((F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(c) for c in columns))
+    return wide.unpivot(by, columns, "column", "distinct_values").withColumn("constant", F.col("distinct_values") == 1)
+
+
 def setting_agreement(runs: DataFrame, settings: list[str]) -> DataFrame:
     """Per setting, how many distinct values the runs have and whether they agree."""
     wide = runs.agg(*((F.count_distinct(s) + F.max(F.col(s).isNull().cast("int"))).alias(s) for s in settings))

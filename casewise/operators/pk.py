@@ -91,41 +91,94 @@ def rate_status(df: DataFrame, rate: str, evidence: list[str], case: str = "case
     return df.withColumn("start", start).withColumn("known", F.col("start").isNotNull() & (F.coalesce(most, F.lit(0.0)) <= tolerance))
 
 
-def concentrations(df: DataFrame, rate: str, parameters: DataFrame, evidence: list[str], hold: int = 10, case: str = "caseid", time: str = "time_sec") -> DataFrame:
+def scan(maps: np.ndarray, inputs: np.ndarray, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """For s -> maps[k] s + inputs[k] one after the other: the map and the input from before the first to after each.
+
+    Blocks go side by side, first each from its own beginning, then each after all that stand before it.
+    """
+    n, size = inputs.shape
+    blocks = -(-n // block)
+    whole, part = np.tile(np.eye(size), (blocks * block, 1, 1)), np.zeros((blocks * block, size))
+    whole[:n], part[:n] = maps, inputs
+    whole, part = whole.reshape(blocks, block, size, size), part.reshape(blocks, block, size)
+    for j in range(1, block):
+        step = whole[:, j].copy()
+        part[:, j] += np.einsum("bij,bj->bi", step, part[:, j - 1])
+        whole[:, j] = step @ whole[:, j - 1]
+    for b in range(1, blocks):
+        part[b] += whole[b] @ part[b - 1, -1]
+        whole[b] = whole[b] @ whole[b - 1, -1]
+    return whole.reshape(-1, size, size)[:n], part.reshape(-1, size)[:n]
+
+
+def concentrations(df: DataFrame, rate: str, parameters: DataFrame, evidence: list[str], hold: int = 10, case: str = "caseid", time: str = "time_sec", span: int = 3600) -> DataFrame:
     """case, time, plasma, effect and status per row of df.
 
     The state is zero at the first rate; the rate seen at t acts on (t, next]; a rate older than `hold` seconds ends
-    the series. Start, its evidence and stale rates are windows; the linear recurrence runs per case, in time order.
+    the series. Times of a case are distinct.
+
+    A case is cut into chunks of `span` seconds, which different tasks can take. What a chunk needs of those before it
+    (last rate, last time) is one row for each chunk. The recurrence is affine, so that a chunk is first reduced to one
+    map; the maps of a case are put together in order, and with the state that each chunk starts from its rows follow.
     """
-    w = Window.partitionBy(case).orderBy(time)
-    last = F.last(F.when(F.col(rate).isNotNull(), F.struct(F.col(rate).alias("r"), F.col(time).alias("t"))), ignorenulls=True)
-    marked = rate_status(df, rate, evidence, case, time).withColumn("_held", last.over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    stale = F.coalesce((F.col(time) > F.col("start")) & (F.col(time) - F.col("_held.t") > hold), F.lit(False)).cast("int")
-    marked = marked.withColumn("_ended", F.max(stale).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = marked.select(case, time, "start", "known", "_ended", F.col("_held.r").alias("_rate")).join(parameters, case)
+    chunk = F.floor(F.col(time) / span).cast("long").alias("_chunk")
+    rows = df.select(case, time, F.when(~F.isnan(F.col(rate).cast("double")), F.col(rate).cast("double")).alias("_seen"), F.greatest(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in evidence), F.lit(0.0)).alias("_evidence"), chunk)
+    starts = rows.groupBy(case).agg(F.min(F.when(F.col("_seen").isNotNull(), F.col(time))).alias("_start"))
+    given = rows.join(starts, case).groupBy(case, "_start").agg(F.max(F.when(F.col(time) <= F.col("_start"), F.col("_evidence"))).alias("_most"))
+    people = given.select(case, "_start", (F.col("_start").isNotNull() & (F.coalesce("_most", F.lit(0.0)) <= 1e-8)).alias("_known")).join(parameters, case)
+    before = Window.partitionBy(case).orderBy("_chunk")
+    ends = rows.groupBy(case, "_chunk").agg(F.max_by(F.when(F.col("_seen").isNotNull(), F.struct(F.col("_seen").alias("r"), F.col(time).alias("t"))), F.when(F.col("_seen").isNotNull(), F.col(time))).alias("_last"), F.max(time).alias("_end"))
+    held = F.last("_last", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select(case, "_chunk", F.lag("_end").over(before).alias("_end"), held["r"].alias("_rate"), held["t"].alias("_since"))
     names = ["v1", "v2", "v3", "cl1", "cl2", "cl3", "ke0"]
+    joined = rows.join(people.select(case, "_start", "_known", *names), case).join(carried, [case, "_chunk"])
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def walk(group: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, float]:
+        """The chunk's rows in order, their maps from its beginning, and when its rate is stale (else infinity)."""
         group = group.sort_values(time)
-        a = system(*(float(group[n].iloc[0]) for n in names))
-        v1, state, before = float(group.v1.iloc[0]), np.zeros(5), None
-        steps: dict[int, np.ndarray] = {}
-        plasma, effect, status = [], [], []
-        for t, start, known, ended, r in zip(group[time], group.start, group.known, group._ended, group._rate, strict=True):
-            ok = bool(known) and t >= start and not ended
-            if ok and before is not None:
-                gap = int(t - before)
-                if gap not in steps:
-                    steps[gap] = exponential(a * gap)
-                state[4] = 0.0 if r is None or np.isnan(r) else r
-                state = steps[gap] @ state
-            before = t if ok else None
-            plasma.append(state[0] / v1 if ok else None)
-            effect.append(state[3] if ok else None)
-            status.append("ok" if ok else "unknown_start" if not known else "before_start" if t < start else "stale")
-        return pd.DataFrame({case: group[case].to_numpy(), time: group[time].to_numpy(), "plasma": pd.Series(plasma, dtype=float), "effect": pd.Series(effect, dtype=float), "status": status})
-
-    return joined.groupBy(case).applyInPandas(run, f"{case} long, {time} long, plasma double, effect double, status string")
-
-
-__all__ = ["concentrations", "exponential", "lean_mass", "predicted_index", "propofol_parameters", "rate_status", "remifentanil_parameters", "system"]
+        t, first = group[time].to_numpy(float), group.iloc[0]
+        known = pd.Series(np.append(first["_rate"] if first["_rate"] is not None else np.nan, group["_seen"].to_numpy(float)[:-1])).ffill().to_numpy()
+        when = pd.Series(np.append(first["_since"] if first["_since"] is not None else np.nan, np.where(group["_seen"].notna(), t, np.nan)[:-1])).ffill().to_numpy()
+        start = float(first["_start"]) if pd.notna(first["_start"]) else np.inf
+        late = (t > start) & (t - when > hold)
+        gaps = np.where(t > start, np.diff(t, prepend=first["_end"] if pd.notna(first["_end"]) else t[0]), 0.0)
+        a = system(*(float(first[n]) for n in names))
+        steps = {g: exponential(a * g) for g in np.unique(gaps)}
+        each = np.stack([steps[g] for g in gaps])
+        inputs = each[:, :4, 4] * np.nan_to_num(known)[:, None] * (gaps > 0)[:, None]
+        maps, parts = scan(each[:, :4, :4], inputs)
+        return group, maps, parts, float(t[late][0]) if late.any() else np.inf
+
+    def reduce_(group: pd.DataFrame) -> pd.DataFrame:
+        rows_, maps, parts, stale = walk(group)
+        return pd.DataFrame({case: [rows_[case].iloc[0]], "_chunk": [rows_["_chunk"].iloc[0]], "_map": [maps[-1].ravel()], "_part": [parts[-1]], "_stale": [stale]})
+
+    def compose(group: pd.DataFrame) -> pd.DataFrame:
+        state, stale, states, ended = np.zeros(4), np.inf, [], []
+        group = group.sort_values("_chunk")
+        for m, part, own in zip(group["_map"], group["_part"], group["_stale"], strict=True):
+            states.append(state)
+            ended.append(min(stale, own))
+            state, stale = np.array(m).reshape(4, 4) @ state + np.array(part), min(stale, own)
+        return pd.DataFrame({case: group[case].to_numpy(), "_chunk": group["_chunk"].to_numpy(), "_state": states, "_stale": ended})
+
+    kind = df.schema[case].dataType.simpleString()
+    maps = joined.groupBy(case, "_chunk").applyInPandas(reduce_, f"{case} {kind}, _chunk long, _map array<double>, _part array<double>, _stale double")
+    begun = maps.groupBy(case).applyInPandas(compose, f"{case} {kind}, _chunk long, _state array<double>, _stale double")
+
+    def replay(group: pd.DataFrame) -> pd.DataFrame:
+        rows_, maps, parts, _ = walk(group)
+        first = rows_.iloc[0]
+        states = maps @ np.array(first["_state"]) + parts
+        t = rows_[time].to_numpy(float)
+        start = float(first["_start"]) if pd.notna(first["_start"]) else np.inf
+        status = np.where(not first["_known"], "unknown_start", np.where(t < start, "before_start", np.where(t >= first["_stale"], "stale", "ok")))
+        ok = status == "ok"
+        return pd.DataFrame({case: rows_[case].to_numpy(), time: rows_[time].to_numpy(), "plasma": np.where(ok, states[:, 0] / float(first["v1"]), np.nan), "effect": np.where(ok, states[:, 3], np.nan), "status": status})
+
+    found = joined.join(begun, [case, "_chunk"]).groupBy(case, "_chunk").applyInPandas(replay, f"{case} {kind}, {time} long, plasma double, effect double, status string")
+    number = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    return found.select(case, time, number("plasma"), number("effect"), "status")
+
+
+__all__ = ["concentrations", "exponential", "lean_mass", "predicted_index", "propofol_parameters", "rate_status", "remifentanil_parameters", "scan", "system"]

@@ -264,20 +264,3 @@ def candidate_sets(stable_a: DataFrame, stable_b: DataFrame, clusters: DataFrame
         out = one if out is None else out.unionByName(one)
     first = out.withColumn("_at", F.row_number().over(Window.partitionBy("features").orderBy("place"))).where("_at = 1")
     return first.orderBy("place").limit(most).select("subset", F.array_join("features", ",").alias("features"), F.size("features").alias("size"))
-
-
-def tree_cv(df: DataFrame, features: list[str], target: str, folds: DataFrame, depths: tuple[int, ...] = (2, 3, 4), case: str = "case_id", seed: int = 42) -> DataFrame:
-    """depth and mean absolute error over grouped folds of MLlib's boosted trees."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    ready = VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="skip").transform(df.join(folds, case)).select("fold", "_v", target).cache()
-    out = []
-    for depth in depths:
-        losses = []
-        for fold in sorted(r[0] for r in ready.select("fold").distinct().collect()):
-            model = GBTRegressor(featuresCol="_v", labelCol=target, maxDepth=depth, maxIter=10, seed=seed).fit(ready.where(F.col("fold") != fold))
-            losses.append(model.transform(ready.where(F.col("fold") == fold)).agg(F.avg(F.abs(F.col("prediction") - F.col(target)))).first()[0])
-        out.append((depth, float(np.mean(losses))))
-    ready.unpersist()
-    return df.sparkSession.createDataFrame(out, "depth int, mae double").orderBy("mae")

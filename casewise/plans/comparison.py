@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from casewise import plans
 from casewise.operators import bootstrap as bs
-from casewise.operators import cohort, episodes, metrics, pairing, runs, select, splits, weights
+from casewise.operators import cohort, episodes, metrics, pairing, runs, select, selectors, splits, weights
 from casewise.plans.evaluation import pairf, parts, refp, splitted
 from casewise.plans.queries import AHEAD, CTE, DAY, DRAW, LENGTH, QUERIES, SQL, R, cells, grid, holes, pred, query, rounded, runt, sig, table, wins, wts
 
@@ -219,10 +219,49 @@ def f5_threshold_sets(spark, d):
     return select.threshold_sets(freq(spark, d), order, "view")
 
 
+LAGS = {n: [k for k, name in enumerate(NAMES) if name.startswith(n)] for n in ("bis", "aux")}
+
+
+def flat(spark, d):
+    """Windows with all lags in one array, none missing."""
+    return selectors.filled(wins(spark, d).select("case_id", "final_ts", "y", F.flatten("x").alias("x")))
+
+
+@query(None)
+def f2_balanced_grid(spark, d):
+    w = flat(spark, d)
+    return rounded(selectors.net_grid(w, select.case_moments(w, "x", "y"), splits.folds(w, 3, case="case_id"))[0])
+
+
+@query(None)
+def f2_coefficient_path(spark, d):
+    w = flat(spark, d)
+    return rounded(selectors.net_grid(w, select.case_moments(w, "x", "y"), splits.folds(w, 3, case="case_id"))[1])
+
+
+def net_fits(spark, d):
+    return selectors.net_stability(select.case_moments(flat(spark, d), "x", "y"), LAGS, 0.1, 0.9, 20)
+
+
+@query(None)
+def f3_subsample_fits(spark, d):
+    return rounded(net_fits(spark, d))
+
+
+@query(None)
+def f4_selection_summary(spark, d):
+    return rounded(selectors.net_summary(net_fits(spark, d)))
+
+
 @query(None)
 def f6_tree_grid(spark, d):
-    w = wins(spark, d).select("case_id", "y", F.element_at("x", -1)[0].alias("a"), F.element_at("x", -1)[1].alias("b"))
-    return rounded(select.tree_cv(w, ["a", "b"], "y", splits.folds(w, 2, case="case_id"), depths=(2, 3)))
+    w = flat(spark, d)
+    return rounded(selectors.tree_grid(w, splits.folds(w, 2, case="case_id"), trees=5))
+
+
+@query(None)
+def f6_tree_stability(spark, d):
+    return rounded(selectors.gain_summary(selectors.tree_stability(flat(spark, d), LAGS, runs=4, trees=5)))
 
 
 CTE["donor"] = f"donor AS (SELECT caseid, coalesce(lead(caseid) OVER w, first_value(caseid) OVER w) AS donor FROM (SELECT DISTINCT caseid FROM grid) WINDOW w AS (ORDER BY {DRAW.format("'7:' || caseid")}, caseid))"

@@ -419,12 +419,9 @@ def j9_grid_completeness(spark, d):
     return pairing.inventory(w.unionByName(w.where("feature % 10 = 3")), [w.select("run").distinct(), spark.range(2, widest + 2).withColumnRenamed("id", "feature")])
 
 
-@query("SELECT run, max(feature) AS width, count(DISTINCT feature) AS features, count(*) = count(DISTINCT (sample, feature)) AS constant FROM wts GROUP BY 1")
+@query("SELECT sample, c AS \"column\", CASE c WHEN 'caseid' THEN n ELSE m END AS distinct_values, CASE c WHEN 'caseid' THEN n ELSE m END = 1 AS constant FROM (SELECT sample, count(DISTINCT caseid) AS n, count(DISTINCT run) + max(CASE WHEN run IS NULL THEN 1 ELSE 0 END) AS m FROM wts GROUP BY 1), (VALUES ('caseid'), ('run')) v(c)")
 def j9_constant_columns(spark, d):
-    """Features of a run: how many, and that none occurs twice in a sample."""
-    w = wts(spark, d)
-    once = w.groupBy("run", "sample", "feature").agg(F.count("*").alias("n"))
-    return once.groupBy("run").agg(F.max("feature").alias("width"), F.count_distinct("feature").alias("features"), (F.max("n") == 1).alias("constant"))
+    return pairing.constant_columns(wts(spark, d), ["sample"], ["caseid", "run"])
 
 
 @query("SELECT 'seed' AS setting, count(DISTINCT seed) AS distinct_values, count(DISTINCT seed) = 1 AS agrees FROM runt UNION ALL SELECT 'model', count(DISTINCT model), count(DISTINCT model) = 1 FROM runt")

@@ -213,6 +213,45 @@ def test_concentrations(spark):
     assert abs(spark.range(1).select(pk.predicted_index(F.lit(0.0), F.lit(0.0))).first()[0] - 98) < 1e-9
 
 
+def test_concentrations_do_not_depend_on_chunks(spark):
+    r = np.random.default_rng(4)
+    people = spark.createDataFrame([(c, 30.0 + c, c % 2, 170.0, 70.0) for c in range(4)], "caseid long, age double, sex_male int, height double, weight double")
+    parameters = pk.remifentanil_parameters(people)
+    data, times = [], {}
+    for c in range(4):
+        at = np.cumsum(r.integers(1, 4, 400)) + 7 * c
+        rates = [None if k < 5 or r.random() < 0.5 and c else float(r.uniform(0, 100)) for k in range(400)]
+        times[c] = (at, rates)
+        data += [(c, int(t), x, 1.0 if c == 3 and k > 300 else 0.0) for k, (t, x) in enumerate(zip(at, rates, strict=True))]
+    df = spark.createDataFrame(data, "caseid long, time_sec long, rate double, volume double")
+    whole = {(q.caseid, q.time_sec): q for q in pk.concentrations(df, "rate", parameters, ["volume"], hold=9, span=10**6).collect()}
+    parts = {(q.caseid, q.time_sec): q for q in pk.concentrations(df, "rate", parameters, ["volume"], hold=9, span=50).collect()}
+    assert len(whole) == len(parts) == 1600
+    for k, q in whole.items():
+        p = parts[k]
+        assert p.status == q.status and (q.plasma is None) == (p.plasma is None) and (q.plasma is None or np.allclose([p.plasma, p.effect], [q.plasma, q.effect], atol=1e-10))
+    # one step after the other
+    for c, (at, rates) in times.items():
+        q = parameters.where(f"caseid = {c}").first()
+        a, state, start, last, since, before, ended = pk.system(q.v1, q.v2, q.v3, q.cl1, q.cl2, q.cl3, q.ke0), np.zeros(5), None, 0.0, None, None, False
+        for t, x in zip(at, rates, strict=True):
+            got = whole[c, int(t)]
+            if start is not None and not ended:
+                ended = t - since > 9
+                if not ended:
+                    state[4] = last
+                    state = pk.exponential(a * (t - before)) @ state
+            if start is None and x is not None:
+                start = t
+            want = "before_start" if start is None else "stale" if ended else "ok"
+            assert got.status == want
+            if want == "ok":
+                assert abs(got.plasma - state[0] / q.v1) < 1e-9 and abs(got.effect - state[3]) < 1e-9
+            if x is not None:
+                last, since = x, t
+            before = t
+
+
 def test_elastic_net_on_moments(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(300, 6))
