@@ -30,6 +30,30 @@ def episode_metrics(df: DataFrame, episode: str, time: str, value: str, action:
     )
 
 
+def episode_extras(df: DataFrame, episode: str, time: str, value: str, action: str, step: float, floor: float = 0.0, ceiling: float | None = None, levels: list[str] | None = None, effect: str | None = None, threshold: float | None = None, reward: str | None = None, components: list[str] | None = None, low: float = 40, high: float = 60, target: float = 50, deep: float = 30, tolerance: float = 1e-6) -> DataFrame:
+    """Per episode: steps, duration, shares of time by range, largest error, spread of value and action, squared changes,
+    saturation at both ends, mean and largest of concentrations, time with an effect over a threshold, rewards and why it
+    ended (the last `reason`, where df has one).
+    """
+    v, a, n = F.col(value), F.col(action), F.count("*")
+    w = Window.partitionBy(episode).orderBy(time)
+    moved = df.withColumn("_da", a - F.lag(action).over(w))
+    share = lambda rule: F.avg(F.when(rule, 1.0).otherwise(0.0))
+    near = lambda end: F.count(F.when(F.abs(a - end) <= tolerance, 1)) if end is not None else F.lit(0).cast("long")
+    out = [
+        n.alias("steps"), (n * step).alias("duration"), share(v.between(low, high)).alias("in_range_share"), share(v < low).alias("below_share"), share(v > high).alias("above_share"), share(v < deep).alias("deep_share"),
+        F.max(F.abs(v - target)).alias("largest_error"), F.stddev_pop(v).alias("value_std"), F.stddev_pop(a).alias("action_std"), F.coalesce(F.sum(F.abs("_da")), F.lit(0.0)).alias("change_sum"), F.coalesce(F.sum(F.col("_da") ** 2), F.lit(0.0)).alias("squared_change_sum"),
+        near(floor).alias("at_floor"), (near(floor) / n).alias("at_floor_share"), near(ceiling).alias("at_ceiling"), (near(ceiling) / n).alias("at_ceiling_share"),
+    ]
+    out += [x for c in levels or [] for x in (F.avg(c).alias(f"{c}_mean"), F.max(c).alias(f"{c}_max"))]
+    if effect and threshold is not None:
+        out.append(F.sum(F.when(F.col(effect) > threshold, step).otherwise(0.0)).alias("over_threshold"))
+    out += [F.coalesce(F.sum(c), F.lit(0.0)).alias(f"{c}_total") for c in ([reward] if reward else []) + (components or [])]
+    if "reason" in df.columns:
+        out.append(F.max_by("reason", time).alias("ended"))
+    return moved.groupBy(episode).agg(*out)
+
+
 def settling(df: DataFrame, episode: str, time: str, value: str, low: float = 40, high: float = 60) -> DataFrame:
     """First time in range after any time out of it, and earliest time from which all later rows are in range."""
     w = Window.partitionBy(episode).orderBy(time)

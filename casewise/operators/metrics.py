@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from casewise.operators.contracts import ContractError
+
 
 def errors(df: DataFrame, observed: str = "observed", predicted: str = "predicted", low: float = 40, high: float = 60) -> DataFrame:
     from casewise.functions import region
@@ -85,7 +87,9 @@ def ranking(levels: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def best_threshold(levels: DataFrame, score: str) -> DataFrame:
-    """The level with the largest F1, the lowest of equals; null with one class."""
+    """The level with the largest F1, the lowest of equals. ContractError with one class."""
+    if not levels.where("positives > 0 and negatives > 0").limit(1).count():
+        raise ContractError("a threshold needs both classes")
     f1 = 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("positives"))
     best = levels.where("positives > 0 and negatives > 0").withColumn("f1", f1).agg(F.max(F.struct("f1", (-F.col(score)).alias("t"))).alias("best"))
     return best.select((-F.col("best.t")).alias("threshold"), F.col("best.f1").alias("f1"))
@@ -94,13 +98,13 @@ def best_threshold(levels: DataFrame, score: str) -> DataFrame:
 def pooled(df: DataFrame, observed: str = "observed", predicted: str = "predicted", low: float = 40, high: float = 60) -> DataFrame:
     """One row: regression, regions, ranking and thresholds for high and low targets.
 
-    Both rankings come from one table of score levels, which is kept while they are added up.
+    Both rankings come from the same table of score levels.
     """
     marked = errors(df, observed, predicted, low, high)
     one = marked.agg(*regression_columns(observed, predicted), *region_columns(observed, predicted, low, high), *threshold_columns(F.col("is_high"), F.col(predicted) > high, "high_"), *threshold_columns(F.col("is_low"), F.col(predicted) < low, "low_"))
     known = marked.where(F.col("is_high").isNotNull() & F.col(predicted).isNotNull())
     sides = [F.sum(F.col(c).cast("long")).alias(c) for c in ("is_high", "is_low")]
-    levels = known.groupBy(predicted).agg(*sides, F.count("*").alias("_all")).persist()
+    levels = known.groupBy(predicted).agg(*sides, F.count("*").alias("_all"))
 
     def side(label: str, sign: int) -> DataFrame:
         return summed_levels(levels.select((sign * F.col(predicted)).alias("_score"), F.col(label).alias("p"), (F.col("_all") - F.col(label)).alias("n")), "_score")

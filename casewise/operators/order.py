@@ -47,6 +47,26 @@ def numbered(df: DataFrame, order: list[str], name: str, by: list[str] | None =
     return met.select(*df.columns, (F.col("_before") + F.col("_inside")).cast("long").alias(name))
 
 
+def least_before(levels: DataFrame, order: str, value: str, name: str, by: list[str]) -> DataFrame:
+    """levels with `name`, the least value of the rows of its group that come strictly earlier in the order; null for none.
+
+    levels holds each order value of a group once. Ranges of the order are met as in numbered(): a task has one range,
+    and a table with a row for each range tells the least of those before it.
+    """
+    ranges = max(2, int(levels.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = levels.withColumn("_at", position(levels, order))
+    shares = F.array(*(F.lit(k / ranges) for k in range(1, ranges)))
+    borders = placed.groupBy(*by).agg(F.array_distinct(F.percentile_approx("_at", shares, 10_000)).alias("_borders"))
+    dealt = placed.join(F.broadcast(borders), by) if by else placed.join(F.broadcast(borders))
+    dealt = dealt.withColumn("_part", F.size(F.filter("_borders", lambda x: x < F.col("_at"))))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy(*by, "_part").agg(F.min(value).alias("_least"))
+    before = parts.select(*by, "_part", F.min("_least").over(earlier).alias("_below"))
+    inside = Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    met = dealt.withColumn("_inside", F.min(value).over(inside)).join(before, [*by, "_part"])
+    return met.select(*levels.columns, F.least("_inside", "_below").alias(name))
+
+
 def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float | None]]:
     """Exact quantiles of each column, between ranks in proportion; None where nothing is seen. Null and NaN are missing.
 

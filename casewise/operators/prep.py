@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from casewise.operators.contracts import ContractError
 from casewise.operators.order import modes, quantiles
 
 
@@ -96,6 +97,26 @@ def case_targets(df: DataFrame, y: str = "y", split: str = "split", case: str =
     return df.groupBy(split, case).agg(F.count("*").alias("windows"), F.avg(v).alias("mean"), F.min(time).alias("first_target"), F.max(time).alias("last_target"), F.avg((v < low).cast("double")).alias("low"), F.avg(v.between(low, high).cast("double")).alias("mid"), F.avg((v > high).cast("double")).alias("high"))
 
 
+def require_all_cases(cases: DataFrame, splits: DataFrame, split: str = "split", case: str = "case_id") -> DataFrame:
+    """case_targets(), in which each case of each split must appear."""
+    absent = splits.select(split, case).join(cases, [split, case], "left_anti").limit(3).collect()
+    if absent:
+        raise ContractError(f"cases of a split without windows, such as {absent}")
+    return cases
+
+
+def duplicate_check(df: DataFrame, statistics: DataFrame, one: str, other: str, offset: float, by: str = "split", tolerance: float = 1e-10) -> DataFrame:
+    """Whether `other` is `one` less offset, in original units: by group and (null) over all: values, largest difference,
+    correlation, and exact, the difference within the tolerance.
+
+    df holds scaled values as rows of `by`, one and other; they are scaled back by the stored statistics first.
+    """
+    a, b = (invert_scaling(F.col(c), statistics, c) for c in (one, other))
+    back = df.select(by, a.alias("_a"), b.alias("_b"))
+    wrong = F.max(F.abs(F.col("_b") - (F.col("_a") - offset)))
+    return back.cube(by).agg(F.count("*").alias("values"), wrong.alias("difference"), F.corr("_a", "_b").alias("correlation"), (wrong <= tolerance).alias("exact"))
+
+
 def event_coverage(cases: DataFrame, split: str = "split") -> DataFrame:
     """Of case_targets: cases with any high or low target per split, their share, median prevalence, warning if none."""
     out = cases.groupBy(split).agg(F.count("*").alias("cases"), *(x for k in ("high", "low") for x in (F.count(F.when(F.col(k) > 0, 1)).alias(f"{k}_cases"), F.avg((F.col(k) > 0).cast("double")).alias(f"{k}_share"), F.median(k).alias(f"{k}_median"))))

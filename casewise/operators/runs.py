@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casewise.operators.order import least_before
+
 #: Fixed value: the 97.5 % point of Student's t with 4 degrees of freedom (five seeds).
 T4 = 2.776445105
 
@@ -45,17 +47,31 @@ def against_row(candidates: DataFrame, name: str, reference, metrics: list[str])
     return candidates.join(F.broadcast(base)).select(*candidates.columns, *((F.col(m) - F.col(f"_r_{m}")).alias(f"delta_{m}") for m in metrics))  # one row
 
 
+def front(candidates: DataFrame, group: str, cost: str, error: str) -> DataFrame:
+    """candidates with `on_front`: no other of the group is no worse in both and better in one.
+
+    A cost's least error is compared with the least of all lower costs, which comes by ranges of the cost.
+    """
+    levels = candidates.groupBy(group, cost).agg(F.min(error).alias("_own"))
+    below = least_before(levels, cost, "_own", "_cheaper", [group])
+    beaten = (F.col(error) > F.col("_own")) | F.coalesce(F.col("_cheaper") <= F.col(error), F.lit(False))
+    return candidates.join(below, [group, cost]).select(*candidates.columns, (~beaten).alias("on_front"))
+
+
 def pareto(candidates: DataFrame, group: str, name: str, cost: str, error: str) -> DataFrame:
     """Candidates with those that dominate them: no worse in both, better in one; and flags for best and simplest.
 
-    A candidate is compared with the candidates of its group alone: a list of model variants, not of rows.
+    Only candidates off the front are set against others, since only they have dominators to list.
     """
+    marked = front(candidates.select(group, name, cost, error), group, cost, error)
     other = candidates.select(F.col(group).alias("_g"), F.col(name).alias("_o"), F.col(cost).alias("_c"), F.col(error).alias("_e"))
     beats = (F.col("_g") == F.col(group)) & (F.col("_c") <= F.col(cost)) & (F.col("_e") <= F.col(error)) & ((F.col("_c") < F.col(cost)) | (F.col("_e") < F.col(error)))
-    found = candidates.join(other, beats, "left").groupBy(group, name, cost, error).agg(F.array_sort(F.collect_set("_o")).alias("dominators"))
-    front = found.withColumn("on_front", F.size("dominators") == 0)
-    least = front.where("on_front").groupBy(group).agg(F.min(error).alias("_best"), F.min(cost).alias("_least"))
-    return front.join(least, group).withColumns({"is_best": F.col("on_front") & (F.col(error) == F.col("_best")), "is_simplest": F.col("on_front") & (F.col(cost) == F.col("_least"))}).drop("_best", "_least")
+    lists = marked.where("not on_front").join(other, beats).groupBy(group, name, cost, error).agg(F.array_sort(F.collect_set("_o")).alias("dominators"))
+    off = lists.select(group, name, cost, error, "dominators", F.lit(False).alias("on_front"))
+    front_ = marked.where("on_front").select(group, name, cost, error, F.array().cast("array<string>").alias("dominators"), "on_front").unionByName(off)
+    least = marked.where("on_front").groupBy(group).agg(F.min(error).alias("_best"), F.min(cost).alias("_least"))
+    return front_.join(least, group).withColumns({"is_best": F.col("on_front") & (F.col(error) == F.col("_best")), "is_simplest": F.col("on_front") & (F.col(cost) == F.col("_least"))}).drop("_best", "_least")
+
 
 
 def case_stability(deltas: DataFrame, case: str, delta: str = "difference") -> DataFrame:
@@ -129,3 +145,29 @@ def collect_runs(planned: DataFrame, status: DataFrame, results: DataFrame, run:
     marked = planned.join(status, run, "left").join(results.withColumn("_r", F.lit(1)), run, "left")
     outcome = F.when(F.col(state).isNull(), "pending").when(F.col(state) == "failed", "failed").when(F.col("_r").isNull(), "incomplete").otherwise("done")
     return marked.withColumn("outcome", outcome).drop("_r")
+
+
+def collect_nested(planned: DataFrame, completions: DataFrame, statuses: DataFrame, best: DataFrame, validation: DataFrame, run: list[str], means: dict[str, Column], seal: str = "test_cohort_accessed", protocol: str = "protocol_hash") -> tuple[DataFrame, DataFrame]:
+    """Planned runs with what their result files hold, and a table of those that failed or are pending.
+
+    A run with a completion file is complete: it must name the plan's protocol, say that the sealed cohort was not read,
+    and have one best checkpoint and validation rows, of which `means` are aggregates. Others are failed if their status
+    says so, with its exception, else pending. Raises ContractError where a complete run breaks a rule or none is
+    complete.
+    """
+    from casewise.operators.contracts import ContractError, require_unique
+
+    for df in (planned, completions, statuses, best):
+        require_unique(df, run)
+    done = completions.select(*run, F.col(protocol).alias("_protocol"), F.col(seal).alias("_seal"), F.lit(True).alias("_complete"))
+    summary = validation.groupBy(*run).agg(F.count("*").alias("validation_rows"), *(v.alias(k) for k, v in means.items()))
+    chosen = best.select(*run, *(F.col(c) for c in best.columns if c not in run), F.lit(True).alias("_best"))
+    complete = planned.join(done, run).join(chosen, run, "left").join(summary, run, "left")
+    rules = {"another protocol": ~F.col("_protocol").eqNullSafe(F.col(protocol)), "the seal is not explicit": ~F.col("_seal").eqNullSafe(F.lit(False)), "no best checkpoint": F.col("_best").isNull(), "no validation rows": F.col("validation_rows").isNull()}
+    counts = complete.agg(F.count("*").alias("complete"), *(F.count(F.when(v, 1)).alias(k) for k, v in rules.items())).first().asDict()
+    if not counts["complete"] or any(counts[k] for k in rules):
+        raise ContractError(f"complete runs and those that break a rule: {counts}")
+    open_ = planned.join(done.select(*run), run, "left_anti").join(statuses, run, "left")
+    failed = F.coalesce(F.col("status") == "failed", F.lit(False))
+    rest = open_.select(*run, F.when(failed, "failed").otherwise("pending").alias("outcome"), *(F.when(failed, F.col(c)).alias(c) for c in statuses.columns if c not in (*run, "status")))
+    return complete.drop("_protocol", "_seal", "_complete", "_best"), rest

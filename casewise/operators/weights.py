@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from casewise.operators.contracts import ContractError
 from casewise.functions import mid_rank, pearson
 
 
@@ -83,7 +84,9 @@ def normalization_audit(df: DataFrame, keys: list[str], weight: str = "weight",
 
 
 def normalized_entropy(df: DataFrame, keys: list[str], weight: str = "weight", observed: str = "observed") -> DataFrame:
-    """Entropy over the log of the observed count; 0 for one, null for none."""
+    """Entropy over the log of the observed count; 0 for one. ContractError if a vector has none observed."""
+    if df.groupBy(*keys).agg(F.max(F.col(observed).cast("int")).alias("_o")).where("coalesce(_o, 0) = 0").limit(1).count():
+        raise ContractError("the entropy of a vector with nothing observed is not defined")
     w = F.col(weight)
     n = F.count(F.when(F.col(observed), 1))
     total = F.sum(F.when(F.col(observed) & (w > 0), -w * F.ln(w)).otherwise(0.0))
@@ -158,3 +161,70 @@ def run_shift(df: DataFrame, item: str, run: str, one, other, value: str) -> Dat
     """The other run's value minus the first one's."""
     at = lambda r: F.avg(F.when(F.col(run) == r, F.col(value)))
     return df.groupBy(item).agg(at(one).alias("first"), at(other).alias("second")).withColumn("shift", F.col("second") - F.col("first"))
+
+
+def grouped_weights(df: DataFrame, keys: list[str], item: str, groups: DataFrame, weight: str = "weight") -> DataFrame:
+    """keys, group and weight: the weight of a group's items together. groups: item and group, a short list."""
+    return df.join(F.broadcast(groups), item).groupBy(*keys, "group").agg(F.sum(weight).alias(weight))
+
+
+def prediction_metrics(df: DataFrame, by: list[str], case: str = "case_id", observed: str = "observed", predicted: str = "predicted", low: float = 40, high: float = 60) -> DataFrame:
+    """by, pooled_mae, case_mae (each case counts once), rmse, and the mean absolute errors on low, middle and high targets."""
+    o, e = F.col(observed), F.abs(F.col(predicted) - F.col(observed))
+    sums = {"": F.lit(True), "_low": o < low, "_mid": o.between(low, high), "_high": o > high}
+    parts = [x for k, rule in sums.items() for x in (F.sum(F.when(rule, e)).alias(f"_e{k}"), F.count(F.when(rule, e)).alias(f"_n{k}"))]
+    cases = df.groupBy(*by, case).agg(*parts, F.sum(e * e).alias("_sq"))
+    ratio = lambda k: F.sum(f"_e{k}") / F.nullif(F.sum(f"_n{k}"), F.lit(0))
+    return cases.groupBy(*by).agg(ratio("").alias("pooled_mae"), F.avg(F.col("_e") / F.col("_n")).alias("case_mae"), F.sqrt(F.sum("_sq") / F.sum("_n")).alias("rmse"), *(ratio(f"_{k}").alias(f"{k}_mae") for k in ("low", "mid", "high")))
+
+
+def joint_audit(df: DataFrame, feature: str, temporal: str, joint: str, observed: str, tolerance: float = 1e-5) -> DataFrame:
+    """One row over arrays of weights: of features in each step, of steps, and joint ones that must be their products.
+
+    feature, joint and observed are arrays of steps with an array of features each, temporal an array of steps. For each:
+    the least weight, the largest error of its sum and how many sums are off by more than the tolerance; weights on what
+    was not observed; and the largest error and count of the product rule. Nothing is exploded.
+    """
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    steps = F.transform(feature, lambda row: F.abs(total(row) - 1))
+    pairs = F.flatten(F.zip_with(F.col(feature), F.col(observed), lambda w, o: F.zip_with(w, o, lambda x, y: F.when(~y, F.abs(x)))))
+    products = F.zip_with(F.col(feature), F.col(temporal), lambda row, t: F.transform(row, lambda v: v * t))
+    wrong = F.flatten(F.zip_with(F.col(joint), products, lambda a, b: F.zip_with(a, b, lambda x, y: F.abs(x - y))))
+    one = F.abs(total(F.col(temporal)) - 1)
+    both = F.abs(total(F.flatten(joint)) - 1)
+    over = lambda a: F.size(F.filter(a, lambda v: v > tolerance)).cast("long")
+    per = df.select(
+        F.array_min(F.flatten(feature)).alias("feature_least"), F.array_max(steps).alias("feature_error"), over(steps).alias("feature_off"),
+        F.coalesce(F.array_max(pairs), F.lit(0.0)).alias("unobserved_most"), F.size(F.filter(pairs, lambda v: v > 0)).cast("long").alias("unobserved"),
+        F.array_min(temporal).alias("temporal_least"), one.alias("temporal_error"), (one > tolerance).cast("long").alias("temporal_off"),
+        F.array_min(F.flatten(joint)).alias("joint_least"), both.alias("joint_error"), (both > tolerance).cast("long").alias("joint_off"),
+        F.array_max(wrong).alias("product_error"), over(wrong).alias("product_off"),
+    )
+    how = {"least": F.min, "error": F.max, "most": F.max}
+    return per.agg(F.count("*").alias("vectors"), *(how.get(c.rsplit("_", 1)[-1], F.sum)(c).alias(c) for c in per.columns))
+
+
+def aligned_weights(weights: DataFrame, predictions: DataFrame, metadata: DataFrame, key: str, agree: list[str], feature: str, temporal: str, joint: str, observed: str) -> DataFrame:
+    """One row of faults of weight arrays against the predictions and the metadata of the same samples.
+
+    missing, extra: samples of the predictions without weights, and weights without one; repeated: further rows of a
+    sample; differ_<column>: predictions that do not agree with the metadata; case: weights of another case; shape: arrays
+    that have not the mask's steps and features; not_finite: samples with a weight or a prediction that is no number.
+    """
+    finite = lambda a: F.forall(a, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    sizes = lambda c: F.transform(c, F.size)
+    # what a row of arrays tells by itself is settled before any join
+    shape = sizes(F.col(feature)).eqNullSafe(sizes(F.col(observed))) & sizes(F.col(joint)).eqNullSafe(sizes(F.col(observed))) & F.size(temporal).eqNullSafe(F.size(observed))
+    own = weights.select(F.col(key).alias("_k"), F.col(agree[0]).alias("_case"), (~shape).alias("_shape"), (~(finite(F.flatten(feature)) & finite(F.flatten(joint)) & finite(F.col(temporal)))).alias("_inf"))
+    number = F.col("predicted").isNotNull() & ~F.isnan("predicted") & (F.abs("predicted") < float("inf"))
+    mine = predictions.select(F.col(key).alias("_p"), *(F.col(c).alias(f"_p_{c}") for c in agree), (~number).alias("_bad"))
+    both = own.join(mine, F.col("_k") == F.col("_p"), "full_outer").join(metadata.select(F.col(key).alias("_m"), *(F.col(c).alias(f"_m_{c}") for c in agree)), F.col("_p") == F.col("_m"), "left")
+    paired = F.col("_k").isNotNull() & F.col("_p").isNotNull()
+    count = lambda rule: F.count(F.when(F.coalesce(rule, F.lit(False)), 1))
+    copies = weights.groupBy(key).agg((F.count("*") - 1).alias("_n")).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("repeated"))
+    faults = both.agg(
+        count(F.col("_k").isNull()).alias("missing"), count(F.col("_p").isNull()).alias("extra"),
+        *(count(F.col("_p").isNotNull() & ~F.col(f"_p_{c}").eqNullSafe(F.col(f"_m_{c}"))).alias(f"differ_{c}") for c in agree),
+        count(paired & ~F.col("_case").eqNullSafe(F.col(f"_p_{agree[0]}"))).alias("case"), count(F.col("_shape")).alias("shape"), count(F.col("_inf") | F.col("_bad")).alias("not_finite"),
+    )
+    return faults.join(F.broadcast(copies))  # one row each

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from casewise.operators.order import quantiles
+
 
 def endpoints(df: DataFrame, target: str, length: int = 6, interval: int = 10, horizon: int = 30, case: str = "caseid", time: str = "timestamp") -> DataFrame:
     """df with `has_history` (all grid times back to t-(length-1)*interval exist), `target` and `target_ts`.
@@ -60,9 +62,10 @@ def candidate_audit(marked: DataFrame, length: int, interval: int, case: str = "
 
 def outlier_cases(audit: DataFrame, value: str = "excluded_pct", top: int = 10) -> DataFrame:
     """Cases above the third quartile + 1.5 interquartile ranges, the largest first."""
-    fence = audit.agg(F.percentile(value, 0.75).alias("_q3"), F.percentile(value, 0.25).alias("_q1"))
-    above = audit.join(F.broadcast(fence)).where(F.col(value) > F.col("_q3") + 1.5 * (F.col("_q3") - F.col("_q1")))  # one row
-    return above.drop("_q3", "_q1").orderBy(F.desc(value), "caseid").limit(top)
+    q1, q3 = quantiles(audit, [value], [0.25, 0.75])[value]
+    if q1 is None:
+        return audit.limit(0)
+    return audit.where(F.col(value) > q3 + 1.5 * (q3 - q1)).orderBy(F.desc(value), "caseid").limit(top)
 
 
 def flatten_lags(df: DataFrame, features: int, lags: int, feature_major: bool = True) -> DataFrame:
@@ -91,3 +94,34 @@ def padded_history(df: DataFrame, columns: list[str], length: int = 6, case: str
     rows = F.collect_list(F.struct(*columns)).over(w)
     n = length - F.size("_rows")
     return df.withColumn("_rows", rows).withColumns({"history": F.concat(F.array_repeat(F.col("_rows")[0], n), F.col("_rows")), "present": F.concat(F.array_repeat(F.lit(0), n), F.array_repeat(F.lit(1), F.size("_rows")))}).drop("_rows")
+
+
+def session_history(df: DataFrame, value: str, doses: dict[str, str] | None = None, length: int = 6, interval: int = 10, case: str = "caseid", time: str = "timestamp") -> DataFrame:
+    """case, time, `session`, `history` and `present` as the stream gives them, `delta` and doses, for each row.
+
+    A session ends where the next row does not come after exactly the interval; the row that breaks it has no history and
+    begins the next one. doses: name -> column of a cumulative dose; <name>_interval is what was given since the row
+    before, <name>_recent since the row `length` before, or the session's first where it is younger.
+    """
+    w = Window.partitionBy(case).orderBy(time)
+    broken = F.coalesce(F.col(time) - F.lag(time).over(w) != interval, F.lit(False)).cast("int")
+    rows = df.withColumn("_broken", broken).withColumn("session", F.sum("_broken").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = Window.partitionBy(case, "session").orderBy(time)
+    recent = s.rowsBetween(-(length - 1), 0)
+    out = rows.withColumn("_values", F.collect_list(F.col(value).cast("double")).over(recent))
+    pad = length - F.size("_values")
+    out = out.withColumns({
+        "history": F.when(F.col("_broken") == 0, F.concat(F.array_repeat(F.col("_values")[0], pad), F.col("_values"))),
+        "present": F.concat(F.array_repeat(F.lit(0), pad), F.array_repeat(F.lit(1), F.size("_values"))),
+        "delta": F.col(value) - F.coalesce(F.lag(value).over(s), F.col(value)),
+    })
+    for name, c in (doses or {}).items():
+        # the first row of a frame that reaches `length` rows back is the one to compare with
+        out = out.withColumns({f"{name}_interval": F.col(c) - F.coalesce(F.lag(c).over(s), F.col(c)), f"{name}_recent": F.col(c) - F.first(c).over(s.rowsBetween(-length, 0))})
+    return out.drop("_broken", "_values")
+
+
+def split_audit(audit: DataFrame, splits: DataFrame, case: str = "caseid") -> DataFrame:
+    """Of candidate_audit(), for each split: counts and what share of its candidates each reason excludes."""
+    sums = audit.join(splits, case).groupBy("split").agg(*(F.sum(c).alias(c) for c in ("candidates", "included", "gap", "no_future")))
+    return sums.withColumns({f"{c}_pct": 100 * F.col(c) / F.col("candidates") for c in ("gap", "no_future")})

@@ -356,11 +356,19 @@ def x2_circular_shift(spark, d):
     return rounded(weights.circular_shift(w, ["bis"], 42, 3))
 
 
-@query("SELECT case_id, round(avg(abs(predicted + 1 - observed)) - avg(abs(predicted - observed)), 6) AS delta_mae, round(sqrt(avg((predicted + 1 - observed) ^ 2)) - sqrt(avg((predicted - observed) ^ 2)), 6) AS delta_rmse FROM pred GROUP BY 1")
+def six(p: str) -> str:
+    e = f"abs({p} - observed)"
+    return f"SELECT case_id % 3 AS part, sum(s) / sum(n) AS pooled_mae, avg(s / n) AS case_mae, sqrt(sum(q) / sum(n)) AS rmse, sum(sl) / sum(nl) AS low_mae, sum(sm) / sum(nm) AS mid_mae, sum(sh) / sum(nh) AS high_mae FROM (SELECT case_id, sum({e}) AS s, count(*) AS n, sum({e} ^ 2) AS q, sum({e}) FILTER (WHERE observed < 40) AS sl, nullif(count(*) FILTER (WHERE observed < 40), 0) AS nl, sum({e}) FILTER (WHERE observed BETWEEN 40 AND 60) AS sm, nullif(count(*) FILTER (WHERE observed BETWEEN 40 AND 60), 0) AS nm, sum({e}) FILTER (WHERE observed > 60) AS sh, nullif(count(*) FILTER (WHERE observed > 60), 0) AS nh FROM pred GROUP BY 1) GROUP BY 1"
+
+
+NAMES_OF_SIX = ["pooled_mae", "case_mae", "rmse", "low_mae", "mid_mae", "high_mae"]
+
+
+@query(f"SELECT part, {', '.join(f'round(a.{m} - b.{m}, 6) AS delta_{m}' for m in NAMES_OF_SIX)} FROM ({six('(predicted + 1 + case_id % 2)')}) a JOIN ({six('predicted')}) b USING (part)")
 def x3_delta_metrics(spark, d):
-    p = pred(spark, d)
-    moved = metrics.regression(p.withColumn("predicted", F.col("predicted") + 1), ["case_id"])
-    return rounded(weights.delta_metrics(moved, metrics.regression(p, ["case_id"]), ["case_id"], ["mae", "rmse"]))
+    p = pred(spark, d).withColumn("part", F.col("case_id") % 3)
+    moved = p.withColumn("predicted", F.col("predicted") + 1 + F.col("case_id") % 2)
+    return rounded(weights.delta_metrics(weights.prediction_metrics(moved, ["part"]), weights.prediction_metrics(p, ["part"]), ["part"], NAMES_OF_SIX))
 
 
 CTE["rf"] = "rf AS (SELECT run, feature, avg(weight) AS v FROM wts GROUP BY 1, 2)"
@@ -448,12 +456,59 @@ def x10_largest_shifts(spark, d):
     return rounded(weights.largest(shifted(spark, d), ["run"], "shift", "feature").select("run", "feature", "shift", "place"))
 
 
-@query("SELECT (SELECT count(*) FROM (SELECT DISTINCT sample FROM wts) w ANTI JOIN documents d ON d.doc_id = w.sample) AS unmatched, 0::BIGINT AS not_finite")
+STEPS = 4
+CTE["att"] = f"att AS (SELECT *, w / sum(w) OVER (PARTITION BY v, l) AS f, sum(w) OVER (PARTITION BY v, l) / sum(w) OVER (PARTITION BY v) AS t, CASE WHEN v % 7 = 0 THEN 1.01 ELSE 1.0 END AS k, NOT (v % 11 = 0 AND i = 0) AS seen FROM (SELECT vec_id AS v, i, i // (len(embedding) // {STEPS}) AS l, abs(CAST(embedding[i + 1] AS DOUBLE)) AS w FROM (SELECT vec_id, embedding, unnest(range(len(embedding) // {STEPS} * {STEPS})) AS i FROM embeddings)))"
+
+
+def joint(spark, d):
+    """Vectors as weights of four steps, with joint weights that are off for every seventh and a gap in every eleventh."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample"), F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("w"))
+    size = (F.size("w") / STEPS).cast("int")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    e = e.withColumn("blocks", F.transform(F.sequence(F.lit(0), F.lit(STEPS - 1)), lambda l: F.slice("w", l * size + 1, size)))
+    e = e.withColumn("sums", F.transform("blocks", total))
+    e = e.withColumns({"feature": F.transform("blocks", lambda row: F.transform(row, lambda v: v / total(row))), "temporal": F.transform("sums", lambda s: s / total(F.col("sums")))})
+    off = F.when(F.col("sample") % 7 == 0, 1.01).otherwise(1.0)
+    seen = F.transform(F.sequence(F.lit(0), F.lit(STEPS - 1)), lambda l: F.transform(F.sequence(F.lit(0), size - 1), lambda i: ~((F.col("sample") % 11 == 0) & (l == 0) & (i == 0))))
+    return e.withColumns({"joint": F.zip_with("feature", "temporal", lambda row, t: F.transform(row, lambda v: v * t * off)), "observed": seen}).drop("w", "blocks", "sums")
+
+
+@query("""SELECT (SELECT count(*) FROM embeddings) AS vectors, round(min(f), 9) AS feature_least, round(max(fe), 6) AS feature_error, count(*) FILTER (WHERE fe > 1e-5 AND i % 16 = 0) AS feature_off, round(coalesce(max(f) FILTER (WHERE NOT seen), 0), 9) AS unobserved_most, count(*) FILTER (WHERE NOT seen AND f > 0) AS unobserved,
+  round(min(t), 9) AS temporal_least, round(max(te), 6) AS temporal_error, count(*) FILTER (WHERE te > 1e-5 AND i = 0) AS temporal_off, round(min(f * t * k), 9) AS joint_least, round(max(je), 6) AS joint_error, count(*) FILTER (WHERE je > 1e-5 AND i = 0) AS joint_off, round(max(abs(f * t * k - f * t)), 9) AS product_error, count(*) FILTER (WHERE abs(f * t * k - f * t) > 1e-5) AS product_off
+  FROM (SELECT *, abs(sum(f) OVER (PARTITION BY v, l) - 1) AS fe, abs(sum(f * t) OVER (PARTITION BY v) - 1) AS te, abs(sum(f * t * k) OVER (PARTITION BY v) - 1) AS je FROM att)""")
+def x6_joint_audit(spark, d):
+    out = weights.joint_audit(joint(spark, d), "feature", "temporal", "joint", "observed")
+    six = [c for c in out.columns if c.endswith("_error") and not c.startswith("product")]
+    return r9(out.withColumns({c: F.round(c, 6) for c in six}))
+
+
+CTE["fault"] = "fault AS (SELECT vec_id AS v, vec_id % 17 <> 0 AS o, vec_id % 13 <> 0 AS p, CASE WHEN vec_id % 17 <> 0 AND vec_id % 31 = 0 THEN 2 ELSE 1 END AS k FROM embeddings)"
+
+
+@query("""SELECT CAST(coalesce(sum(k) FILTER (WHERE p AND NOT o), 0) AS BIGINT) AS missing, CAST(coalesce(sum(k) FILTER (WHERE o AND NOT p), 0) AS BIGINT) AS extra, CAST(coalesce(sum(k) FILTER (WHERE p AND v % 41 = 0), 0) AS BIGINT) AS differ_case_id, CAST(coalesce(sum(k) FILTER (WHERE p AND v % 43 = 0), 0) AS BIGINT) AS differ_target_ts,
+  CAST(coalesce(sum(k) FILTER (WHERE o AND p AND v % 19 = 0), 0) AS BIGINT) AS "case", CAST(coalesce(sum(k) FILTER (WHERE o AND v % 23 = 0), 0) AS BIGINT) AS shape, CAST(coalesce(sum(k) FILTER (WHERE o AND v % 29 = 0 OR p AND v % 37 = 0), 0) AS BIGINT) AS not_finite, count(*) FILTER (WHERE o AND v % 31 = 0) AS repeated FROM fault""")
 def x12_weights_aligned(spark, d):
+    """Weights, predictions and metadata of the vectors, with a fault of each kind at multiples of its own prime."""
+    s = F.col("sample")
+    w = joint(spark, d).where(s % 17 != 0).withColumn("case_id", s % 20 + F.when(s % 19 == 0, 1).otherwise(0))
+    w = w.withColumns({"observed": F.when(s % 23 == 0, F.slice("observed", 1, STEPS - 1)).otherwise(F.col("observed")), "temporal": F.when(s % 29 == 0, F.transform("temporal", lambda v: F.lit(float("nan")))).otherwise(F.col("temporal"))})
+    ids = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample"), (F.col("vec_id") % 20).alias("case_id"), (F.col("vec_id") * 10).alias("target_ts"))
+    predictions = ids.where(s % 13 != 0).withColumn("predicted", F.when(s % 37 == 0, float("nan")).otherwise(s.cast("double")))
+    metadata = ids.withColumns({"case_id": F.col("case_id") + F.when(s % 41 == 0, 1).otherwise(0), "target_ts": F.col("target_ts") + F.when(s % 43 == 0, 1).otherwise(0)})
+    return weights.aligned_weights(w.unionByName(w.where(s % 31 == 0)), predictions, metadata, "sample", ["case_id", "target_ts"], "feature", "temporal", "joint", "observed")
+
+
+@query(f"SELECT lag, {R('avg(v) AS mean', 'stddev_samp(v) AS std', 'median(v) AS median', 'min(v) AS min', 'max(v) AS max')}, row_number() OVER (ORDER BY avg(v) DESC, lag) AS rank FROM (SELECT lag, caseid, avg(v) AS v FROM (SELECT (feature - 1) // 16 AS lag, caseid, sample, avg(weight) AS v FROM wts GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1")
+def x9_lag_summary(spark, d):
+    w = wts(spark, d).withColumn("lag", F.floor((F.col("feature") - 1) / 16))
+    return rounded(weights.balanced_summary(w, "lag", case="caseid"))
+
+
+@query(f"SELECT \"group\", {R('avg(v) AS mean', 'stddev_samp(v) AS std', 'median(v) AS median', 'min(v) AS min', 'max(v) AS max')}, row_number() OVER (ORDER BY avg(v) DESC, \"group\") AS rank FROM (SELECT \"group\", caseid, avg(v) AS v FROM (SELECT 'g' || (feature % 4) AS \"group\", run, caseid, sample, sum(weight) AS v FROM wts GROUP BY 1, 2, 3, 4) GROUP BY 1, 2) GROUP BY 1")
+def x9_group_summary(spark, d):
     w = wts(spark, d)
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("sample"))
-    one = w.select("sample").distinct().join(docs, "sample", "left_anti").agg(F.count("*").alias("unmatched"))
-    return one.join(F.broadcast(w.agg(F.count(F.when(F.isnan("weight") | F.col("weight").isNull(), 1)).alias("not_finite"))))  # one row each
+    groups = w.select("feature").distinct().withColumn("group", F.concat(F.lit("g"), F.col("feature") % 4))
+    return rounded(weights.balanced_summary(weights.grouped_weights(w, ["run", "sample", "caseid"], "feature", groups), "group", case="caseid"))
 
 
 @query("SELECT feature, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(avg(r), 6) AS rank_mean, round(stddev_samp(r), 6) AS rank_std, max(r) - min(r) AS rank_range, round(stddev_samp(v) / avg(v), 6) AS cv, max(r) - min(r) > 5 AS moves, stddev_samp(v) / avg(v) > 0.5 AS varies, avg(v) < 0.01 AS small FROM ord GROUP BY 1")
@@ -498,6 +553,14 @@ def e1_episode_metrics(spark, d):
     return rounded(episodes.episode_metrics(sig(spark, d), "caseid", "time_sec", "bis", "aux", 10.0, change=20.0, limit=95.0))
 
 
+@query(f"""SELECT caseid, count(*) AS steps, {R('count(*) * 10.0::DOUBLE AS duration', 'avg(CASE WHEN bis BETWEEN 40 AND 60 THEN 1.0 ELSE 0.0 END) AS in_range_share', 'avg(CASE WHEN bis < 40 THEN 1.0 ELSE 0.0 END) AS below_share', 'avg(CASE WHEN bis > 60 THEN 1.0 ELSE 0.0 END) AS above_share', 'avg(CASE WHEN bis < 30 THEN 1.0 ELSE 0.0 END) AS deep_share', 'max(abs(bis - 50)) AS largest_error', 'stddev_pop(bis) AS value_std', 'stddev_pop(aux) AS action_std', 'coalesce(sum(abs(da)), 0) AS change_sum', 'coalesce(sum(da * da), 0) AS squared_change_sum')},
+  count(*) FILTER (WHERE abs(aux) <= 1e-6) AS at_floor, round(count(*) FILTER (WHERE abs(aux) <= 1e-6) / count(*), 6) AS at_floor_share, count(*) FILTER (WHERE abs(aux - 95) <= 1e-6) AS at_ceiling, round(count(*) FILTER (WHERE abs(aux - 95) <= 1e-6) / count(*), 6) AS at_ceiling_share, {R('avg(aux) AS aux_mean', 'max(aux) AS aux_max', 'sum(CASE WHEN aux > 50 THEN 10.0::DOUBLE ELSE 0 END) AS over_threshold', 'coalesce(sum(bis), 0) AS bis_total')}, arg_max(kind, time_sec) AS ended
+  FROM (SELECT *, aux - lag(aux) OVER (PARTITION BY caseid ORDER BY time_sec) AS da FROM sig) GROUP BY 1""")
+def e1_episode_extras(spark, d):
+    s = sig(spark, d).withColumnRenamed("kind", "reason")
+    return rounded(episodes.episode_extras(s, "caseid", "time_sec", "bis", "aux", 10.0, ceiling=95.0, levels=["aux"], effect="aux", threshold=50.0, reward="bis"))
+
+
 @query("SELECT caseid, min(time_sec) FILTER (WHERE before = 1 AND o = 0) AS reentry, min(time_sec) FILTER (WHERE after_ = 0) AS settled FROM (SELECT *, max(o) OVER (PARTITION BY caseid ORDER BY time_sec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, max(o) OVER (PARTITION BY caseid ORDER BY time_sec ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after_ FROM (SELECT *, CASE WHEN bis BETWEEN 20 AND 90 THEN 0 ELSE 1 END AS o FROM sig)) GROUP BY 1")
 def e2_settling(spark, d):
     return episodes.settling(sig(spark, d), "caseid", "time_sec", "bis", 20, 90)

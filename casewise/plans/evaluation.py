@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from casewise import sources as src
-from casewise.operators import clean, contracts, metrics, pairing, prep, splits
-from casewise.plans.queries import AHEAD, CTE, DAY, DRAW, LENGTH, QUERIES, SQL, R, grid, holes, pred, query, rounded, runt, sig, table, wins, wts
+from casewise.operators import clean, contracts, metrics, pairing, prep, runs, splits, windows
+from casewise.plans.queries import AHEAD, CTE, DAY, DRAW, LENGTH, QUERIES, SQL, R, grid, holes, marked, pred, query, rounded, runt, sig, table, wins, wts
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -74,6 +74,23 @@ def parts(spark, d):
     return holes(spark, d).join(splitted(spark, d), "caseid")
 
 
+CTE["doubled"] = "doubled AS (SELECT split, coalesce(bis, f) AS a, coalesce(CASE WHEN split = 'test' AND caseid % 2 = 0 THEN bis - 49 ELSE bis - 50 END, f - 50) AS b FROM parts, (SELECT median(bis) AS f FROM parts WHERE split = 'train'))"
+
+
+@query("SELECT split, count(*) AS \"values\", round(max(abs(b - (a - 50))), 6) AS difference, round(corr(a, b), 6) AS correlation, max(abs(b - (a - 50))) <= 1e-9 AS exact FROM doubled GROUP BY GROUPING SETS ((split), ())")
+def w9_deterministic_duplicate(spark, d):
+    """After scaling and back; the test split has a planted fault in every other case."""
+    wrong = (F.col("split") == "test") & (F.col("caseid") % 2 == 0)
+    p = parts(spark, d).withColumn("error", F.col("bis") - F.when(wrong, 49).otherwise(50))
+    s = prep.fit_scaling(p.where("split = 'train'"), ["bis", "error"])
+    return rounded(prep.duplicate_check(prep.apply_scaling(p, s), s, "bis", "error", 50.0, tolerance=1e-9))
+
+
+@query(f"SELECT split, CAST(sum(candidates) AS BIGINT) AS candidates, CAST(sum(included) AS BIGINT) AS included, CAST(sum(gap) AS BIGINT) AS gap, CAST(sum(no_future) AS BIGINT) AS no_future, {R('100 * sum(gap) / sum(candidates) AS gap_pct', '100 * sum(no_future) / sum(candidates) AS no_future_pct')} FROM aud JOIN splitted USING (caseid) GROUP BY 1")
+def w5_split_audit(spark, d):
+    return rounded(windows.split_audit(windows.candidate_audit(marked(spark, d), LENGTH, DAY), splitted(spark, d)))
+
+
 CTE["fitted"] = """fitted AS (SELECT 'bis' AS feature, false AS categorical, f AS fill, (SELECT avg(coalesce(bis, f)) FROM parts WHERE split = 'train') AS mean, (SELECT stddev_pop(coalesce(bis, f)) FROM parts WHERE split = 'train') AS scale, n AS seen FROM (SELECT median(bis) AS f, count(bis) AS n FROM parts WHERE split = 'train')
   UNION ALL SELECT 'aux', true, f, (SELECT avg(coalesce(aux, f)) FROM parts WHERE split = 'train'), (SELECT stddev_pop(coalesce(aux, f)) FROM parts WHERE split = 'train'), (SELECT count(aux) FROM parts WHERE split = 'train') FROM (SELECT aux AS f FROM parts WHERE split = 'train' AND aux IS NOT NULL GROUP BY aux ORDER BY count(*) DESC, aux LIMIT 1))"""
 
@@ -229,6 +246,69 @@ def s10_run_tables(spark, d):
     return rounded(runs_.groupBy("model", "seed").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("predicted") - F.col("observed"))).alias("mae")))
 
 
+@query("SELECT caseid, count(*) AS rows, CASE WHEN caseid = 7 THEN 'rows that do not parse' WHEN caseid = 9 THEN 'times that occur twice' END AS reason FROM (SELECT caseid % 40 AS caseid, time_sec FROM sig GROUP BY 1, 2 UNION ALL SELECT 7, 0 UNION ALL SELECT 9, 0 UNION ALL SELECT 9, 0) GROUP BY 1")
+def s3_load_cases(spark, d):
+    """A file for each of 40 cases; case 7 gets a line that is no row, case 9 a time twice."""
+    path = folder(spark)
+    s = sig(spark, d).groupBy((F.col("caseid") % 40).alias("caseid"), "time_sec").agg(F.max("bis").alias("bis"), F.max("aux").alias("aux"))
+    s.repartition("caseid").write.partitionBy("caseid").option("header", True).csv(path)
+    for case, lines in ((7, ["time_sec,bis,aux", "never,1.0,2.0"]), (9, ["time_sec,bis,aux", "0,1.0,2.0", "0,1.0,2.0"])):
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(f"{path}/caseid={case}")
+    good, rejects = src.load_cases(spark, f"{path}/*", r"caseid=(?P<caseid>[0-9]+)/", ["bis", "aux"])
+    return good.groupBy("caseid").agg(F.count("*").alias("rows")).withColumn("reason", F.lit(None).cast("string")).unionByName(rejects)
+
+
+def run_folder(spark, d):
+    """Nested result files of runs by priority and status, as status.json, completion.json and best.json would hold them."""
+    path = folder(spark)
+    r = runt(spark, d).groupBy(F.substring("condition", 1, 1).alias("condition"), "model").agg(F.sum("cases").alias("n"), F.avg("case_mae").alias("error"))
+    done = r.where("condition in ('1', '2')")
+    kinds = {
+        "completion": done.select("condition", "model", F.lit("p1").alias("protocol_hash"), F.lit(False).alias("test_cohort_accessed"), F.col("n").alias("timesteps")),
+        "best": done.select("condition", "model", F.struct(F.col("error").alias("mae"), F.struct(F.col("n").alias("at")).alias("step")).alias("metrics")),
+        "status": r.where("condition in ('3', '4') and not (condition = '3' and model = 'P')").select("condition", "model", F.when(F.col("condition") == "3", "failed").otherwise("running").alias("status"), F.struct(F.lit("Stopped").alias("type"), F.col("n").alias("step")).alias("exception")),
+    }
+    for kind, df in kinds.items():
+        df.repartition("condition", "model").write.partitionBy("condition", "model").json(f"{path}/{kind}")
+    spark.createDataFrame([('{"status": "fai',)], "value string").write.text(f"{path}/status/condition=3/model=P")
+    spark.createDataFrame([('{"exception": {"type": "none"}}',)], "value string").write.text(f"{path}/status/condition=9/model=Q")
+    return path
+
+
+RUN_PATH = r"condition=(?P<condition>[^/]+)/model=(?P<model>[^/]+)/"
+
+
+def nested(spark, d):
+    path = run_folder(spark, d)
+    read = lambda kind, schema, required: src.run_files(spark, f"{path}/{kind}/*/*", RUN_PATH, schema, required)
+    planned = runt(spark, d).select(F.substring("condition", 1, 1).alias("condition"), "model").distinct().withColumn("protocol_hash", F.lit("p1"))
+    status, rejects = read("status", "status string, exception struct<type: string, step: long>", ["status"])
+    completion, _ = read("completion", "protocol_hash string, test_cohort_accessed boolean, timesteps long", ["protocol_hash", "test_cohort_accessed"])
+    best, _ = read("best", "metrics struct<mae: double, step: struct<at: long>>", ["metrics"])
+    rows = runt(spark, d).select(F.substring("condition", 1, 1).alias("condition"), "model", "case_mae")
+    flat = best.select("condition", "model", F.col("metrics.mae").alias("best_mae"), F.col("metrics.step.at").alias("best_step"))
+    return planned, completion, status, flat, rows, rejects
+
+
+@query("SELECT condition, model, 'p1' AS protocol_hash, round(e, 9) AS best_mae, n AS best_step, k AS validation_rows, round(e, 9) AS mean_error, round(m, 9) AS worst FROM (SELECT substr(condition, 1, 1) AS condition, model, CAST(sum(cases) AS BIGINT) AS n, count(*) AS k, avg(case_mae) AS e, max(case_mae) AS m FROM runt GROUP BY 1, 2) WHERE condition IN ('1', '2')")
+def a15_nested_runs(spark, d):
+    planned, completion, status, best, rows, _ = nested(spark, d)
+    complete, _ = runs.collect_nested(planned, completion, status, best, rows, ["condition", "model"], {"mean_error": F.avg("case_mae"), "worst": F.max("case_mae")})
+    return rounded(complete, 9)
+
+
+@query("SELECT DISTINCT substr(condition, 1, 1) AS condition, model, CASE WHEN condition LIKE '3%' AND model <> 'P' THEN 'failed' ELSE 'pending' END AS outcome, CASE WHEN condition LIKE '3%' AND model <> 'P' THEN 'Stopped' END AS \"type\" FROM runt WHERE condition NOT LIKE '1%' AND condition NOT LIKE '2%'")
+def a15_open_runs(spark, d):
+    planned, completion, status, best, rows, _ = nested(spark, d)
+    _, rest = runs.collect_nested(planned, completion, status, best, rows, ["condition", "model"], {"mean_error": F.avg("case_mae")})
+    return rest.select("condition", "model", "outcome", F.col("exception.type").alias("type"))
+
+
+@query("SELECT * FROM (VALUES ('3', 'P', 'unreadable'), ('9', 'Q', 'lacks status')) v(condition, model, reason) WHERE (SELECT count(*) FROM orders) > 0")
+def a15_rejected_files(spark, d):
+    return nested(spark, d)[5].select("condition", "model", "reason")
+
+
 # metrics
 
 REG = "count(observed) AS n, round(avg(abs(predicted - observed)), 6) AS mae, round(sqrt(avg((predicted - observed) ^ 2)), 6) AS rmse, round(CASE WHEN count(observed) > 1 AND var_pop(observed) > 0 THEN 1 - sum((predicted - observed) ^ 2) / (var_pop(observed) * count(observed)) END, 6) AS r2"

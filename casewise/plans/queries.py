@@ -284,7 +284,7 @@ def t8_concentrations(spark, d):
     return rounded(pk.concentrations(s, "rate", pk.propofol_parameters(demographics(spark, d)), ["volume"], hold=600))
 
 
-@query(f"SELECT caseid, 'propofol' AS drug, {R('lean_mass', '4.27 AS v1', '18.9 - 0.391 * (age - 53) AS v2', '238.0 AS v3', '1.89 + 0.0456 * (weight - 77) - 0.0681 * (lean_mass - 59) + 0.0264 * (height - 177) AS cl1', '1.29 - 0.024 * (age - 53) AS cl2', '0.836 AS cl3', '0.456 AS ke0')} FROM lean UNION ALL SELECT caseid, 'remifentanil', {R('lean_mass', '5.1 - 0.0201 * (age - 40) + 0.072 * (lean_mass - 55) AS v1', '9.82 - 0.0811 * (age - 40) + 0.108 * (lean_mass - 55) AS v2', '5.42 AS v3', '2.6 - 0.0162 * (age - 40) + 0.0191 * (lean_mass - 55) AS cl1', '2.05 - 0.030 * (age - 40) AS cl2', '0.076 - 0.00113 * (age - 40) AS cl3', '0.595 - 0.007 * (age - 40) AS ke0')} FROM lean")
+@query(f"SELECT caseid, 'propofol' AS drug, {R('lean_mass', 'CAST(4.27 AS DOUBLE) AS v1', '18.9 - 0.391 * (age - 53) AS v2', 'CAST(238.0 AS DOUBLE) AS v3', '1.89 + 0.0456 * (weight - 77) - 0.0681 * (lean_mass - 59) + 0.0264 * (height - 177) AS cl1', '1.29 - 0.024 * (age - 53) AS cl2', 'CAST(0.836 AS DOUBLE) AS cl3', 'CAST(0.456 AS DOUBLE) AS ke0')} FROM lean UNION ALL SELECT caseid, 'remifentanil', {R('lean_mass', '5.1 - 0.0201 * (age - 40) + 0.072 * (lean_mass - 55) AS v1', '9.82 - 0.0811 * (age - 40) + 0.108 * (lean_mass - 55) AS v2', 'CAST(5.42 AS DOUBLE) AS v3', '2.6 - 0.0162 * (age - 40) + 0.0191 * (lean_mass - 55) AS cl1', '2.05 - 0.030 * (age - 40) AS cl2', '0.076 - 0.00113 * (age - 40) AS cl3', '0.595 - 0.007 * (age - 40) AS ke0')} FROM lean")
 def t9_model_parameters(spark, d):
     people = demographics(spark, d)
     of = lambda df, drug: df.select("caseid", F.lit(drug).alias("drug"), "lean_mass", "v1", "v2", "v3", "cl1", "cl2", "cl3", "ke0")
@@ -329,6 +329,12 @@ def w5_candidate_audit(spark, d):
     return rounded(windows.candidate_audit(marked(spark, d), LENGTH, DAY))
 
 
+@query("SELECT caseid, included FROM aud WHERE included > (SELECT quantile_cont(included, 0.75) + 1.5 * (quantile_cont(included, 0.75) - quantile_cont(included, 0.25)) FROM aud) ORDER BY included DESC, caseid LIMIT 10")
+def w5_outlier_counts(spark, d):
+    """The same fence about the number of windows, which some cases pass."""
+    return windows.outlier_cases(windows.candidate_audit(marked(spark, d), LENGTH, DAY), "included").select("caseid", "included")
+
+
 @query("SELECT caseid, round(excluded_pct, 6) AS excluded_pct FROM aud WHERE excluded_pct > (SELECT quantile_cont(excluded_pct, 0.75) + 1.5 * (quantile_cont(excluded_pct, 0.75) - quantile_cont(excluded_pct, 0.25)) FROM aud) ORDER BY aud.excluded_pct DESC, caseid LIMIT 10")
 def w5_outlier_cases(spark, d):
     return rounded(windows.outlier_cases(windows.candidate_audit(marked(spark, d), LENGTH, DAY)).select("caseid", "excluded_pct"))
@@ -346,6 +352,16 @@ def w7_padded_history(spark, d):
     return rounded(h.select("caseid", "timestamp", F.col("history")[0]["bis"].alias("oldest"), F.aggregate("present", F.lit(0).cast("long"), lambda a, x: a + x).alias("present")))
 
 
+CTE["sess"] = f"sess AS (SELECT *, sum(brk) OVER (PARTITION BY caseid ORDER BY timestamp) AS session FROM (SELECT *, CASE WHEN timestamp - lag(timestamp) OVER w <> {DAY} THEN 1 ELSE 0 END AS brk, sum(aux) OVER w AS dose FROM grid WINDOW w AS (PARTITION BY caseid ORDER BY timestamp)))"
+
+
+@query(f"SELECT caseid, timestamp, CAST(session AS BIGINT) AS session, CASE WHEN brk = 0 THEN round(coalesce(lag(bis, 5) OVER s, first_value(bis) OVER s), 6) END AS oldest, least(6, row_number() OVER s) AS present, {R('bis - coalesce(lag(bis) OVER s, bis) AS delta', 'dose - coalesce(lag(dose) OVER s, dose) AS dose_interval', 'dose - coalesce(lag(dose, 6) OVER s, first_value(dose) OVER s) AS dose_recent')} FROM sess WINDOW s AS (PARTITION BY caseid, session ORDER BY timestamp)")
+def w7_session_history(spark, d):
+    given = grid(spark, d).withColumn("dose", F.sum("aux").over(Window.partitionBy("caseid").orderBy("timestamp")))
+    h = windows.session_history(given, "bis", {"dose": "dose"}, 6, DAY)
+    return rounded(h.select("caseid", "timestamp", "session", F.col("history")[0].alias("oldest"), F.aggregate("present", F.lit(0).cast("long"), lambda a, x: a + x).alias("present"), "delta", "dose_interval", "dose_recent"))
+
+
 CTE["stat"] = "stat AS (SELECT median(bis) AS fill, avg(coalesce(bis, (SELECT median(bis) FROM holes))) AS mean, stddev_pop(coalesce(bis, (SELECT median(bis) FROM holes))) AS scale FROM holes)"
 
 
@@ -356,13 +372,6 @@ def w8_inverse_scaling(spark, d):
     return rounded(prep.apply_scaling(h, s).select("caseid", "time_sec", prep.invert_scaling(F.col("bis"), s, "bis").alias("bis")))
 
 
-@query("SELECT kind, round(max(abs(bis - 50 - (bis - 50))), 6) AS difference, round(corr(bis, bis - 50), 6) AS correlation FROM sig GROUP BY GROUPING SETS ((kind), ())")
-def w9_deterministic_duplicate(spark, d):
-    e = F.col("bis") - 50
-    both = sig(spark, d).withColumn("error", e).cube("kind").agg(F.max(F.abs(F.col("error") - (F.col("bis") - 50))).alias("difference"), F.corr("bis", "error").alias("correlation"))
-    return rounded(both)
-
-
 @query(f"SELECT case_id, final_ts, CAST(s AS INT) AS step, g.aux AS aux FROM win, range({LENGTH}) r(s) JOIN grid g ON g.caseid = case_id AND g.timestamp = first_ts + s * {DAY}")
 def s8_feature_subset(spark, d):
     w, _ = windows.select_features(wins(spark, d), ["bis", "aux"], exclude=["bis"])

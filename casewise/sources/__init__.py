@@ -150,3 +150,44 @@ def split_lists(spark: SparkSession, paths: dict[str, str], case: str = "caseid"
         one = read_any(spark, path).select(F.col(case).cast("long").alias(case), F.lit(name).alias("split"))
         out = one if out is None else out.unionByName(one)
     return require_unique(out, [case])
+
+
+def keyed(df: DataFrame, pattern: str) -> DataFrame:
+    """df, read from files, with the named groups of `pattern` taken from each row's path."""
+    java = re.sub(r"\(\?P<", "(?<", pattern)
+    return df.select("*", *(F.regexp_extract(F.col("_metadata.file_path"), java, k + 1).alias(n) for k, n in enumerate(re.compile(pattern).groupindex)))
+
+
+def run_files(spark: SparkSession, glob: str, pattern: str, schema: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
+    """One nested JSON object for each file: (rows that hold all `required` fields, rejects).
+
+    Run keys are the named groups of `pattern` in the path. rejects: path, run keys and reason, for files that are no
+    JSON object of the schema and for those that lack a field. A reject is a row, so that one bad file stops nothing.
+    """
+    read = spark.read.schema(f"{schema}, _broken string").options(multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken").json(glob)
+    rows = keyed(read.withColumn("_path", F.col("_metadata.file_path")), pattern)
+    lacking = F.array_compact(F.array(*(F.when(F.col(c).isNull(), c) for c in required)))
+    reason = F.when(F.col("_broken").isNotNull(), "unreadable").when(F.size(lacking) > 0, F.concat(F.lit("lacks "), F.array_join(lacking, ", ")))
+    marked = rows.withColumn("_reason", reason)
+    names = list(re.compile(pattern).groupindex)
+    good = marked.where("_reason is null").drop("_broken", "_path", "_reason")
+    return good, marked.where("_reason is not null").select(F.col("_path").alias("path"), *names, F.col("_reason").alias("reason"))
+
+
+def load_cases(spark: SparkSession, glob: str, pattern: str, tracks: list[str], time: str = "time_sec", case: str = "caseid") -> tuple[DataFrame, DataFrame]:
+    """CSV files with a time and a column for each track, one for each case: (case, time and tracks of all that load, rejects).
+
+    A case fails as a whole if a row of its file does not parse, has no time, or a time occurs twice; rejects tell why and
+    how many rows. ContractError if no case loads.
+    """
+    schema = f"{time} long, " + ", ".join(f"`{t}` double" for t in tracks) + ", _broken string"
+    read = spark.read.schema(schema).options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken", enforceSchema=True).csv(glob)
+    rows = keyed(read, pattern).withColumn(case, F.col(case).cast("long"))
+    repeated = rows.where(F.col(time).isNotNull()).groupBy(case, time).agg((F.count("*") - 1).alias("_more")).groupBy(case).agg(F.sum("_more").alias("_repeated"))
+    faults = rows.groupBy(case).agg(F.count("*").alias("rows"), F.count(F.when(F.col("_broken").isNotNull(), 1)).alias("_unparsed"), F.count(F.when(F.col("_broken").isNull() & F.col(time).isNull(), 1)).alias("_untimed")).join(repeated, case, "left")
+    reason = F.when(F.col("_unparsed") > 0, "rows that do not parse").when(F.col("_untimed") > 0, "rows without a time").when(F.col("_repeated") > 0, "times that occur twice")
+    rejects = faults.select(case, "rows", reason.alias("reason")).where("reason is not null")
+    good = rows.join(rejects, case, "left_anti").select(case, time, *tracks)
+    if not good.limit(1).count():
+        raise ContractError("no case was loaded")
+    return good, rejects
