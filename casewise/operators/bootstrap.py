@@ -24,8 +24,11 @@ def case_bootstrap(cases: DataFrame, value: str, key: str, replicates: int, seed
     return picked.join(placed, "_i").groupBy("replicate").agg(F.avg("_v").alias("value"))
 
 
-def hierarchical_bootstrap(cells: DataFrame, contrast: list[str], seed_column: str, case: str, value: str, replicates: int, seed: int = 42) -> DataFrame:
-    """(contrast, replicate, value): seeds drawn with replacement, then cases in each drawn seed; mean of seed means.
+def hierarchical_bootstrap(cells: DataFrame, contrast: list[str], seed_column: str, case: str, value: str, replicates: int, seed: int = 42, cells_mean: bool = False) -> DataFrame:
+    """(contrast, replicate, value): seeds drawn with replacement, then cases in each drawn seed; mean of seed means, or
+    with cells_mean the mean of all drawn cells.
+
+    What `case` names (cases, scenarios) is drawn within a seed; `contrast` may hold a metric's name among its columns.
 
     cells: one row for each contrast, seed and case; each seed of a contrast holds the same cases. Draws are keyed by
     contrast, replicate, and the places of seed and case, so that all contrasts are one job.
@@ -38,7 +41,10 @@ def hierarchical_bootstrap(cells: DataFrame, contrast: list[str], seed_column: s
     slots = sizes.select(*contrast, "_ns", "_nc", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     slots = slots.select("*", F.explode(F.sequence(F.lit(0), F.col("_ns") - 1)).alias("_slot")).withColumn("_s", (draw(seed, name, "s", F.col("replicate"), F.col("_slot")) % F.col("_ns")).cast("int"))
     picks = slots.select("*", F.explode(F.sequence(F.lit(0), F.col("_nc") - 1)).alias("_place")).withColumn("_c", (draw(seed, name, "c", F.col("replicate"), F.col("_slot"), F.col("_place")) % F.col("_nc")).cast("int"))
-    per_slot = picks.join(at, [*contrast, "_s", "_c"]).groupBy(*contrast, "replicate", "_slot").agg(F.avg("_v").alias("_m"))
+    drawn = picks.join(at, [*contrast, "_s", "_c"])
+    if cells_mean:
+        return drawn.groupBy(*contrast, "replicate").agg(F.avg("_v").alias("value"))
+    per_slot = drawn.groupBy(*contrast, "replicate", "_slot").agg(F.avg("_v").alias("_m"))
     return per_slot.groupBy(*contrast, "replicate").agg(F.avg("_m").alias("value"))
 
 

@@ -79,6 +79,23 @@ def seal_counts(df: DataFrame, split: str = "split", test: str = "test") -> Data
     return df.agg(F.count("*").alias("rows"), F.count(F.when(F.col(split) == test, 1)).alias("sealed_rows"))
 
 
+def best_epoch_faults(history: DataFrame, recorded: DataFrame, run: list[str], epoch: str, metric: str, tolerance: float = 1e-5) -> DataFrame:
+    """run, best_epoch and recorded_epoch, metric and recorded: runs whose record is not the first epoch of least error, or its error.
+
+    recorded: run, and `epoch` and `metric` as stored. A run without a record, or the other way round, is a fault too.
+    """
+    best = history.groupBy(*run).agg(F.min(F.struct(F.col(metric).alias("m"), F.col(epoch).alias("e"))).alias("_b")).select(*run, F.col("_b.e").alias("best_epoch"), F.col("_b.m").alias("best"))
+    both = best.join(recorded.select(*run, F.col(epoch).alias("recorded_epoch"), F.col(metric).alias("recorded")), run, "full_outer")
+    near = F.abs(F.col("best") - F.col("recorded")) <= F.greatest(F.lit(tolerance), tolerance * F.greatest(F.abs("best"), F.abs("recorded")))
+    return both.where(~F.coalesce((F.col("best_epoch") == F.col("recorded_epoch")) & near, F.lit(False)))
+
+
+def case_list_faults(predictions: DataFrame, listed: DataFrame, run: list[str], case: str = "case_id") -> DataFrame:
+    """run, case and fault: cases of a run's list without predictions, and predictions of cases that it does not list."""
+    a, b = predictions.select(*run, case).distinct(), listed.select(*run, case).distinct()
+    return b.join(a, [*run, case], "left_anti").withColumn("fault", F.lit("no predictions")).unionByName(a.join(b, [*run, case], "left_anti").withColumn("fault", F.lit("not listed")))
+
+
 def stored_against_recomputed(stored: DataFrame, computed: DataFrame, keys: list[str], metrics: list[str], tolerance: float = 1e-12) -> DataFrame:
     """Per metric: keys in one table only, and values that differ by more than the tolerance or are null on one side only."""
     long = lambda df, name: df.select(*keys, *(F.col(m).cast("double").alias(m) for m in metrics)).unpivot(keys, metrics, "metric", name).withColumn(f"_{name}", F.lit(1))

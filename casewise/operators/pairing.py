@@ -114,8 +114,24 @@ def setting_agreement(runs: DataFrame, settings: list[str]) -> DataFrame:
     return wide.unpivot([], settings, "setting", "distinct_values").withColumn("agrees", F.col("distinct_values") == 1)
 
 
-def cases_with_all(tracks: DataFrame, wanted: list[str], first: int | None = None, case: str = "caseid", track: str = "track") -> DataFrame:
-    """Cases that hold every wanted track."""
+def setting_faults(runs: DataFrame, run: list[str], expected: dict) -> DataFrame:
+    """run, setting, found (as text): the runs whose setting is not the expected value; a null is a fault."""
+    wrong = F.array_compact(F.array(*(F.when(~F.col(s).eqNullSafe(F.lit(v)), F.struct(F.lit(s).alias("setting"), F.col(s).cast("string").alias("found"))) for s, v in expected.items())))
+    return runs.select(*run, F.explode(wrong).alias("_w")).select(*run, "_w.setting", "_w.found")
+
+
+def schedule_faults(steps: DataFrame, run: list[str], step: str, schedule: list[int]) -> DataFrame:
+    """run, missing and extra (sorted steps) and repeated: the runs whose steps are not the schedule, each exactly once."""
+    wanted = F.array(*(F.lit(s) for s in schedule)).cast("array<bigint>")
+    # a run has at most as many distinct steps as it was evaluated at
+    per = steps.groupBy(*run).agg(F.array_sort(F.collect_set(F.col(step).cast("bigint"))).alias("_found"), (F.count("*") - F.count_distinct(step)).alias("repeated"))
+    return per.select(*run, F.array_except(wanted, "_found").alias("missing"), F.array_except("_found", wanted).alias("extra"), "repeated").where("size(missing) > 0 or size(extra) > 0 or repeated > 0")
+
+
+def cases_with_all(tracks: DataFrame, wanted: list[str], first: int | None = None, case: str = "caseid", track: str = "track", fewer: list[str] | None = None, least: int = 20) -> DataFrame:
+    """Cases that hold every wanted track; where they are fewer than `least`, those that hold every one of `fewer`."""
+    if fewer and cases_with_all(tracks, wanted, None, case, track).limit(least).count() < least:
+        return cases_with_all(tracks, fewer, first, case, track)
     found = tracks.where(F.col(track).isin(wanted)).groupBy(case).agg(F.count_distinct(track).alias("_n")).where(F.col("_n") == len(set(wanted))).select(case)
     return found.orderBy(case).limit(first) if first else found
 

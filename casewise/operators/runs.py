@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from casewise.operators.order import least_before
 
@@ -82,6 +83,39 @@ def case_stability(deltas: DataFrame, case: str, delta: str = "difference") -> D
     return out.withColumns({"sign_change": change, "sensitive": F.coalesce(F.col("std") > 0.2, F.lit(False)) | change})
 
 
+def extremes(df: DataFrame, value: str, key: str, most: int = 5, by: list[str] | None = None) -> DataFrame:
+    """df with `side` and `place`: the `most` lowest rows (best) and highest (worst) of a value, equal ones by key.
+
+    Taken by a running top list, so that no task sorts all rows of a group that is the whole table.
+    """
+    if by:
+        at = lambda order: F.row_number().over(Window.partitionBy(*by).orderBy(order, key))
+        low = df.withColumn("place", at(F.asc(value))).where(F.col("place") <= most).withColumn("side", F.lit("best"))
+        return low.unionByName(df.withColumn("place", at(F.desc(value))).where(F.col("place") <= most).withColumn("side", F.lit("worst")))
+    out = None
+    for side, order in (("best", F.asc(value)), ("worst", F.desc(value))):
+        top = df.orderBy(order, key).limit(most)
+        one = top.withColumn("place", F.row_number().over(Window.orderBy(order, key))).withColumn("side", F.lit(side))  # `most` rows
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def learning_curve(df: DataFrame, by: list[str], step: str, metrics: list[str]) -> DataFrame:
+    """by, step, runs and <metric>_mean and <metric>_std (sample) of each metric."""
+    return df.groupBy(*by, step).agg(F.count("*").alias("runs"), *(x for m in metrics for x in (F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_std"))))
+
+
+def evidence(aggregate: DataFrame, front_: DataFrame, contrasts: DataFrame, keys: list[str]) -> DataFrame:
+    """Aggregates with their place on the front and their contrast to the reference (null for the reference itself).
+
+    Each table has one row for each key; another number is an error.
+    """
+    from casewise.operators.contracts import key_unique_join
+
+    both = key_unique_join(aggregate, front_.select(*keys, *(c for c in front_.columns if c not in aggregate.columns)), keys)
+    return key_unique_join(both, contrasts, keys, how="left")
+
+
 def result_class(mean: Column, won_seeds: Column, seeds: Column, won_cases: Column, cases: Column) -> Column:
     """A: better on average, in all seeds and in most cases; B: better on average and in most seeds; else C."""
     return F.when((mean < 0) & (won_seeds == seeds) & (won_cases * 2 > cases), "A").when((mean < 0) & (won_seeds * 2 > seeds), "B").otherwise("C")

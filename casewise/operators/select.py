@@ -252,15 +252,19 @@ def consensus(selectors: dict[str, DataFrame], features: DataFrame) -> DataFrame
     return out.withColumn("agreement", total)
 
 
-def candidate_sets(stable_a: DataFrame, stable_b: DataFrame, clusters: DataFrame, score: DataFrame, protected: list[str], most: int = 6) -> DataFrame:
-    """subset, features (sorted), size: both selectors' sets, their intersection and union, and the best per cluster; equal sets once."""
+def candidate_sets(stable_a: DataFrame, stable_b: DataFrame, clusters: DataFrame, score: DataFrame, protected: list[str], most: int = 6, anchors: dict[str, list[str]] | None = None) -> DataFrame:
+    """subset, features (sorted), size: both selectors' sets, their intersection and union, and the best per cluster; equal sets once.
+
+    anchors: named sets that are fixed beforehand, such as nested ones; they come first and get no protected features.
+    """
     spark = stable_a.sparkSession
     best = clusters.join(score, "feature").withColumn("_at", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("score"), "feature"))).where("_at = 1").select("feature")
     keep = spark.createDataFrame([(p,) for p in protected], "feature string")
     sets = {"a": stable_a.select("feature"), "b": stable_b.select("feature"), "both": stable_a.select("feature").intersect(stable_b.select("feature")), "either": stable_a.select("feature").union(stable_b.select("feature")), "clusters": best}
     out = None
-    for place, (name, df) in enumerate(sets.items()):
-        one = df.union(keep).distinct().agg(F.array_sort(F.collect_list("feature")).alias("features")).select(F.lit(place).alias("place"), F.lit(name).alias("subset"), "features")
+    fixed = {name: spark.createDataFrame([(f,) for f in features], "feature string") for name, features in (anchors or {}).items()}
+    for place, (name, df) in enumerate((fixed | sets).items()):
+        one = (df if name in fixed else df.union(keep)).distinct().agg(F.array_sort(F.collect_list("feature")).alias("features")).select(F.lit(place).alias("place"), F.lit(name).alias("subset"), "features")
         out = one if out is None else out.unionByName(one)
     first = out.withColumn("_at", F.row_number().over(Window.partitionBy("features").orderBy("place"))).where("_at = 1")
     return first.orderBy("place").limit(most).select("subset", F.array_join("features", ",").alias("features"), F.size("features").alias("size"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casewise import plans
+from casewise import sources as src
 from casewise.operators import bootstrap as bs
 from casewise.operators import cohort, episodes, metrics, pairing, runs, select, selectors, splits, weights
-from casewise.plans.evaluation import pairf, parts, refp, splitted
+from casewise.plans.evaluation import folder, pairf, parts, refp, splitted
 from casewise.plans.queries import AHEAD, CTE, DAY, DRAW, LENGTH, QUERIES, SQL, R, cells, grid, holes, pred, query, rounded, runt, sig, table, wins, wts
 
 __all__ = ["QUERIES", "SQL"]
@@ -43,6 +44,14 @@ def a4_run_summary(spark, d):
     return r9(runs.run_summary(runt(spark, d), ["condition", "model"], "seed", "case_mae", 2000))
 
 
+CTE["cdiff"] = "cdiff AS (SELECT caseid, avg(a.mae - b.mae) AS v FROM cells a JOIN cells b USING (condition, seed, caseid) WHERE a.model = 'F' AND b.model = 'O' GROUP BY 1)"
+
+
+def case_differences(spark, d):
+    """Errors of one model less another's for each condition, seed and case."""
+    return pairing.paired_difference(cells(spark, d), ["condition", "seed", "caseid"], "model", "F", "O", "mae")
+
+
 CTE["cand"] = "cand AS (SELECT model, condition, avg(case_mae) AS error, CAST(count(*) + avg(cases) AS INT) % 7 AS cost FROM runt GROUP BY 1, 2)"
 
 
@@ -64,10 +73,18 @@ def a6_pareto(spark, d):
     return r9(runs.pareto(cand(spark, d), "model", "condition", "cost", "error").withColumn("dominators", F.array_join("dominators", ",")))
 
 
-@query("SELECT c.model, c.condition, round(c.error, 9) AS error, r.mean AS mean_delta FROM cand c JOIN (SELECT condition, model, round(avg(delta), 9) AS mean FROM refp GROUP BY 1, 2) r USING (model, condition)")
+@query("SELECT p.model, p.condition, round(p.error, 9) AS error, p.cost, dominators IS NULL AS on_front, dominators IS NULL AND p.error = (SELECT min(error) FROM par q WHERE q.model = p.model AND q.dominators IS NULL) AS is_best, r.mean AS mean_delta FROM par p LEFT JOIN (SELECT condition, model, round(avg(delta), 9) AS mean FROM refp GROUP BY 1, 2) r USING (model, condition)")
 def a7_evidence_table(spark, d):
     contrast = pairing.delta_summary(refp(spark, d), ["condition", "model"]).select("condition", "model", F.col("mean").alias("mean_delta"))
-    return r9(cand(spark, d).select("model", "condition", "error").join(contrast, ["model", "condition"]))
+    c = cand(spark, d)
+    front = runs.pareto(c, "model", "condition", "cost", "error").select("model", "condition", "on_front", "is_best")
+    return r9(runs.evidence(c.select("model", "condition", "cost", "error"), front, contrast, ["model", "condition"]))
+
+
+@query("SELECT * FROM (SELECT caseid, round(v, 9) AS mean, CAST(row_number() OVER (ORDER BY v, caseid) AS INT) AS place, 'best' AS side FROM cdiff UNION ALL SELECT caseid, round(v, 9), CAST(row_number() OVER (ORDER BY v DESC, caseid) AS INT), 'worst' FROM cdiff) WHERE place <= 5")
+def a8_best_and_worst(spark, d):
+    c = case_differences(spark, d).groupBy("caseid").agg(F.avg("difference").alias("mean"))
+    return r9(runs.extremes(c, "mean", "caseid"))
 
 
 @query(f"SELECT condition, {R('avg(difference) AS mean', 'stddev_samp(difference) AS std', 'min(difference) AS min', 'max(difference) AS max', digits=9)}, count(*) FILTER (WHERE difference < 0) AS won, count(*) AS seeds, min(difference) < 0 AND max(difference) > 0 AS sign_change, coalesce(stddev_samp(difference) > 0.2, false) OR (min(difference) < 0 AND max(difference) > 0) AS sensitive FROM pairf GROUP BY 1")
@@ -75,10 +92,11 @@ def a8_case_stability(spark, d):
     return r9(runs.case_stability(pairf(spark, d), "condition"))
 
 
-@query("SELECT condition, CASE WHEN m < 0 AND w = n THEN 'A' WHEN m < 0 AND w * 2 > n THEN 'B' ELSE 'C' END AS class, CASE WHEN m < -1 THEN 'under' WHEN m > 1 THEN 'over' ELSE 'balanced' END AS bias FROM (SELECT condition, avg(difference) AS m, count(*) FILTER (WHERE difference < 0) AS w, count(*) AS n FROM pairf GROUP BY 1)")
+@query("SELECT condition, CASE WHEN m < 0 AND w = n AND 2 * cw > cn THEN 'A' WHEN m < 0 AND w * 2 > n THEN 'B' ELSE 'C' END AS class, CASE WHEN m < -1 THEN 'under' WHEN m > 1 THEN 'over' ELSE 'balanced' END AS bias, cw AS won_cases, cn AS cases FROM (SELECT condition, avg(difference) AS m, count(*) FILTER (WHERE difference < 0) AS w, count(*) AS n FROM pairf GROUP BY 1) JOIN (SELECT condition, count(*) FILTER (WHERE v < 0) AS cw, count(*) AS cn FROM (SELECT condition, caseid, avg(a.mae - b.mae) AS v FROM cells a JOIN cells b USING (condition, seed, caseid) WHERE a.model = 'F' AND b.model = 'O' GROUP BY 1, 2) GROUP BY 1) USING (condition)")
 def a9_rule_classes(spark, d):
     s = runs.case_stability(pairf(spark, d), "condition")
-    return s.select("condition", runs.result_class(F.col("mean"), F.col("won"), F.col("seeds"), F.col("won"), F.col("seeds")).alias("class"), runs.bias_label(F.col("mean")).alias("bias"))
+    c = case_differences(spark, d).groupBy("condition", "caseid").agg(F.avg("difference").alias("v")).groupBy("condition").agg(F.count(F.when(F.col("v") < 0, 1)).alias("won_cases"), F.count("*").alias("cases"))
+    return s.join(c, "condition").select("condition", runs.result_class(F.col("mean"), F.col("won"), F.col("seeds"), F.col("won_cases"), F.col("cases")).alias("class"), runs.bias_label(F.col("mean")).alias("bias"), "won_cases", "cases")
 
 
 @query("SELECT condition, model, seed, rank() OVER (PARTITION BY seed ORDER BY cases DESC) + (count(*) OVER (PARTITION BY seed, cases) - 1) / 2 AS rank FROM runt")
@@ -109,9 +127,9 @@ def a13_subgroups(spark, d):
     return rounded(runs.subgroup_summary(c, bands, ["c_mktsegment"], "c_acctbal"))
 
 
-@query(f"SELECT model, seed, {R('avg(case_mae) AS mean', 'stddev_samp(case_mae) AS std', digits=9)} FROM runt GROUP BY 1, 2")
+@query(f"SELECT model, seed, count(*) AS runs, {R('avg(case_mae) AS case_mae_mean', 'stddev_samp(case_mae) AS case_mae_std', 'avg(cases) AS cases_mean', 'stddev_samp(cases) AS cases_std', digits=9)} FROM runt GROUP BY 1, 2")
 def a14_learning_curve(spark, d):
-    return r9(runt(spark, d).groupBy("model", "seed").agg(F.avg("case_mae").alias("mean"), F.stddev_samp("case_mae").alias("std")))
+    return r9(runs.learning_curve(runt(spark, d), ["model"], "seed", ["case_mae", "cases"]))
 
 
 @query("SELECT c AS condition, m AS model, CASE WHEN n IS NULL THEN 'pending' WHEN n % 3 = 0 THEN 'failed' WHEN m = 'P' THEN 'incomplete' ELSE 'done' END AS outcome, CASE WHEN m <> 'P' THEN round(e, 9) END AS error FROM (VALUES ('1-URGENT'), ('2-HIGH'), ('6-NONE')) a(c), (VALUES ('F'), ('P')) b(m) LEFT JOIN (SELECT condition, model, CAST(sum(cases) AS BIGINT) AS n, avg(case_mae) AS e FROM runt GROUP BY 1, 2) r ON r.condition = c AND r.model = m")
@@ -161,6 +179,25 @@ def full_cells(spark, d):
     return runs.case_errors(o, ["condition", "model", "seed"], "caseid", F.col("o_totalprice") / 1000).drop("windows")
 
 
+@query(f"""SELECT contrast, {R('avg(v) AS mean', 'quantile_cont(v, 0.025) AS low', 'quantile_cont(v, 0.975) AS high')}, count(*) AS replicates FROM (
+  SELECT k.contrast, k.replicate, avg(c.v) AS v FROM (
+    SELECT contrast, replicate, slot, place, {DRAW.format("'42:' || contrast || ':s:' || replicate || ':' || slot")} % 2 AS s, {DRAW.format("'42:' || contrast || ':c:' || replicate || ':' || slot || ':' || place")} % 5 AS i FROM (SELECT DISTINCT contrast FROM con), range(50) a(replicate), range(2) b(slot), range(5) e(place)) k
+    JOIN con c ON c.contrast = k.contrast AND c.seed = k.s AND c.caseid = k.i GROUP BY 1, 2) GROUP BY 1""")
+def b2_mean_of_cells(spark, d):
+    paired = bs.all_contrasts(full_cells(spark, d), "condition", "1-URGENT", "model", ["seed", "caseid"], "mae")
+    return rounded(bs.interval(bs.hierarchical_bootstrap(paired, ["contrast"], "seed", "caseid", "difference", 50, cells_mean=True), ["contrast"]))
+
+
+@query(f"""SELECT contrast, metric, {R('avg(v) AS mean', 'quantile_cont(v, 0.025) AS low', 'quantile_cont(v, 0.975) AS high')}, count(*) AS replicates FROM (
+  SELECT contrast, metric, replicate, avg(m) AS v FROM (SELECT k.contrast, k.metric, k.replicate, k.slot, avg(CASE k.metric WHEN 'difference' THEN c.v ELSE abs(c.v) END) AS m FROM (
+    SELECT contrast, metric, replicate, slot, place, {DRAW.format("'42:' || contrast || '|' || metric || ':s:' || replicate || ':' || slot")} % 2 AS s, {DRAW.format("'42:' || contrast || '|' || metric || ':c:' || replicate || ':' || slot || ':' || place")} % 5 AS i FROM (SELECT DISTINCT contrast FROM con), (VALUES ('difference'), ('size')) q(metric), range(50) a(replicate), range(2) b(slot), range(5) e(place)) k
+    JOIN con c ON c.contrast = k.contrast AND c.seed = k.s AND c.caseid = k.i GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) GROUP BY 1, 2""")
+def b2_for_each_metric(spark, d):
+    paired = bs.all_contrasts(full_cells(spark, d), "condition", "1-URGENT", "model", ["seed", "caseid"], "mae").withColumn("size", F.abs("difference"))
+    long = paired.unpivot(["contrast", "seed", "caseid"], ["difference", "size"], "metric", "value")
+    return rounded(bs.interval(bs.hierarchical_bootstrap(long, ["contrast", "metric"], "seed", "caseid", "value", 50), ["contrast", "metric"]))
+
+
 CONTRASTS = f"""SELECT contrast, {R('avg(v) AS mean', 'quantile_cont(v, 0.025) AS low', 'quantile_cont(v, 0.975) AS high')}, count(*) AS replicates FROM (
   SELECT contrast, replicate, avg(m) AS v FROM (SELECT k.contrast, k.replicate, k.slot, avg(c.v) AS m FROM (
     SELECT contrast, replicate, slot, place, {DRAW.format("'42:' || contrast || ':s:' || replicate || ':' || slot")} % 2 AS s, {DRAW.format("'42:' || contrast || ':c:' || replicate || ':' || slot || ':' || place")} % 5 AS i FROM (SELECT DISTINCT contrast FROM con), range(50) a(replicate), range(2) b(slot), range(5) e(place)) k
@@ -274,7 +311,13 @@ def f7_block_permutation(spark, d):
     return rounded(select.permute_blocks(g, ["bis"], donors, "caseid", "timestamp").select("caseid", "timestamp", "bis"))
 
 
-@query(None)
+CTE["ring"] = f"ring AS (SELECT k, case_id, coalesce(lead(case_id) OVER w, first_value(case_id) OVER w) AS donor FROM (SELECT DISTINCT case_id FROM win), range(3) r(k) WINDOW w AS (PARTITION BY k ORDER BY {DRAW.format("(20 + k) || ':' || case_id")}, case_id))"
+CTE["placed"] = "placed AS (SELECT case_id, y, last_bis, row_number() OVER (PARTITION BY case_id ORDER BY final_ts) - 1 AS i, count(*) OVER (PARTITION BY case_id) AS n FROM win)"
+
+
+@query(f"""SELECT 'bis' AS feature, {R('avg(g) AS mean', 'stddev_samp(g) AS std', 'median(g) AS median', 'avg(CASE WHEN g > 0 THEN 1.0 ELSE 0.0 END) AS positive')}, avg(CASE WHEN g > 0 THEN 1.0 ELSE 0.0 END) >= 0.7 AS stable FROM (
+  SELECT k, avg(e) - (SELECT avg(e) FROM (SELECT case_id, avg(abs(last_bis - y)) AS e FROM win GROUP BY 1)) AS g FROM (
+    SELECT k, a.case_id, avg(abs(b.last_bis - a.y)) AS e FROM placed a JOIN ring USING (case_id) JOIN placed b ON b.case_id = ring.donor AND b.i = CASE WHEN a.n > 1 THEN round(a.i * (b.n - 1) / (a.n - 1)) ELSE 0 END GROUP BY 1, 2) GROUP BY 1)""")
 def f8_permutation_importance(spark, d):
     """Gain of a last-value model when the value's block comes from another case, over repeats."""
     w = wins(spark, d).select("case_id", "final_ts", "y", F.element_at("x", -1)[0].alias("bis"))
@@ -291,16 +334,19 @@ def f8_permutation_importance(spark, d):
 CTE["emb"] = "emb AS (SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS v FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings))"
 CTE["embr"] = "embr AS (SELECT *, rank() OVER (PARTITION BY i ORDER BY v) + (count(*) OVER (PARTITION BY i, v) - 1) / 2 AS r FROM emb)"
 CTE["embc"] = "embc AS (SELECT a.i, b.i AS j, corr(a.v, b.v) AS pearson, corr(a.r, b.r) AS spearman FROM embr a JOIN embr b USING (vec_id) WHERE a.i < b.i GROUP BY 1, 2)"
-WIDE = 64
 
 
 def components(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(WIDE)))
+    """Vectors as columns e0, e1 and so on, as many as the longest has."""
+    e = table(spark, d, "embeddings")
+    wide = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return e.select("vec_id", *(F.get("embedding", F.lit(k)).cast("double").alias(f"e{k}") for k in range(wide)))
 
 
 @query("SELECT 'e' || i AS a, 'e' || j AS b, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman FROM embc")
 def f9_correlations(spark, d):
-    return rounded(select.correlations(components(spark, d), [f"e{k}" for k in range(WIDE)], ["vec_id"]))
+    c = components(spark, d)
+    return rounded(select.correlations(c, c.columns[1:], ["vec_id"]))
 
 
 CTE["casem"] = "casem AS (SELECT caseid, avg(bis) AS bis, avg(aux) AS aux, avg(time_sec) AS time_sec FROM holes GROUP BY 1)"
@@ -318,8 +364,8 @@ def f9_correlations_of_case_means(spark, d):
     reach(i, j) AS (SELECT DISTINCT i, i FROM emb UNION SELECT r.i, k.j FROM reach r JOIN link k ON r.j = k.i) SELECT * FROM reach) GROUP BY 1)""")
 def f10_correlation_clusters(spark, d):
     """At 0.12, since the components are nearly independent; the operator's own threshold is 0.8."""
-    names = [f"e{k}" for k in range(WIDE)]
-    return select.correlation_clusters(select.correlations(components(spark, d), names, ["vec_id"]), names, 0.12)
+    c = components(spark, d)
+    return select.correlation_clusters(select.correlations(c, c.columns[1:], ["vec_id"]), c.columns[1:], 0.12)
 
 
 @query("SELECT feature, CAST(frequency >= 0.6 AS INT) AS high, CAST(feature IN ('click', 'view') AS INT) AS short, CAST(frequency >= 0.6 AS INT) + CAST(feature IN ('click', 'view') AS INT) AS agreement FROM freq")
@@ -335,6 +381,16 @@ def f12_candidate_sets(spark, d):
     return select.candidate_sets(f.where("frequency >= 0.6"), f.where("feature <= 'purchase'"), clusters, f.select("feature", F.col("frequency").alias("score")), ["view"])
 
 
+@query("SELECT * FROM (VALUES ('one', 'view', 1), ('two', 'click,view', 2), ('three', 'click,error,view', 3), ('four', 'click,error,purchase,view', 4), ('five', 'click,error,purchase,signup,view', 5)) v(subset, features, size) WHERE (SELECT count(*) FROM events) > 0")
+def f12_nested_anchors(spark, d):
+    """Five nested sets that are fixed beforehand; the selectors' own add none that differs."""
+    f = freq(spark, d)
+    names = ["view", "click", "error", "purchase", "signup"]
+    anchors = dict(zip(("one", "two", "three", "four", "five"), (names[: k + 1] for k in range(5)), strict=True))
+    everything = f.select("feature")
+    return select.candidate_sets(everything, everything, f.select("feature", F.lit(0).alias("cluster")), f.select("feature", F.when(F.col("feature") == "view", 1).otherwise(0).alias("score")), ["view"], anchors=anchors)
+
+
 @query("SELECT event_type AS feature, CASE WHEN event_type IN ('click', 'view') THEN 'dynamic' ELSE 'static' END AS role, round(avg(CASE WHEN value < 5 THEN 1.0 ELSE 0.0 END), 6) AS missing, event_type = 'error' AS excluded FROM events GROUP BY 1")
 def f13_feature_inventory(spark, d):
     roles = spark.createDataFrame([("click", "dynamic"), ("view", "dynamic"), ("error", "static"), ("purchase", "static"), ("signup", "static")], "feature string, role string")
@@ -595,9 +651,14 @@ def c3_train_imputation(spark, d):
     return out.select("caseid", "time_sec", "bis", "aux", F.array_join("imputed", ",").alias("imputed"))
 
 
-@query("SELECT split, count(*) AS cases FROM splitted GROUP BY 1")
+@query("SELECT split, count(*) AS cases, min(caseid) AS first, max(caseid) AS last FROM splitted GROUP BY 1")
 def c4_split_manifest(spark, d):
-    return splitted(spark, d).groupBy("split").agg(F.count("*").alias("cases"))
+    """From a list of cases for each split, which must not share any."""
+    path, names = folder(spark), ("train", "val", "test")
+    for name in names:
+        splitted(spark, d).where(F.col("split") == name).select("caseid").write.option("header", True).csv(f"{path}/{name}.csv")
+    lists = src.split_lists(spark, {n: f"{path}/{n}.csv" for n in names})
+    return lists.groupBy("split").agg(F.count("*").alias("cases"), F.min("caseid").alias("first"), F.max("caseid").alias("last"))
 
 
 @query(None)
@@ -617,6 +678,21 @@ def v3_stored_metrics(spark, d):
     return cohort.stored_against_recomputed(stored, computed, ["case_id"], ["mae", "rmse"], 1e-9)
 
 
+@query("SELECT condition, model, arg_min(seed, case_mae) AS best_epoch, round(min(case_mae), 9) AS best, CAST(arg_min(seed, case_mae) + 1 AS INT) AS recorded_epoch, round(min(case_mae), 9) AS recorded FROM runt WHERE model = 'P' GROUP BY 1, 2 UNION ALL SELECT condition, model, arg_min(seed, case_mae), round(min(case_mae), 9), NULL, NULL FROM runt WHERE model = 'O' GROUP BY 1, 2")
+def v3_best_epoch(spark, d):
+    """Years stand for epochs; one model's record is an epoch off and another's is absent."""
+    r = runt(spark, d)
+    kept = r.groupBy("condition", "model").agg(F.min("case_mae").alias("case_mae"), F.min_by("seed", "case_mae").alias("seed")).where("model != 'O'")
+    record = kept.withColumn("seed", F.col("seed") + F.when(F.col("model") == "P", 1).otherwise(0))
+    return r9(cohort.best_epoch_faults(r, record, ["condition", "model"], "seed", "case_mae"))
+
+
+@query("SELECT 'a' AS run, case_id, CASE WHEN case_id % 4 = 1 THEN 'no predictions' ELSE 'not listed' END AS fault FROM (SELECT DISTINCT case_id FROM pred) WHERE case_id % 4 IN (1, 2)")
+def v3_case_lists(spark, d):
+    ids = pred(spark, d).select("case_id").distinct().withColumn("run", F.lit("a"))
+    return cohort.case_list_faults(ids.where("case_id % 4 != 1"), ids.where("case_id % 4 != 2"), ["run"])
+
+
 CTE["pnum"] = f"pnum AS (SELECT case_id, row_number() OVER (ORDER BY {DRAW.format("'42:' || case_id")}, case_id) AS nth, count(*) OVER () AS n FROM (SELECT DISTINCT case_id FROM pred))"
 CTE["psplit"] = "psplit AS (SELECT case_id, CASE WHEN nth <= a THEN 'train' WHEN nth <= a + b THEN 'val' ELSE 'test' END AS split FROM (SELECT *, floor(0.7 * n) + CASE WHEN 0.7 * n - floor(0.7 * n) >= 0.15 * n - floor(0.15 * n) AND n - floor(0.7 * n) - 2 * floor(0.15 * n) > 0 OR n - floor(0.7 * n) - 2 * floor(0.15 * n) > 1 THEN 1 ELSE 0 END AS a, floor(0.15 * n) + CASE WHEN 0.7 * n - floor(0.7 * n) < 0.15 * n - floor(0.15 * n) AND n - floor(0.7 * n) - 2 * floor(0.15 * n) > 0 OR n - floor(0.7 * n) - 2 * floor(0.15 * n) > 1 THEN 1 ELSE 0 END AS b FROM pnum))"
 

@@ -395,9 +395,12 @@ def m11_user_model(spark, d):
     return rounded(metrics.score_with(w, lambda x: x[:, 0] * 0.5 + x[:, 1] * 0.25).select("case_id", "final_ts", "predicted"))
 
 
-@query("SELECT case_id, count(*) AS windows, false AS never_observed, true AS finite, round(avg(abs(last_bis - y)), 6) AS mae FROM win WHERE case_id IN (1, 5, 9) GROUP BY 1")
+@query("SELECT case_id, count(*) AS windows, case_id = 5 AS never_observed, bool_and(p IS NOT NULL) AS finite, round(avg(abs(p - y)), 6) AS mae FROM (SELECT *, CASE WHEN case_id <> 9 OR (final_ts // 86400) % 2 = 0 THEN last_bis END AS p FROM win) WHERE case_id IN (1, 5, 9) GROUP BY 1")
 def m12_case_diagnostics(spark, d):
-    return rounded(metrics.case_diagnostics(wins(spark, d).withColumn("predicted", F.element_at("x", -1)[0]), [1, 5, 9], [0, 1]))
+    """Case 5 has nothing observed, and case 9 lacks a forecast every other day."""
+    w = wins(spark, d).withColumn("predicted", F.when((F.col("case_id") != 9) | (F.floor(F.col("final_ts") / DAY) % 2 == 0), F.element_at("x", -1)[0]))
+    w = w.withColumn("mask", F.when(F.col("case_id") == 5, F.transform("mask", lambda r: F.transform(r, lambda v: F.lit(False)))).otherwise(F.col("mask")))
+    return rounded(metrics.case_diagnostics(w, [1, 5, 9], [0, 1]))
 
 
 # joins and pairs
@@ -439,10 +442,16 @@ def j3_mismatches(spark, d):
     return rounded(found.withColumns({c: F.col(c).cast("double") for c in ("left", "right")}))
 
 
-@query("SELECT (SELECT count(*) FROM documents d ANTI JOIN labels l USING (doc_id)) AS uncovered, 0::BIGINT AS unknown, (SELECT count(*) FROM labels l JOIN documents d USING (doc_id) WHERE l.quality <> CAST(d.lang = 'en' AS INT)) AS differ_quality, 0::BIGINT AS repeated")
+CTE["twice"] = "twice AS (SELECT doc_id, quality FROM labels UNION ALL SELECT doc_id, quality FROM labels WHERE doc_id % 11 = 0)"
+CTE["known_docs"] = "known_docs AS (SELECT doc_id, CAST(lang = 'en' AS INT) AS quality FROM documents WHERE doc_id % 7 <> 0)"
+
+
+@query("SELECT (SELECT count(*) FROM known_docs ANTI JOIN twice USING (doc_id)) AS uncovered, (SELECT count(*) FROM twice ANTI JOIN known_docs USING (doc_id)) AS unknown, (SELECT count(*) FROM twice t JOIN known_docs s USING (doc_id) WHERE t.quality <> s.quality) AS differ_quality, (SELECT count(*) FROM labels WHERE doc_id % 11 = 0) AS repeated")
 def j4_prediction_metadata(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", (F.col("lang") == "en").cast("int").alias("quality"))
-    return pairing.metadata_alignment(table(spark, d, "labels"), docs, "doc_id", ["quality"])
+    """Every seventh document is unknown to the metadata, and every eleventh has its label twice."""
+    docs = table(spark, d, "documents").where("doc_id % 7 != 0").select("doc_id", (F.col("lang") == "en").cast("int").alias("quality"))
+    known = table(spark, d, "labels")
+    return pairing.metadata_alignment(known.unionByName(known.where("doc_id % 11 = 0")), docs, "doc_id", ["quality"])
 
 
 CTE["pairf"] = "pairf AS (SELECT a.condition, a.seed, a.case_mae AS \"left\", b.case_mae AS \"right\", a.case_mae - b.case_mae AS difference FROM runt a JOIN runt b ON a.condition = b.condition AND a.seed = b.seed AND a.model = 'F' AND b.model = 'O')"
@@ -513,3 +522,23 @@ def j10_setting_agreement(spark, d):
 def j11_cases_with_all(spark, d):
     e = table(spark, d, "events").where("value > 100").select(F.col("user_id").alias("caseid"), F.col("event_type").alias("track"))
     return pairing.cases_with_all(e, ["click", "error", "view"])
+
+
+@query("SELECT condition, model, seed, 'cases' AS setting, CAST(cases AS VARCHAR) AS found FROM runt WHERE cases <> 40 UNION ALL SELECT condition, model, seed, 'model', model FROM runt WHERE model <> 'F'")
+def j10_expected_settings(spark, d):
+    return pairing.setting_faults(runt(spark, d), ["condition", "model", "seed"], {"cases": 40, "model": "F"})
+
+
+@query("SELECT condition, model, array_to_string(list_sort(list_filter([1992, 1993, 1994, 1995, 1996, 1997, 1999], lambda y: NOT list_contains(s, y))), ',') AS missing, array_to_string(list_sort(list_filter(s, lambda y: y NOT IN (1992, 1993, 1994, 1995, 1996, 1997, 1999))), ',') AS extra, n - len(s) AS repeated FROM (SELECT condition, model, list(DISTINCT seed) AS s, count(*) AS n FROM (SELECT condition, model, seed FROM runt UNION ALL SELECT condition, model, seed FROM runt WHERE model = 'P') GROUP BY 1, 2)")
+def j10_schedule(spark, d):
+    """Years stand for steps; the schedule asks for 1999 in place of 1998, and runs of one model are there twice."""
+    r = runt(spark, d).select("condition", "model", "seed")
+    out = pairing.schedule_faults(r.unionByName(r.where("model = 'P'")), ["condition", "model"], "seed", [*range(1992, 1998), 1999])
+    return out.select("condition", "model", F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"), "repeated")
+
+
+@query("SELECT user_id AS caseid FROM events WHERE event_type IN ('click', 'view') GROUP BY 1 HAVING count(DISTINCT event_type) = 2 ORDER BY 1 LIMIT 12")
+def j11_fewer_tracks(spark, d):
+    """No case has the wanted track that does not exist, so that the shorter list is taken."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("caseid"), F.col("event_type").alias("track"))
+    return pairing.cases_with_all(e, ["click", "absent"], 12, fewer=["click", "view"])

@@ -214,15 +214,15 @@ def p9_exploration_missing(spark, d):
     return rounded(clean.missing_rates(holes(spark, d), ["bis", "aux"], ["caseid"]))
 
 
-SPECS = [features.Feature("bis", "bis", required=True, unit="index"), features.Feature("aux", "aux", how="last"), features.Feature("gone", "gone"), features.Feature("delta", "bis_delta", derived=True)]
+SPECS = [features.Feature("bis", "bis", required=True, unit="index", eligible=True), features.Feature("aux", "aux", how="last"), features.Feature("gone", "gone"), features.Feature("delta", "bis_delta", derived=True, window=10, eligible=True)]
 
 
 @query("SELECT 0 AS place, 'bis' AS feature, true AS included, '' AS reason UNION ALL SELECT 1, 'aux', (SELECT count(aux) > 0 FROM holes), '' UNION ALL SELECT 2, 'gone', false, 'column absent' UNION ALL SELECT 3, 'delta', true, ''")
 def p10_feature_resolution(spark, d):
-    return features.require_profile(features.resolve(holes(spark, d), SPECS), ["bis", "aux", "delta"])
+    return features.require_profile(features.resolve(holes(spark, d), SPECS), ["bis", "aux", "delta"], refused=("gone",), version=2, found_version=2)
 
 
-@query("SELECT 'bis' AS feature, 'bis' AS source, 'dynamic' AS kind, 'median' AS how, round(100 * avg(CASE WHEN bis IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing_pct, true AS included, '' AS reason, 'index' AS unit FROM holes UNION ALL SELECT 'aux', 'aux', 'dynamic', 'last', round(100 * avg(CASE WHEN aux IS NULL THEN 1.0 ELSE 0.0 END), 6), true, '', '' FROM holes UNION ALL SELECT 'gone', 'gone', 'dynamic', 'median', 100, false, 'column absent', '' UNION ALL SELECT 'delta', 'bis_delta', 'dynamic', 'median', 100, true, '', ''")
+@query("SELECT feature, source, 'dynamic' AS kind, how, missing_pct, included, reason, unit, CAST(w AS INTEGER) AS window_seconds, eligible FROM (SELECT 'bis' AS feature, 'bis' AS source, 'median' AS how, round(100 * avg(CASE WHEN bis IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing_pct, true AS included, '' AS reason, 'index' AS unit, NULL AS w, true AS eligible FROM holes UNION ALL SELECT 'aux', 'aux', 'last', round(100 * avg(CASE WHEN aux IS NULL THEN 1.0 ELSE 0.0 END), 6), true, '', '', NULL, false FROM holes UNION ALL SELECT 'gone', 'gone', 'median', 100, false, 'column absent', '', NULL, false UNION ALL SELECT 'delta', 'bis_delta', 'median', 100, true, '', '', 10, true)")
 def p11_feature_manifest(spark, d):
     return rounded(features.manifest(holes(spark, d), SPECS))
 
