@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewise.llm.common import cut, hash_limit, held_out
+from casewise.llm.common import bounded, cut, hash_limit, held_out
 
 #: Keys (a power of two; key 0 stands between documents), numbers in a vector, non-zero ones in an index vector, words on each side.
 KEYS, WIDTH, NONZERO, AROUND = 2**16, 32, 4, 2
@@ -170,7 +170,10 @@ def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
     known = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     share = min(1.0, sample / max(1, known.count()))
     chosen = known.where(F.xxhash64(F.lit("sample"), "doc_id") <= hash_limit(share))
-    rows = features.join(chosen, "doc_id").orderBy("doc_id", "label").select("features", "label").toArrow()  # about `sample` rows at most
+    joined = cut(features.join(chosen, "doc_id").select("doc_id", "features", "label"))
+    # repeated doc_ids can bring more rows than ids were chosen
+    joined = bounded(joined, joined.count(), 2 * sample)
+    rows = joined.orderBy("doc_id", "label", "features").select("features", "label").toArrow()  # about twice `sample` rows at most
     y = rows.column("label").to_numpy().astype(float) if rows.num_rows else np.zeros(0)
     held = held_out(F.col("doc_id")).alias("held_out")
     if not len(y) or y.mean() in (0, 1):

@@ -11,7 +11,8 @@ only, so that what is fitted on grows with the list of names and not with the te
 
 Labels, lang, source and doc_id give no feature. A null or empty text has none and gets the score of the intercept.
 Texts are taken whole. Repeated rows are scored each, rows without a doc_id as well; those are held out. Equal texts
-have equal scores; a score of exactly 0.5 is toxic. Where rows of a doc_id have both labels it counts as toxic. With
+have equal scores; a score of exactly 0.5 is toxic. `mention_change` is the most that a score moves when one of the
+names is put into the text; it shows what the penalty leaves. Where rows of a doc_id have both labels it counts as toxic. With
 labels of one class or none the score is near 1 or 0 for that class (0 if there are none). Other columns stay,
 whatever their names. An empty table gives no rows.
 """
@@ -23,15 +24,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewise.llm.common import cut, hash_limit, held_out, unused
+from casewise.llm.common import bounded, cut, hash_limit, held_out, unused
 
-#: Labelled rows that a fit takes at most, features it keeps at most, and rows in which a feature must be.
+#: Labelled documents that a fit takes at most (rows: twice as many, should doc_ids repeat), features it keeps at most, and rows in which a feature must be.
 SAMPLE, FEATURES, LEAST = 20_000, 4096, 3
 #: Weights of the counterfactual penalty and of the penalty on absolute weights (over the root of the rows); steps of the fit.
 COUNTERFACTUAL, LASSO, STEPS = 10.0, 0.03, 400
@@ -179,6 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", identity: dict
 
     chosen = labelled_sample(docs, labels, label, sample).select("text", "label")
     rows = cut(chosen.mapInArrow(extract, "label int, found array<bigint>, moved array<struct<gone: array<bigint>, come: array<bigint>, n: bigint>>"))
+    # repeated doc_ids can bring more rows than ids were chosen
+    rows = bounded(rows, rows.count(), 2 * sample)
     n = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
@@ -198,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", identity: dict
             lists = [[known[x] for x in r if x in known] for r in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], ["label", "found"])
 
-    training = rows.select("label", "found").mapInArrow(keep, "label int, found array<int>").toArrow()  # `sample` rows at most
+    training = rows.select("label", "found").mapInArrow(keep, "label int, found array<int>").toArrow()  # about twice `sample` rows at most
     # changes are sets of features of names, so that there are at most as many as the list of names allows
     changes = rows.select(F.inline("moved")).groupBy("gone", "come").agg(F.sum("n")).orderBy("gone", "come").collect()
     pairs = [([number[x] for x in gone], [number[x] for x in come], n) for gone, come, n in changes]
@@ -208,15 +212,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", identity: dict
     return ToxicityModel({x: float(w) for x, w in zip(names, weights, strict=True) if w}, bias)
 
 
-def score(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataFrame:
-    """docs with the probability that a text is toxic."""
+def moving_names(model: ToxicityModel, identity: dict[str, list[str]] | None = None) -> list[list[int]]:
+    """Of each group's name that has features with a weight, these features."""
+    found = ([x for x in word_features(t) if x in model.weights] for t in sorted(terms_of(IDENTITY if identity is None else identity)))
+    return [xs for xs in found if xs]
+
+
+def score(docs: DataFrame, model: ToxicityModel, column: str = "score", change: str | None = None) -> DataFrame:
+    """docs with the probability that a text is toxic, and in `change`, if named, how far one more name moves it at most."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = moving_names(model)
     local: dict[bytes, tuple[int, ...]] = {}
 
-    @F.pandas_udf("double")
-    def of(texts):
+    def both(texts):
         weights, bias = sent.value.weights, sent.value.bias
-        out = []
+        out, low, high = [], [], []
         for text in texts:
             words = set(text.encode("utf-8", "surrogatepass").lower().split())
             if len(local) > WORDS_KEPT:
@@ -229,16 +239,38 @@ def score(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataF
                 if known:
                     hits.update(known)
             out.append(bias + sum(weights[x] for x in sorted(hits)))
-        return type(texts)(1 / (1 + np.exp(-np.clip(np.array(out, float), -700, 700))), index=texts.index)
+            moves = [sum(weights[x] for x in xs if x not in hits) for xs in names]
+            low.append(min(moves, default=0.0))
+            high.append(max(moves, default=0.0))
+        probability = lambda z: 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+        z = np.array(out, float)
+        p = probability(z)
+        return p, np.maximum(np.abs(probability(z + np.array(low)) - p), np.abs(probability(z + np.array(high)) - p))
+
+    text = F.coalesce("text", F.lit(""))
+    if change is None:
+
+        @F.pandas_udf("double")
+        def of(texts):
+            return type(texts)(both(texts)[0], index=texts.index)
+
+        return docs.withColumn(column, of(text))
+
+    @F.pandas_udf("score double, change double")
+    def of_both(texts):
+        p, moved = both(texts)
+        return pd.DataFrame({"score": p, "change": moved}, index=texts.index)
 
-    return docs.withColumn(column, of(F.coalesce("text", F.lit(""))))
+    name = unused("_both", docs)
+    scored = docs.withColumn(name, of_both(text))
+    return scored.select(*docs.columns, F.col(f"{name}.score").alias(column), F.col(f"{name}.change").alias(change))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None) -> DataFrame:
-    """doc_id, held_out, score, predicted. training: the labelled documents' table, docs itself unless given."""
+    """doc_id, held_out, score, predicted, mention_change. training: the labelled documents' table, docs itself unless given."""
     model = fit(docs if training is None else training, labels)
-    scored = score(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = score(docs.select("doc_id", "text"), model, change="mention_change")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "mention_change")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, training: DataFrame) -> DataFrame:

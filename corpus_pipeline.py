@@ -2,6 +2,13 @@
 
 Toxic documents go, lines that many documents share stay in one, of near copies one stays, sources are mixed to their
 target weights, and what is left is packed into sequences.
+
+Texts are taken whole. Null and empty texts pass the first three stages; the mix takes words, so that they end there. A
+null source is a source of its own. Rows that repeat a doc_id are scored each and count as one document in line dedup and
+near-dedup, where they stay or go together. Rows without a doc_id lose no line and are no near copy of others. Ties are
+settled by doc_id and content in every stage. Columns beyond those of documents are left behind, whatever their names. An
+empty table gives no rows. The stages' tables stay in a pipeline-... folder of spark.checkpoint.dir, whose owner removes
+them.
 """
 
 from __future__ import annotations
