@@ -30,7 +30,6 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
 import xxhash
@@ -63,6 +62,52 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
+class _Units(dict):
+    """Ids of units; what is not known yet is learnt when it is asked for."""
+
+    def __init__(self, tokenizer):
+        self.tokenize, self.whole = tokenizer.model.tokenize, tokenizer.encode_batch_fast
+        self.mapped = _Mapped()
+        self.space = " ".translate(self.mapped)
+        self.before: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.ends = {end: self.ids(self.tokenize(end)) for end in ".,"}
+
+    @staticmethod
+    def ids(tokens) -> bytes:
+        return array("I", [t.id for t in tokens]).tobytes()
+
+    def renew(self) -> None:
+        """Bounds the memory: of what is known only what is met again goes on."""
+        if len(self) > UNITS_KEPT:
+            self.before = dict(self)
+            self.clear()
+        if len(self.parts) > UNITS_KEPT:
+            self.parts.clear()
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self.before.get(unit)
+        if found is None:
+            found = self.learn(unit)
+        if len(unit) <= UNIT_CHARS:
+            self[unit] = found
+        return found
+
+    def learn(self, unit: str) -> bytes:
+        end = self.ends.get(unit[-1])
+        letters = unit if end is None else unit[:-1]
+        spaced = letters[:1] == " "
+        word = letters[1:] if spaced else letters
+        if len(unit) > UNIT_CHARS or not word.isalpha() or not word.isascii() and max(word) > LETTERS:
+            return array("I", self.whole([unit], add_special_tokens=False)[0].ids).tobytes()
+        # a pre-token in the model's own characters
+        token = (self.space if spaced else "") + (word if word.isascii() else word.translate(self.mapped))
+        found = self.parts.get(token)
+        if found is None:
+            found = self.parts[token] = self.ids(self.tokenize(token))
+        return found if end is None else found + end
+
+
 class UnitEncoder:
     """Ids of texts by units that a byte-level tokenizer never joins: a word with the space before it, or other space.
 
@@ -77,62 +122,18 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_unit = self.tokenizer.normalizer is None and repr(self.tokenizer.pre_tokenizer) == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
-        self.mapped = _Mapped()
-        self.units: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.units = _Units(self.tokenizer) if self.by_unit else None
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, units: list[str], into: dict[str, bytes], once: dict[str, bytes]) -> None:
-        parts, tokenize, mapped = self.parts, self.tokenizer.model.tokenize, self.mapped
-        if len(parts) + len(units) > UNITS_KEPT:
-            parts.clear()
-        for end in ".,":
-            parts[end] = array("I", [t.id for t in tokenize(end)]).tobytes()
-        space = " ".translate(mapped)
-        odd = []
-        for u in units:
-            end = u[-1]
-            letters = u[:-1] if end in ".," else u
-            word = letters[1:] if letters[:1] == " " else letters
-            if len(u) > UNIT_CHARS or not word.isalpha():
-                odd.append(u)
-                continue
-            if not word.isascii():
-                if max(word) > LETTERS:
-                    odd.append(u)
-                    continue
-                word = word.translate(mapped)
-            # a pre-token in the model's own characters
-            token = space + word if letters[0] == " " else word
-            ids = parts.get(token)
-            if ids is None:
-                ids = parts[token] = array("I", [t.id for t in tokenize(token)]).tobytes()
-            into[u] = ids if letters is u else ids + parts[end]
-        for u, ids in zip(odd, self.whole(odd), strict=True):
-            (into if len(u) <= UNIT_CHARS else once)[u] = ids
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.by_unit:
             return self.whole(texts)
-        split = [None if any(s in t for s in self.special) else UNIT.findall(t) for t in texts]
-        needed = set(chain.from_iterable(filter(None, split)))
-        new = needed.difference(self.units)
-        if len(self.units) + len(new) > UNITS_KEPT:
-            self.before, self.units, new = self.units, {}, needed
-        again = [u for u in new if u in self.before]
-        self.units.update((u, self.before[u]) for u in again)
-        new.difference_update(again)
-        once: dict[str, bytes] = {}
-        self.learn(list(new), self.units, once)
+        self.units.renew()
         get = self.units.__getitem__
-        if once:
-            known = self.units
-            get = lambda u: once[u] if u in once else known[u]
-        return [self.whole([t])[0] if units is None else b"".join(map(get, units)) for t, units in zip(texts, split, strict=True)]
+        return [self.whole([t])[0] if any(s in t for s in self.special) else b"".join(map(get, UNIT.findall(t))) for t in texts]
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
