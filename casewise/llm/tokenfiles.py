@@ -57,13 +57,16 @@ WITH_CHECKSUMS = 0x80
 UNITS_KEPT, UNIT_CHARS, TEXTS = 450_000, 48, 200
 #: Fixed value: up to this character letters are the same in all versions of Unicode of the last ten years.
 LETTERS = "\u052f"
-#: Fixed value: the characters that the tokenizer's own pattern calls white space.
-WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The characters that the tokenizer's own pattern calls white space, those beyond ASCII by themselves, and
+#: what of the others stands for more than one space or line end between two words.
+WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE = rf"\t-\r {WIDE}"
+ODD = ("  ", "\n\n", " \n", "\n ", "\t", "\x0b", "\x0c", "\r")
 UNIT = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
-class _Units(dict):
-    """Ids of units; what is not known yet is learnt when it is asked for."""
+class _Words(dict):
+    """Ids of words with a space before them, by the word; what is not known yet is learnt when it is asked for."""
 
     def __init__(self, tokenizer):
         self.tokenize, self.whole = tokenizer.model.tokenize, tokenizer.encode_batch_fast
@@ -72,6 +75,7 @@ class _Units(dict):
         self.before: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.ends = {end: self.ids(self.tokenize(end)) for end in ".,"}
+        self.line = self.ids(self.tokenize("\n".translate(self.mapped)))
 
     @staticmethod
     def ids(tokens) -> bytes:
@@ -85,12 +89,16 @@ class _Units(dict):
         if len(self.parts) > UNITS_KEPT:
             self.parts.clear()
 
-    def __missing__(self, unit: str) -> bytes:
-        found = self.before.get(unit)
+    def __missing__(self, word: str) -> bytes:
+        found = self.before.get(word)
         if found is None:
-            found = self.learn(unit)
-        if len(unit) <= UNIT_CHARS:
-            self[unit] = found
+            if "\n" in word:
+                # a single line end stands by itself, and no space is before the next word
+                first, *more = word.split("\n")
+                return self[first] + b"".join([self.line + self.learn(w) for w in more])
+            found = self.learn(" " + word)
+        if len(word) <= UNIT_CHARS:
+            self[word] = found
         return found
 
     def learn(self, unit: str) -> bytes:
@@ -122,7 +130,7 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_unit = self.tokenizer.normalizer is None and repr(self.tokenizer.pre_tokenizer) == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
-        self.units = _Units(self.tokenizer) if self.by_unit else None
+        self.words = _Words(self.tokenizer) if self.by_unit else None
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -131,9 +139,20 @@ class UnitEncoder:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.by_unit:
             return self.whole(texts)
-        self.units.renew()
-        get = self.units.__getitem__
-        return [self.whole([t])[0] if any(s in t for s in self.special) else b"".join(map(get, UNIT.findall(t))) for t in texts]
+        words = self.words
+        words.renew()
+        get, out = words.__getitem__, []
+        for t in texts:
+            if any(s in t for s in self.special):
+                out += self.whole([t])
+            elif any(s in t for s in ODD) or not t.isascii() and any(s in t for s in WIDE) or t[:1] in (" ", "\n", "") or t[-1] in " \n":
+                out.append(b"".join(map(words.learn, UNIT.findall(t))))
+            else:
+                # single spaces and line ends between words: a text is cut at its spaces
+                first, *rest = t.split(" ")
+                head, *more = first.split("\n")
+                out.append(words.learn(head) + b"".join([words.line + words.learn(w) for w in more]) + b"".join(map(get, rest)))
+        return out
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}

@@ -119,6 +119,7 @@ def test_units_are_exact():
     rng = random.Random(5)
     bits = [" ", "  ", "\n", "\t", "\x1c", "\x85", "　", "a", "Zz", "'s", "it's", "1", "!", "é", "日", "ж", ".", ",", "<|endoftext|>"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 15))) for _ in range(5000)]
+    texts += [" ".join("".join(rng.choices("aé.,\n日1'", k=rng.randint(1, 4))) for _ in range(rng.randint(1, 9))) for _ in range(5000)]
     assert coder.encode(texts) == coder.whole(texts)
 
 
