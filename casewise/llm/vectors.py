@@ -1,8 +1,8 @@
 """Operator 6, embedding near-dedup: an exact metric range join over pivot cells.
 
 On unit vectors a cosine of at least c is a distance of at most r = sqrt(2 - 2c). Pivots, a hashed sample of the
-vectors of each label, partition them: each vector's home is the cell of its nearest pivot. A vector is copied to
-another cell only where a member of that cell can lie within r: by the triangle inequality its distance to that pivot
+vectors of each label, partition them: each vector's home is the cell of its nearest pivot. Labels with SMALL vectors
+or more have at least two pivots; only below that is a label one cell. A vector is copied to another cell only where a member of that cell can lie within r: by the triangle inequality its distance to that pivot
 is at most the cell's radius + r, and its distance to the border between the two pivots, which lies between them, is
 at most r. Cells then join on their own, in blocks of bounded size; each vector is compared with all that came to its
 home cell, by cosine in double precision.
@@ -32,6 +32,8 @@ from casewise.llm.common import connected_components, cut, hash_limit, hot_join
 COSINE = 0.93
 #: Vectors a cell should have, vectors in a block, and pivots at most over all labels (so what is sent out is bounded).
 CELL, BLOCK, PIVOTS = 1500, 1500, 4096
+#: Vectors from which a label has two pivots at least, while no more than a quarter of PIVOTS labels are that large.
+SMALL = 64
 #: Room for rounding in the bounds; the comparison itself has none.
 SLACK = 1e-6
 
@@ -48,15 +50,18 @@ def classes_of(vectors: DataFrame) -> DataFrame:
     return found.withColumn("id", F.monotonically_increasing_id())
 
 
-def pivots_of(classes: DataFrame, cell: int, most: int) -> dict[object, np.ndarray]:
-    """Unit pivots by (label, dimension): for each about one vector in `cell`, `most` over all.
+def pivots_of(classes: DataFrame, cell: int, most: int, small: int = SMALL) -> dict[object, np.ndarray]:
+    """Unit pivots by (label, dimension): for each about one vector in `cell`, two at least, `most` over all.
 
-    Only labels with room for two or more pivots have any; the vectors of others are one cell.
+    Labels with fewer than `small` vectors have none and are one cell each. Where there are so many labels that two
+    pivots for each would be over half of `most`, so are those with fewer than 4 vectors in `most` of all.
     """
-    sizes = classes.groupBy("label").count()
+    sizes = cut(classes.groupBy("label").agg(F.count("*").alias("count")))
     total = sizes.agg(F.sum("count")).first()[0] or 0
-    share = min(1.0, most / max(1, math.ceil(total / cell)))
-    sized = sizes.select("label", F.floor(F.col("count") / cell * share).cast("int").alias("k"), "count").where("k > 1").collect()  # at most `most` / 2 rows
+    least = max(2, small, math.ceil(4 * total / most))  # at most `most` / 4 labels are as large
+    share = min(1.0, most / 2 / max(1, math.ceil(total / cell)))
+    k = F.greatest(F.lit(2), F.floor(F.col("count") / cell * share)).cast("int")
+    sized = sizes.where(F.col("count") >= least).select("label", k.alias("k"), "count").collect()
     if not sized:
         return {}
     k_of = {r[0]: r[1] for r in sized}
@@ -145,18 +150,37 @@ def join_block(frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
     return pd.concat([counted, edges[edges.id != edges.other]], ignore_index=True).astype({"id": "int64", "other": "int64", "edge": bool})
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, block: int = BLOCK, most_pivots: int = PIVOTS) -> DataFrame:
-    """vec_id, n_links, component_id, kept."""
+def usable_classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with their label as text and doubles as components, and their classes."""
     doubles = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), doubles.alias("embedding"), same_label(F.col("label"), vectors.schema["label"].dataType).alias("label"))
-    classes = cut(classes_of(rows))
+    return rows, cut(classes_of(rows))
+
+
+def in_cells(classes: DataFrame, cosine: float, cell: int, most_pivots: int) -> DataFrame:
+    """The classes in their home cells and, as copies, in all other cells with members that can be near."""
     pivots = pivots_of(classes, cell, most_pivots)
     radius = math.sqrt(max(0.0, 2 - 2 * cosine))
     at_home = spread(classes.select("label", "id", "n", "embedding"), pivots, radius, False)
     many = F.col("label").isin(sorted({label for label, _ in pivots})) if pivots else F.lit(False)
     cells = at_home.where(many).groupBy("label", "width", "cell").agg(F.max("far")).collect()  # at most one row for each pivot
     radii = {(r[0], r[1], r[2]): r[3] for r in cells}
-    placed = cut(spread(classes.select("label", "id", "n", "embedding"), pivots, radius, True, radii))
+    return cut(spread(classes.select("label", "id", "n", "embedding"), pivots, radius, True, radii))
+
+
+def cell_costs(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, most_pivots: int = PIVOTS) -> DataFrame:
+    """What the bounds save: label, width, cells, vectors (distinct ones), copies (in all cells, home cells included),
+    compared (members at home times all that came to the cell) and all_pairs (vectors squared)."""
+    placed = in_cells(usable_classes(vectors)[1], cosine, cell, most_pivots)
+    by_cell = placed.groupBy("label", "width", "cell").agg(F.count_if("home").alias("homes"), F.count("*").alias("all"))
+    sums = by_cell.groupBy("label", "width").agg(F.count("*").alias("cells"), F.sum("homes").alias("vectors"), F.sum("all").alias("copies"), F.sum(F.col("homes") * F.col("all")).alias("compared"))
+    return sums.withColumn("all_pairs", F.col("vectors") * F.col("vectors"))
+
+
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, block: int = BLOCK, most_pivots: int = PIVOTS) -> DataFrame:
+    """vec_id, n_links, component_id, kept."""
+    rows, classes = usable_classes(vectors)
+    placed = in_cells(classes, cosine, cell, most_pivots)
     where = ["label", "width", "cell"]
     blocks = placed.groupBy(*where).agg(F.ceil(F.sum(F.col("home").cast("int")) / block).cast("long").alias("_homes"), F.ceil(F.count("*") / block).cast("long").alias("_all"))
     sized = placed.join(cut(blocks), where)

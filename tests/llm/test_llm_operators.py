@@ -397,6 +397,22 @@ def test_near_vectors(spark, cell, block):
     assert vectors.near_vectors(spark.createDataFrame([], frame.schema)).count() == 0
 
 
+def test_bounds_of_cells_save_comparisons_where_vectors_lie_in_groups(spark):
+    r = np.random.default_rng(5)
+    centres = np.eye(16)
+    rows = [(k, [float(x) for x in centres[k % 16] + 0.02 * r.normal(size=16)], "far" if k < 800 else "few") for k in range(840)]
+    rows += [(1000 + k, [float(x) for x in r.normal(size=16)], "any") for k in range(80)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {x.label: x for x in vectors.cell_costs(frame, cell=50).collect()}
+    assert got["few"].cells == 1 and got["few"].vectors == got["few"].copies == 40
+    assert got["any"].cells == 2 and got["any"].copies >= 80  # two pivots from SMALL vectors on
+    # members of other groups are farther than any bound reaches
+    assert got["far"].cells > 4 and got["far"].vectors == 800 and got["far"].compared < 0.8 * got["far"].all_pairs
+    assert vectors.cell_costs(frame.limit(0)).count() == 0
+    # more labels than there are pivots for: all are one cell
+    assert {x.cells for x in vectors.cell_costs(frame, cell=50, most_pivots=2).collect()} == {1}
+
+
 def test_fingerprints(docs, texts, spark):
     rows = sorted(fingerprints.next_fingerprints(docs).collect(), key=lambda r: -r.doc_id)
     assert [r.doc_id for r in rows] == list(range(len(texts)))[::-1]
