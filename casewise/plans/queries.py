@@ -329,10 +329,15 @@ def w5_candidate_audit(spark, d):
     return rounded(windows.candidate_audit(marked(spark, d), LENGTH, DAY))
 
 
-@query("SELECT caseid, included FROM aud WHERE included > (SELECT quantile_cont(included, 0.75) + 1.5 * (quantile_cont(included, 0.75) - quantile_cont(included, 0.25)) FROM aud) ORDER BY included DESC, caseid LIMIT 10")
+CTE["planted"] = "planted AS (SELECT caseid, included * CASE WHEN caseid % 37 = 5 THEN 3 ELSE 1 END AS included FROM aud)"
+
+
+@query("SELECT caseid, included FROM planted WHERE included > (SELECT quantile_cont(included, 0.75) + 1.5 * (quantile_cont(included, 0.75) - quantile_cont(included, 0.25)) FROM planted) ORDER BY included DESC, caseid LIMIT 10")
 def w5_outlier_counts(spark, d):
-    """The same fence about the number of windows, which some cases pass."""
-    return windows.outlier_cases(windows.candidate_audit(marked(spark, d), LENGTH, DAY), "included").select("caseid", "included")
+    """The same fence about the number of windows, with three times as many planted in some cases; not all of these pass."""
+    audit = windows.candidate_audit(marked(spark, d), LENGTH, DAY)
+    planted = audit.withColumn("included", F.col("included") * F.when(F.col("caseid") % 37 == 5, 3).otherwise(1))
+    return windows.outlier_cases(planted, "included").select("caseid", "included")
 
 
 @query("SELECT caseid, round(excluded_pct, 6) AS excluded_pct FROM aud WHERE excluded_pct > (SELECT quantile_cont(excluded_pct, 0.75) + 1.5 * (quantile_cont(excluded_pct, 0.75) - quantile_cont(excluded_pct, 0.25)) FROM aud) ORDER BY aud.excluded_pct DESC, caseid LIMIT 10")
