@@ -329,10 +329,10 @@ def w5_candidate_audit(spark, d):
     return rounded(windows.candidate_audit(marked(spark, d), LENGTH, DAY))
 
 
-CTE["planted"] = "planted AS (SELECT caseid, included * CASE WHEN caseid % 37 = 5 THEN 3 ELSE 1 END AS included FROM aud)"
+CTE["tripled"] = "tripled AS (SELECT caseid, included * CASE WHEN caseid % 37 = 5 THEN 3 ELSE 1 END AS included FROM aud)"
 
 
-@query("SELECT caseid, included FROM planted WHERE included > (SELECT quantile_cont(included, 0.75) + 1.5 * (quantile_cont(included, 0.75) - quantile_cont(included, 0.25)) FROM planted) ORDER BY included DESC, caseid LIMIT 10")
+@query("SELECT caseid, included FROM tripled WHERE included > (SELECT quantile_cont(included, 0.75) + 1.5 * (quantile_cont(included, 0.75) - quantile_cont(included, 0.25)) FROM tripled) ORDER BY included DESC, caseid LIMIT 10")
 def w5_outlier_counts(spark, d):
     """The same fence about the number of windows, with three times as many planted in some cases; not all of these pass."""
     audit = windows.candidate_audit(marked(spark, d), LENGTH, DAY)
