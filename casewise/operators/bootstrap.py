@@ -40,7 +40,9 @@ def hierarchical_bootstrap(cells: DataFrame, contrast: list[str], seed_column: s
     name = F.concat_ws("|", *(F.col(c).cast("string") for c in contrast))
     slots = sizes.select(*contrast, "_ns", "_nc", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     slots = slots.select("*", F.explode(F.sequence(F.lit(0), F.col("_ns") - 1)).alias("_slot")).withColumn("_s", (draw(seed, name, "s", F.col("replicate"), F.col("_slot")) % F.col("_ns")).cast("int"))
-    picks = slots.select("*", F.explode(F.sequence(F.lit(0), F.col("_nc") - 1)).alias("_place")).withColumn("_c", (draw(seed, name, "c", F.col("replicate"), F.col("_slot"), F.col("_place")) % F.col("_nc")).cast("int"))
+    # replicates are dealt before their cases are drawn, else all draws of a contrast would be made where its sizes are
+    dealt = slots.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), *contrast, "replicate")
+    picks = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("_nc") - 1)).alias("_place")).withColumn("_c", (draw(seed, name, "c", F.col("replicate"), F.col("_slot"), F.col("_place")) % F.col("_nc")).cast("int"))
     drawn = picks.join(at, [*contrast, "_s", "_c"])
     if cells_mean:
         return drawn.groupBy(*contrast, "replicate").agg(F.avg("_v").alias("value"))

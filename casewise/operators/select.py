@@ -15,6 +15,9 @@ from pyspark.sql.window import Window
 from casewise.functions import draw
 from casewise.operators.order import numbered
 
+#: Cases whose moment matrices are added up by one product.
+TOGETHER = 256
+
 
 def case_moments(df: DataFrame, features: str, target: str, weight: str | None = None, case: str = "case_id") -> DataFrame:
     """case, n, and `gram`: the flat weighted moment matrix of (1, features, target), summed inside each task first."""
@@ -41,6 +44,38 @@ def case_moments(df: DataFrame, features: str, target: str, weight: str | None =
     return cells.groupBy(case).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("gram"))
 
 
+def summed_moments(moments: DataFrame, draws: DataFrame, by: str, case: str = "case_id") -> DataFrame:
+    """by and gram, a row from each task; those of a group add up to its cases' moment matrices, each times its copies.
+
+    draws: by (an integer), case, copies. A case meets all its draws in one row, and a task adds up by one product of
+    matrices for each few cases, so that what is shuffled is a matrix for each task and group, whatever the number of
+    cases and draws. A task holds one matrix for each group. Cases that moments lacks and groups without any are left out.
+    """
+    of_case = draws.groupBy(case).agg(F.collect_list(F.struct(F.col(by).cast("long").alias("group"), F.col("copies").cast("double").alias("copies"))).alias("_draws"))
+    rows = moments.join(of_case, case).select("gram", F.col("_draws.group").alias("groups"), F.col("_draws.copies").alias("copies"))
+
+    def add_up(batches):
+        total: dict = {}
+        for frame in batches:
+            for at in range(0, len(frame), TOGETHER):
+                part = frame.iloc[at : at + TOGETHER]
+                row = np.repeat(np.arange(len(part)), part["groups"].map(len))
+                groups, place = np.unique(np.concatenate(part["groups"].to_numpy()), return_inverse=True)
+                copies = np.zeros((len(groups), len(part)))
+                np.add.at(copies, (place, row), np.concatenate(part["copies"].to_numpy()))
+                for g, gram in zip(groups.tolist(), copies @ np.stack(part["gram"].to_numpy()), strict=True):
+                    total[g] = total.get(g, 0.0) + gram
+        if total:
+            yield pd.DataFrame({by: list(total), "gram": list(total.values())})
+
+    return rows.mapInPandas(add_up, f"{by} long, gram array<double>")
+
+
+def added(frame: pd.DataFrame) -> pd.DataFrame:
+    """One row from a group's parts: its key and the sum of their matrices."""
+    return pd.DataFrame([[frame.iloc[0, 0], np.stack(frame["gram"].to_numpy()).sum(0)]])
+
+
 def elastic_net(gram: np.ndarray, penalized: np.ndarray, alpha: float, l1: float, steps: int = 500, tolerance: float = 1e-8) -> np.ndarray:
     """Coefficients of (1, features) that minimise squared loss over 2 x total weight plus alpha penalties.
 
@@ -77,10 +112,8 @@ def mean_loss(gram: np.ndarray, coefficients: np.ndarray) -> float:
 
 def cv_grid(moments: DataFrame, folds: DataFrame, alphas: list[float], l1s: list[float], penalized: list[bool], case: str = "case_id") -> DataFrame:
     """alpha, l1, loss (mean over folds), best first. A fold's training matrix is the total less its own."""
-    joined = moments.join(folds, case).select("fold", F.posexplode("gram").alias("at", "v"))
-    sums = joined.groupBy("fold", "at").agg(F.sum("v").alias("v"))
-    grams = sums.groupBy("fold").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("gram"))
-    whole = sums.groupBy("at").agg(F.sum("v").alias("v")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("whole"))
+    grams = summed_moments(moments, folds.select("fold", case, F.lit(1).alias("copies")), "fold", case).groupBy("fold").applyInPandas(added, "fold long, gram array<double>")
+    whole = grams.withColumn("fold", F.lit(0).cast("long")).groupBy("fold").applyInPandas(added, "fold long, whole array<double>").select("whole")
     grid = moments.sparkSession.createDataFrame([(a, l) for a in alphas for l in l1s], "alpha double, l1 double")
     tasks = grams.join(F.broadcast(whole)).join(F.broadcast(grid))  # one row; the grid
     mask = np.array(penalized)
@@ -94,26 +127,22 @@ def cv_grid(moments: DataFrame, folds: DataFrame, alphas: list[float], l1s: list
             out.append((r.fold, r.alpha, r.l1, mean_loss(own, elastic_net(all_ - own, mask, r.alpha, r.l1))))
         return pd.DataFrame(out, columns=["fold", "alpha", "l1", "loss"])
 
-    losses = tasks.groupBy("fold", "alpha", "l1").applyInPandas(fit, "fold int, alpha double, l1 double, loss double")
+    losses = tasks.groupBy("fold", "alpha", "l1").applyInPandas(fit, "fold long, alpha double, l1 double, loss double")
     return losses.groupBy("alpha", "l1").agg(F.avg("loss").alias("loss")).orderBy("loss", "alpha", "l1")
 
 
 def bootstrap_fits(moments: DataFrame, draws: DataFrame, names: list[str], penalized: list[bool], alpha: float, l1: float, case: str = "case_id", threshold: float = 1e-6) -> DataFrame:
     """replicate, feature, coefficient, selected. draws: replicate, case, copies."""
-    cells = moments.join(draws, case).select("replicate", F.col("copies"), F.posexplode("gram").alias("at", "v"))
-    grams = cells.groupBy("replicate", "at").agg(F.sum(F.col("v") * F.col("copies")).alias("v")).groupBy("replicate").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("gram"))
     mask = np.array(penalized)
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in frame.itertuples():
-            g = np.array(r.gram)
-            k = int(round(len(g) ** 0.5))
-            c = elastic_net(g.reshape(k, k), mask, alpha, l1)[1:]
-            out += [(r.replicate, n, float(x), bool(abs(x) > threshold)) for n, x, m in zip(names, c, mask, strict=True) if m]
+        g = np.stack(frame["gram"].to_numpy()).sum(0)
+        k = int(round(len(g) ** 0.5))
+        c = elastic_net(g.reshape(k, k), mask, alpha, l1)[1:]
+        out = [(frame["replicate"].iloc[0], n, float(x), bool(abs(x) > threshold)) for n, x, m in zip(names, c, mask, strict=True) if m]
         return pd.DataFrame(out, columns=["replicate", "feature", "coefficient", "selected"])
 
-    return grams.groupBy("replicate").applyInPandas(fit, "replicate long, feature string, coefficient double, selected boolean")
+    return summed_moments(moments, draws, "replicate", case).groupBy("replicate").applyInPandas(fit, "replicate long, feature string, coefficient double, selected boolean")
 
 
 def stability_summary(fits: DataFrame) -> DataFrame:

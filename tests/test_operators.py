@@ -278,6 +278,28 @@ def test_elastic_net_on_moments(spark):
     assert grid[0].alpha == 0.01
 
 
+def test_sums_of_moments_are_those_of_the_drawn_rows(spark):
+    r = np.random.default_rng(4)
+    data = [(int(c), [float(v) for v in r.normal(size=2)], float(r.normal())) for c in range(700) for _ in range(1 + c % 3)]
+    df = spark.createDataFrame(data, "case_id long, x array<double>, y double")
+    draws = [(g, c, int(r.integers(1, 4))) for g in range(5) for c in range(g * 100, 710)] + [(3, 650, 2), (9, 9999, 1)]
+    moments = select.case_moments(df, "x", "y").repartition(3)
+    parts = select.summed_moments(moments, spark.createDataFrame(draws, "replicate int, case_id long, copies int"), "replicate")
+    got: dict = {}
+    for q in parts.collect():
+        got[q.replicate] = got.get(q.replicate, 0) + np.array(q.gram).reshape(4, 4)
+    assert sorted(got) == [0, 1, 2, 3, 4]  # group 9 has no case with rows
+    for g, total in got.items():
+        copies: dict = {}
+        for h, c, n in draws:
+            if h == g:
+                copies[c] = copies.get(c, 0) + n
+        z = np.array([[1, *x, y] for c, x, y in data])
+        w = np.array([copies.get(c, 0) for c, _, _ in data], float)
+        assert np.allclose(total, (z * w[:, None]).T @ z)
+    assert select.summed_moments(moments.limit(0), spark.createDataFrame(draws, "replicate int, case_id long, copies int"), "replicate").count() == 0
+
+
 def test_weights(spark):
     df = spark.createDataFrame([(1, "a", 0.9, True), (1, "b", 0.1, True), (2, "a", 1.0, True), (2, "b", 0.0, False)], "sample int, feature string, weight double, observed boolean")
     e = {r["sample"]: r.entropy for r in weights.normalized_entropy(df, ["sample"]).collect()}
