@@ -162,10 +162,10 @@ def a17_better_on_subset(spark, d):
 CTE["cm"] = "cm AS (SELECT case_id, avg(abs(predicted - observed)) AS v, row_number() OVER (ORDER BY case_id) - 1 AS i, count(*) OVER () AS n FROM pred GROUP BY 1)"
 
 
-@query(f"SELECT {R('avg(v) AS mean', 'quantile_cont(v, 0.025) AS low', 'quantile_cont(v, 0.975) AS high')}, count(*) AS replicates FROM (SELECT replicate, avg(v) AS v FROM (SELECT replicate, {DRAW.format("'42:' || replicate || ':' || k")} % n AS i FROM range(200) r(replicate), (SELECT unnest(range(n)) AS k, n FROM (SELECT count(*) AS n FROM cm))) JOIN cm USING (i) GROUP BY 1)")
+@query(f"SELECT {R('avg(v) AS mean', 'quantile_cont(v, 0.025) AS low', 'quantile_cont(v, 0.975) AS high')}, count(*) AS replicates FROM (SELECT replicate, avg(v) AS v FROM (SELECT replicate, {DRAW.format("'42:' || replicate || ':' || k")} % n AS i FROM range(20000) r(replicate), (SELECT unnest(range(n)) AS k, n FROM (SELECT count(*) AS n FROM cm))) JOIN cm USING (i) GROUP BY 1)")
 def b1_case_bootstrap(spark, d):
     cases = metrics.regression(pred(spark, d), ["case_id"])
-    return rounded(bs.interval(bs.case_bootstrap(cases, "mae", "case_id", 200), []))
+    return rounded(bs.interval(bs.case_bootstrap(cases, "mae", "case_id", 20_000), []))
 
 
 CTE["con"] = """con AS (SELECT 'condition|' || a.condition || '|' || a.model AS contrast, a.seed, a.caseid, a.mae - b.mae AS v FROM full_ a JOIN full_ b USING (model, seed, caseid) WHERE a.condition <> '1-URGENT' AND b.condition = '1-URGENT'
@@ -181,38 +181,38 @@ def full_cells(spark, d):
 
 @query(f"""SELECT contrast, {R('avg(v) AS mean', 'quantile_cont(v, 0.025) AS low', 'quantile_cont(v, 0.975) AS high')}, count(*) AS replicates FROM (
   SELECT k.contrast, k.replicate, avg(c.v) AS v FROM (
-    SELECT contrast, replicate, slot, place, {DRAW.format("'42:' || contrast || ':s:' || replicate || ':' || slot")} % 2 AS s, {DRAW.format("'42:' || contrast || ':c:' || replicate || ':' || slot || ':' || place")} % 5 AS i FROM (SELECT DISTINCT contrast FROM con), range(50) a(replicate), range(2) b(slot), range(5) e(place)) k
+    SELECT contrast, replicate, slot, place, {DRAW.format("'42:' || contrast || ':s:' || replicate || ':' || slot")} % 2 AS s, {DRAW.format("'42:' || contrast || ':c:' || replicate || ':' || slot || ':' || place")} % 5 AS i FROM (SELECT DISTINCT contrast FROM con), range(10000) a(replicate), range(2) b(slot), range(5) e(place)) k
     JOIN con c ON c.contrast = k.contrast AND c.seed = k.s AND c.caseid = k.i GROUP BY 1, 2) GROUP BY 1""")
 def b2_mean_of_cells(spark, d):
     paired = bs.all_contrasts(full_cells(spark, d), "condition", "1-URGENT", "model", ["seed", "caseid"], "mae")
-    return rounded(bs.interval(bs.hierarchical_bootstrap(paired, ["contrast"], "seed", "caseid", "difference", 50, cells_mean=True), ["contrast"]))
+    return rounded(bs.interval(bs.hierarchical_bootstrap(paired, ["contrast"], "seed", "caseid", "difference", 10_000, cells_mean=True), ["contrast"]))
 
 
 @query(f"""SELECT contrast, metric, {R('avg(v) AS mean', 'quantile_cont(v, 0.025) AS low', 'quantile_cont(v, 0.975) AS high')}, count(*) AS replicates FROM (
   SELECT contrast, metric, replicate, avg(m) AS v FROM (SELECT k.contrast, k.metric, k.replicate, k.slot, avg(CASE k.metric WHEN 'difference' THEN c.v ELSE abs(c.v) END) AS m FROM (
-    SELECT contrast, metric, replicate, slot, place, {DRAW.format("'42:' || contrast || '|' || metric || ':s:' || replicate || ':' || slot")} % 2 AS s, {DRAW.format("'42:' || contrast || '|' || metric || ':c:' || replicate || ':' || slot || ':' || place")} % 5 AS i FROM (SELECT DISTINCT contrast FROM con), (VALUES ('difference'), ('size')) q(metric), range(50) a(replicate), range(2) b(slot), range(5) e(place)) k
+    SELECT contrast, metric, replicate, slot, place, {DRAW.format("'42:' || contrast || '|' || metric || ':s:' || replicate || ':' || slot")} % 2 AS s, {DRAW.format("'42:' || contrast || '|' || metric || ':c:' || replicate || ':' || slot || ':' || place")} % 5 AS i FROM (SELECT DISTINCT contrast FROM con), (VALUES ('difference'), ('size')) q(metric), range(10000) a(replicate), range(2) b(slot), range(5) e(place)) k
     JOIN con c ON c.contrast = k.contrast AND c.seed = k.s AND c.caseid = k.i GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def b2_for_each_metric(spark, d):
     paired = bs.all_contrasts(full_cells(spark, d), "condition", "1-URGENT", "model", ["seed", "caseid"], "mae").withColumn("size", F.abs("difference"))
     long = paired.unpivot(["contrast", "seed", "caseid"], ["difference", "size"], "metric", "value")
-    return rounded(bs.interval(bs.hierarchical_bootstrap(long, ["contrast", "metric"], "seed", "caseid", "value", 50), ["contrast", "metric"]))
+    return rounded(bs.interval(bs.hierarchical_bootstrap(long, ["contrast", "metric"], "seed", "caseid", "value", 10_000), ["contrast", "metric"]))
 
 
 CONTRASTS = f"""SELECT contrast, {R('avg(v) AS mean', 'quantile_cont(v, 0.025) AS low', 'quantile_cont(v, 0.975) AS high')}, count(*) AS replicates FROM (
   SELECT contrast, replicate, avg(m) AS v FROM (SELECT k.contrast, k.replicate, k.slot, avg(c.v) AS m FROM (
-    SELECT contrast, replicate, slot, place, {DRAW.format("'42:' || contrast || ':s:' || replicate || ':' || slot")} % 2 AS s, {DRAW.format("'42:' || contrast || ':c:' || replicate || ':' || slot || ':' || place")} % 5 AS i FROM (SELECT DISTINCT contrast FROM con), range(50) a(replicate), range(2) b(slot), range(5) e(place)) k
+    SELECT contrast, replicate, slot, place, {DRAW.format("'42:' || contrast || ':s:' || replicate || ':' || slot")} % 2 AS s, {DRAW.format("'42:' || contrast || ':c:' || replicate || ':' || slot || ':' || place")} % 5 AS i FROM (SELECT DISTINCT contrast FROM con), range(10000) a(replicate), range(2) b(slot), range(5) e(place)) k
     JOIN con c ON c.contrast = k.contrast AND c.seed = k.s AND c.caseid = k.i GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1"""
 
 
 @query(CONTRASTS + " HAVING contrast LIKE 'model|%'")
 def b2_hierarchical_bootstrap(spark, d):
     paired = bs.all_contrasts(full_cells(spark, d), "condition", "1-URGENT", "model", ["seed", "caseid"], "mae").where("contrast like 'model|%'")
-    return rounded(bs.interval(bs.hierarchical_bootstrap(paired, ["contrast"], "seed", "caseid", "difference", 50), ["contrast"]))
+    return rounded(bs.interval(bs.hierarchical_bootstrap(paired, ["contrast"], "seed", "caseid", "difference", 10_000), ["contrast"]))
 
 
 @query(CONTRASTS)
 def b3_all_contrasts(spark, d):
-    return rounded(plans.contrasts(full_cells(spark, d), "condition", "1-URGENT", "model", "seed", "caseid", "mae", 50))
+    return rounded(plans.contrasts(full_cells(spark, d), "condition", "1-URGENT", "model", "seed", "caseid", "mae", 10_000))
 
 
 # selection
@@ -234,7 +234,7 @@ def f1_f2_elastic_net_grid(spark, d):
 
 def fits(spark, d):
     m = moments(spark, d)
-    return select.bootstrap_fits(m, splits.multiplicities(m, 10, case="case_id"), NAMES, [True] * len(NAMES), 1.0, 0.5)
+    return select.bootstrap_fits(m, splits.multiplicities(m, 100, case="case_id"), NAMES, [True] * len(NAMES), 1.0, 0.5)
 
 
 @query(None)
