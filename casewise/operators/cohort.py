@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewise.operators.contracts import ContractError
@@ -49,10 +49,28 @@ def impute_from_train(df: DataFrame, train, numbers: list[str], categories: list
     return df.withColumn("imputed", names).withColumns({c: F.coalesce(F.col(c), F.lit(fill[c])) for c in columns})
 
 
+def row_text(df: DataFrame) -> Column:
+    """A row's values as one text, by column name: each with its length before it, `-` for null, so that no two rows share one.
+
+    Binary values are in hex, arrays, structs and maps in JSON.
+    """
+    parts = []
+    for f in sorted(df.schema.fields, key=lambda f: f.name):
+        c = F.col("`" + f.name.replace("`", "``") + "`")
+        kind = f.dataType.typeName()
+        text = F.hex(c) if kind == "binary" else F.when(c.isNotNull(), F.to_json(F.struct(c))) if kind in ("array", "struct", "map") else c.cast("string")
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.concat(*parts) if parts else F.lit("")
+
+
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """rows, and two sums over row hashes that do not depend on the order of rows."""
-    h = F.xxhash64(*(F.col(c) for c in sorted(df.columns)))
-    return df.select(h.alias("h")).agg(F.count("*").alias("rows"), F.bit_xor("h").alias("xor"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("sum"))
+    """rows, `columns` (the hash of the sorted names), and two sums over 60-bit hashes of rows, whatever their order.
+
+    `sum` tells how often a row occurs, which `xor` does not. Of an empty table xor is 0 and sum is "0".
+    """
+    h = F.conv(F.substring(F.md5(row_text(df)), 1, 15), 16, 10).cast("long")
+    sums = [F.coalesce(F.bit_xor("h"), F.lit(0).cast("long")).alias("xor"), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").cast("string").alias("sum")]
+    return df.select(h.alias("h")).agg(F.count("*").alias("rows"), F.lit(canonical_hash(sorted(df.columns))).alias("columns"), *sums)
 
 
 def file_fingerprints(spark, path: str) -> DataFrame:

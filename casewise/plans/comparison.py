@@ -661,7 +661,11 @@ def c4_split_manifest(spark, d):
     return lists.groupBy("split").agg(F.count("*").alias("cases"), F.min("caseid").alias("first"), F.max("caseid").alias("last"))
 
 
-@query(None)
+LINE = "l_discount l_extendedprice l_linenumber l_linestatus l_orderkey l_partkey l_quantity l_returnflag l_shipdate l_suppkey l_tax".split()
+
+
+@query(f"""SELECT count(*) AS rows, sha256('["' || array_to_string({LINE}, '","') || '"]') AS columns, bit_xor(h) AS xor, CAST(sum(h) AS VARCHAR) AS sum FROM (
+  SELECT CAST('0x' || substr(md5({" || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in LINE)}), 1, 15) AS BIGINT) AS h FROM lineitem)""")
 def v1_table_fingerprint(spark, d):
     return cohort.table_fingerprint(table(spark, d, "lineitem"))
 

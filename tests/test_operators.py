@@ -340,6 +340,15 @@ def test_cohort_rules(spark):
     with pytest.raises(contracts.ContractError):
         cohort.dedupe_demographics(one.unionByName(spark.createDataFrame([(1, "train", 41.0, 1)], one.schema)))
     assert rows(cohort.table_fingerprint(one)) == rows(cohort.table_fingerprint(one.repartition(3)))
+    odd = "a string, b string, c array<int>, d binary, `e.f` map<string,int>"
+    print_of = lambda *data: rows(cohort.table_fingerprint(spark.createDataFrame(list(data), odd)))[0]
+    x = ("p", None, [1, None], b"z", {"k": 1})
+    assert print_of(x) == print_of(x) and print_of()[0] == 0 and print_of()[2:] == (0, "0")
+    different = [(None, "p", *x[2:]), ("", None, *x[2:]), ("p", "-", *x[2:]), ("p1:", None, *x[2:]), (*x[:2], [1], *x[3:]), (*x[:3], b"Z", x[4]), (*x[:4], None)]
+    assert len({print_of(x), *(print_of(y) for y in different)}) == 8
+    assert print_of(x, x, different[0]) != print_of(different[0]) and print_of(x, different[0]) == print_of(different[0], x)
+    renamed = spark.createDataFrame([x], odd).withColumnRenamed("a", "a0")
+    assert rows(cohort.table_fingerprint(renamed))[0][1] != print_of(x)[1]
     assert cohort.canonical_hash({"b": 1, "a": 2}) == cohort.canonical_hash({"a": 2, "b": 1})
 
 
