@@ -33,15 +33,19 @@ def case_moments(df: DataFrame, features: str, target: str, weight: str | None =
             if len(total) > 500:
                 yield flush(total)
                 total = {}
-        yield flush(total)
+        # a column of lists without a row has no type that Arrow could turn into one of arrays
+        if total:
+            yield flush(total)
 
     def flush(total: dict) -> pd.DataFrame:
-        return pd.DataFrame({case: list(total), "n": [n for n, _ in total.values()], "at": [list(range(g.size)) for _, g in total.values()], "v": [g.ravel().tolist() for _, g in total.values()]})
+        return pd.DataFrame({case: list(total), "n": [n for n, _ in total.values()], "v": [g.ravel() for _, g in total.values()]})
 
     kind = df.schema[case].dataType.simpleString()
-    parts = df.select(case, features, target, *([weight] if weight else [])).mapInPandas(sum_up, f"{case} {kind}, n long, at array<int>, v array<double>")
-    cells = parts.select(case, "n", F.posexplode("v").alias("at", "v")).groupBy(case, "at").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-    return cells.groupBy(case).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("gram"))
+    parts = df.select(case, features, target, *([weight] if weight else [])).mapInPandas(sum_up, f"{case} {kind}, n long, v array<double>")
+    # a case has a row from each task that met it
+    met = parts.groupBy(case).agg(F.sum("n").alias("n"), F.collect_list("v").alias("_vs"))
+    whole = F.aggregate(F.slice("_vs", 2, F.greatest(F.size("_vs") - 1, F.lit(0))), F.element_at("_vs", 1), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    return met.select(case, "n", whole.alias("gram"))
 
 
 def summed_moments(moments: DataFrame, draws: DataFrame, by: str, case: str = "case_id") -> DataFrame:

@@ -149,3 +149,15 @@ def test_tree_selector_finds_what_counts(spark, windows):
 def test_missing_values_are_filled_not_skipped(spark):
     df = spark.createDataFrame([(1, [1.0, None]), (2, [3.0, 5.0]), (3, [float("nan"), 7.0])], "case_id long, x array<double>")
     assert {r.case_id: r.x for r in selectors.filled(df).collect()} == {1: [1.0, 6.0], 2: [3.0, 5.0], 3: [2.0, 7.0]}
+
+
+def test_case_moments_where_a_task_has_no_case_left(spark):
+    """Empty tasks, a case that several tasks meet, and a last batch after which nothing is open."""
+    rows = spark.range(1400).selectExpr("id % 700 as case_id", "array(1D, id) as x", "2D as y")
+    for df in (rows.coalesce(1), rows.repartition(3), rows.where("case_id < 2").repartition(12)):
+        found = select.case_moments(df, "x", "y").collect()
+        assert len(found) == len({r.case_id for r in found}) and {r.n for r in found} == {2}
+        one = next(r for r in found if r.case_id == 1)
+        z = np.array([[1, 1, 1, 2], [1, 1, 701, 2]], float)
+        assert np.allclose(one.gram, (z.T @ z).ravel())
+    assert select.case_moments(rows.where("false"), "x", "y").count() == 0
