@@ -5,6 +5,7 @@ Model constants are published population values and marked as fixed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -82,6 +83,30 @@ def exponential(a: np.ndarray) -> np.ndarray:
     return out
 
 
+def exponentials(a: np.ndarray) -> np.ndarray:
+    """exponential() of many matrices, each with its own number of squarings."""
+    squarings = np.maximum(0, np.ceil(np.log2(np.maximum(np.abs(a).sum(2).max(1), 1e-16))).astype(int) + 4)
+    a = a / (2.0**squarings)[:, None, None]
+    out = np.tile(np.eye(a.shape[1]), (len(a), 1, 1))
+    term = out
+    for k in range(1, 13):
+        term = term @ a / k
+        out = out + term
+    for n in range(squarings.max(initial=0)):
+        more = np.flatnonzero(squarings > n)
+        out[more] = out[more] @ out[more]
+    return out
+
+
+def side_by_side(begins: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The numbers of the chunks that have a first, second, ... row, and these rows."""
+    sizes = np.diff(np.append(begins, n))
+    longest = np.argsort(-sizes, kind="stable")
+    for j in range(sizes.max(initial=0)):
+        longest = longest[: np.searchsorted(-sizes[longest], -j)]
+        yield longest, begins[longest] + j
+
+
 def rate_status(df: DataFrame, rate: str, evidence: list[str], case: str = "caseid", time: str = "time_sec", tolerance: float = 1e-8) -> DataFrame:
     """df with `start` (first time with a rate) and `known`: nothing was given before it, as far as `evidence` tells."""
     w = Window.partitionBy(case)
@@ -133,52 +158,91 @@ def concentrations(df: DataFrame, rate: str, parameters: DataFrame, evidence: li
     names = ["v1", "v2", "v3", "cl1", "cl2", "cl3", "ke0"]
     joined = rows.join(people.select(case, "_start", "_known", *names), case).join(carried, [case, "_chunk"])
 
-    def walk(group: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, float]:
-        """The chunk's rows in order, their maps from its beginning, and when its rate is stale (else infinity)."""
-        group = group.sort_values(time)
-        t, first = group[time].to_numpy(float), group.iloc[0]
-        known = pd.Series(np.append(first["_rate"] if first["_rate"] is not None else np.nan, group["_seen"].to_numpy(float)[:-1])).ffill().to_numpy()
-        when = pd.Series(np.append(first["_since"] if first["_since"] is not None else np.nan, np.where(group["_seen"].notna(), t, np.nan)[:-1])).ffill().to_numpy()
-        start = float(first["_start"]) if pd.notna(first["_start"]) else np.inf
-        late = (t > start) & (t - when > hold)
-        gaps = np.where(t > start, np.diff(t, prepend=first["_end"] if pd.notna(first["_end"]) else t[0]), 0.0)
-        a = system(*(float(first[n]) for n in names))
-        steps = {g: exponential(a * g) for g in np.unique(gaps)}
-        each = np.stack([steps[g] for g in gaps])
-        inputs = each[:, :4, 4] * np.nan_to_num(known)[:, None] * (gaps > 0)[:, None]
-        maps, parts = scan(each[:, :4, :4], inputs)
-        return group, maps, parts, float(t[late][0]) if late.any() else np.inf
-
-    def reduce_(group: pd.DataFrame) -> pd.DataFrame:
-        rows_, maps, parts, stale = walk(group)
-        return pd.DataFrame({case: [rows_[case].iloc[0]], "_chunk": [rows_["_chunk"].iloc[0]], "_map": [maps[-1].ravel()], "_part": [parts[-1]], "_stale": [stale]})
-
-    def compose(group: pd.DataFrame) -> pd.DataFrame:
-        state, stale, states, ended = np.zeros(4), np.inf, [], []
-        group = group.sort_values("_chunk")
-        for m, part, own in zip(group["_map"], group["_part"], group["_stale"], strict=True):
-            states.append(state)
-            ended.append(min(stale, own))
-            state, stale = np.array(m).reshape(4, 4) @ state + np.array(part), min(stale, own)
-        return pd.DataFrame({case: group[case].to_numpy(), "_chunk": group["_chunk"].to_numpy(), "_state": states, "_stale": ended})
-
     kind = df.schema[case].dataType.simpleString()
-    maps = joined.groupBy(case, "_chunk").applyInPandas(reduce_, f"{case} {kind}, _chunk long, _map array<double>, _part array<double>, _stale double")
-    begun = maps.groupBy(case).applyInPandas(compose, f"{case} {kind}, _chunk long, _state array<double>, _stale double")
-
-    def replay(group: pd.DataFrame) -> pd.DataFrame:
-        rows_, maps, parts, _ = walk(group)
-        first = rows_.iloc[0]
-        states = maps @ np.array(first["_state"]) + parts
-        t = rows_[time].to_numpy(float)
-        start = float(first["_start"]) if pd.notna(first["_start"]) else np.inf
-        status = np.where(not first["_known"], "unknown_start", np.where(t < start, "before_start", np.where(t >= first["_stale"], "stale", "ok")))
-        ok = status == "ok"
-        return pd.DataFrame({case: rows_[case].to_numpy(), time: rows_[time].to_numpy(), "plasma": np.where(ok, states[:, 0] / float(first["v1"]), np.nan), "effect": np.where(ok, states[:, 3], np.nan), "status": status})
-
-    found = joined.join(begun, [case, "_chunk"]).groupBy(case, "_chunk").applyInPandas(replay, f"{case} {kind}, {time} long, plasma double, effect double, status string")
+
+    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Batches of a sorted task that end with a chunk; one chunk at most, of `span` distinct seconds, waits for its rest."""
+        open_ = None
+        for frame in batches:
+            frame = frame if open_ is None else pd.concat([open_, frame], ignore_index=True)
+            last = (frame[case] == frame[case].iloc[-1]) & (frame["_chunk"] == frame["_chunk"].iloc[-1])
+            open_ = frame[last].reset_index(drop=True)
+            if not last.all():
+                yield frame[~last].reset_index(drop=True)
+        if open_ is not None and len(open_):
+            yield open_
+
+    def walk(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of chunks in order: where each begins, the map and input of each row, and when each chunk's rate is stale (else infinity)."""
+        t, seen = frame[time].to_numpy(float), frame["_seen"].to_numpy(float)
+        new = np.append(True, (frame[case].to_numpy()[1:] != frame[case].to_numpy()[:-1]) | (frame["_chunk"].to_numpy()[1:] != frame["_chunk"].to_numpy()[:-1]))
+        begins = np.flatnonzero(new)
+        own = np.maximum.accumulate(np.where(new, np.arange(len(t)), 0))
+        # the row of the last rate before a row, if it is in the chunk
+        last = np.append(-1, np.maximum.accumulate(np.where(~np.isnan(seen), np.arange(len(t)), -1))[:-1])
+        here = last >= own
+        known = np.where(here, seen[last], frame["_rate"].to_numpy(float))
+        when = np.where(here, t[last], frame["_since"].to_numpy(float))
+        start = frame["_start"].to_numpy(float)
+        start = np.where(np.isnan(start), np.inf, start)
+        end = frame["_end"].to_numpy(float)
+        before_ = np.where(new, np.where(np.isnan(end), t, end), np.append(0.0, t[:-1]))
+        gaps = np.where(t > start, t - before_, 0.0)
+        # equal gaps of a chunk share their step
+        pairs, at = np.unique(np.column_stack([own, gaps]), axis=0, return_inverse=True)
+        models = np.stack([system(*values) for values in frame.loc[begins, names].to_numpy(float)])
+        steps = exponentials(models[np.searchsorted(begins, pairs[:, 0])] * pairs[:, 1][:, None, None])[at.ravel()]
+        inputs = steps[:, :4, 4] * (np.nan_to_num(known) * (gaps > 0))[:, None]
+        late = (t > start) & (t - when > hold)
+        return begins, steps[:, :4, :4], inputs, np.minimum.reduceat(np.where(late, t, np.inf), begins)
+
+    def reduce_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in chunks(batches):
+            begins, steps, inputs, stale = walk(frame)
+            # the map in the first four columns, the input in the fifth
+            first = np.tile(np.eye(4, 5), (len(begins), 1, 1))
+            for chunk_, rows_ in side_by_side(begins, len(frame)):
+                first[chunk_] = steps[rows_] @ first[chunk_]
+                first[chunk_, :, 4] += inputs[rows_]
+            ends_ = frame.loc[begins, [case, "_chunk"]].reset_index(drop=True)
+            yield ends_.assign(_map=list(first[:, :, :4].reshape(-1, 16)), _part=list(first[:, :, 4]), _stale=stale)
+
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The state that each chunk starts from; chunks come in order of case and place."""
+        of, state, stale = None, np.zeros(4), np.inf
+        for frame in batches:
+            states, ended = [], []
+            for key, m, part, own in zip(frame[case], frame["_map"], frame["_part"], frame["_stale"], strict=True):
+                if key != of:
+                    of, state, stale = key, np.zeros(4), np.inf
+                states.append(state)
+                stale = min(stale, own)
+                ended.append(stale)
+                state = np.asarray(m).reshape(4, 4) @ state + np.asarray(part)
+            yield frame[[case, "_chunk"]].assign(_state=states, _stale=ended)
+
+    # rows of many chunks meet in a batch, in order
+    ordered = joined.repartition(case, "_chunk").sortWithinPartitions(case, "_chunk", time)
+    maps = ordered.mapInPandas(reduce_, f"{case} {kind}, _chunk long, _map array<double>, _part array<double>, _stale double")
+    begun = maps.repartition(case).sortWithinPartitions(case, "_chunk").mapInPandas(compose, f"{case} {kind}, _chunk long, _state array<double>, _stale double")
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in chunks(batches):
+            begins, steps, inputs, _ = walk(frame)
+            state, states = np.stack(frame.loc[begins, "_state"].to_numpy()).astype(float), np.empty((len(frame), 4))
+            for chunk_, rows_ in side_by_side(begins, len(frame)):
+                state[chunk_] = np.einsum("bij,bj->bi", steps[rows_], state[chunk_]) + inputs[rows_]
+                states[rows_] = state[chunk_]
+            t, start = frame[time].to_numpy(float), frame["_start"].to_numpy(float)
+            start = np.where(np.isnan(start), np.inf, start)
+            status = np.where(~frame["_known"].to_numpy(bool), "unknown_start", np.where(t < start, "before_start", np.where(t >= frame["_stale"].to_numpy(float), "stale", "ok")))
+            ok = status == "ok"
+            yield frame[[case, time]].assign(plasma=np.where(ok, states[:, 0] / frame["v1"].to_numpy(float), np.nan), effect=np.where(ok, states[:, 3], np.nan), status=status)
+
+    again = joined.join(begun, [case, "_chunk"]).repartition(case, "_chunk").sortWithinPartitions(case, "_chunk", time)
+    found = again.mapInPandas(replay, f"{case} {kind}, {time} long, plasma double, effect double, status string")
     number = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
     return found.select(case, time, number("plasma"), number("effect"), "status")
 
 
-__all__ = ["concentrations", "exponential", "lean_mass", "predicted_index", "propofol_parameters", "rate_status", "remifentanil_parameters", "scan", "system"]
+__all__ = ["concentrations", "exponential", "exponentials", "lean_mass", "predicted_index", "propofol_parameters", "rate_status", "remifentanil_parameters", "scan", "system"]
