@@ -23,6 +23,11 @@ def zone(y: Column, low: float = 40, high: float = 60) -> Column:
     return F.when(y <= low, "deep").when(y <= high, "adequate").when(y.isNotNull(), "light")
 
 
+def once(df: DataFrame) -> DataFrame:
+    """df, computed here and not again: sums of doubles may differ in the last bit from one evaluation to the next."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN stands for missing on ingest; aggregates skip null only."""
     return df.select(*(F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in df.schema.fields))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from casewise.functions import once
 from casewise.operators.order import least_before
 
 #: Fixed value: the 97.5 % point of Student's t with 4 degrees of freedom (five seeds).
@@ -62,9 +63,11 @@ def front(candidates: DataFrame, group: str, cost: str, error: str) -> DataFrame
 def pareto(candidates: DataFrame, group: str, name: str, cost: str, error: str) -> DataFrame:
     """Candidates with those that dominate them: no worse in both, better in one; and flags for best and simplest.
 
-    Only candidates off the front are set against others, since only they have dominators to list.
+    Only candidates off the front are set against others, since only they have dominators to list. All branches compare
+    the same values, so that candidates are evaluated one time.
     """
-    marked = front(candidates.select(group, name, cost, error), group, cost, error)
+    candidates = once(candidates.select(group, name, cost, error))
+    marked = front(candidates, group, cost, error)
     other = candidates.select(F.col(group).alias("_g"), F.col(name).alias("_o"), F.col(cost).alias("_c"), F.col(error).alias("_e"))
     beats = (F.col("_g") == F.col(group)) & (F.col("_c") <= F.col(cost)) & (F.col("_e") <= F.col(error)) & ((F.col("_c") < F.col(cost)) | (F.col("_e") < F.col(error)))
     lists = marked.where("not on_front").join(other, beats).groupBy(group, name, cost, error).agg(F.array_sort(F.collect_set("_o")).alias("dominators"))

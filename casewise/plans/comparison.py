@@ -56,7 +56,7 @@ CTE["cand"] = "cand AS (SELECT model, condition, avg(case_mae) AS error, CAST(co
 
 
 def cand(spark, d):
-    return runt(spark, d).groupBy("model", "condition").agg(F.avg("case_mae").alias("error"), (F.round(F.count("*") + F.avg("cases")).cast("int") % 7).alias("cost"))
+    return runt(spark, d).groupBy("model", "condition").agg(F.avg("case_mae").alias("error"), (F.rint(F.count("*") + F.avg("cases")).cast("int") % 7).alias("cost"))
 
 
 @query("SELECT model || condition AS name, round(error, 9) AS error, round(error - (SELECT error FROM cand WHERE model = 'F' AND condition = '5-LOW'), 9) AS delta_error FROM cand")
@@ -76,9 +76,8 @@ def a6_pareto(spark, d):
 @query("SELECT p.model, p.condition, round(p.error, 9) AS error, p.cost, dominators IS NULL AS on_front, dominators IS NULL AND p.error = (SELECT min(error) FROM par q WHERE q.model = p.model AND q.dominators IS NULL) AS is_best, r.mean AS mean_delta FROM par p LEFT JOIN (SELECT condition, model, round(avg(delta), 9) AS mean FROM refp GROUP BY 1, 2) r USING (model, condition)")
 def a7_evidence_table(spark, d):
     contrast = pairing.delta_summary(refp(spark, d), ["condition", "model"]).select("condition", "model", F.col("mean").alias("mean_delta"))
-    c = cand(spark, d)
-    front = runs.pareto(c, "model", "condition", "cost", "error").select("model", "condition", "on_front", "is_best")
-    return r9(runs.evidence(c.select("model", "condition", "cost", "error"), front, contrast, ["model", "condition"]))
+    front = runs.pareto(cand(spark, d), "model", "condition", "cost", "error").select("model", "condition", "cost", "error", "on_front", "is_best")
+    return r9(runs.evidence(front.select("model", "condition", "cost", "error"), front.drop("cost", "error"), contrast, ["model", "condition"]))
 
 
 @query("SELECT * FROM (SELECT caseid, round(v, 9) AS mean, CAST(row_number() OVER (ORDER BY v, caseid) AS INT) AS place, 'best' AS side FROM cdiff UNION ALL SELECT caseid, round(v, 9), CAST(row_number() OVER (ORDER BY v DESC, caseid) AS INT), 'worst' FROM cdiff) WHERE place <= 5")

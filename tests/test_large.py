@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from casewise.operators import pk
+from casewise.operators import pk, runs
+from casewise.plans import comparison
 
 
 def test_exponentials_are_those_of_each_matrix():
@@ -31,3 +33,19 @@ def test_concentrations_where_batches_cut_chunks(spark):
         other = cut[key]
         assert q.status == other.status and (q.plasma is None) == (other.plasma is None)
         assert q.plasma is None or abs(q.plasma - other.plasma) < 1e-9 and abs(q.effect - other.effect) < 1e-9
+
+
+def test_front_where_each_evaluation_gives_another_last_digit(spark):
+    """As sums of doubles do, whose order differs from one evaluation to the next."""
+    jitter = F.udf(lambda k: 5 + k + random.random() * 1e-9, "double").asNondeterministic()
+    c = spark.range(8).repartition(3).select((F.col("id") % 2).cast("string").alias("g"), F.col("id").cast("string").alias("name"), F.lit(1).alias("cost"), jitter("id").alias("error"))
+    found = runs.pareto(c, "g", "name", "cost", "error").collect()
+    assert len(found) == 8 and sorted(r.name for r in found if r.on_front and r.is_best) == ["0", "1"]
+    assert all(("0" if r.g == "0" else "1") in r.dominators for r in found if not r.on_front)
+
+
+def test_cost_of_half_goes_to_the_even_number(spark, monkeypatch):
+    """As the SQL's cast does: 2 runs with 39 and 38 cases make 40.5, so 40 (5 modulo 7), not 41."""
+    table = spark.createDataFrame([("F", "a", 1.0, 39), ("F", "a", 2.0, 38)], "model string, condition string, case_mae double, cases int")
+    monkeypatch.setattr(comparison, "runt", lambda spark, d: table)
+    assert [r.cost for r in comparison.cand(spark, "").collect()] == [40 % 7]
