@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casewise.functions import draw
+from casewise.functions import draw, draws
 from casewise.operators.order import numbered
 
+#: Cases whose values a task of the case bootstrap holds.
+BLOCK = 1 << 22
+
 
 def interval(replicates: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     v = F.col(value)
@@ -16,12 +23,36 @@ def interval(replicates: DataFrame, by: list[str], value: str = "value") -> Data
 
 
 def case_bootstrap(cases: DataFrame, value: str, key: str, replicates: int, seed: int = 42) -> DataFrame:
-    """(replicate, value): means of n cases drawn with replacement. cases: one row for each case."""
-    placed = numbered(cases.select(key, F.col(value).alias("_v")), [key], "_i").select("_i", "_v")
+    """(replicate, value): means of n cases drawn with replacement, nulls left out. cases: one row for each case.
+
+    A task gets some replicates and the values of at most BLOCK cases, and adds up what its replicates draw of these.
+    Draws, as draw() makes them from the seed, the replicate and the place, are never rows: with more than BLOCK cases
+    each block's tasks make them anew.
+    """
+    placed = numbered(cases.select(key, F.col(value).cast("double").alias("_v")), [key], "_i")
     n = cases.count()
-    draws = cases.sparkSession.range(replicates * n).select(F.floor(F.col("id") / n).alias("replicate"), (F.col("id") % n).alias("_d"))
-    picked = draws.withColumn("_i", draw(seed, F.col("replicate"), F.col("_d")) % n)
-    return picked.join(placed, "_i").groupBy("replicate").agg(F.avg("_v").alias("value"))
+    groups = min(replicates, max(64, 4 * cases.sparkSession.sparkContext.defaultParallelism))
+    blocks = placed.groupBy(F.floor(F.col("_i") / BLOCK).alias("_block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias("_values"))
+    # a piece keeps its nulls apart from NaN, which makes a mean NaN
+    pieces = blocks.select("_block", F.transform("_values", lambda v: F.coalesce(v, F.lit(0.0))).alias("_values"), F.transform("_values", lambda v: v.isNotNull()).alias("_held"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_group"))
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for block, values, held, group in zip(frame["_block"], frame["_values"], frame["_held"], frame["_group"], strict=True):
+                values, held, low, out = np.asarray(values, float), np.asarray(held, bool), int(block) * BLOCK, []
+                for replicate in range(int(group), replicates, groups):
+                    total, count = 0.0, 0
+                    for drawn in draws(f"{seed}:{replicate}:", n):
+                        at = (drawn % np.uint32(n)).astype(np.int64) - low
+                        if n > BLOCK:
+                            at = at[(at >= 0) & (at < len(values))]
+                        total, count = total + values[at].sum(), count + int(held[at].sum())
+                    out.append((replicate, total, count))
+                yield pd.DataFrame(out, columns=["replicate", "_sum", "_n"])
+
+    dealt = pieces.repartition(groups, "_group", "_block")
+    sums = dealt.mapInPandas(add_up, "replicate long, _sum double, _n long").groupBy("replicate").agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
+    return sums.select("replicate", F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n")).alias("value"))
 
 
 def hierarchical_bootstrap(cells: DataFrame, contrast: list[str], seed_column: str, case: str, value: str, replicates: int, seed: int = 42, cells_mean: bool = False) -> DataFrame:

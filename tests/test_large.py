@@ -49,3 +49,22 @@ def test_cost_of_half_goes_to_the_even_number(spark, monkeypatch):
     table = spark.createDataFrame([("F", "a", 1.0, 39), ("F", "a", 2.0, 38)], "model string, condition string, case_mae double, cases int")
     monkeypatch.setattr(comparison, "runt", lambda spark, d: table)
     assert [r.cost for r in comparison.cand(spark, "").collect()] == [40 % 7]
+
+
+def test_case_bootstrap_draws_inside_tasks(spark, monkeypatch):
+    import hashlib
+
+    from casewise.functions import draws
+    from casewise.operators import bootstrap
+
+    of = lambda k, j: int(hashlib.md5(f"42:{k}:{j}".encode()).hexdigest()[:8], 16)
+    assert np.concatenate(list(draws("42:7:", 12_000))).tolist() == [of(7, j) for j in range(12_000)]
+    values = [float(k * k % 17) if k % 5 else None for k in range(23)]
+    df = spark.createDataFrame(list(enumerate(values)), "case_id long, v double")
+    for block in (4, 1 << 22):
+        monkeypatch.setattr(bootstrap, "BLOCK", block)
+        got = {r.replicate: r.value for r in bootstrap.case_bootstrap(df, "v", "case_id", 70).collect()}
+        assert len(got) == 70
+        for k, mean in got.items():
+            held = [v for j in range(23) if (v := values[of(k, j) % 23]) is not None]
+            assert abs(mean - sum(held) / len(held)) < 1e-9
