@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casewise.functions import draw
+from casewise.functions import draw, once
 from casewise.operators.contracts import ContractError
 from casewise.operators.order import numbered, quantiles
 from casewise.operators.splits import subsample
@@ -30,11 +30,17 @@ NET_GRID = tuple((alpha, l1) for alpha in (0.001, 0.01, 0.1) for l1 in (0.1, 0.5
 TREE_GRID = ((3, 5, 0.05), (5, 5, 0.05), (3, 10, 0.1))  # depth, rows of a leaf, learning rate
 THRESHOLDS = (0.6, 0.7, 0.8, 0.9)
 STABLE = 0.7
+#: Rows of a task of the tree learner.
+EACH = 100_000
 
 
 def filled(df: DataFrame, x: str = "x", fill: list[float] | None = None) -> DataFrame:
-    """df whose x has no null or NaN: they get the place's fill, its exact median unless given."""
+    """df whose x has no null or NaN: they get the place's fill, its exact median unless given.
+
+    For medians df is computed once and kept: they are several passes over it, and fits follow.
+    """
     if fill is None:
+        df = once(df)
         first = df.select(F.size(x)).first()
         wide = df.select(*(F.col(x)[k].cast("double").alias(f"_{k}") for k in range(first[0] if first else 0)))
         fill = [v[0] if v[0] is not None else 0.0 for v in quantiles(wide, wide.columns, [0.5]).values()]
@@ -262,12 +268,16 @@ def apply_trees(trees: list[tuple[float, np.ndarray]], x: np.ndarray) -> np.ndar
 def fit_trees(rows: DataFrame, groups: list[tuple[object, Column]], parameters: list[tuple[int, int, float]], trees: int, seed: int, x: str = "x", target: str = "y", case: str = "case_id", jobs: int = 4) -> list[list]:
     """Flat trees for each group (a name and which rows train it) and each of its parameters, `jobs` fits at a time.
 
-    Each case of a group weighs the same. The learner is MLlib's boosting, with `trees` trees.
+    Each case of a group weighs the same. The learner is MLlib's boosting, with `trees` trees. It runs a few jobs for
+    each level of each tree, and each of their tasks reports to the driver, the counters of all steps that led to its
+    rows included: rows are kept without these steps, in one task for EACH of them. Bags are drawn by task and place, so
+    that rows are dealt and sorted alike whatever the session's number of partitions.
     """
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import GBTRegressor
 
-    ready = rows.withColumn("_v", array_to_vector(x)).withColumn("_n", F.count("*").over(Window.partitionBy(case))).select(*{c for c in rows.columns if c != x}, "_v", (1 / F.col("_n")).alias("_w")).persist()
+    dealt = rows.repartition(rows.count() // EACH + 1, case).withColumn("_n", F.count("*").over(Window.partitionBy(case))).sortWithinPartitions(case, target, x)
+    ready = once(dealt.select(*(c for c in rows.columns if c != x), array_to_vector(x).alias("_v"), (1 / F.col("_n")).alias("_w"))).persist()
 
     def fit(task) -> list:
         (_, where), (depth, leaf, rate) = task

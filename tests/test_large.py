@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from casewise.operators import pk, runs
+from casewise.operators import pk, runs, selectors, splits
 from casewise.plans import comparison
 
 
@@ -68,3 +68,38 @@ def test_case_bootstrap_draws_inside_tasks(spark, monkeypatch):
         for k, mean in got.items():
             held = [v for j in range(23) if (v := values[of(k, j) % 23]) is not None]
             assert abs(mean - sum(held) / len(held)) < 1e-9
+
+
+def boosted(spark):
+    r = random.Random(8)
+    rows = [(c, t, [r.gauss(0, 1), r.gauss(0, 1)], r.gauss(c % 5, 1)) for c in range(30) for t in range(12)]
+    return spark.createDataFrame(rows, "case_id long, final_ts long, x array<double>, y double")
+
+
+def test_learner_has_few_tasks_and_forgets_earlier_steps(spark, monkeypatch):
+    """Each task of each of its jobs reports to the driver, for all steps that its rows come from."""
+    from pyspark.ml.regression import GBTRegressor
+
+    df, seen, fit = boosted(spark), [], GBTRegressor.fit
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, ready: seen.append((ready.rdd.getNumPartitions(), ready.rdd.toDebugString().decode())) or fit(self, ready))
+    # shuffles are not put together here, as is so with those of a large table
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        folds = splits.folds(df, 2, case="case_id")
+        found = []
+        for n in ("5", "9"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted((r.parameter, round(r.mae, 9)) for r in selectors.tree_grid(df, folds, ((2, 1, 0.3), (3, 1, 0.3)), trees=3).collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(seen) == 8 and {n for n, _ in seen} == {1} and not any("Shuffled" in steps for _, steps in seen)
+    assert found[0] == found[1]
+
+
+def test_medians_compute_their_rows_once(spark):
+    count = spark.sparkContext.accumulator(0)
+    step = F.udf(lambda v: count.add(1) or v, "double").asNondeterministic()
+    df = spark.range(40).repartition(2).select(F.array(step(F.col("id").cast("double")), F.lit(None).cast("double")).alias("x"))
+    found = selectors.filled(df)
+    assert sorted(r.x[0] for r in found.collect()) == list(range(40)) and count.value == 40
