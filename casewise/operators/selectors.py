@@ -48,6 +48,14 @@ def filled(df: DataFrame, x: str = "x", fill: list[float] | None = None) -> Data
     return df.withColumn(x, F.zip_with(F.col(x), values, lambda v, f: F.when(v.isNull() | F.isnan(v), f).otherwise(v.cast("double"))))
 
 
+def case_sums(keys: pd.DataFrame, wrong: np.ndarray) -> pd.DataFrame:
+    """keys, each once, with `n`, the number of their rows, and `wrong`, the sums of these rows."""
+    at = keys.groupby(list(keys.columns), sort=False, dropna=False).ngroup().to_numpy()
+    found = keys.drop_duplicates()
+    sums = np.stack([np.bincount(at, w, len(found)) for w in wrong.T], axis=1)
+    return found.assign(n=np.bincount(at, minlength=len(found)), wrong=list(sums))
+
+
 # sparse linear selector
 
 def group_moments(moments: DataFrame, draws: DataFrame, group: str, case: str = "case_id") -> DataFrame:
@@ -145,17 +153,15 @@ def balanced_errors(rows: DataFrame, models: DataFrame, group: str, x: str = "x"
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            total: dict = {}
-            for (g, key), part in frame.groupby([group, case]):
+            for g, part in frame.groupby(group):
                 numbers, weights, free = flat[g]
-                wrong = np.abs(np.stack(part[x].to_numpy()) @ weights + free - part[target].to_numpy(float)[:, None]).sum(0)
-                total[g, key] = (len(part), numbers, wrong)
-            out = [(g, key, p, e, n) for (g, key), (n, numbers, wrong) in total.items() for p, e in zip(numbers, wrong, strict=True)]
-            yield pd.DataFrame(out, columns=[group, case, "parameter", "error", "n"])
+                found = case_sums(part[[group, case]], np.abs(np.stack(part[x].to_numpy()) @ weights + free - part[target].to_numpy(float)[:, None]))
+                yield found.assign(numbers=[numbers] * len(found))
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (group, case))
-    sums = rows.select(group, case, x, target).mapInPandas(score, f"{kinds}, parameter int, error double, n long")
-    cases = sums.groupBy(group, case, "parameter").agg((F.sum("error") / F.sum("n")).alias("mae"))
+    sums = rows.select(group, case, x, target).mapInPandas(score, f"{kinds}, n long, wrong array<double>, numbers array<int>")
+    each = sums.select(group, case, "n", F.explode(F.arrays_zip("numbers", "wrong")).alias("p")).select(group, case, "n", F.col("p.numbers").alias("parameter"), F.col("p.wrong").alias("e"))
+    cases = each.groupBy(group, case, "parameter").agg((F.sum("e") / F.sum("n")).alias("mae"))
     return cases.groupBy(group, "parameter").agg(F.avg("mae").alias("mae"), F.count("*").alias("cases"))
 
 
@@ -303,15 +309,16 @@ def tree_grid(rows: DataFrame, folds: DataFrame, grid: tuple = TREE_GRID, trees:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            out = []
-            for (f, key), part in frame.groupby(["fold", case]):
-                z, y = np.stack(part[x].to_numpy()), part[target].to_numpy(float)
-                out += [(f, key, k, float(np.abs(apply_trees(m, z) - y).sum()), len(part)) for k, m in enumerate(models[f])]
-            yield pd.DataFrame(out, columns=["fold", case, "parameter", "error", "n"])
+            if len(frame):
+                z, y = np.stack(frame[x].to_numpy()), frame[target].to_numpy(float)
+                wrong = np.empty((len(frame), len(grid)))
+                for f, at in frame.groupby("fold").indices.items():
+                    wrong[at] = np.stack([np.abs(apply_trees(m, z[at]) - y[at]) for m in models[f]], axis=1)
+                yield case_sums(frame[["fold", case]], wrong)
 
     kinds = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in ("fold", case))
-    sums = joined.select("fold", case, x, target).mapInPandas(score, f"{kinds}, parameter int, error double, n long")
-    cases = sums.groupBy("fold", case, "parameter").agg((F.sum("error") / F.sum("n")).alias("mae"))
+    sums = joined.select("fold", case, x, target).mapInPandas(score, f"{kinds}, n long, wrong array<double>")
+    cases = sums.select("fold", case, "n", F.posexplode("wrong").alias("parameter", "e")).groupBy("fold", case, "parameter").agg((F.sum("e") / F.sum("n")).alias("mae"))
     means = cases.groupBy("fold", "parameter").agg(F.avg("mae").alias("mae")).groupBy("parameter").agg(F.avg("mae").alias("mae"))
     points = rows.sparkSession.createDataFrame([(k, *p) for k, p in enumerate(grid)], "parameter int, depth int, leaf int, rate double")
     # one row for each point of the grid
@@ -349,16 +356,17 @@ def permutation_gains(rows: DataFrame, held: DataFrame, models: dict, groups: di
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            out = []
-            for (run, key), part in frame.groupby(["run", case]):
-                z, other, y = np.stack(part[x].to_numpy()), np.stack(part["_donor"].to_numpy()), part[target].to_numpy(float)
-                wrong = [float(np.abs(apply_trees(models[run], z) - y).sum())]
-                for f in names:
-                    moved = z.copy()
-                    moved[:, groups[f]] = other[:, groups[f]]
-                    wrong.append(float(np.abs(apply_trees(models[run], moved) - y).sum()))
-                out.append((run, key, len(part), wrong))
-            yield pd.DataFrame(out, columns=["run", case, "n", "wrong"])
+            if len(frame):
+                z, other, y = np.stack(frame[x].to_numpy()), np.stack(frame["_donor"].to_numpy()), frame[target].to_numpy(float)
+                wrong = np.empty((len(frame), len(names) + 1))
+                for run, at in frame.groupby("run").indices.items():
+                    mine, donor = z[at], other[at]
+                    wrong[at, 0] = np.abs(apply_trees(models[run], mine) - y[at])
+                    for k, f in enumerate(names):
+                        moved = mine.copy()
+                        moved[:, groups[f]] = donor[:, groups[f]]
+                        wrong[at, k + 1] = np.abs(apply_trees(models[run], moved) - y[at])
+                yield case_sums(frame[["run", case]], wrong)
 
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c, df in (("run", held), (case, rows)))
     sums = donated(rows, held, seed, x, case, time).select("run", case, x, "_donor", target).mapInPandas(score, f"{kinds}, n long, wrong array<double>")
@@ -370,7 +378,7 @@ def permutation_gains(rows: DataFrame, held: DataFrame, models: dict, groups: di
 
 def tree_stability(rows: DataFrame, groups: dict[str, list[int]], parameters: tuple[int, int, float] = TREE_GRID[0], runs: int = 100, fraction: float = 0.5, trees: int = 150, seed: int = 42, x: str = "x", target: str = "y", case: str = "case_id", time: str = "final_ts") -> DataFrame:
     """permutation_gains() of a model for each of `runs` subsamples of cases, on the cases that it leaves out."""
-    drawn = subsample(rows, fraction, runs, seed, case)
+    drawn = once(subsample(rows, fraction, runs, seed, case))
     joined = rows.join(drawn.where("chosen").groupBy(case).agg(F.collect_set("run").alias("_runs")), case)
     names = [r[0] for r in drawn.select("run").distinct().orderBy("run").collect()]
     found = fit_trees(joined, [(r, F.array_contains("_runs", F.lit(r))) for r in names], [parameters], trees, seed, x, target, case)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from casewise.operators import pk, runs, selectors, splits
@@ -103,3 +104,24 @@ def test_medians_compute_their_rows_once(spark):
     df = spark.range(40).repartition(2).select(F.array(step(F.col("id").cast("double")), F.lit(None).cast("double")).alias("x"))
     found = selectors.filled(df)
     assert sorted(r.x[0] for r in found.collect()) == list(range(40)) and count.value == 40
+
+
+def test_models_meet_whole_batches_not_cases(spark, monkeypatch):
+    calls, apply = spark.sparkContext.accumulator(0), selectors.apply_trees
+    monkeypatch.setattr(selectors, "apply_trees", lambda trees, x: calls.add(1) or apply(trees, x))
+    df = boosted(spark)
+    stump = [(1.0, np.array([[0, 0.0, 1, 2, 0], [-1, 0, 1, 1, -1.0], [-1, 0, 2, 2, 1.0]]))]
+    held = df.select((F.col("case_id") % 2).alias("run"), F.col("case_id")).distinct()
+    gains = selectors.permutation_gains(df, held, {0: stump, 1: stump}, {"a": [0], "b": [1]}).collect()
+    # a call for each run, feature (and none) and task; there are 15 cases in a run
+    assert len(gains) == 4 and all(abs(r.gain) < 1e-12 for r in gains if r.feature == "b") and 0 < calls.value <= 2 * 3 * 4
+
+
+def test_sums_by_case_are_those_of_each_case():
+    r = np.random.default_rng(2)
+    keys, wrong = pd.DataFrame({"run": r.integers(0, 3, 200), "case_id": r.integers(0, 9, 200)}), r.uniform(size=(200, 4))
+    found = selectors.case_sums(keys, wrong)
+    assert len(found) == len(keys.drop_duplicates()) and found["n"].sum() == 200
+    for run, case, n, sums in found.itertuples(index=False):
+        at = ((keys["run"] == run) & (keys["case_id"] == case)).to_numpy()
+        assert n == at.sum() and np.allclose(sums, wrong[at].sum(0))
