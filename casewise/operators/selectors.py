@@ -11,7 +11,7 @@ numbers each and go to the tasks with the code.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from casewise.functions import draw, once
+from casewise.operators import boosting
 from casewise.operators.contracts import ContractError
 from casewise.operators.order import numbered, quantiles
 from casewise.operators.splits import subsample
 
 #: The parameters that are tried, in the order that decides between equal scores, and selection thresholds.
 NET_GRID = tuple((alpha, l1) for alpha in (0.001, 0.01, 0.1) for l1 in (0.1, 0.5, 0.9))
-TREE_GRID = ((3, 5, 0.05), (5, 5, 0.05), (3, 10, 0.1))  # depth, rows of a leaf, learning rate
+TREE_GRID = ((3, 5, 0.05), (5, 5, 0.05), (3, 10, 0.1))  # depth, rows of a leaf (boosting: their weight, 1 on average), learning rate
 THRESHOLDS = (0.6, 0.7, 0.8, 0.9)
 STABLE = 0.7
 #: Rows of a task of the tree learner.
@@ -258,7 +259,9 @@ def flat_trees(model) -> list[tuple[float, np.ndarray]]:
     return out
 
 
-def apply_trees(trees: list[tuple[float, np.ndarray]], x: np.ndarray) -> np.ndarray:
+def apply_trees(trees: list[tuple[float, np.ndarray]] | boosting.Boosted, x: np.ndarray) -> np.ndarray:
+    if isinstance(trees, boosting.Boosted):
+        return boosting.apply(trees, boosting.binned(trees.borders, x))
     out = np.zeros(len(x))
     rows = np.arange(len(x))
     for weight, nodes in trees:
@@ -298,14 +301,15 @@ def fit_trees(rows: DataFrame, groups: list[tuple[object, Column]], parameters:
     return [found[k * len(parameters) : (k + 1) * len(parameters)] for k in range(len(groups))]
 
 
-def tree_grid(rows: DataFrame, folds: DataFrame, grid: tuple = TREE_GRID, trees: int = 150, seed: int = 42, x: str = "x", target: str = "y", case: str = "case_id") -> DataFrame:
+def tree_grid(rows: DataFrame, folds: DataFrame, grid: tuple = TREE_GRID, trees: int = 150, seed: int = 42, x: str = "x", target: str = "y", case: str = "case_id", learner: Callable = fit_trees) -> DataFrame:
     """parameter, depth, leaf, rate, mae (balanced over cases, mean over folds) and best, the first of the least.
 
-    All models of all folds are applied in one pass over the rows.
+    learner: fit_trees() or boosting.fit_together(), which grows all models in the same passes over the rows. All models
+    of all folds are applied in one pass.
     """
     joined = rows.join(folds, case)
     names = [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]
-    models = dict(zip(names, fit_trees(joined, [(f, F.col("fold") != f) for f in names], list(grid), trees, seed, x, target, case), strict=True))
+    models = dict(zip(names, learner(joined, [(f, F.col("fold") != f) for f in names], list(grid), trees, seed, x, target, case), strict=True))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from casewise import plans
 from casewise import sources as src
+from casewise.operators import boosting, cohort, episodes, metrics, pairing, runs, select, selectors, splits, weights
 from casewise.operators import bootstrap as bs
-from casewise.operators import cohort, episodes, metrics, pairing, runs, select, selectors, splits, weights
 from casewise.plans.evaluation import folder, pairf, parts, refp, splitted
 from casewise.plans.queries import AHEAD, CTE, DAY, DRAW, LENGTH, QUERIES, SQL, R, cells, grid, holes, pred, query, rounded, runt, sig, table, wins, wts
 
@@ -292,7 +292,7 @@ def f4_selection_summary(spark, d):
 @query(None)
 def f6_tree_grid(spark, d):
     w = flat(spark, d)
-    return rounded(selectors.tree_grid(w, splits.folds(w, 2, case="case_id"), trees=5))
+    return rounded(selectors.tree_grid(w, splits.folds(w, 3, case="case_id"), learner=boosting.fit_together))
 
 
 @query(None)
