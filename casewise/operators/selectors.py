@@ -16,6 +16,7 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -260,8 +261,9 @@ def flat_trees(model) -> list[tuple[float, np.ndarray]]:
 
 
 def apply_trees(trees: list[tuple[float, np.ndarray]] | boosting.Boosted, x: np.ndarray) -> np.ndarray:
+    """Predictions; for boosting's models x may also be their bins."""
     if isinstance(trees, boosting.Boosted):
-        return boosting.apply(trees, boosting.binned(trees.borders, x))
+        return boosting.apply(trees, np.ascontiguousarray(x.T) if x.dtype == np.uint8 else boosting.binned(trees.borders, x))
     out = np.zeros(len(x))
     rows = np.arange(len(x))
     for weight, nodes in trees:
@@ -329,63 +331,98 @@ def tree_grid(rows: DataFrame, folds: DataFrame, grid: tuple = TREE_GRID, trees:
     return means.join(points, "parameter").select("parameter", "depth", "leaf", "rate", "mae", (F.row_number().over(Window.orderBy("mae", "parameter")) == 1).alias("best"))
 
 
-def donated(rows: DataFrame, held: DataFrame, seed: int, x: str = "x", case: str = "case_id", time: str = "final_ts") -> DataFrame:
-    """rows of the cases that a run holds out, with `run` and `_donor`, the x that another held-out case has at that place.
-
-    held: (run, case). In each run the cases stand in a seeded ring, and each gets the block of the one before it, its
-    places stretched over its own length in time order.
-    """
+def donors(held: DataFrame, seed: int, case: str = "case_id") -> DataFrame:
+    """held, the (run, case) that runs leave out, with `_from`: in each run the cases stand in a seeded ring, and each takes
+    from the one before it."""
     ring = numbered(held.select("run", case).withColumn("_draw", draw(seed, F.col("run"), F.col(case))), ["_draw", case], "_i", by=["run"]).select("run", case, "_i")
     sizes = held.groupBy("run").agg(F.count("*").alias("_cases"))
     if sizes.where("_cases < 2").limit(1).count():
         raise ContractError("blocks are exchanged between cases, so that each run must hold out two at least")
     ring = ring.join(F.broadcast(sizes), "run")  # a row for each run
-    w = Window.partitionBy(case)
-    placed = rows.withColumns({"_at": F.row_number().over(w.orderBy(time)) - 1, "_rows": F.count("*").over(w)})
-    lengths = rows.groupBy(F.col(case).alias("_from")).agg(F.count("*").alias("_source"))
-    pairs = ring.join(ring.select("run", F.col(case).alias("_from"), F.pmod(F.col("_i") + 1, F.col("_cases")).alias("_i")), ["run", "_i"]).join(lengths, "_from").select("run", case, "_from", "_source")
-    step = F.when(F.col("_rows") > 1, F.rint(F.col("_at") * (F.col("_source") - 1) / (F.col("_rows") - 1))).otherwise(0).cast("int")
-    source = placed.select(F.col(case).alias("_from"), F.col("_at").alias("_step"), F.col(x).alias("_donor"))
-    return placed.join(pairs, case).withColumn("_step", step).join(source, ["_from", "_step"]).select("run", *rows.columns, "_donor")
+    return ring.join(ring.select("run", F.col(case).alias("_from"), F.pmod(F.col("_i") + 1, F.col("_cases")).alias("_i")), ["run", "_i"]).select("run", case, "_from")
+
+
+def case_blocks(rows: DataFrame, borders: tuple[np.ndarray, ...] | None, x: str, target: str, case: str, time: str) -> DataFrame:
+    """case, `n`, and the bytes of its x (its bins if there are borders) and target in time order: a row for each case."""
+    lists = rows.groupBy(case).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(x).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y")))).alias("rows"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n, flat = batch.column(1).value_lengths().to_numpy(), batch.column(1).flatten()
+                z = flat.field("x").flatten().to_numpy().reshape(len(flat), -1)
+                z = z if borders is None else np.ascontiguousarray(boosting.binned(borders, z).T)
+                upto = n.cumsum()
+                cut = lambda v: pa.array([v[b - k : b].tobytes() for b, k in zip(upto, n, strict=True)], pa.binary())  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), cut(z), cut(flat.field("y").to_numpy())], ["case", "n", "x", "y"])
+
+    kind = rows.schema[case].dataType.simpleString()
+    return lists.mapInArrow(pack, f"case {kind}, n long, x binary, y binary")
 
 
 def permutation_gains(rows: DataFrame, held: DataFrame, models: dict, groups: dict[str, list[int]], seed: int = 42, x: str = "x", target: str = "y", case: str = "case_id", time: str = "final_ts") -> DataFrame:
     """run, feature, baseline, permuted and gain: balanced errors of a run's model on its held-out cases, as they are and
-    with all lags of a feature from another case.
+    with all lags of a feature from another case, whose places are stretched over this one's length in time order.
 
-    Each row meets its donor once; the copies of all features are made and scored in that one pass, and only sums by
-    case leave it. Within a run all features take the same donors.
+    held: (run, case). A case travels as one row of bytes and meets its donor once for each run that holds it out; the
+    copies of all features are made and scored in that one pass, and only sums by run leave it. Within a run all features
+    take the same donors.
     """
     names = list(groups)
+    together = all(isinstance(m, boosting.Boosted) for m in models.values())
+    borders = next(iter(models.values())).borders if together else None
+    kind = np.uint8 if together else np.float64
+
+    def error(run, z: np.ndarray, y: np.ndarray, first: np.ndarray, n: np.ndarray) -> float:
+        return float((np.add.reduceat(np.abs(apply_trees(models[run], z) - y), first) / n).sum())
+
+    def scored(frame: pd.DataFrame) -> Iterator[tuple]:
+        for run, part in frame.groupby("run"):
+            n, y = part["n"].to_numpy(), np.frombuffer(b"".join(part["y"]))
+            mine, source = (np.frombuffer(b"".join(part[c]), kind).reshape(k, -1) for c, k in (("x", n.sum()), ("_x", part["_n"].sum())))
+            first, lent = n.cumsum() - n, part["_n"].to_numpy()
+            rows_of = lambda v: np.repeat(v, n)  # noqa: E731, B023
+            step = np.rint((np.arange(len(y)) - rows_of(first)) * rows_of(lent - 1) / np.maximum(rows_of(n) - 1, 1)).astype(int)
+            donor = source[rows_of(lent.cumsum() - lent) + step]
+            wrong = [error(run, mine, y, first, n)]
+            for f in names:
+                moved = mine.copy()
+                moved[:, groups[f]] = donor[:, groups[f]]
+                wrong.append(error(run, moved, y, first, n))
+            yield run, len(n), wrong
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[pd.DataFrame] = []
+        size = 0
         for frame in batches:
-            if len(frame):
-                z, other, y = np.stack(frame[x].to_numpy()), np.stack(frame["_donor"].to_numpy()), frame[target].to_numpy(float)
-                wrong = np.empty((len(frame), len(names) + 1))
-                for run, at in frame.groupby("run").indices.items():
-                    mine, donor = z[at], other[at]
-                    wrong[at, 0] = np.abs(apply_trees(models[run], mine) - y[at])
-                    for k, f in enumerate(names):
-                        moved = mine.copy()
-                        moved[:, groups[f]] = donor[:, groups[f]]
-                        wrong[at, k + 1] = np.abs(apply_trees(models[run], moved) - y[at])
-                yield case_sums(frame[["run", case]], wrong)
-
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c, df in (("run", held), (case, rows)))
-    sums = donated(rows, held, seed, x, case, time).select("run", case, x, "_donor", target).mapInPandas(score, f"{kinds}, n long, wrong array<double>")
-    errors = sums.select("run", case, "n", F.posexplode("wrong").alias("at", "e")).groupBy("run", case, "at").agg((F.sum("e") / F.sum("n")).alias("e")).groupBy("run", "at").agg(F.avg("e").alias("e"))
+            waiting.append(frame)
+            size += int(frame["x"].map(len).sum() + frame["_x"].map(len).sum())
+            # many cases of a run at a time, so that calls of models are few
+            if size >= 1 << 26:
+                yield pd.DataFrame(scored(pd.concat(waiting)), columns=["run", "cases", "wrong"])
+                waiting, size = [], 0
+        if size:
+            yield pd.DataFrame(scored(pd.concat(waiting)), columns=["run", "cases", "wrong"])
+
+    blocks = once(case_blocks(rows, borders, x, target, case, time))
+    source = blocks.select(F.col("case").alias("_from"), F.col("n").alias("_n"), F.col("x").alias("_x"))
+    pairs = donors(held, seed, case).join(source, "_from").withColumnRenamed(case, "case").join(blocks, "case")
+    sums = pairs.select("run", "n", "x", "y", "_n", "_x").mapInPandas(score, f"run {held.schema['run'].dataType.simpleString()}, cases long, wrong array<double>")
+    errors = sums.select("run", "cases", F.posexplode("wrong").alias("at", "e")).groupBy("run", "at").agg((F.sum("e") / F.sum("cases")).alias("e"))
     base = errors.where("at = 0").select("run", F.col("e").alias("baseline"))
     name = F.element_at(F.array(*(F.lit(f) for f in names)), F.col("at"))
     return errors.where("at > 0").join(base, "run").select("run", name.alias("feature"), "baseline", F.col("e").alias("permuted"), (F.col("e") - F.col("baseline")).alias("gain"))
 
 
-def tree_stability(rows: DataFrame, groups: dict[str, list[int]], parameters: tuple[int, int, float] = TREE_GRID[0], runs: int = 100, fraction: float = 0.5, trees: int = 150, seed: int = 42, x: str = "x", target: str = "y", case: str = "case_id", time: str = "final_ts") -> DataFrame:
-    """permutation_gains() of a model for each of `runs` subsamples of cases, on the cases that it leaves out."""
+def tree_stability(rows: DataFrame, groups: dict[str, list[int]], parameters: tuple[int, int, float] = TREE_GRID[0], runs: int = 100, fraction: float = 0.5, trees: int = 150, seed: int = 42, x: str = "x", target: str = "y", case: str = "case_id", time: str = "final_ts", learner: Callable = fit_trees) -> DataFrame:
+    """permutation_gains() of a model for each of `runs` subsamples of cases, on the cases that it leaves out.
+
+    learner: as in tree_grid().
+    """
     drawn = once(subsample(rows, fraction, runs, seed, case))
     joined = rows.join(drawn.where("chosen").groupBy(case).agg(F.collect_set("run").alias("_runs")), case)
     names = [r[0] for r in drawn.select("run").distinct().orderBy("run").collect()]
-    found = fit_trees(joined, [(r, F.array_contains("_runs", F.lit(r))) for r in names], [parameters], trees, seed, x, target, case)
+    found = learner(joined, [(r, F.array_contains("_runs", F.lit(r))) for r in names], [parameters], trees, seed, x, target, case)
     models = {r: m[0] for r, m in zip(names, found, strict=True)}
     held = drawn.where(~F.col("chosen")).select("run", case)
     return permutation_gains(rows, held, models, groups, seed, x, target, case, time)

@@ -297,7 +297,7 @@ def f6_tree_grid(spark, d):
 
 @query(None)
 def f6_tree_stability(spark, d):
-    return rounded(selectors.gain_summary(selectors.tree_stability(flat(spark, d), LAGS, runs=4, trees=5)))
+    return rounded(selectors.gain_summary(selectors.tree_stability(flat(spark, d), LAGS, learner=boosting.fit_together)))
 
 
 CTE["donor"] = f"donor AS (SELECT caseid, coalesce(lead(caseid) OVER w, first_value(caseid) OVER w) AS donor FROM (SELECT DISTINCT caseid FROM grid) WINDOW w AS (ORDER BY {DRAW.format("'7:' || caseid")}, caseid))"

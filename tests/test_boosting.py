@@ -129,3 +129,33 @@ def test_query_of_the_grid_does_the_original_s_job(table, monkeypatch):
     monkeypatch.setattr(boosting, "fit_together", lambda rows, groups, parameters, trees, *rest: seen.update(job=(len(groups), len(parameters), trees)) or fit(rows, groups, parameters, 1, *rest))
     comparison.QUERIES["f6_tree_grid"](df.sparkSession, "")
     assert seen["job"] == (3, 3, 150)
+
+
+def test_gains_of_binned_models_equal_those_of_plain_trees(table):
+    """Bins travel in place of values; a tree in nodes with the borders as thresholds gives the same gains."""
+    _, df = table
+    held = df.select((F.col("case_id") % 2).cast("long").alias("run"), "case_id").distinct()
+    models = {r: m[0] for r, m in enumerate(boosting.fit_together(df, [(r, F.col("case_id") % 2 != r) for r in (0, 1)], [(2, 1, 0.3)], 3, 1))}
+
+    def nodes_of(m):
+        out = [(1.0, np.array([[-1, 0, 0, 0, m.base]]))]
+        for feature, cut, value in zip(m.feature, m.cut, m.value, strict=True):
+            inner = [[f, m.borders[f][c] if c < 255 else np.inf, 2 * k + 1, 2 * k + 2, 0] for k, (f, c) in enumerate(zip(feature, cut, strict=True))]
+            out.append((1.0, np.array(inner + [[-1, 0, k, k, v] for k, v in enumerate(value, len(inner))])))
+        return out
+
+    features = {"a": [0, 2], "b": [1, 3], "c": [4]}
+    got, want = ({(r.run, r.feature): (r.baseline, r.gain) for r in selectors.permutation_gains(df, held, m, features, seed=4).collect()} for m in (models, {r: nodes_of(m) for r, m in models.items()}))
+    assert len(got) == 6 and all(np.allclose(got[k], want[k], atol=1e-9) for k in got) and max(g for _, g in got.values()) > 0.1
+
+
+def test_query_of_stability_does_the_original_s_job(table, monkeypatch):
+    """A hundred subsamples and 150 trees each."""
+    _, df = table
+    seen = {}
+    monkeypatch.setattr(comparison, "flat", lambda *_: df)
+    monkeypatch.setattr(comparison, "LAGS", {"a": [0, 2], "b": [1, 3]})
+    fit = boosting.fit_together
+    monkeypatch.setattr(boosting, "fit_together", lambda rows, groups, parameters, trees, *rest: seen.update(job=(len(groups), trees)) or fit(rows, groups, parameters, 2, *rest))
+    found = comparison.QUERIES["f6_tree_stability"](df.sparkSession, "").collect()
+    assert seen["job"] == (100, 150) and {r.feature: r.runs for r in found} == {"a": 100, "b": 100}
